@@ -152,3 +152,74 @@ SELECT 'hr' AS metric, {_SAMPLE_COMMON}, CAST(value AS DOUBLE) AS value FROM eve
 UNION ALL
 SELECT 'hrv' AS metric, {_SAMPLE_COMMON}, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events
 """
+
+
+# ---------------------------------------------------------------- night labels
+def night_label_rows(events: DataFrame) -> DataFrame:
+    """Label file rows derived from events: one row per event for the next
+    day of its night, label ``(user_id + day) % 2``; dates where
+    ``(user_id + day) % 5 == 0`` are absent; a fixed rule on ``event_id`` plants
+    bad dates, bad labels and padded labels. Several events per night make
+    duplicate dates (first by ``ingest_seq`` wins)."""
+    label_date = F.date_add(F.to_date(F.col("ts") - F.expr("INTERVAL 6 HOURS")), 1)
+    key = F.col("user_id") + F.dayofmonth(label_date)
+    lab = (key % 2).cast("string")
+    label_raw = (F.when(F.col("event_id") % 97 == 0, F.lit("Low"))
+                 .when(F.col("event_id") % 89 == 0, F.lit("1.0"))
+                 .when(F.col("event_id") % 7 == 0, F.concat(F.lit(" "), lab, F.lit(" ")))
+                 .otherwise(lab))
+    date_raw = F.when(F.col("event_id") % 101 == 0, F.lit("not-a-date")).otherwise(
+        F.date_format(label_date, "yyyy-MM-dd"))
+    return (events.filter(key % 5 != 0)
+            .select(F.col("user_id").alias("subject_id"), date_raw.alias("date"),
+                    label_raw.alias("fatigue_label"), F.col("event_id").alias("ingest_seq")))
+
+
+LABEL_ROWS_SQL = """
+SELECT user_id AS subject_id,
+       CASE WHEN event_id % 101 = 0 THEN 'not-a-date' ELSE strftime(ld, '%Y-%m-%d') END AS date,
+       CASE WHEN event_id % 97 = 0 THEN 'Low' WHEN event_id % 89 = 0 THEN '1.0'
+            WHEN event_id % 7 = 0 THEN ' ' || CAST((user_id + day(ld)) % 2 AS VARCHAR) || ' '
+            ELSE CAST((user_id + day(ld)) % 2 AS VARCHAR) END AS fatigue_label,
+       event_id AS ingest_seq
+FROM (SELECT *, CAST(CAST(ts - INTERVAL 6 HOUR AS DATE) + INTERVAL 1 DAY AS DATE) AS ld FROM events) e
+WHERE (user_id + day(ld)) % 5 <> 0
+"""
+VALID_LABELS_SQL = f"""
+SELECT *, TRY_CAST(date AS DATE) AS label_date,
+       CASE WHEN trim(fatigue_label) IN ('0', '1') THEN CAST(trim(fatigue_label) AS INTEGER) END AS label,
+       (TRY_CAST(date AS DATE) IS NOT NULL AND trim(fatigue_label) IN ('0', '1')) AS is_valid,
+       CASE WHEN TRY_CAST(date AS DATE) IS NULL THEN 'bad_date'
+            WHEN NOT trim(fatigue_label) IN ('0', '1') THEN 'bad_label' END AS problem
+FROM ({LABEL_ROWS_SQL}) l
+"""
+DEDUP_LABELS_SQL = f"""
+SELECT subject_id, label_date, arg_min(label, ingest_seq) AS label, min(ingest_seq) AS ingest_seq
+FROM ({VALID_LABELS_SQL}) v WHERE is_valid GROUP BY subject_id, label_date
+"""
+
+
+# ---------------------------------------------------------------- model rows
+# lineitem as labelled model rows: subject l_suppkey, time l_shipdate, four
+# numeric features, binary target l_returnflag = 'R'. The order key is unique.
+MODEL_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MODEL_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+               "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MODEL_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def model_rows(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(
+        *[c for c in MODEL_ORDER], F.col("l_returnflag"),
+        F.col("l_suppkey").alias("subject_id"),
+        (F.col("l_returnflag") == "R").cast("int").alias("target"))
+
+
+MODEL_ROWS_SQL = f"""
+SELECT {', '.join(MODEL_ORDER)}, l_returnflag, l_suppkey AS subject_id,
+       CAST(l_returnflag = 'R' AS INTEGER) AS target FROM lineitem
+"""
+MODEL_POS_SQL = f"""
+SELECT *, row_number() OVER (ORDER BY {', '.join(MODEL_ORDER)}) - 1 AS pos, count(*) OVER () AS n
+FROM ({MODEL_ROWS_SQL}) m
+"""
