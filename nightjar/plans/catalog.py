@@ -1,7 +1,7 @@
 """All registered queries, imported for their registration side effect."""
 from __future__ import annotations
 
-from . import q_labels, q_nights  # noqa: F401
+from . import q_features, q_labels, q_nights  # noqa: F401
 from .registry import REGISTRY, Entry
 
 __all__ = ["REGISTRY", "Entry"]
