@@ -42,3 +42,37 @@ def poisson1_sql(u_sql: str, max_k: int = 16) -> str:
     cdf = poisson1_cdf(max_k)
     arms = " ".join(f"WHEN {u_sql} < {cdf[k]!r} THEN {k}" for k in range(max_k))
     return f"(CASE {arms} ELSE {max_k} END)"
+
+
+# Integer mixer for many draws per row: one md5 per row gives a 32-bit seed,
+# each replicate r is mixed in with a 32-bit integer hash (multiply / xor-shift,
+# all intermediate values < 2^59, so no overflow in 64-bit arithmetic in Spark
+# or DuckDB).
+GOLDEN_32 = 0x9E3779B9
+MIX_MUL = 0x45D9F3B
+MASK_32 = 0xFFFFFFFF
+
+
+def hash32(key: Column) -> Column:
+    """First 32 bits of md5(key) as a non-negative bigint."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+
+
+def mix_uniform(h32: Column, r: Column) -> Column:
+    """Uniform in [0, 1) from a 32-bit row hash and a replicate number."""
+    x = h32.bitwiseXOR((r.cast("long") * F.lit(GOLDEN_32)).bitwiseAND(F.lit(MASK_32)))
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX_MUL)).bitwiseAND(F.lit(MASK_32))
+    x = F.shiftright(x, 16).bitwiseXOR(x)
+    return x.cast("double") / F.lit(TWO_POW_32)
+
+
+def hash32_sql(key_sql: str) -> str:
+    return f"CAST(('0x' || substr(md5({key_sql}), 1, 8)) AS BIGINT)"
+
+
+def mix_uniform_sql(h_sql: str, r_sql: str) -> str:
+    x = f"xor({h_sql}, (CAST({r_sql} AS BIGINT) * {GOLDEN_32}) & {MASK_32})"
+    for _ in range(2):
+        x = f"((xor({x} >> 16, {x}) * {MIX_MUL}) & {MASK_32})"
+    return f"(CAST(xor({x} >> 16, {x}) AS DOUBLE) / {TWO_POW_32!r})"

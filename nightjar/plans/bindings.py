@@ -223,3 +223,64 @@ MODEL_POS_SQL = f"""
 SELECT *, row_number() OVER (ORDER BY {', '.join(MODEL_ORDER)}) - 1 AS pos, count(*) OVER () AS n
 FROM ({MODEL_ROWS_SQL}) m
 """
+
+
+# ---------------------------------------------------------------- predictions
+# lineitem model rows scored by a fixed linear contract (own constants, not a
+# fitted model): the prediction table behind metrics, sweeps and robustness.
+LINEITEM_CONTRACT = {
+    "feature_order": MODEL_FEATURES,
+    "imputer_median": [25.0, 36000.0, 0.05, 0.04],
+    "scaler_mean": [25.5, 38000.0, 0.05, 0.04],
+    "scaler_scale": [14.4, 23000.0, 0.0316, 0.0258],
+    "coef": [0.35, -0.25, 0.3, -0.2],
+    "intercept": 0.05,
+    "classes": [0, 1],
+}
+
+
+def contract_logit_sql(c: dict, value_sql=lambda f: f) -> str:
+    terms = [f"{float(c['intercept'])!r}"]
+    for f, med, mu, sc, w in zip(c["feature_order"], c["imputer_median"], c["scaler_mean"],
+                                 c["scaler_scale"], c["coef"]):
+        scale = sc if sc != 0 else 1.0
+        terms.append(f"{float(w)!r} * ((coalesce({value_sql(f)}, {float(med)!r}) - {float(mu)!r}) / {float(scale)!r})")
+    return " + ".join(terms)
+
+
+def predictions(lineitem: DataFrame) -> DataFrame:
+    from ..operators.scoring import LinearContract, score_linear_contract
+    c = LinearContract.from_mapping(LINEITEM_CONTRACT)
+    return score_linear_contract(model_rows(lineitem), c)
+
+
+PREDICTIONS_SQL = f"""
+SELECT *, CAST(p1 >= 0.5 AS INTEGER) AS predicted_label FROM (
+  SELECT *, 1.0 / (1.0 + exp(-logit)) AS p1 FROM (
+    SELECT *, {contract_logit_sql(LINEITEM_CONTRACT)} AS logit FROM ({MODEL_ROWS_SQL}) m) a) b
+"""
+
+
+# ---------------------------------------------------------------- model runs
+# Candidate models bound to event types; latency measurements are
+# events.value / 10 ms, model size is the mean props.k times a family factor,
+# and each model's predictions are the lineitem predictions at its own
+# threshold.
+MODEL_OF_EVENT = {
+    "view": ("logreg_c0_1", 0.45, 0.1),
+    "click": ("logreg_c1_0", 0.50, 0.1),
+    "purchase": ("sgd_a1e-4", 0.55, 0.1),
+    "signup": ("rf_small_n64_d6", 0.40, 20.0),
+    "error": ("rf_small_n96_d8", 0.60, 25.0),
+}
+
+
+def model_table(spark: SparkSession) -> DataFrame:
+    """The five candidate definitions (a fixed 5-row parameter table)."""
+    rows = [(ev, name, float(t), float(f)) for ev, (name, t, f) in MODEL_OF_EVENT.items()]
+    return spark.createDataFrame(rows, "event_type string, model_name string, threshold double, size_factor double")
+
+
+def model_table_sql() -> str:
+    vals = ", ".join(f"('{ev}', '{n}', {t!r}, {f!r})" for ev, (n, t, f) in MODEL_OF_EVENT.items())
+    return f"SELECT * FROM (VALUES {vals}) v(event_type, model_name, threshold, size_factor)"
