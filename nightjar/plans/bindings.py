@@ -284,3 +284,38 @@ def model_table(spark: SparkSession) -> DataFrame:
 def model_table_sql() -> str:
     vals = ", ".join(f"('{ev}', '{n}', {t!r}, {f!r})" for ev, (n, t, f) in MODEL_OF_EVENT.items())
     return f"SELECT * FROM (VALUES {vals}) v(event_type, model_name, threshold, size_factor)"
+
+
+# ---------------------------------------------------------------- sensor streams
+# events as a sensor archive: motion x = value, y = props.k (no z axis);
+# heart rate from view/click events; steps (= props.k) from purchase events;
+# labels = event type at the event time. Events are sparse (minutes apart),
+# so the windows are 6 h (21,600 s) long.
+SENSOR_WINDOW_S = 21600.0
+
+
+def sensor_base(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.lit("events").alias("dataset_name"), F.col("user_id").cast("string").alias("subject_id"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("time_s"),
+        F.col("value").alias("x"), _k().cast("double").alias("y"), F.col("event_type"),
+        F.col("event_id").alias("ingest_seq"))
+
+
+SENSOR_BASE_SQL = """
+SELECT 'events' AS dataset_name, CAST(user_id AS VARCHAR) AS subject_id, epoch_us(ts) / 1e6 AS time_s,
+       value AS x, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, event_type, event_id AS ingest_seq
+FROM events"""
+
+
+def order_samples(orders: DataFrame) -> DataFrame:
+    """orders as a second archive: subject = customer, time = order date."""
+    return orders.select(
+        F.lit("orders").alias("dataset_name"), F.col("o_custkey").cast("string").alias("subject_id"),
+        (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(1e6)).alias("time_s"),
+        F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("ingest_seq"))
+
+
+ORDER_SAMPLES_SQL = """
+SELECT 'orders' AS dataset_name, CAST(o_custkey AS VARCHAR) AS subject_id, epoch_us(o_orderdate) / 1e6 AS time_s,
+       o_totalprice AS price, o_orderkey AS ingest_seq FROM orders"""
