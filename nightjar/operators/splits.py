@@ -12,17 +12,23 @@ from .positions import position_blocks, row_count
 
 
 def chronological_split(df: DataFrame, order_cols: list[str], train_fraction: float = 0.7,
-                        out: str = "split") -> DataFrame:
-    """First ``int(train_fraction * n)`` rows in order -> 'train', rest 'test'."""
-    k = F.floor(row_count(df) * F.lit(train_fraction)).cast("long")
-    blocks = position_blocks(df, order_cols, {"_blk": [k]})
+                        out: str = "split", n: int | None = None) -> DataFrame:
+    """First ``int(train_fraction * n)`` rows in order -> 'train', rest 'test'.
+
+    ``n`` (the row count) is one number; it is computed with one job when not
+    given, so the cut is a literal in the plan rather than a subquery that
+    every consumer re-runs.
+    """
+    n = df.count() if n is None else n
+    k = int(n * train_fraction)
+    blocks = position_blocks(df, order_cols, {"_blk": [F.lit(k)]})
     return blocks.withColumn(out, F.when(F.col("_blk") == 0, F.lit("train")).otherwise(F.lit("test"))).drop("_blk")
 
 
-def fold_cuts(n: Column, k: int) -> list[Column]:
+def fold_cuts(n: int, k: int) -> list[int]:
     """Start positions of the k test blocks, each of size n // (k+1)."""
-    ts = F.floor(n / F.lit(k + 1)).cast("long")
-    return [n - F.lit(k - i) * ts for i in range(k)]
+    ts = n // (k + 1)
+    return [n - (k - i) * ts for i in range(k)]
 
 
 def walk_forward_folds(df: DataFrame, order_cols: list[str], label_col: str,
@@ -35,30 +41,28 @@ def walk_forward_folds(df: DataFrame, order_cols: list[str], label_col: str,
     (>= 2 distinct labels) is used; rows carry ``test_fold`` and ``n_folds``
     (both null when no k is valid).
 
-    Blocks for every candidate k come out of one ``position_blocks`` pass;
-    class presence per (k, block) is one global aggregate (one row).
+    Blocks for every candidate k come out of one ``position_blocks`` pass.
+    Class presence per (k, block) is ONE global aggregate row (min and max of
+    the label per block — partial aggregates, no distinct expansion); the
+    choice of k is made from that row on the driver.
     """
-    n = row_count(df)
-    res = position_blocks(df, order_cols, {f"_b{k}": fold_cuts(n, k) for k in candidates})
+    n = df.count()
+    res = position_blocks(df, order_cols, {f"_b{k}": [F.lit(c) for c in fold_cuts(n, k)] for k in candidates})
     agg_exprs = []
     for k in candidates:
         blk = F.col(f"_b{k}") - 1
         for f in range(k):
-            # ">= 2 classes" is min != max: plain partial aggregates, no
-            # distinct-aggregate expansion of the rows.
             for tag, cond in (("t", blk == f), ("r", blk < f)):
                 v = F.when(cond, F.col(label_col))
                 agg_exprs += [F.min(v).alias(f"_k{k}_{tag}{f}_lo"), F.max(v).alias(f"_k{k}_{tag}{f}_hi")]
-    presence = res.agg(*agg_exprs)
-    chosen = F.lit(None).cast("int")
-    for k in sorted(candidates):  # later (larger) k overrides: the largest valid k wins
-        ok = F.lit(True)
-        for f in range(k):
-            for tag in ("t", "r"):
-                ok = ok & F.coalesce(F.col(f"_k{k}_{tag}{f}_lo") < F.col(f"_k{k}_{tag}{f}_hi"), F.lit(False))
-        chosen = F.when(ok, F.lit(k)).otherwise(chosen)
-    choice = presence.select(chosen.alias("n_folds")).scalar()
-    fold = F.lit(None).cast("int")
-    for k in candidates:
-        fold = F.when(choice == k, F.col(f"_b{k}") - 1).otherwise(fold)
-    return res.withColumns({out: fold, "n_folds": choice}).drop(*[f"_b{k}" for k in candidates])
+    presence = res.agg(*agg_exprs).first().asDict()
+    chosen = None
+    for k in sorted(candidates, reverse=True):
+        ok = all(presence[f"_k{k}_{tag}{f}_lo"] is not None and
+                 presence[f"_k{k}_{tag}{f}_lo"] < presence[f"_k{k}_{tag}{f}_hi"]
+                 for f in range(k) for tag in ("t", "r"))
+        if ok:
+            chosen = k
+            break
+    fold = (F.col(f"_b{chosen}") - 1).cast("int") if chosen else F.lit(None).cast("int")
+    return res.withColumns({out: fold, "n_folds": F.lit(chosen).cast("int")}).drop(*[f"_b{k}" for k in candidates])
