@@ -319,3 +319,34 @@ def order_samples(orders: DataFrame) -> DataFrame:
 ORDER_SAMPLES_SQL = """
 SELECT 'orders' AS dataset_name, CAST(o_custkey AS VARCHAR) AS subject_id, epoch_us(o_orderdate) / 1e6 AS time_s,
        o_totalprice AS price, o_orderkey AS ingest_seq FROM orders"""
+
+
+# ---------------------------------------------------------------- raw health records
+def health_records(events: DataFrame) -> DataFrame:
+    """All records of the export: sleep records plus heart-rate and HRV
+    quantity records, in the raw text form of the XML attributes."""
+    sleep = sleep_records(events).select(
+        "subject_id", F.lit(RECORD_TYPES["sleep"]).alias("record_type"), "uuid", "source_name",
+        F.lit(None).cast("string").alias("unit"), "start_raw", "end_raw", F.col("start_raw").alias("created_raw"),
+        "value_raw")
+    q = metric_records(events).select(
+        "subject_id",
+        F.when(F.col("metric") == "hr", F.lit(RECORD_TYPES["hr"])).otherwise(F.lit(RECORD_TYPES["hrv"])).alias("record_type"),
+        F.concat(F.col("ingest_seq").cast("string"), F.lit("-"), F.col("metric")).alias("uuid"), "source_name",
+        F.when(F.col("metric") == "hr", F.lit("count/min")).otherwise(F.lit("ms")).alias("unit"),
+        "start_raw", "end_raw", F.col("start_raw").alias("created_raw"), "value_raw")
+    return sleep.unionByName(q)
+
+
+HEALTH_RECORDS_SQL = f"""
+SELECT subject_id, '{RECORD_TYPES['sleep']}' AS record_type, uuid, source_name, CAST(NULL AS VARCHAR) AS unit,
+       start_raw, end_raw, start_raw AS created_raw, value_raw FROM ({SLEEP_RECORDS_SQL}) s
+UNION ALL
+SELECT user_id, '{RECORD_TYPES['hr']}', CAST(event_id AS VARCHAR) || '-hr', {SOURCE_SQL}, 'count/min',
+       {STAMP_SQL.format(ts='ts')}, {STAMP_SQL.format(ts=f"ts + to_seconds(coalesce({K_SQL}, 0))")},
+       {STAMP_SQL.format(ts='ts')}, CAST(value AS VARCHAR) FROM events
+UNION ALL
+SELECT user_id, '{RECORD_TYPES['hrv']}', CAST(event_id AS VARCHAR) || '-hrv', {SOURCE_SQL}, 'ms',
+       {STAMP_SQL.format(ts='ts')}, {STAMP_SQL.format(ts=f"ts + to_seconds(coalesce({K_SQL}, 0))")},
+       {STAMP_SQL.format(ts='ts')}, json_extract_string(props, '$.k') FROM events
+"""

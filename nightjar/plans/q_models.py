@@ -166,7 +166,8 @@ def q_distill(spark, sf):
     train, test = _train_test(spark, sf)
     teacher = ML.fit_forest(train, FEATS, "target", trees=64, depth=6)
     tp = ML.teacher_targets(teacher.transform(train, [*KEYS, *FEATS, "target"]), "target")
-    tp = ML.distill_labels(tp, "target")
+    # The teacher's scores feed several passes of the student's fit: keep them.
+    tp = ML.distill_labels(tp, "target").persist()
     student = ML.fit_logistic(tp, FEATS, "student_label", C=2.0, name="logreg_distilled_c2_0")
     return _test_predictions(student, test)
 
