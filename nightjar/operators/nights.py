@@ -197,6 +197,23 @@ def prefer_with_fallback(df: DataFrame, scope: list[str], preferred: Column) ->
             .filter(F.col("_pref") | (F.col("_any_pref") == 0)).drop("_pref", "_any_pref"))
 
 
+def prefer_two_levels(df: DataFrame, scope: list[str], first: Column, second: Column) -> DataFrame:
+    """P21 twice in sequence (first preference, then the second among the
+    rows kept by the first) with ONE partial aggregate and ONE join:
+    any(first), any(first & second), any(second) per scope decide both
+    fallbacks. Adds ``_usable`` (kept by the first rule) and ``_chosen``."""
+    f1, f2 = F.coalesce(first, F.lit(False)), F.coalesce(second, F.lit(False))
+    d = df.withColumns({"_p1": f1, "_p2": f2})
+    flags = d.groupBy(*scope).agg(F.max(F.col("_p1").cast("int")).alias("_a1"),
+                                  F.max((F.col("_p1") & F.col("_p2")).cast("int")).alias("_a12"),
+                                  F.max(F.col("_p2").cast("int")).alias("_a2"))
+    d = d.join(flags, scope, "inner")
+    usable = F.col("_p1") | (F.col("_a1") == 0)
+    pool_has_second = F.when(F.col("_a1") == 1, F.col("_a12")).otherwise(F.col("_a2")) == 1
+    chosen = usable & (F.col("_p2") | ~pool_has_second)
+    return d.withColumns({"_usable": usable, "_chosen": chosen}).drop("_p1", "_p2", "_a1", "_a12", "_a2")
+
+
 def metric_source_quality(samples: DataFrame, scope: list[str]) -> DataFrame:
     """A4: sample count, sorted distinct sources and watch share per scope
     (computed before the watch filter of P21)."""

@@ -49,14 +49,19 @@ def bootstrap_ci(df: DataFrame, y: str, yhat: str, key_cols: list[str], n_boot:
                     F.count(F.lit(1)).alias("replicates"))
 
 
-def missing_expr(c: str, level: Column, key: Column, seed: int) -> Column:
-    u = hash_uniform(F.concat_ws("|", key, F.lit(c), F.lit(str(seed))))
+# Per-cell uniforms: one md5 of (row key | seed) per row, mixed with the
+# column's stream number (2i for the mask / first normal draw, 2i+1 for the
+# second draw) by the integer hash — a few integer operations per cell.
+def cell_uniforms(key: Column, seed: int, cols: list[str]) -> dict[str, tuple[Column, Column]]:
+    h = hash32(F.concat_ws("|", key, F.lit(str(seed))))
+    return {c: (mix_uniform(h, F.lit(2 * i)), mix_uniform(h, F.lit(2 * i + 1))) for i, c in enumerate(cols)}
+
+
+def missing_expr(c: str, level: Column, u: Column) -> Column:
     return F.when(u < level, F.lit(None).cast("double")).otherwise(F.col(c).cast("double"))
 
 
-def noise_expr(c: str, level: Column, key: Column, seed: int, std: Column) -> Column:
-    u1 = hash_uniform(F.concat_ws("|", key, F.lit(c), F.lit(str(seed)), F.lit("a")))
-    u2 = hash_uniform(F.concat_ws("|", key, F.lit(c), F.lit(str(seed)), F.lit("b")))
+def noise_expr(c: str, level: Column, u1: Column, u2: Column, std: Column) -> Column:
     z = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
     s = F.when(std.isNull() | F.isnan(std) | (std == 0), F.lit(1.0)).otherwise(std)
     return F.col(c).cast("double") + z * s * level
@@ -67,8 +72,8 @@ def corrupt_missing(df: DataFrame, cols: list[str], level: Column | float, key_c
     """Null each listed cell with probability ``level`` (same cells are
     hit at a higher level: masks are nested)."""
     lvl = level if isinstance(level, Column) else F.lit(float(level))
-    key = row_key(key_cols)
-    return df.withColumns({c: missing_expr(c, lvl, key, seed) for c in cols})
+    us = cell_uniforms(row_key(key_cols), seed, cols)
+    return df.withColumns({c: missing_expr(c, lvl, us[c][0]) for c in cols})
 
 
 def column_pop_std(df: DataFrame, cols: list[str]) -> dict[str, Column]:
@@ -83,8 +88,8 @@ def corrupt_noise(df: DataFrame, cols: list[str], level: Column | float, key_col
     Normal draws by Box-Muller on two hash-uniforms per cell."""
     lvl = level if isinstance(level, Column) else F.lit(float(level))
     stds = stds or column_pop_std(df, cols)
-    key = row_key(key_cols)
-    return df.withColumns({c: noise_expr(c, lvl, key, seed, stds[c]) for c in cols})
+    us = cell_uniforms(row_key(key_cols), seed, cols)
+    return df.withColumns({c: noise_expr(c, lvl, us[c][0], us[c][1], stds[c]) for c in cols})
 
 
 # Corruption levels of the robustness curve.
@@ -103,12 +108,16 @@ def robustness_curve(df: DataFrame, cols: list[str], key_cols: list[str], score,
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(lv)).alias("level"))
                       for k in ("missingness", "noise") for lv in levels])
     stds = column_pop_std(df, cols)
-    rep = df.withColumn("_p", F.explode(pairs)).withColumns({"kind": F.col("_p.kind"), "level": F.col("_p.level")}) \
+    # Uniforms depend on (row, column, seed) only — not on the level — so they
+    # are computed once per row before the 8-way fan-out.
+    us = cell_uniforms(row_key(key_cols), seed, cols)
+    pre = df.withColumns({f"_u1_{c}": us[c][0] for c in cols}).withColumns({f"_u2_{c}": us[c][1] for c in cols})
+    rep = pre.withColumn("_p", F.explode(pairs)).withColumns({"kind": F.col("_p.kind"), "level": F.col("_p.level")}) \
         .drop("_p")
-    key, lvl = row_key(key_cols), F.col("level")
+    lvl = F.col("level")
     corrupted = rep.withColumns({
-        c: F.when(F.col("kind") == "missingness", missing_expr(c, lvl, key, seed))
-            .otherwise(noise_expr(c, lvl, key, seed, stds[c]))
+        c: F.when(F.col("kind") == "missingness", missing_expr(c, lvl, F.col(f"_u1_{c}")))
+            .otherwise(noise_expr(c, lvl, F.col(f"_u1_{c}"), F.col(f"_u2_{c}"), stds[c]))
         for c in cols})
     scored = score(corrupted)
     m = classification_metrics(confusion_matrix(scored, y, "predicted_label", ["kind", "level"]), ["kind", "level"])

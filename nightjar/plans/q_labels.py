@@ -99,7 +99,7 @@ def q_split(spark, sf):
         *B.MODEL_KEYS, "l_shipdate", "target", "split")
 
 
-def _folds_sql(candidates=(5, 4, 3)) -> str:
+def _folds_sql(candidates=(5, 4, 3), cols: list[str] | None = None) -> str:
     parts = []
     for k in candidates:
         blk = f"(CASE WHEN pos >= n - {k} * (n // {k + 1}) THEN (pos - (n - {k} * (n // {k + 1}))) // (n // {k + 1}) ELSE -1 END)"
@@ -115,7 +115,7 @@ def _folds_sql(candidates=(5, 4, 3)) -> str:
     choice = f"SELECT coalesce({', '.join(checks)}) AS n_folds FROM base"
     fold = "CASE " + " ".join(f"WHEN c.n_folds = {k} THEN b{k}" for k in candidates) + " END"
     return f"""WITH base AS ({base}), c AS ({choice})
-SELECT {', '.join(B.MODEL_KEYS)}, l_shipdate, target, CAST({fold} AS INTEGER) AS test_fold, c.n_folds
+SELECT {', '.join(cols or [*B.MODEL_KEYS, 'l_shipdate', 'target'])}, CAST({fold} AS INTEGER) AS test_fold, c.n_folds
 FROM base, c"""
 
 

@@ -137,18 +137,22 @@ def device_nights(spark, sf):
 def device_metric_stats(spark, sf):
     nights = device_nights(spark, sf).select("subject_id", "night_date", "sleep_start", "sleep_end")
     s = N.source_flags(_samples(spark, sf), "source_name", "metadata")
+    # One row per subject on the night side (the latest night), so the
+    # subject key plus the range predicate cannot fan out.
     hits = nights.join(s, [nights.subject_id == s.subject_id, s.ts >= nights.sleep_start,
                            s.end_ts <= nights.sleep_end], "inner").drop(s.subject_id)
     scope = ["subject_id", "night_date", "metric"]
-    usable = N.prefer_with_fallback(hits, scope, ~F.col("is_user_entered"))
-    quality = N.metric_source_quality(usable, scope).drop("sources")
-    chosen = N.prefer_with_fallback(usable, scope, F.col("is_watch"))
-    chosen = chosen.withColumn("value", finite_or_null("value")).filter(F.col("value").isNotNull())
-    stats = chosen.groupBy(*scope).agg(
-        *N.metric_stat_columns("m", F.col("value")),
-        F.count(F.lit(1)).alias("selected_count"),
-        F.array_sort(F.collect_set("source_name")).alias("sources"))
-    return stats.join(quality, scope, "inner")
+    h = N.prefer_two_levels(hits, scope, ~F.col("is_user_entered"), F.col("is_watch"))
+    v = F.when(F.col("_chosen"), finite_or_null("value"))
+    stats = h.groupBy(*scope).agg(
+        *N.metric_stat_columns("m", v),
+        F.count(v).alias("_finite"),
+        F.count_if(F.col("_chosen")).alias("sample_count"),
+        F.try_divide(F.count_if(F.col("_usable") & F.col("is_watch")).cast("double"),
+                     F.count_if(F.col("_usable")).cast("double")).alias("watch_share"),
+        F.array_sort(F.collect_set(F.when(F.col("_chosen"), F.col("source_name")))).alias("sources"))
+    # A metric without finite selected values is absent (as on the device).
+    return stats.filter(F.col("_finite") > 0).drop("_finite")
 
 
 _DEV_SEG_SQL = f"""
@@ -195,15 +199,16 @@ h AS (SELECT n.night_date, s.*, contains(lower(s.source_name), 'watch') AS is_wa
       FROM n JOIN ({B.SAMPLES_SQL}) s ON s.subject_id = n.subject_id AND s.ts >= n.sleep_start AND s.end_ts <= n.sleep_end),
 u AS (SELECT * FROM h WHERE NOT is_user_entered OR (subject_id, night_date, metric) IN
         (SELECT subject_id, night_date, metric FROM h GROUP BY ALL HAVING NOT bool_or(NOT is_user_entered))),
-q AS (SELECT subject_id, night_date, metric, count(*) AS sample_count, avg(CAST(is_watch AS DOUBLE)) AS watch_share
-      FROM u GROUP BY ALL),
+q AS (SELECT subject_id, night_date, metric, avg(CAST(is_watch AS DOUBLE)) AS watch_share FROM u GROUP BY ALL),
 c AS (SELECT * FROM u WHERE is_watch OR (subject_id, night_date, metric) IN
         (SELECT subject_id, night_date, metric FROM u GROUP BY ALL HAVING NOT bool_or(is_watch))),
+cq AS (SELECT subject_id, night_date, metric, count(*) AS sample_count,
+         list_sort(list(DISTINCT source_name)) AS sources FROM c GROUP BY ALL),
 f AS (SELECT * FROM c WHERE value IS NOT NULL AND isfinite(value)),
 st AS (SELECT subject_id, night_date, metric, avg(value) AS m_mean, min(value) AS m_min, max(value) AS m_max,
-         median(value) AS m_median, stddev_pop(value) AS m_std, count(*) AS selected_count,
-         list_sort(list(DISTINCT source_name)) AS sources FROM f GROUP BY ALL)
-SELECT st.*, q.sample_count, q.watch_share FROM st JOIN q USING (subject_id, night_date, metric)""",
+         median(value) AS m_median, stddev_pop(value) AS m_std FROM f GROUP BY ALL)
+SELECT st.*, cq.sample_count, cq.sources, q.watch_share FROM st JOIN q USING (subject_id, night_date, metric)
+ JOIN cq USING (subject_id, night_date, metric)""",
                           _DEV_STATS_DOUBLES))
 def q_device_metric_stats(spark, sf):
     return presentable(device_metric_stats(spark, sf))

@@ -276,8 +276,20 @@ def _fold_preds(spark, sf):
     return R.score_linear_contract(folds.filter(F.col("test_fold") >= 0), c)
 
 
+def _cv_sql() -> str:
+    from .q_labels import _folds_sql
+    folds = _folds_sql(cols=[*KEYS, *B.MODEL_FEATURES, "target"])
+    logit = B.contract_logit_sql(B.LINEITEM_CONTRACT)
+    preds = f"SELECT *, 1.0 / (1.0 + exp(-({logit}))) AS p1 FROM ({folds}) f WHERE test_fold >= 0"
+    cm = (f"SELECT m.model_name, test_fold, target AS y, CAST(p1 >= m.threshold AS INTEGER) AS yhat, "
+          f"CAST(count(*) AS DOUBLE) AS n FROM ({preds}) p, ({B.model_table_sql()}) m GROUP BY ALL")
+    per_fold = metrics_sql(cm, ["model_name", "test_fold"])
+    aggs = ", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std" for m in METRIC_COLS)
+    return f"SELECT model_name, count(*) AS folds, {aggs} FROM ({per_fold}) pf GROUP BY model_name"
+
+
 @register("cv_summary", op_ids="A15 M8",
-          sql=None)
+          sql=oracle_wrap(_cv_sql(), [f"{m}_{s}" for m in METRIC_COLS for s in ("mean", "std")]))
 def q_cv(spark, sf):
     fp = _fold_preds(spark, sf)
     thresholds = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(float(t)).alias("threshold"))
@@ -319,24 +331,23 @@ def q_boot(spark, sf):
     return presentable(E.bootstrap_ci(_preds(spark, sf), "target", "predicted_label", KEYS, N_BOOT))
 
 
+def _cell_u_sql(i: int) -> str:
+    h = hash32_sql(f"concat_ws('|', {key_sql()}, '42')")
+    return mix_uniform_sql(h, str(i))
+
+
 def _corrupt_sql(kind: str, level: float) -> str:
     feats = B.MODEL_FEATURES
-    if kind == "missingness":
-        parts = []
-        for c in feats:
-            u = hash_u_sql(f"concat_ws('|', {key_sql()}, '{c}', '42')")
-            parts.append(f"CASE WHEN {u} < {level!r} THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}")
-        sel = ", ".join(parts)
-    else:
-        parts = []
-        for c in feats:
-            u1 = hash_u_sql(f"concat_ws('|', {key_sql()}, '{c}', '42', 'a')")
-            u2 = hash_u_sql(f"concat_ws('|', {key_sql()}, '{c}', '42', 'b')")
+    parts = []
+    for i, c in enumerate(feats):
+        u1, u2 = _cell_u_sql(2 * i), _cell_u_sql(2 * i + 1)
+        if kind == "missingness":
+            parts.append(f"CASE WHEN {u1} < {level!r} THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}")
+        else:
             std = f"(SELECT CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END FROM lineitem)"
             z = f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos(2 * pi() * {u2}))"
             parts.append(f"CAST({c} AS DOUBLE) + {z} * {std} * {level!r} AS {c}")
-        sel = ", ".join(parts)
-    return f"SELECT {', '.join(KEYS)}, target, {sel} FROM ({B.MODEL_ROWS_SQL}) m"
+    return f"SELECT {', '.join(KEYS)}, target, {', '.join(parts)} FROM ({B.MODEL_ROWS_SQL}) m"
 
 
 @register("corrupt_missing", op_ids="E3",
