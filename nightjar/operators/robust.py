@@ -77,9 +77,10 @@ def corrupt_missing(df: DataFrame, cols: list[str], level: Column | float, key_c
 
 
 def column_pop_std(df: DataFrame, cols: list[str]) -> dict[str, Column]:
-    """Population std per column as scalar subqueries (Spark merges scalar
-    subqueries over the same plan into one aggregate)."""
-    return {c: df.select(F.stddev_pop(F.col(c).cast("double"))).scalar() for c in cols}
+    """Population std per column: ONE aggregate pass, a handful of numbers
+    back to the driver, used as literals."""
+    row = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    return {c: F.lit(row[c]).cast("double") for c in cols}
 
 
 def corrupt_noise(df: DataFrame, cols: list[str], level: Column | float, key_cols: list[str],
@@ -122,3 +123,37 @@ def robustness_curve(df: DataFrame, cols: list[str], key_cols: list[str], score,
     scored = score(corrupted)
     m = classification_metrics(confusion_matrix(scored, y, "predicted_label", ["kind", "level"]), ["kind", "level"])
     return m.select("kind", "level", "weighted_f1")
+
+
+def bootstrap_ci_multinomial(df: DataFrame, y: str, yhat: str, n_boot: int = 1000, seed: int = 42,
+                             metric: str = "weighted_f1") -> DataFrame:
+    """E2, scalable form with the reference's exact law: resampling n rows with
+    replacement only changes the confusion counts, which are
+    Multinomial(n, cell shares). One data pass builds the (classes^2) cell
+    table; the B replicates are drawn in tasks (``mapInPandas`` over a
+    B-row range, numpy generator seeded per replicate), so neither the rows
+    nor the replicates pass through the driver."""
+    import numpy as np
+    import pandas as pd
+
+    cells = [(r["y"], r["yhat"], float(r["n"])) for r in confusion_matrix(df, y, yhat).collect()]  # <= classes^2
+    counts = np.array([c[2] for c in cells])
+    n = int(counts.sum())
+    probs = counts / counts.sum() if n else counts
+
+    def draw(batches):
+        for b in batches:
+            out = []
+            for r in b["id"].tolist():
+                rng = np.random.default_rng([seed, int(r)])
+                k = rng.multinomial(n, probs) if n else np.zeros(len(cells))
+                out += [(int(r), cells[i][0], cells[i][1], float(k[i])) for i in range(len(cells))]
+            yield pd.DataFrame(out, columns=["replicate", "y", "yhat", "n"])
+
+    spark = df.sparkSession
+    y_type = df.schema[y].dataType.simpleString()
+    reps = spark.range(n_boot).mapInPandas(draw, f"replicate long, y {y_type}, yhat {y_type}, n double")
+    m = classification_metrics(reps.filter(F.col("n") > 0), ["replicate"])
+    return m.agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"),
+                 F.percentile(metric, 0.025).alias("ci95_low"), F.percentile(metric, 0.975).alias("ci95_high"),
+                 F.count(F.lit(1)).alias("replicates"))

@@ -181,7 +181,9 @@ def deployment_threshold_gate(sweep: DataFrame, group_cols: list[str] | None = N
                                            F.col("t_int").alias("_tuned_int"),
                                            F.col("weighted_f1").alias("tuned_weighted_f1"))
     default = sweep.filter(F.col("t_int") == 50).select(*g, F.col("weighted_f1").alias("default_weighted_f1"))
-    j = best.join(default, g, "inner") if g else best.join(default, how="inner")
+    # Without groups both sides are one row: the default is a scalar subquery
+    # rather than a key-less join.
+    j = best.join(default, g, "inner") if g else best.withColumn("default_weighted_f1", default.scalar())
     gain = F.col("tuned_weighted_f1") - F.col("default_weighted_f1")
     shift = F.abs(F.col("_tuned_int") - F.lit(50)) / F.lit(100.0)
     reason = (F.when(gain < F.lit(MIN_GAIN), F.lit(f"fallback_gain_lt_{MIN_GAIN:.2f}"))

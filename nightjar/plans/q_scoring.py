@@ -336,6 +336,13 @@ def _cell_u_sql(i: int) -> str:
     return mix_uniform_sql(h, str(i))
 
 
+@register("bootstrap_ci_multinomial", op_ids="E2")
+def q_boot_multinomial(spark, sf):
+    # Same law as the reference's resampling; numpy draws, so no SQL oracle
+    # (tests compare its interval with the hash-keyed form).
+    return presentable(E.bootstrap_ci_multinomial(_preds(spark, sf), "target", "predicted_label", 1000))
+
+
 def _corrupt_sql(kind: str, level: float) -> str:
     feats = B.MODEL_FEATURES
     parts = []
