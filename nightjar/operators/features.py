@@ -106,7 +106,7 @@ def spread_columns(df: DataFrame) -> list[Column]:
 def missingness_columns(columns: list[str]) -> list[Column]:
     """Per-row observed / missing counts and rates (horizontal, no shuffle)."""
     total = float(max(len(columns), 1))
-    missing = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    missing = F.expr(" + ".join(f"CAST(`{c}` IS NULL AS INT)" for c in columns) or "0")
     observed = F.lit(len(columns)) - missing
     return [observed.cast("long").alias("observed_numeric_count"), missing.cast("long").alias("missing_numeric_count"),
             (missing / F.lit(total)).alias("missing_numeric_rate"), (observed / F.lit(total)).alias("observed_numeric_rate")]
@@ -131,19 +131,20 @@ def rolling_columns(targets: list[str], order_col: str, windows=ROLLING_WINDOWS,
     """W1-W4 for each target: past-k mean / population std (current row
     excluded, >= 1 value), delta to the previous row, trend = value - mean."""
     part = part_cols if part_cols is not None else [SUBJECT]
-    base = Window.partitionBy(*part).orderBy(order_col)
+    # Written as SQL window expressions sharing one spec text, so Catalyst
+    # plans a single Window operator (one shuffle, one sort) and the driver
+    # makes one JVM call per column.
+    spec = f"PARTITION BY {', '.join(f'`{p}`' for p in part)} ORDER BY `{order_col}`"
     out = []
     for t in targets:
-        v = F.col(t)
-        prev = F.lag(v, 1).over(base)
+        v = f"`{t}`"
         for k in windows:
-            frame = base.rowsBetween(-k, -1)
-            mean = F.avg(v).over(frame)
-            out.append(mean.alias(f"{t}_past{k}_mean"))
-            out.append(F.stddev_pop(v).over(frame).alias(f"{t}_past{k}_std"))
+            frame = f"OVER ({spec} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+            out.append(F.expr(f"avg({v}) {frame}").alias(f"{t}_past{k}_mean"))
+            out.append(F.expr(f"stddev_pop({v}) {frame}").alias(f"{t}_past{k}_std"))
             if k == windows[0]:
-                out.append((v - prev).alias(f"{t}_delta"))
-            out.append((v - mean).alias(f"{t}_past{k}_trend"))
+                out.append(F.expr(f"{v} - lag({v}, 1) OVER ({spec})").alias(f"{t}_delta"))
+            out.append(F.expr(f"{v} - avg({v}) {frame}").alias(f"{t}_past{k}_trend"))
     return out
 
 

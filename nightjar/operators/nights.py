@@ -129,7 +129,7 @@ def _bucket(ts: Column, bucket_seconds: int) -> Column:
 
 
 def night_metric_range_join(nights: DataFrame, samples: DataFrame, metrics: list[str] = METRICS,
-                            bucket_seconds: int = 3600, strict: bool = False) -> DataFrame:
+                            bucket_seconds: int = 21600, strict: bool = False) -> DataFrame:
     """J1 (and J2 with ``strict``): attach per-night metric statistics.
 
     Samples ``(subject_id, metric, ts, value)`` — plus ``end_ts`` for the strict
@@ -165,7 +165,7 @@ def night_metric_range_join(nights: DataFrame, samples: DataFrame, metrics: list
     return out
 
 
-def night_features(segments: DataFrame, samples: DataFrame, bucket_seconds: int = 3600,
+def night_features(segments: DataFrame, samples: DataFrame, bucket_seconds: int = 21600,
                    strict: bool = False, zero_fill: bool = False) -> DataFrame:
     """First slice: A2 + P24 + J1 + A3 with the fixed night schema order."""
     nights = night_sleep_summary(segments, zero_fill=zero_fill)

@@ -33,6 +33,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("NIGHTJAR_DRIVER_MEMORY", "8g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Plans here are built from hundreds of Column calls; capturing the
+        # Python call site for every one of them (error context only) costs
+        # seconds of driver time per query.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     })
     conf.update(extra or {})
     for k, v in conf.items():
