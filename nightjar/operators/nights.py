@@ -143,6 +143,11 @@ def night_metric_range_join(nights: DataFrame, samples: DataFrame, metrics: list
     A sample has exactly one bucket, so it meets each night at most once. The
     bucket key also splits a hot subject over many tasks; AQE's skew join
     splits a hot bucket further.
+
+    The join is INNER on purpose: AQE may then broadcast the (small) span
+    side or split a hot (subject, bucket) of samples; nights without samples
+    come back through the left join to the night table. (A single LEFT join
+    from the spans would save that second join but forbids both.)
     """
     keys = nights.select(SUBJECT, "night_date", "sleep_start", "sleep_end")
     lo, hi = _bucket(F.col("sleep_start"), bucket_seconds), _bucket(F.col("sleep_end"), bucket_seconds)
