@@ -19,6 +19,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join treating null keys as equal (nulls sort first, so a
+    null key is a real position range, not a dropped row)."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                     *[c for c in right.columns if c not in keys])
+    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
 def row_count(df: DataFrame) -> Column:
@@ -27,12 +37,19 @@ def row_count(df: DataFrame) -> Column:
 
 
 def position_blocks(df: DataFrame, order_cols: list[str], cuts: dict[str, list[Column]],
-                    part_cols: list[str] | None = None) -> DataFrame:
+                    part_cols: list[str] | None = None, sub_buckets: int = 1024,
+                    max_rank_rows: int = 2_000_000) -> DataFrame:
     """For each ``name -> cut list`` add column ``name`` = number of cuts at or
     below the row's 0-based position (so with ``[k]`` positions 0..k-1 get 0).
 
     ``part_cols`` restarts positions per partition key. All cut sets are
     resolved in one pass; only coarse keys that straddle some cut are ranked.
+    When a straddling key is larger than ``max_rank_rows`` (say one date
+    holding a third of the table) and the second order column is numeric, the
+    straddling keys are cut again on ``sub_buckets`` range buckets of that
+    column, so only the straddling sub-buckets are ranked. Whether any key is
+    that large is read from the per-key count table (at most one row per
+    cut reaches the driver).
     """
     part_cols = part_cols or []
     key, rest = order_cols[0], order_cols[1:]
@@ -46,16 +63,38 @@ def position_blocks(df: DataFrame, order_cols: list[str], cuts: dict[str, list[C
     for c in all_cuts:
         straddle = straddle | ((F.col("_first") < c) & (F.col("_first") + F.col("_n") > c))
     counts = counts.withColumn("_straddle", straddle)
-    tagged = df.join(counts, [*part_cols, key], "inner")
+    tagged = _null_safe_join(df, counts, [*part_cols, key])
 
     def blocks(pos: Column) -> dict[str, Column]:
         return {name: sum(((pos >= (c if isinstance(c, Column) else F.lit(c))).cast("int") for c in cs), F.lit(0))
                 for name, cs in cuts.items()}
 
     easy = tagged.filter(~F.col("_straddle")).withColumns(blocks(F.col("_first")))
+    hard = tagged.filter(F.col("_straddle"))
+    second = dict((f.name, f.dataType) for f in df.schema.fields).get(rest[0]) if rest else None
+    needs_level2 = bool(sub_buckets) and isinstance(second, NumericType) and \
+        counts.filter(F.col("_straddle") & (F.col("_n") > max_rank_rows)).limit(1).count() > 0
+    if needs_level2:
+        # Level 2 inside straddling keys: order-preserving range buckets of the
+        # next column, positions relative to the key's first position.
+        scope = [*part_cols, key]
+        rng = hard.groupBy(*scope).agg(F.min(rest[0]).cast("double").alias("_lo"),
+                                       F.max(rest[0]).cast("double").alias("_hi"))
+        width = (F.col("_hi") - F.col("_lo") + F.lit(1.0)) / F.lit(float(sub_buckets))
+        # least() skips nulls in Spark: null values (sorted first) get bucket -1.
+        sb = F.when(F.col(rest[0]).isNull(), F.lit(-1).cast("long")).otherwise(
+            F.least(F.floor((F.col(rest[0]).cast("double") - F.col("_lo")) / width).cast("long"),
+                    F.lit(sub_buckets - 1)))
+        inner = (_null_safe_join(hard, rng, scope).withColumn("_sb", sb)
+                 .withColumnRenamed("_first", "_first0").drop("_n", "_straddle", "_lo", "_hi"))
+        rel = {name: [(c if isinstance(c, Column) else F.lit(c)) - F.col("_first0") for c in cs]
+               for name, cs in cuts.items()}
+        hard = position_blocks(inner, ["_sb", *rest], rel, [*scope, "_first0"], sub_buckets=0,
+                               max_rank_rows=max_rank_rows)
+        hard = hard.drop("_sb", "_first0")
+        return easy.drop("_n", "_first", "_straddle").unionByName(hard)
     rw = Window.partitionBy(*part_cols, key).orderBy(*rest)
-    hard = (tagged.filter(F.col("_straddle"))
-            .withColumn("_pos", F.col("_first") + F.row_number().over(rw) - 1))
+    hard = hard.withColumn("_pos", F.col("_first") + F.row_number().over(rw) - 1)
     hard = hard.withColumns(blocks(F.col("_pos"))).drop("_pos")
     return easy.unionByName(hard).drop("_n", "_first", "_straddle")
 
@@ -69,5 +108,5 @@ def exact_positions(df: DataFrame, order_cols: list[str], part_cols: list[str] |
     w = Window.partitionBy(*part_cols).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long"))
     rw = Window.partitionBy(*part_cols, key).orderBy(*rest)
-    return (df.join(counts, [*part_cols, key], "inner")
+    return (_null_safe_join(df, counts, [*part_cols, key])
             .withColumn(out, F.col("_first") + F.row_number().over(rw) - 1).drop("_n", "_first"))

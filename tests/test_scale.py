@@ -25,7 +25,8 @@ def test_position_blocks_with_hot_key(spark):
         rows.append((d, rnd.randint(0, 10_000), i))
     df = spark.createDataFrame(rows, "d int, v int, id int")
     cuts = [700, 1500, 2999]
-    got = {r["id"]: r["b"] for r in Pos.position_blocks(df, ["d", "v", "id"], {"b": [F.lit(c) for c in cuts]}).collect()}
+    got = {r["id"]: r["b"] for r in Pos.position_blocks(df, ["d", "v", "id"], {"b": [F.lit(c) for c in cuts]},
+                                                        max_rank_rows=100).collect()}
     order = sorted(rows)
     want = {row[2]: sum(pos >= c for c in cuts) for pos, row in enumerate(order)}
     assert got == want
@@ -135,3 +136,19 @@ def test_plan_has_no_cartesian_or_nested_loop(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_position_blocks_second_level_on_hot_key(spark):
+    # One date holds 60% of the rows and every cut falls inside it; the second
+    # order column has heavy ties and nulls, the third breaks them.
+    rnd = random.Random(13)
+    rows = [(7 if i % 5 < 3 else rnd.randint(0, 20), None if i % 17 == 0 else rnd.randint(0, 50), i)
+            for i in range(4000)]
+    df = spark.createDataFrame(rows, "d int, v int, id int")
+    cuts = [1100, 1101, 2345, 2500]
+    out = Pos.position_blocks(df, ["d", "v", "id"], {"b": [F.lit(c) for c in cuts]}, sub_buckets=8,
+                              max_rank_rows=1000)
+    got = {r["id"]: r["b"] for r in out.collect()}
+    order = sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))  # nulls first, as Spark
+    want = {row[2]: sum(pos >= c for c in cuts) for pos, row in enumerate(order)}
+    assert got == want
