@@ -107,18 +107,23 @@ def sleep_percentages(df: DataFrame, zero_fill: bool = False) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A3
-def metric_stat_columns(metric: str, value: Column, metric_col: Column | None = None) -> list[Column]:
-    """A3: mean, min, max, exact median, population std of one metric.
+def metric_stat_columns(metric: str, value: Column, metric_col: Column | None = None,
+                        median_accuracy: int | None = None) -> list[Column]:
+    """A3: mean, min, max, median, population std of one metric.
 
     With ``metric_col`` the aggregates are conditional on the metric, so all
     metrics come out of one aggregation (one shuffle) over a long sample table.
+    The median is exact by default (its buffer holds the group's distinct
+    values); ``median_accuracy`` switches to ``percentile_approx`` with a
+    bounded sketch for groups too large to hold.
     """
     v = value if metric_col is None else F.when(metric_col == F.lit(metric), value)
+    med = F.median(v) if median_accuracy is None else F.percentile_approx(v, 0.5, median_accuracy)
     return [
         F.avg(v).alias(f"{metric}_mean"),
         F.min(v).alias(f"{metric}_min"),
         F.max(v).alias(f"{metric}_max"),
-        F.median(v).alias(f"{metric}_median"),
+        med.cast("double").alias(f"{metric}_median"),
         F.stddev_pop(v).alias(f"{metric}_std"),
     ]
 
@@ -129,7 +134,8 @@ def _bucket(ts: Column, bucket_seconds: int) -> Column:
 
 
 def night_metric_range_join(nights: DataFrame, samples: DataFrame, metrics: list[str] = METRICS,
-                            bucket_seconds: int = 21600, strict: bool = False) -> DataFrame:
+                            bucket_seconds: int = 21600, strict: bool = False,
+                            median_accuracy: int | None = None) -> DataFrame:
     """J1 (and J2 with ``strict``): attach per-night metric statistics.
 
     Samples ``(subject_id, metric, ts, value)`` — plus ``end_ts`` for the strict
@@ -164,7 +170,8 @@ def night_metric_range_join(nights: DataFrame, samples: DataFrame, metrics: list
     else:
         cond += [s["s_ts"] >= spans["sleep_start"], s["s_ts"] <= spans["sleep_end"]]
     hits = spans.join(s, cond, "inner")
-    stats = [c for m in metrics for c in metric_stat_columns(m, F.col("s_value"), F.col("metric"))]
+    stats = [c for m in metrics
+             for c in metric_stat_columns(m, F.col("s_value"), F.col("metric"), median_accuracy)]
     per_night = hits.groupBy(SUBJECT, "night_date").agg(*stats)
     out = nights.join(per_night, [SUBJECT, "night_date"], "left")
     return out
