@@ -39,18 +39,22 @@ def validate_labels(df: DataFrame, date_col: str = "date", label_col: str = "fat
 
 
 def invalid_label_values(validated: DataFrame, label_col: str = "fatigue_label") -> DataFrame:
-    """Sorted distinct bad label texts (one row; bounded by distinct bad values)."""
+    """Distinct bad label texts as rows (a distributed distinct, never one
+    array in one task: free-text labels can have any number of values)."""
     bad = validated.filter(F.col("problem") == "bad_label")
-    return bad.agg(F.array_sort(F.collect_set(F.trim(F.col(label_col).cast("string")))).alias("bad_values"))
+    return bad.select(F.trim(F.col(label_col).cast("string")).alias("bad_value")).distinct()
 
 
 def require_valid(validated: DataFrame, label_col: str = "fatigue_label") -> DataFrame:
     """Strict P18: raise when any row has a bad date or label."""
     if not validated.filter(F.col("problem") == "bad_date").isEmpty():
         raise LabelError("labels file has invalid date values; expected YYYY-MM-DD")
-    bad = invalid_label_values(validated, label_col).first()["bad_values"]
-    if bad:
-        raise LabelError(f"fatigue_label must be binary 0/1; found invalid values: {sorted(bad)}")
+    bad_df = invalid_label_values(validated, label_col)
+    shown = [r["bad_value"] for r in bad_df.orderBy("bad_value").limit(20).collect()]
+    if shown:
+        more = bad_df.count() - len(shown)
+        tail = f" (+{more} more)" if more > 0 else ""
+        raise LabelError(f"fatigue_label must be binary 0/1; found invalid values: {shown}{tail}")
     return validated
 
 

@@ -249,18 +249,27 @@ def match_subject_files(files: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- W8 / W9
 def systematic_downsample(df: DataFrame, scope: list[str], order_col: str, tie: str,
-                          max_rows: int = 1_000_000, bucket_sec: float = 86400.0) -> DataFrame:
+                          max_rows: int = 1_000_000, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """A scope with more than ``max_rows`` rows keeps every
-    ceil(n / max_rows)-th row in time order. Positions come from per-(scope,
-    time bucket) counts plus ranks inside a bucket, never a whole scope."""
-    counts = df.groupBy(*scope).agg(F.count(F.lit(1)).alias("_scope_n"))
-    d = df.join(counts, scope, "inner")
-    small = d.filter(F.col("_scope_n") <= max_rows).drop("_scope_n")
+    ceil(n / max_rows)-th row in time order.
+
+    Positions come from per-(scope, time bucket) counts plus ranks inside a
+    bucket, never a whole scope: each big scope's time span is cut into
+    about n / ``rows_per_bucket`` equal-width buckets from its own count and
+    span (one aggregate), so a subject with a third of all rows is ranked
+    in many tasks."""
+    stats = df.groupBy(*scope).agg(F.count(F.lit(1)).alias("_scope_n"),
+                                   F.min(order_col).cast("double").alias("_t0"),
+                                   F.max(order_col).cast("double").alias("_t1"))
+    d = df.join(stats, scope, "inner")
+    small = d.filter(F.col("_scope_n") <= max_rows).drop("_scope_n", "_t0", "_t1")
+    n_buckets = F.greatest(F.lit(1.0), F.ceil(F.col("_scope_n") / F.lit(float(rows_per_bucket))).cast("double"))
+    width = F.greatest((F.col("_t1") - F.col("_t0")) / n_buckets, F.lit(1e-9))
     big = d.filter(F.col("_scope_n") > max_rows).withColumn(
-        "_bucket", F.floor(F.col(order_col) / F.lit(float(bucket_sec))).cast("long"))
+        "_bucket", F.floor((F.col(order_col).cast("double") - F.col("_t0")) / width).cast("long"))
     big = exact_positions(big, ["_bucket", order_col, tie], part_cols=scope, out="_pos")
     stride = F.ceil(F.col("_scope_n") / F.lit(float(max_rows))).cast("long")
-    big = big.filter(F.pmod(F.col("_pos"), stride) == 0).drop("_scope_n", "_bucket", "_pos")
+    big = big.filter(F.pmod(F.col("_pos"), stride) == 0).drop("_scope_n", "_t0", "_t1", "_bucket", "_pos")
     return small.unionByName(big)
 
 

@@ -34,7 +34,7 @@ def q_validate(spark, sf):
 
 
 @register("invalid_label_values", op_ids="P18",
-          sql=f"SELECT list_sort(list(DISTINCT trim(fatigue_label))) AS bad_values "
+          sql=f"SELECT DISTINCT trim(fatigue_label) AS bad_value "
               f"FROM ({B.VALID_LABELS_SQL}) v WHERE problem = 'bad_label'")
 def q_invalid_values(spark, sf):
     return L.invalid_label_values(_validated(spark, sf))

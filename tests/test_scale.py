@@ -79,7 +79,7 @@ def test_systematic_downsample_brute_force(spark):
     rows = [("s1", "d", float(t), t) for t in range(0, 2500)] + [("s2", "d", float(t), 10_000 + t) for t in range(40)]
     df = spark.createDataFrame(rows, "subject_id string, dataset_name string, time_s double, ingest_seq long")
     out = Z.systematic_downsample(df, ["subject_id", "dataset_name"], "time_s", "ingest_seq",
-                                  max_rows=1000, bucket_sec=300.0)
+                                  max_rows=1000, rows_per_bucket=300)
     got = sorted(r["ingest_seq"] for r in out.collect())
     want = sorted([t for t in range(0, 2500) if t % 3 == 0] + [10_000 + t for t in range(40)])
     assert got == want
