@@ -150,7 +150,9 @@ def device_metric_stats(spark, sf):
         F.count_if(F.col("_chosen")).alias("sample_count"),
         F.try_divide(F.count_if(F.col("_usable") & F.col("is_watch")).cast("double"),
                      F.count_if(F.col("_usable")).cast("double")).alias("watch_share"),
-        F.array_sort(F.collect_set(F.when(F.col("_chosen"), F.col("source_name")))).alias("sources"))
+        # Sorted distinct source names joined as the device shows them.
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_chosen"), F.col("source_name")))), ", ")
+        .alias("sources"))
     # A metric without finite selected values is absent (as on the device).
     return stats.filter(F.col("_finite") > 0).drop("_finite")
 
@@ -203,7 +205,7 @@ q AS (SELECT subject_id, night_date, metric, avg(CAST(is_watch AS DOUBLE)) AS wa
 c AS (SELECT * FROM u WHERE is_watch OR (subject_id, night_date, metric) IN
         (SELECT subject_id, night_date, metric FROM u GROUP BY ALL HAVING NOT bool_or(is_watch))),
 cq AS (SELECT subject_id, night_date, metric, count(*) AS sample_count,
-         list_sort(list(DISTINCT source_name)) AS sources FROM c GROUP BY ALL),
+         array_to_string(list_sort(list(DISTINCT source_name)), ', ') AS sources FROM c GROUP BY ALL),
 f AS (SELECT * FROM c WHERE value IS NOT NULL AND isfinite(value)),
 st AS (SELECT subject_id, night_date, metric, avg(value) AS m_mean, min(value) AS m_min, max(value) AS m_max,
          median(value) AS m_median, stddev_pop(value) AS m_std FROM f GROUP BY ALL)
