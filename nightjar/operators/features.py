@@ -80,27 +80,46 @@ def align_to_schema(df: DataFrame, order: list[str], keep: list[str] | None = No
 
 
 # ---------------------------------------------------------------- P23 / A19 / F1
-def _num(df: DataFrame, name: str) -> Column:
-    return to_numeric_or_null(name) if name in df.columns else F.lit(None).cast("double")
+def _num_sql(df: DataFrame, name: str) -> str:
+    if name not in df.columns:
+        return "CAST(NULL AS DOUBLE)"
+    x = f"TRY_CAST(`{name}` AS DOUBLE)"
+    return f"(CASE WHEN isnan({x}) OR abs({x}) = double('Infinity') THEN NULL ELSE {x} END)"
+
+
+# P23 as (name, SQL template) pairs; {a}/{b} are the cleaned inputs.
+_SPREAD = [
+    ("sleep_gap_minutes", "{in_bed_minutes} - {asleep_minutes}"),
+    ("sleep_to_bed_ratio", "div:{total_sleep_minutes}:{in_bed_minutes}"),
+    ("sleep_efficiency_proxy", "div:{asleep_minutes}:{in_bed_minutes}"),
+    ("rem_to_deep_ratio", "div:{rem_minutes}:{deep_minutes}"),
+    ("deep_to_core_ratio", "div:{deep_minutes}:{core_minutes}"),
+    ("rem_share", "div:{rem_minutes}:{total_sleep_minutes}"),
+    ("deep_share", "div:{deep_minutes}:{total_sleep_minutes}"),
+    ("core_share", "div:{core_minutes}:{total_sleep_minutes}"),
+    ("sleep_stage_balance", "{rem_minutes} + {deep_minutes} - {core_minutes}"),
+    ("hrv_to_hr_ratio", "div:{hrv_mean}:{hr_mean}"),
+    ("resp_to_hr_ratio", "div:{resp_mean}:{hr_mean}"),
+    ("spo2_deficit", "1.0 - {spo2_mean}"),
+]
+_SPREAD_INPUTS = ["in_bed_minutes", "asleep_minutes", "total_sleep_minutes", "rem_minutes", "deep_minutes",
+                  "core_minutes", "hrv_mean", "hr_mean", "resp_mean", "spo2_mean"]
 
 
 def spread_columns(df: DataFrame) -> list[Column]:
-    """Twelve gap / ratio / share / balance columns (missing inputs -> null)."""
-    c = lambda n: _num(df, n)
-    return [
-        (c("in_bed_minutes") - c("asleep_minutes")).alias("sleep_gap_minutes"),
-        safe_divide(c("total_sleep_minutes"), c("in_bed_minutes")).alias("sleep_to_bed_ratio"),
-        safe_divide(c("asleep_minutes"), c("in_bed_minutes")).alias("sleep_efficiency_proxy"),
-        safe_divide(c("rem_minutes"), c("deep_minutes")).alias("rem_to_deep_ratio"),
-        safe_divide(c("deep_minutes"), c("core_minutes")).alias("deep_to_core_ratio"),
-        safe_divide(c("rem_minutes"), c("total_sleep_minutes")).alias("rem_share"),
-        safe_divide(c("deep_minutes"), c("total_sleep_minutes")).alias("deep_share"),
-        safe_divide(c("core_minutes"), c("total_sleep_minutes")).alias("core_share"),
-        (c("rem_minutes") + c("deep_minutes") - c("core_minutes")).alias("sleep_stage_balance"),
-        safe_divide(c("hrv_mean"), c("hr_mean")).alias("hrv_to_hr_ratio"),
-        safe_divide(c("resp_mean"), c("hr_mean")).alias("resp_to_hr_ratio"),
-        (F.lit(1.0) - c("spo2_mean")).alias("spo2_deficit"),
-    ]
+    """Twelve gap / ratio / share / balance columns (missing inputs ->
+    null; a zero denominator or an infinite ratio -> null)."""
+    v = {n: _num_sql(df, n) for n in _SPREAD_INPUTS}
+    out = []
+    for name, tpl in _SPREAD:
+        if tpl.startswith("div:"):
+            _, num, den = tpl.split(":")
+            r = f"try_divide({num.format(**v)}, {den.format(**v)})"
+            e = f"CASE WHEN isnan({r}) OR abs({r}) = double('Infinity') THEN NULL ELSE {r} END"
+        else:
+            e = tpl.format(**v)
+        out.append(F.expr(f"CAST({e} AS DOUBLE)").alias(name))
+    return out
 
 
 def missingness_columns(columns: list[str]) -> list[Column]:

@@ -42,15 +42,17 @@ def register(name: str, sql: str | None = None, op_ids: str = "", bench: bool =
 
 
 def presentable(df: DataFrame) -> DataFrame:
-    cols = []
+    """One ``selectExpr`` (a single call into the JVM however wide the table)."""
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        q = f"`{f.name}`"
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = F.round(c.cast("double"), ROUND_DIGITS)
+            exprs.append(f"round(CAST({q} AS DOUBLE), {ROUND_DIGITS}) AS {q}")
         elif isinstance(f.dataType, TimestampType):
-            c = c.cast("timestamp_ntz")
-        cols.append(c.alias(f.name))
-    return df.select(cols)
+            exprs.append(f"CAST({q} AS TIMESTAMP_NTZ) AS {q}")
+        else:
+            exprs.append(q)
+    return df.selectExpr(*exprs)
 
 
 def oracle_wrap(inner_sql: str, doubles: list[str]) -> str:
