@@ -92,6 +92,25 @@ def flatten_nested_samples(df: DataFrame, array_col: str, width: int, keep: list
                               for i in range(width)])
 
 
+def flatten_struct(df: DataFrame, sep: str = "_") -> DataFrame:
+    """Nested structs -> prefixed flat columns (``a.b.c`` -> ``a_b_c``),
+    decided from ``df.schema`` only (no data pass)."""
+    from pyspark.sql.types import StructType
+
+    def walk(dtype, path):
+        if isinstance(dtype, StructType):
+            for f in dtype.fields:
+                yield from walk(f.dataType, path + [f.name])
+        else:
+            yield path
+
+    cols = []
+    for f in df.schema.fields:
+        for path in walk(f.dataType, [f.name]):
+            cols.append(F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)))
+    return df.select(*cols)
+
+
 def parallel_arrays_to_rows(df: DataFrame, arrays: list[str], keep: list[str], time_col: str | None = None) -> DataFrame:
     """Parallel 1-D arrays -> one row per position (``arrays_zip`` +
     ``posexplode``); time = the named array, else the position."""
@@ -109,6 +128,16 @@ class WindowEncoder:
     pca_model: object
     k: int
 
+    def signs(self) -> list[float]:
+        """Eigenvector signs are arbitrary: fix each component so that its
+        largest-magnitude loading is positive (k numbers on the driver)."""
+        pc = self.pca_model.pc.toArray()  # columns x k
+        out = []
+        for j in range(pc.shape[1]):
+            col = pc[:, j]
+            out.append(-1.0 if col[abs(col).argmax()] < 0 else 1.0)
+        return out
+
     def explained_variance(self, spark) -> DataFrame:
         """Per component and cumulative explained variance ratio."""
         ev = [float(v) for v in self.pca_model.explainedVariance.toArray()]
@@ -152,4 +181,5 @@ def apply_encoder(df: DataFrame, enc: WindowEncoder, keep: list[str], prefix: st
     scaled = aligned.select(*keep, *enc.pre.columns())
     vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(scaled)
     z = enc.pca_model.transform(vec).select(*keep, vector_to_array("_z").alias("_z"))
-    return z.select(*keep, *[F.col("_z")[i].alias(f"{prefix}{i:02d}") for i in range(enc.k)])
+    sg = enc.signs()
+    return z.select(*keep, *[(F.col("_z")[i] * F.lit(sg[i])).alias(f"{prefix}{i:02d}") for i in range(enc.k)])

@@ -70,3 +70,12 @@ def test_multinomial_bootstrap_agrees_with_hash_bootstrap(spark):
     assert b["replicates"] == 300
     assert abs(a["mean"] - b["mean"]) < 0.01
     assert abs(a["std"] - b["std"]) < 0.5 * max(a["std"], b["std"])
+
+
+def test_pca_sign_convention(spark):
+    emb = P.flatten_nested_samples(B.table(spark, SF_SMALL, "embeddings"), "embedding", 64, ["vec_id"], "emb")
+    enc = P.fit_window_encoder(emb, [f"emb_{i:02d}" for i in range(64)], latent=4)
+    pc = enc.pca_model.pc.toArray()
+    for j, s in enumerate(enc.signs()):
+        col = pc[:, j] * s
+        assert col[abs(col).argmax()] > 0
