@@ -15,6 +15,7 @@ from ..operators import prep as P
 from ..operators import scoring as R
 from ..operators import splits as S
 from ..sources.contract_data import NIGHT_CONTRACT
+from ..session import cut_lineage
 from . import bindings as B
 from .q_nights import _night_features_sql, _samples, _segments
 from .registry import oracle_wrap, presentable, register
@@ -113,9 +114,10 @@ def _folds(spark, sf):
 def cross_validate(spark, sf, fit, spaces: dict[str, list[str]]):
     """M8 (and M7 over several spaces): for each fold f, fit on rows with
     test_fold < f and score test_fold == f; per-fold metrics. The fold table
-    is cut once and cached; the loop runs on the driver over Spark fits and
-    only metric rows come back."""
-    folds = _folds(spark, sf).persist()
+    is cut once and written to the shared checkpoint folder (the k fits
+    reread it; a lost executor re-reads instead of recomputing the cut); the
+    loop runs on the driver over Spark fits and only metric rows come back."""
+    folds = cut_lineage(_folds(spark, sf))
     k = folds.select(F.max("n_folds")).first()[0] or 0
     out = None
     for space, cols in spaces.items():
@@ -146,7 +148,7 @@ def q_ablation(spark, sf):
 
 @register("out_of_fold_probabilities", op_ids="R4")
 def q_oof(spark, sf):
-    folds = _folds(spark, sf).persist()
+    folds = cut_lineage(_folds(spark, sf))
     k = folds.select(F.max("n_folds")).first()[0] or 0
     out = None
     for f in range(k):
@@ -166,8 +168,9 @@ def q_distill(spark, sf):
     train, test = _train_test(spark, sf)
     teacher = ML.fit_forest(train, FEATS, "target", trees=64, depth=6)
     tp = ML.teacher_targets(teacher.transform(train, [*KEYS, *FEATS, "target"]), "target")
-    # The teacher's scores feed several passes of the student's fit: keep them.
-    tp = ML.distill_labels(tp, "target").persist()
+    # The teacher's scores feed several passes of the student's fit: written
+    # once to the shared checkpoint folder.
+    tp = cut_lineage(ML.distill_labels(tp, "target"))
     student = ML.fit_logistic(tp, FEATS, "student_label", C=2.0, name="logreg_distilled_c2_0")
     return _test_predictions(student, test)
 
