@@ -165,7 +165,7 @@ FROM ({B.SEGMENTS_SQL}) s"""
 _DEV_NIGHTS_SQL = f"""
 WITH s0 AS ({_DEV_SEG_SQL}),
 s1 AS (SELECT s0.* FROM s0 JOIN (SELECT subject_id, max(start_ts) AS as_of FROM s0 GROUP BY 1) a USING (subject_id)
-       WHERE start_ts >= as_of - INTERVAL 3 DAY),
+       WHERE start_ts >= as_of - INTERVAL 72 HOUR),
 s2 AS (SELECT * FROM s1 WHERE NOT is_user_entered
          OR subject_id IN (SELECT subject_id FROM s1 GROUP BY 1 HAVING NOT bool_or(NOT is_user_entered))),
 s3 AS (SELECT * FROM s2 WHERE (subject_id, night_date) IN (SELECT subject_id, max(night_date) FROM s2 GROUP BY 1)),
