@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashrand import hash32, hash_uniform, mix_uniform, poisson1_from_uniform
+from ..functions.hashrand import hash32, mix_uniform, poisson1_from_uniform
 from .metrics import classification_metrics, confusion_matrix
 
 

@@ -5,10 +5,10 @@ with ``positions.position_blocks``: no unpartitioned window over data rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import position_blocks, row_count
+from .positions import position_blocks
 
 
 def chronological_split(df: DataFrame, order_cols: list[str], train_fraction: float = 0.7,

@@ -2,8 +2,6 @@
 P9, P14-P16, P23, A19, A20, W1-W4, J9)."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns

@@ -2,8 +2,6 @@
 ordered splits (W6, W7)."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import labels as L
 from ..operators import nights as N
 from ..operators import splits as S

@@ -8,7 +8,7 @@ the same rows from the tables directly.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
 
 from ..operators import nights as N
 from ..sources import readers as S

@@ -15,7 +15,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, StructField, StructType)
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.clean import to_numeric_or_null
 
