@@ -152,3 +152,53 @@ def test_position_blocks_second_level_on_hot_key(spark):
     order = sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))  # nulls first, as Spark
     want = {row[2]: sum(pos >= c for c in cuts) for pos, row in enumerate(order)}
     assert got == want
+
+
+def test_asof_labels_random_brute_force(spark):
+    import math
+    rnd = random.Random(21)
+    rows, seq = [], 0
+    for subj in ["a", "b", "c"]:
+        n = 400 if subj == "a" else 30                      # "a" is hot and spans many day buckets
+        for _ in range(n):
+            t = float(rnd.randint(0, 40 * 86400)) + rnd.choice([0.0, 0.25, 0.5])
+            rows.append((subj, "d", t, rnd.choice("xyzw"), seq))
+            seq += 1
+        rows.append((subj, "d", rows[-1][2], "dup", seq))   # duplicate time: the later ingest wins
+        seq += 1
+    w = 3600.0
+    labels = spark.createDataFrame(rows, "subject_id string, dataset_name string, time_s double, label string, ingest_seq long")
+    got = {(r["subject_id"], r["window_index"]): r["label"] for r in Z.asof_window_labels(labels, w).collect()}
+    want = {}
+    for subj in ["a", "b", "c"]:
+        mine = sorted((t, s, lab) for sj, _d, t, lab, s in rows if sj == subj)
+        lo, hi = math.floor(mine[0][0] / w), math.ceil(mine[-1][0] / w)
+        for k in range(lo, hi + 1):
+            mid = k * w + w / 2
+            before = [x for x in mine if x[0] <= mid]
+            if before:
+                want[(subj, k)] = before[-1][2]
+    assert got == want
+
+
+def test_assemble_notes_for_missing_streams(spark):
+    motion = spark.createDataFrame([("a", "d", 0, 1.0), ("b", "d", 0, 2.0)],
+                                   "subject_id string, dataset_name string, window_index long, acc_x_mean double")
+    labels = spark.createDataFrame([("a", "d", 0, "wake"), ("c", "d", 0, "rem")],
+                                   "subject_id string, dataset_name string, window_index long, label string")
+    windows, notes = Z.assemble_sensor_windows(motion, None, None, labels, 30.0)
+    assert [(r["subject_id"], r["label"], r["window_end_s"]) for r in windows.collect()] == [("a", "wake", 30.0)]
+    assert sorted((r["subject_id"], r["note"]) for r in notes.collect()) == [("b", "missing labels"),
+                                                                            ("c", "missing motion")]
+
+
+def test_prefer_two_levels_equals_sequential(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randint(0, 9), i, rnd.random() < 0.3, rnd.random() < 0.5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "scope int, id int, ue boolean, watch boolean")
+    seq = N.prefer_with_fallback(N.prefer_with_fallback(df, ["scope"], ~F.col("ue")), ["scope"], F.col("watch"))
+    one = N.prefer_two_levels(df, ["scope"], ~F.col("ue"), F.col("watch")).filter("_chosen")
+    assert sorted(r["id"] for r in seq.collect()) == sorted(r["id"] for r in one.collect())
+    # scopes where no row is preferred fall back to all rows
+    allue = spark.createDataFrame([(1, 1, True, False), (1, 2, True, False)], "scope int, id int, ue boolean, watch boolean")
+    assert N.prefer_two_levels(allue, ["scope"], ~F.col("ue"), F.col("watch")).filter("_chosen").count() == 2
