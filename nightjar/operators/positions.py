@@ -38,7 +38,7 @@ def row_count(df: DataFrame) -> Column:
 
 def position_blocks(df: DataFrame, order_cols: list[str], cuts: dict[str, list[Column]],
                     part_cols: list[str] | None = None, sub_buckets: int = 1024,
-                    max_rank_rows: int = 2_000_000) -> DataFrame:
+                    max_rank_rows: int = 2_000_000, total_rows: int | None = None) -> DataFrame:
     """For each ``name -> cut list`` add column ``name`` = number of cuts at or
     below the row's 0-based position (so with ``[k]`` positions 0..k-1 get 0).
 
@@ -72,7 +72,9 @@ def position_blocks(df: DataFrame, order_cols: list[str], cuts: dict[str, list[C
     easy = tagged.filter(~F.col("_straddle")).withColumns(blocks(F.col("_first")))
     hard = tagged.filter(F.col("_straddle"))
     second = dict((f.name, f.dataType) for f in df.schema.fields).get(rest[0]) if rest else None
+    # A caller that knows the table has at most max_rank_rows rows skips the check.
     needs_level2 = bool(sub_buckets) and isinstance(second, NumericType) and \
+        (total_rows is None or total_rows > max_rank_rows) and \
         counts.filter(F.col("_straddle") & (F.col("_n") > max_rank_rows)).limit(1).count() > 0
     if needs_level2:
         # Level 2 inside straddling keys: order-preserving range buckets of the

@@ -21,7 +21,7 @@ def chronological_split(df: DataFrame, order_cols: list[str], train_fraction: fl
     """
     n = df.count() if n is None else n
     k = int(n * train_fraction)
-    blocks = position_blocks(df, order_cols, {"_blk": [F.lit(k)]})
+    blocks = position_blocks(df, order_cols, {"_blk": [F.lit(k)]}, total_rows=n)
     return blocks.withColumn(out, F.when(F.col("_blk") == 0, F.lit("train")).otherwise(F.lit("test"))).drop("_blk")
 
 
@@ -47,7 +47,8 @@ def walk_forward_folds(df: DataFrame, order_cols: list[str], label_col: str,
     choice of k is made from that row on the driver.
     """
     n = df.count()
-    res = position_blocks(df, order_cols, {f"_b{k}": [F.lit(c) for c in fold_cuts(n, k)] for k in candidates})
+    res = position_blocks(df, order_cols, {f"_b{k}": [F.lit(c) for c in fold_cuts(n, k)] for k in candidates},
+                          total_rows=n)
     agg_exprs = []
     for k in candidates:
         blk = F.col(f"_b{k}") - 1
