@@ -80,6 +80,17 @@ def write_streams(streams: DataFrame, path: str) -> None:
     streams.write.mode("overwrite").partitionBy("metric").parquet(path)
 
 
+def land_export(spark: SparkSession, xml_path: str, out_path: str, subject_id: str | None = None) -> DataFrame:
+    """S1 + S2 + S10: parse the export once and land every record to Parquet
+    partitioned by stream (types outside the five streams under 'other').
+    Type counts (A1) and previews (K7) then read the landed table; a stream
+    read prunes to its partition."""
+    rec = read_health_records(spark, xml_path, subject_id)
+    landed = rec.withColumn("metric", F.coalesce(stream_of_type(), F.lit("other")))
+    write_streams(landed, out_path)
+    return spark.read.parquet(out_path)
+
+
 def record_type_counts(records: DataFrame) -> DataFrame:
     """A1: records per type, most frequent first."""
     return records.groupBy("record_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "record_type")

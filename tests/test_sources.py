@@ -64,3 +64,27 @@ def test_table_or_empty_and_json(spark):
         fh.write('[{"k": "a", "v": 1.5}, {"k": "b", "v": null}]')
     rows = S.read_feature_json(spark, os.path.join(d, "one.json"), schema, multiline=True).collect()
     assert [(r["k"], r["v"]) for r in rows] == [("a", 1.5), ("b", None)]
+
+
+def test_land_export_roundtrip(spark):
+    d = tempfile.mkdtemp(prefix="nightjar-xml-")
+    xml = os.path.join(d, "export.xml")
+    with open(xml, "w") as fh:
+        fh.write('<?xml version="1.0"?>\n<HealthData>\n'
+                 '<Record type="HKQuantityTypeIdentifierHeartRate" uuid="u1" sourceName="Apple Watch" unit="count/min" '
+                 'startDate="2024-06-18 23:10:00 -0400" endDate="2024-06-18 23:10:00 -0400" value="61"/>\n'
+                 '<Record type="HKCategoryTypeIdentifierSleepAnalysis" uuid="u2" sourceName="Phone" '
+                 'startDate="2024-06-18 23:00:00 -0400" endDate="2024-06-19 06:00:00 -0400" '
+                 'value="HKCategoryValueSleepAnalysisAsleepCore">\n'
+                 '  <MetadataEntry key="HKWasUserEntered" value="1"/>\n</Record>\n'
+                 '<Record type="HKQuantityTypeIdentifierStepCount" uuid="u3" sourceName="Phone" unit="count" '
+                 'startDate="2024-06-18 10:00:00 -0400" endDate="2024-06-18 10:05:00 -0400" value="120"/>\n'
+                 '</HealthData>\n')
+    table = S.land_export(spark, xml, os.path.join(d, "landed"), subject_id="me")
+    got = {r["uuid"]: r["metric"] for r in table.collect()}
+    assert got == {"u1": "hr", "u2": "sleep", "u3": "other"}
+    sleep = table.filter("metric = 'sleep'").first()
+    assert sleep["metadata"][0]["key"] == "HKWasUserEntered" and sleep["metadata"][0]["value"] == "1"
+    counts = {r["record_type"]: r["n"] for r in S.record_type_counts(table).collect()}
+    assert sum(counts.values()) == 3
+    assert S.preview(table.filter("metric <> 'other'"), n=1).count() == 2
