@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import nights as N
@@ -111,38 +112,47 @@ def _folds(spark, sf):
     return S.walk_forward_folds(B.model_rows(B.table(spark, sf, "lineitem")), B.MODEL_ORDER, "target")
 
 
-def cross_validate(spark, sf, fit, spaces: dict[str, list[str]]):
-    """M8 (and M7 over several spaces): for each fold f, fit on rows with
-    test_fold < f and score test_fold == f; per-fold metrics. The fold table
-    is cut once and written to the shared checkpoint folder (the k fits
-    reread it; a lost executor re-reads instead of recomputing the cut); the
-    loop runs on the driver over Spark fits and only metric rows come back."""
-    folds = cut_lineage(_folds(spark, sf))
+def cross_validate_folds(folds, label: str, fits: dict, spaces: dict[str, list[str]]):
+    """M8 over an already cut fold table: for every space, model and fold,
+    drop the train part's all-missing columns (P15), fit on ``test_fold < f``,
+    score ``test_fold == f``; one metric row per (space, model, fold). The
+    models of one fold share its fitted preprocessing. The loop runs on the
+    driver over Spark fits and only metric rows come back."""
     k = folds.select(F.max("n_folds")).first()[0] or 0
     out = None
     for space, cols in spaces.items():
         for f in range(k):
             train = folds.filter(F.col("test_fold") < f)
             test = folds.filter(F.col("test_fold") == f)
-            usable = P.fit_preprocess(train, cols).cols
-            fitted = fit(train, usable)
-            pred = fitted.transform(test, ["target"])
-            m = M.evaluate(pred, "target", "predicted_label").drop("n_rows").select(
-                F.lit(space).alias("space"), F.lit(fitted.name).alias("model_name"), F.lit(f).alias("fold"), "*")
-            out = m if out is None else out.unionByName(m)
+            usable = X.non_null_columns(train, cols)
+            pre = P.fit_preprocess(train, usable)     # shared by the models of this fold
+            for model_name, fit in fits.items():
+                fitted = fit(train, usable, label, pre)
+                pred = fitted.transform(test, [label])
+                m = M.evaluate(pred, label, "predicted_label").drop("n_rows").select(
+                    F.lit(space).alias("space"), F.lit(model_name).alias("model_name"), F.lit(f).alias("fold"), "*")
+                out = m if out is None else out.unionByName(m)
     return out
 
 
+_LOGREG = {"logreg_c1.0": lambda tr, cols, y, pre: ML.fit_logistic(tr, cols, y, C=1.0, pre=pre)}
+
+
+def cross_validate(spark, sf, fits: dict, spaces: dict[str, list[str]]):
+    """M8 (and M7 over several spaces) on the model rows. The fold table is
+    cut once and written to the shared checkpoint folder (the k fits reread
+    it; a lost executor re-reads instead of recomputing the cut)."""
+    return cross_validate_folds(cut_lineage(_folds(spark, sf)), "target", fits, spaces)
+
+
 @register("cross_validate", op_ids="M8 W7")
 def q_cv(spark, sf):
-    return presentable(cross_validate(spark, sf, lambda tr, cols: ML.fit_logistic(tr, cols, "target", C=1.0),
-                                      {"baseline": FEATS}))
+    return presentable(cross_validate(spark, sf, _LOGREG, {"baseline": FEATS}))
 
 
 @register("ablation_grid", op_ids="M7 A15")
 def q_ablation(spark, sf):
-    runs = cross_validate(spark, sf, lambda tr, cols: ML.fit_logistic(tr, cols, "target", C=1.0),
-                          {"baseline": FEATS, "price_only": ["l_extendedprice", "l_discount"]})
+    runs = cross_validate(spark, sf, _LOGREG, {"baseline": FEATS, "price_only": ["l_extendedprice", "l_discount"]})
     return presentable(M.cv_summary(runs, ["space", "model_name"]))
 
 
