@@ -36,6 +36,14 @@ def row_count(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
+def _tie_order(df: DataFrame, rest: list[str]) -> list:
+    """Order inside one key. With a single order column, rows tied on it are
+    ordered by a hash of the whole row: the same on every re-execution (a lost
+    executor recomputes identical positions); identical rows are
+    interchangeable."""
+    return list(rest) if rest else [F.xxhash64(*[F.col(c) for c in df.columns])]
+
+
 def position_blocks(df: DataFrame, order_cols: list[str], cuts: dict[str, list[Column]],
                     part_cols: list[str] | None = None, sub_buckets: int = 1024,
                     max_rank_rows: int = 2_000_000, total_rows: int | None = None) -> DataFrame:
@@ -95,7 +103,7 @@ def position_blocks(df: DataFrame, order_cols: list[str], cuts: dict[str, list[C
                                max_rank_rows=max_rank_rows)
         hard = hard.drop("_sb", "_first0")
         return easy.drop("_n", "_first", "_straddle").unionByName(hard)
-    rw = Window.partitionBy(*part_cols, key).orderBy(*rest)
+    rw = Window.partitionBy(*part_cols, key).orderBy(*_tie_order(df, rest))
     hard = hard.withColumn("_pos", F.col("_first") + F.row_number().over(rw) - 1)
     hard = hard.withColumns(blocks(F.col("_pos"))).drop("_pos")
     return easy.unionByName(hard).drop("_n", "_first", "_straddle")
@@ -109,6 +117,6 @@ def exact_positions(df: DataFrame, order_cols: list[str], part_cols: list[str] |
     counts = df.groupBy(*part_cols, key).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*part_cols).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long"))
-    rw = Window.partitionBy(*part_cols, key).orderBy(*rest)
+    rw = Window.partitionBy(*part_cols, key).orderBy(*_tie_order(df, rest))
     return (_null_safe_join(df, counts, [*part_cols, key])
             .withColumn(out, F.col("_first") + F.row_number().over(rw) - 1).drop("_n", "_first"))

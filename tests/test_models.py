@@ -79,3 +79,37 @@ def test_pca_sign_convention(spark):
     for j, s in enumerate(enc.signs()):
         col = pc[:, j] * s
         assert col[abs(col).argmax()] > 0
+
+
+def test_fold_loop_grid_and_per_fold_missing_drop(spark):
+    """M7/M8: one metric row per (space, model, fold); a column that is all
+    missing in a fold's train part is dropped for that fold only; fold
+    metrics equal a direct fit on the same train/test parts."""
+    import random
+    from nightjar.operators import metrics as M
+    from nightjar.plans.q_models import cross_validate_folds
+    rnd = random.Random(7)
+    rows = []
+    for t in range(240):
+        x1 = rnd.gauss(0, 1)
+        late = None if t < 60 else rnd.gauss(0, 1)   # head block is t < 40
+        rows.append((t, x1, late, int(x1 + rnd.gauss(0, 1) > 0)))
+    df = spark.createDataFrame(rows, "t int, x1 double, x_late double, label int")
+    folds = S.walk_forward_folds(df, ["t"], "label").persist()
+    assert folds.select(F.max("n_folds")).first()[0] == 5
+    seen = []
+
+    def fit(tr, cols, y, pre):
+        seen.append(tuple(cols))
+        return ML.fit_logistic(tr, cols, y, C=1.0, pre=pre)
+
+    runs = cross_validate_folds(folds, "label", {"logreg": fit},
+                                {"both": ["x1", "x_late"], "x1_only": ["x1"]}).persist()
+    assert runs.count() == 10
+    assert seen[:5] == [("x1",)] + [("x1", "x_late")] * 4
+    assert seen[5:] == [("x1",)] * 5
+    got = runs.filter("space = 'both' AND fold = 2").first()["accuracy"]
+    train, test = folds.filter(F.col("test_fold") < 2), folds.filter(F.col("test_fold") == 2)
+    direct = M.evaluate(ML.fit_logistic(train, ["x1", "x_late"], "label", C=1.0).transform(test, ["label"]),
+                        "label", "predicted_label").first()["accuracy"]
+    assert got == pytest.approx(direct, abs=1e-12)

@@ -202,3 +202,23 @@ def test_prefer_two_levels_equals_sequential(spark):
     # scopes where no row is preferred fall back to all rows
     allue = spark.createDataFrame([(1, 1, True, False), (1, 2, True, False)], "scope int, id int, ue boolean, watch boolean")
     assert N.prefer_two_levels(allue, ["scope"], ~F.col("ue"), F.col("watch")).filter("_chosen").count() == 2
+
+
+def test_position_blocks_single_order_column_with_ties(spark):
+    """One order column whose hot value straddles several cuts: blocks have
+    the exact cut sizes, follow the key order, and are the same on a rerun."""
+    rnd = random.Random(11)
+    keys = [5] * 400 + [rnd.randrange(10) for _ in range(200)]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k int").repartition(4)
+    cuts = [100, 250, 450]
+    out = Pos.position_blocks(df, ["k"], {"blk": cuts})
+    rows = out.collect()
+    sizes = [sum(1 for r in rows if r["blk"] == b) for b in range(4)]
+    assert sizes == [100, 150, 200, 150]
+    by_block = {}
+    for r in rows:
+        by_block.setdefault(r["blk"], []).append(r["k"])
+    for b in range(3):
+        assert max(by_block[b]) <= min(by_block[b + 1])
+    again = {r["id"]: r["blk"] for r in out.collect()}
+    assert again == {r["id"]: r["blk"] for r in rows}
