@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, line_dedup, packed_ids, packing, url_filter, warc
+from . import (decontamination, exact_dedup, language_id, line_dedup, ngram_join, packed_ids, packing, pii,
+               url_filter, warc)
 from .common import scratch_dir, table
 
 #: Where the public vocabularies lie; None: where their package says.
 TOKENIZER_FOLDER: str | None = None
+#: The secret that surrogates depend on; a real run passes its own.
+SURROGATE_KEY = b"nightjar surrogate key"
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,11 +22,20 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, SURROGATE_KEY)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_duplicates(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                               keep=["doc_id"])
@@ -40,6 +52,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", "n_lines", "n_removed"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the declared language is their metadata's, the host their source."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_text_model(docs, text_col="text", label_col="lang")
+    return language_id.identify(docs, model, id_col="doc_id", text_col="text", declared_col="lang", host_col="source",
+                                suffix_col=None).drop("row_key")
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over web pages, with all four kinds of evidence."""
+    pages = language_id.page_columns(table(spark, sf_dir, "pages"))
+    model = language_id.fit_text_model(pages, text_col="text_", label_col="declared_")
+    return language_id.identify(pages, model, id_col="page_id", text_col="text_", declared_col="declared_",
+                                host_col="host_", suffix_col="suffix_").drop("row_key")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     model = url_filter.fit(url_filter.labelled_by_rules(pages, url_filter.RULES))
@@ -59,11 +87,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_decontamination, op5_packing, op6_line_dedup, op8_url_filter,
-                                   op9_token_ids, op10_warc)}
+QUERIES = {f.__name__: f for f in (
+    op1_pii_surrogates, op2_exact_dedup, op3_ngram_join, op4_decontamination, op5_packing, op6_line_dedup,
+    op7_language_id, op8_url_filter, op9_token_ids, op10_warc, page_language)}
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_ngram_join": f"WITH RECURSIVE {ngram_join.oracle_sql()} SELECT * FROM joined",
     "op4_decontamination": f"WITH {decontamination.oracle_ctes()} SELECT * FROM verdicts",
     "op6_line_dedup": line_dedup.oracle_sql() + """
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.clean_text END AS text,
