@@ -34,8 +34,9 @@ from .tokens import encoder
 
 CAPACITY = 4096
 MAX_NODES, MAX_FILLINGS = 400, 6
-#: Pieces of one length ranked by one task at a time, on average.
-RANK_ROWS = 200_000
+#: Pieces of one length are ranked in at least so many hash buckets, and one
+#: more for every so many pieces of the corpus.
+RANK_BUCKETS, RANK_ROWS = 64, 200_000
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -276,7 +277,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     pieces = landed(token_pieces(docs, tokenizer, end_id, capacity, id_col=id_col, text_col=text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     share = spark.sparkContext.broadcast(slots(plan(counts, capacity, max_nodes), capacity))
-    buckets = max(1, sum(counts.values()) // rank_rows + 1)
+    buckets = RANK_BUCKETS + sum(counts.values()) // rank_rows
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
     rows = pieces.withColumn("bucket", bucket)
     before = (rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
