@@ -4,8 +4,9 @@ For every language l the log posterior of a document is
 
     text likelihood + log P(declared | l) + log P(suffix | l) + log P(l | host)
 
-* text: byte trigrams under a multinomial model per language, tempered
-  because neighbouring trigrams overlap;
+* text: byte trigrams of letters and spaces under a multinomial model per
+  language, tempered because neighbouring trigrams overlap (numbers, hashes
+  and punctuation are of no language and are left out);
 * declared: the language that markup or metadata declares, with a confusion
   table of declared values against what the texts alone say;
 * suffix: the last label of the address, likewise;
@@ -16,12 +17,12 @@ All counts are grouped aggregations over all documents; the trigram model is
 fitted on a bounded sample of labelled rows (``fit_rows`` expected, chosen by
 the hash of the row, the same at every layout). A further class, unknown, has
 uniform trigrams and the prior ``UNKNOWN_PRIOR``; documents it wins, and
-documents without any trigram, are rejected (language ``und``). The other
+documents without any letter, are rejected (language ``und``). The other
 evidence counts for the unknown class as for its best language, so it is the
 text that decides on rejection.
 
-Defined results: null or short text (under three bytes) has no trigram; null
-declared value, suffix or host adds no evidence; rows that share an id are
+Defined results: null or empty text has no letter; a text with letters but no
+trigram goes by the other evidence; null declared value, suffix or host adds no evidence; rows that share an id are
 judged each; without labelled rows every document is rejected; an empty table
 gives an empty result. Whole texts are scored. Other columns are ignored.
 """
@@ -47,13 +48,18 @@ UNKNOWN, UNKNOWN_PRIOR = "und", 1e-3
 HOST_WEIGHT, DOMAIN_WEIGHT = 10.0, 100.0
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_USED = _LETTER.copy()
+_USED[32] = True
 
 
-def _grams(raw: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram that starts at each byte but the last two."""
-    b = _LOWER[raw]
-    x = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))
-    return ((x * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32)
+def _grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and bucket of every trigram of letters and spaces."""
+    b, used = _LOWER[raw], _USED[raw]
+    at = np.flatnonzero(used[:-2] & used[1:-1] & used[2:])
+    x = b[at] | (b[at + 1] << np.uint32(8)) | (b[at + 2] << np.uint32(16))
+    return at, ((x * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32)
 
 
 @dataclass
@@ -61,23 +67,25 @@ class TextModel:
     languages: list[str]
     log_p: np.ndarray  # [languages, buckets]
 
-    def score(self, col) -> tuple[np.ndarray, np.ndarray]:
-        """Trigrams of each row, log likelihood of each language and row."""
+    def score(self, col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters and trigrams of each row, log likelihood of each language
+        and row."""
         raw, off = column_bytes(col)
         n = len(off) - 1
-        grams, score = np.zeros(n, np.int64), np.zeros((len(self.languages), n))
+        letters, grams, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((len(self.languages), n))
         for i, j in blocks(off):
             lo, hi = int(off[i]), int(off[j])
-            if hi - lo < 3:
-                continue
-            g = _grams(raw[lo:hi])
-            first = off[i:j] - lo
-            last = np.maximum(off[i + 1:j + 1] - lo - 2, first)  # a text's last two bytes start none
+            sums = np.concatenate(([0], np.cumsum(_LETTER[raw[lo:hi]])))
+            letters[i:j] = np.diff(sums[off[i:j + 1] - lo])
+            at, g = _grams(raw[lo:hi])
+            # trigrams that start in a text's last two bytes are not its own
+            first = np.searchsorted(at, off[i:j] - lo)
+            last = np.maximum(np.searchsorted(at, off[i + 1:j + 1] - lo - 2), first)
             grams[i:j] = last - first
             for k in range(len(self.languages)):
                 acc = np.concatenate(([0.0], np.cumsum(self.log_p[k][g], dtype=np.float64)))
-                score[k, i:j] = acc[np.minimum(last, len(g))] - acc[np.minimum(first, len(g))]
-        return grams, score
+                score[k, i:j] = acc[last] - acc[first]
+        return letters, grams, score
 
 
 def fit_text_model(rows: DataFrame, *, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> TextModel:
@@ -95,7 +103,7 @@ def fit_text_model(rows: DataFrame, *, text_col: str, label_col: str, fit_rows:
                 text = raw[off[r]:off[r + 1]]
                 if len(text) >= 3:
                     total.setdefault(label, np.zeros(BUCKETS, np.int64))
-                    total[label] += np.bincount(_grams(text), minlength=BUCKETS)
+                    total[label] += np.bincount(_grams(text)[1], minlength=BUCKETS)
                     seen[label] = seen.get(label, 0) + 1
         for label, counts in total.items():
             at = np.flatnonzero(counts)
@@ -134,14 +142,14 @@ def identify(docs: DataFrame, model: TextModel, *, id_col: str, text_col: str, d
     share = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"s{i}" for i in range(k)]
     kept = rows.schema.fields[:5]
-    out = T.StructType(kept + schema_of("grams long, best int").fields + [T.StructField(c, T.DoubleType()) for c in names])
+    out = T.StructType(kept + schema_of("letters long, grams long, best int").fields + [T.StructField(c, T.DoubleType()) for c in names])
 
     def score(batches):
         m = share.value
         for b in batches:
-            grams, s = m.score(b.column(5))
+            letters, grams, s = m.score(b.column(5))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:5], pa.array(grams), pa.array(s.argmax(axis=0).astype(np.int32)),
+                [*b.columns[:5], pa.array(letters), pa.array(grams), pa.array(s.argmax(axis=0).astype(np.int32)),
                  *[pa.array(x / TEMPER) for x in s]], names=out.names)
 
     scored = landed(rows.mapInArrow(score, out), "language_scores")
@@ -181,9 +189,9 @@ def identify(docs: DataFrame, model: TextModel, *, id_col: str, text_col: str, d
                        for i, x in enumerate(model.languages)],
                      F.struct(unknown.alias("score"), F.lit(UNKNOWN).alias("language")))
     best = F.array_max("scores")
-    named = joined.select("id", "row_key", "grams", "best", scores.alias("scores")).withColumn("top", best)
+    named = joined.select("id", "row_key", "letters", "grams", "best", scores.alias("scores")).withColumn("top", best)
     weight = F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp(s["score"] - F.col("top.score")))
-    accepted = (F.col("grams") > 0) & (F.col("top.language") != UNKNOWN)
+    accepted = (F.col("letters") > 0) & (F.col("top.language") != UNKNOWN)
     texts = F.array(*[F.lit(x) for x in model.languages])
     return named.select(
         F.col("id").alias(id_col), "row_key",
