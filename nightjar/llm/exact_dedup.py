@@ -38,6 +38,8 @@ _CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: no megabytes set aside for each store's log files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
