@@ -45,14 +45,14 @@ ADDRESSES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "x", "Prof": "
              "Господин": "m", "Госпожа": "f"}
 _WORD = r"[^\W\d_]+(?:[-'][^\W\d_]+)*"
 _PATTERN = re.compile(
-    r"(?P<email>[^\W_][\w.+-]*@[^\W_](?:[\w-]*\.)+[^\W\d_]{2,})"
+    r"(?P<email>(?<![\w.+-])[\w.+-]++@[^\W_](?:[\w-]*\.)+[^\W\d_]{2,})"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<!\w)\d{3}[-.]\d{3}[-.]\d{4}(?!\w))"
     r"|(?P<account>(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w))"
-    r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w))"
+    r"|(?P<secret>(?<!\w)(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w))"
     r"|(?P<name>(?<!\w)(?P<address>" + "|".join(ADDRESSES) + r")\.? (?P<first>" + _WORD + r")(?: (?P<last>" + _WORD + r"))?)")
-#: Wider than the pattern: a text without it has no entity.
-MAY_HOLD = (r"@|[0-9]\.[0-9]|[0-9][ ().-]?[0-9(]|[0-9a-fA-F]{32}|(" + "|".join(ADDRESSES) + r")\.? ")
+#: Wider than the pattern, and cheap: a text without it has no entity.
+MAY_HOLD = "[0-9@]|[MDPHFSГ](?:rs?|s|iss|onsieur|adame|me|lle|rof|err|rau|eñora?|ra|осп)"
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghklmnprstvz"
 _CYRILLIC_V, _CYRILLIC_C = "аеиоу", "бвгдзклмнпрст"
@@ -76,6 +76,9 @@ def _parts(m: re.Match) -> list[tuple[str, str, int, int]]:
     if kind in ("phone", "account"):
         digits = re.sub(r"\D", "", text)
         return [(kind, ("+" if text[0] == "+" else "") + digits, *m.span(kind))]
+    if kind == "email":
+        bare = text.lstrip("._+-")
+        return [(kind, bare.lower(), m.end(kind) - len(bare), m.end(kind))] if bare[0] != "@" else []
     if kind != "name":
         return [(kind, text.lower(), *m.span(kind))]
     gender = ADDRESSES[m.group("address")]
@@ -181,23 +184,19 @@ def lay_out(kind: str, mention: str, replacement: str) -> str:
 
 # ---- Spark ----
 
-def _entity_rows(rows: DataFrame, keyed: bool) -> DataFrame:
-    """kind, canonical of every entity of texts; with the row's key."""
+def _mentions(rows: DataFrame) -> DataFrame:
+    """kind, canonical, row_key of every distinct entity of each text."""
     def run(batches):
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
-            keys = b.column(1).to_pylist() if keyed else None
-            for i, text in enumerate(b.column(0).to_pylist()):
+            for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for kind, canonical in {(k, c) for k, c, _, _ in entities(text)}:
                     out[0].append(kind)
                     out[1].append(canonical)
-                    if keyed:
-                        out[2].append(keys[i])
-            arrays = [pa.array(out[0], pa.string()), pa.array(out[1], pa.string())]
-            if keyed:
-                arrays.append(pa.array(out[2], pa.int64()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["kind", "canonical", "row_key"][:len(arrays)])
-    return rows.mapInArrow(run, "kind string, canonical string" + (", row_key long" if keyed else ""))
+                    out[2].append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()),
+                                              pa.array(out[2], pa.int64())], names=["kind", "canonical", "row_key"])
+    return rows.mapInArrow(run, "kind string, canonical string, row_key long")
 
 
 def assign_surrogates(found: DataFrame, key: bytes, make=surrogate) -> DataFrame:
@@ -236,10 +235,9 @@ def replace_pii(docs: DataFrame, key: bytes, *, text_col: str = "text", make=sur
     text = docs[f"`{text_col}`"]
     may = F.coalesce(text.rlike(MAY_HOLD), F.lit(False))
     some = docs.where(may)
-    mapping = assign_surrogates(_entity_rows(some.select(text.alias("t")), keyed=False), key, make)
-    row_key = F.xxhash64(text)
-    own = (_entity_rows(some.select(text.alias("t"), row_key.alias("k")), keyed=True).distinct()
-           .join(mapping, ["kind", "canonical"])
+    mentions = landed(_mentions(some.select(text, F.xxhash64(text))), "mentions")
+    mapping = assign_surrogates(mentions, key, make)
+    own = (mentions.distinct().join(mapping, ["kind", "canonical"])
            .groupBy("row_key").agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias("_map"))
            .withColumnRenamed("row_key", "_row_key"))
     fields = docs.schema.fields
