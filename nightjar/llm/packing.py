@@ -33,7 +33,7 @@ from .common import landed, pick
 from .tokens import encoder
 
 CAPACITY = 4096
-MAX_NODES, MAX_FILLINGS = 400, 6
+MAX_NODES, MAX_FILLINGS, DOMINANCE_ITEMS = 400, 6, 6
 #: Pieces of one length are ranked in at least so many hash buckets, and one
 #: more for every so many pieces of the corpus.
 RANK_BUCKETS, RANK_ROWS = 64, 200_000
@@ -147,7 +147,11 @@ def _fits_any(counts, lengths, left, chosen) -> bool:
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the documents of b can be packed into rooms the size of a's."""
+    """Whether the documents of b can be packed into rooms the size of a's
+    (asked only of short fillings; longer ones count as undominated)."""
+    if len(a) > DOMINANCE_ITEMS or len(b) > DOMINANCE_ITEMS:
+        return False
+
     def place(i: int, rooms: list[int]) -> bool:
         if i == len(b):
             return True
@@ -158,7 +162,7 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
                     return True
                 rooms[j] += b[i]
         return False
-    return len(b) <= 8 and place(0, list(a))
+    return place(0, list(a))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[Filling, int]]:
