@@ -342,8 +342,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append(i)
             at = pa.array(out, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
-    x = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    def of(side: str) -> DataFrame:
+        """Only sets that pairs ask for travel: late rounds ask for few."""
+        asked = pairs.select(F.col(side).alias("cid")).distinct()
+        return sets.select("cid", "shingles").join(asked, "cid", "left_semi")
+    x = of("a").select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
+    y = of("b").select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -366,9 +370,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     order = np.argsort(late)
     hot = spark.sparkContext.broadcast((late[order], np.array([r["n"] for r in frequent], np.int64)[order]))
     cells = landed(_cells(rows, size, percent, hot), "cells")
-    members = cells.select("cid").distinct().join(classes, "cid")
+    members = landed(cells.select("cid").distinct().join(classes, "cid"), "members")
     sets = landed(_member_sets(rows, members, size), "member_sets")
-    points = sets.select("cid", "n", "point").dropDuplicates(["cid"])
+    if sets.count() > members.count():  # rows that share id and text come more than once
+        sets = landed(sets.dropDuplicates(["cid"]), "member_sets_once")
+    points = sets.select("cid", "n", "point")
     labels, links = None, None
     for k in range(rounds + 1):
         last = k == rounds
@@ -379,7 +385,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         tried = pairs.count()
         if not tried:
             break
-        good = landed(_verified(pairs, sets.dropDuplicates(["cid"]), percent), f"good_{k}")
+        good = landed(_verified(pairs, sets, percent), f"good_{k}")
         n_good = good.count()
         if n_good:
             links = good if links is None else links.unionByName(good)
@@ -390,7 +396,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             full = landed(_proposals(cells.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
                                      .withColumn("component", F.coalesce("component", "cid")) if labels is not None
                                      else at, points, percent, False, cell_rows), f"pairs_{k}_all")
-            good = landed(_verified(full, sets.dropDuplicates(["cid"]), percent), f"good_{k}_all")
+            good = landed(_verified(full, sets, percent), f"good_{k}_all")
             if good.take(1):
                 labels = components(good if links is None else links.unionByName(good))
             break
