@@ -46,6 +46,8 @@ BUCKETS = 1 << 14
 SMOOTH, TEMPER = 0.5, 3.0
 UNKNOWN, UNKNOWN_PRIOR = "und", 1e-3
 HOST_WEIGHT, DOMAIN_WEIGHT = 10.0, 100.0
+#: Evidence tables of at most so many rows (counted first) are broadcast.
+BROADCAST_VALUES = 50_000
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -159,17 +161,24 @@ def identify(docs: DataFrame, model: TextModel, *, id_col: str, text_col: str, d
     total = np.array([total[f"n{i}"] for i in range(k)], float)
     prior = (total + 1) / (total + 1).sum()
 
+    def small(t: DataFrame, n: int) -> DataFrame:
+        """A table of few values goes to the rows, so that a value that most
+        rows share is no hot key; a larger one is joined by shuffling."""
+        return F.broadcast(t) if n <= BROADCAST_VALUES else t
+
     def given(column: str) -> DataFrame:
         """log P(column's value | language), add-one smoothed."""
-        t = votes.where(F.col(column).isNotNull()).groupBy(column).agg(*ones)
-        kinds = F.lit(float(t.count()))
-        return t.select(F.col(column).alias(f"_{column}"), *[
-            F.log((F.col(f"n{i}") + 1) / (kinds + float(total[i]))).alias(f"{column}_{i}") for i in range(k)])
+        t = landed(votes.where(F.col(column).isNotNull()).groupBy(column).agg(*ones), f"given_{column}")
+        kinds = t.count()
+        return small(t.select(F.col(column).alias(f"_{column}"), *[
+            F.log((F.col(f"n{i}") + 1) / float(kinds + total[i])).alias(f"{column}_{i}") for i in range(k)]), kinds)
 
     hosts = votes.where("host IS NOT NULL").withColumn("domain", _domain(F.col("host"))).groupBy("host", "domain").agg(*ones)
     domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"m{i}") for i in range(k)])
     hosts = hosts.join(domains, "domain").select(
         F.col("host").alias("_host"), *[f"n{i}" for i in range(k)], *[f"m{i}" for i in range(k)])
+    hosts = landed(hosts, "hosts")
+    hosts = small(hosts, hosts.count())
     joined = (scored.join(given("declared"), F.col("declared") == F.col("_declared"), "left")
               .join(given("suffix"), F.col("suffix") == F.col("_suffix"), "left")
               .join(hosts, F.col("host") == F.col("_host"), "left"))
