@@ -41,6 +41,19 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Texts that go to a Python worker at a time; a longer text goes alone.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def map_arrow(rows: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes, so that a worker's memory
+    does not depend on how long texts are on average."""
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows.mapInArrow(function, schema)
+
+
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, LOWER)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, landed, pick
+from .common import LOWER, UPPER, landed, map_arrow, pick
 from .textblocks import ALNUM, blocks, column_bytes, mix64, poly_prefix, poly_slices, word_hashes, word_spans
 
 WINDOW = 10
@@ -151,7 +151,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, *, item_col: s
 
     rows = pick(benchmark, item=item_col, text=text_col).selectExpr("cast(item as string) as item",
                                                                     "cast(text as string) as text")
-    return (rows.mapInArrow(cut, "window string, item string")
+    return (rows.transform(map_arrow, cut, "window string, item string")
             .groupBy("window").agg(F.collect_set("item").alias("items")))
 
 
@@ -176,7 +176,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str]
         block = [(r["window"], r["items"]) for r in windows.where(part == k).collect()]
         share = spark.sparkContext.broadcast(Searcher(block))
         last = k == parts - 1
-        rows = rows.mapInArrow(_pass(share, len(kept_fields), k == 0, last, out_col),
+        rows = rows.transform(map_arrow, _pass(share, len(kept_fields), k == 0, last, out_col),
                                T.StructType(kept_fields + ([result] if last else state)))
         if not last:
             rows = landed(rows, f"pass_{k}")

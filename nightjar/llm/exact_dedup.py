@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, landed, scratch_dir
+from .common import LOWER, UPPER, ascii_lower, landed, map_arrow, scratch_dir
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Input of one micro-batch.
@@ -56,7 +56,7 @@ def _digests(rows: DataFrame, digest) -> DataFrame:
                 [b.column(0), b.column(2), b.column(3),
                  pa.array([digest((t or "").encode().lower()) for t in texts], pa.binary())],
                 names=["id", "file", "row", "digest"])
-    return rows.mapInArrow(run, "id long, file string, row long, digest binary")
+    return rows.transform(map_arrow, run, "id long, file string, row long, digest binary")
 
 
 def _located(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _with_text(spark: SparkSession, path: str, digest, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([digest((t or "").encode().lower()) for t in texts], pa.binary())],
                 names=["id", "text", "file", "row", "digest"])
-    return _located(spark.read.parquet(path), id_col, text_col).mapInArrow(
+    return _located(spark.read.parquet(path), id_col, text_col).transform(map_arrow,
         run, "id long, text string, file string, row long, digest binary")
 
 

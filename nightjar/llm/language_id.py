@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import landed, pick, schema_of
+from .common import landed, map_arrow, pick, schema_of
 from .textblocks import blocks, column_bytes
 
 FIT_ROWS = 20_000
@@ -113,7 +113,7 @@ def fit_text_model(rows: DataFrame, *, text_col: str, label_col: str, fit_rows:
                                               "bucket": pa.array(np.append(at, -1), pa.int32()),
                                               "n": pa.array(np.append(counts[at], seen[label]), pa.int64())})
 
-    counts = landed(sample.mapInArrow(count, "label string, bucket int, n long")
+    counts = landed(sample.transform(map_arrow, count, "label string, bucket int, n long")
                     .groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     seen = {r["label"]: r["n"] for r in counts.where("bucket = -1").collect()}
     languages = sorted(x for x, k in seen.items() if k >= MIN_SHARE * sum(seen.values()))
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: TextModel, *, id_col: str, text_col: str, d
                 [*b.columns[:5], pa.array(letters), pa.array(grams), pa.array(s.argmax(axis=0).astype(np.int32)),
                  *[pa.array(x / TEMPER) for x in s]], names=out.names)
 
-    scored = landed(rows.mapInArrow(score, out), "language_scores")
+    scored = landed(rows.transform(map_arrow, score, out), "language_scores")
     votes = scored.where("grams > 0")
     ones = [F.sum(F.when(F.col("best") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(k)]
     total = votes.agg(*[F.coalesce(c, F.lit(0)).alias(f"n{i}") for i, c in enumerate(ones)]).first()

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import landed, pick
+from .common import landed, map_arrow, pick
 from .components import components
 from .textblocks import mix64, shingle_sets
 
@@ -208,7 +208,7 @@ def _profile(rows: DataFrame, size: int) -> DataFrame:
                  pa.array(check, pa.int64()), pa.array(sizes, pa.int64())], names=["kind", "id", "cid", "check", "n"])
         if held:
             yield frequent()
-    return rows.mapInArrow(run, "kind int, id long, cid long, check long, n long")
+    return rows.transform(map_arrow, run, "kind int, id long, cid long, check long, n long")
 
 
 def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
@@ -238,7 +238,7 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(cids))],
                                                  names=["key", "cid"])
-    first = rows.select("text").mapInArrow(run, "key long, cid long")
+    first = rows.select("text").transform(map_arrow, run, "key long, cid long")
     by_key = Window.partitionBy("key")
     shared = (first.withColumn("lo", F.min("cid").over(by_key)).withColumn("hi", F.max("cid").over(by_key))
               .where("lo <> hi").select("key", "cid").distinct())
@@ -264,7 +264,7 @@ def _member_sets(rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
                 [pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()),
                  pa.array(sets, pa.binary())], names=["cid", "n", "point", "shingles"])
     here = rows.join(members, rows["id"].eqNullSafe(members["rep"])).select("text", "cid")
-    return here.mapInArrow(run, "cid long, n long, point binary, shingles binary")
+    return here.transform(map_arrow, run, "cid long, n long, point binary, shingles binary")
 
 
 # ---- candidates and verification ----
@@ -325,7 +325,7 @@ def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: boo
         once = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return dealt.transform(map_arrow, run, "a long, b long").where("a <> b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -348,7 +348,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return sets.select("cid", "shingles").join(asked, "cid", "left_semi")
     x = of("a").select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
     y = of("b").select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").transform(map_arrow, run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4,

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import landed, pick, schema_of
+from .common import landed, map_arrow, pick, schema_of
 from .tokens import encoder
 
 MAGIC = b"NJIDPACK"
@@ -199,7 +199,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, voca
 
     rows = pick(docs, id=id_col, text=text_col).selectExpr("cast(id as long) as id", "cast(text as string) as text")
     ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    return landed(ordered.mapInArrow(write, MANIFEST), "ids_manifest")
+    return landed(ordered.transform(map_arrow, write, MANIFEST), "ids_manifest")
 
 
 def read_ids(spark: SparkSession, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -226,7 +226,7 @@ def read_ids(spark: SparkSession, manifest: DataFrame, id_col: str = "doc_id") -
     table = spark.createDataFrame(files, schema_of("part int, path string, base long"))
     if files:
         table = table.repartitionByRange(len(files), "part")
-    return (table.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
+    return (table.transform(map_arrow, read, "id long, start long, n_tokens long, ids_crc32 long")
             .withColumnRenamed("id", id_col))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import landed, pick
+from .common import landed, map_arrow, pick
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -270,7 +270,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = pick(docs, id=id_col, text=text_col).selectExpr("cast(id as long) as doc_id", "cast(text as string) as text")
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.transform(map_arrow, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, *,
@@ -302,5 +302,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                 [*b.columns[:5], pa.array(t["base"][i] + rank - t["first"][i]), pa.array(t["offset"][i])],
                 names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, "
+    return ranked.transform(map_arrow, place, "doc_id long, piece int, start long, length long, ids_crc32 long, "
                                     "sequence_id long, offset long")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import landed
+from .common import landed, map_arrow
 
 MAX_ROUNDS = 60
 #: From this attempt on a surrogate may be longer than the entity, for formats
@@ -196,7 +196,7 @@ def _mentions(rows: DataFrame) -> DataFrame:
                     out[2].append(key)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()),
                                               pa.array(out[2], pa.int64())], names=["kind", "canonical", "row_key"])
-    return rows.mapInArrow(run, "kind string, canonical string, row_key long")
+    return rows.transform(map_arrow, run, "kind string, canonical string, row_key long")
 
 
 def assign_surrogates(found: DataFrame, key: bytes, make=surrogate) -> DataFrame:
@@ -208,7 +208,7 @@ def assign_surrogates(found: DataFrame, key: bytes, make=surrogate) -> DataFrame
                 made = [make(key, k, c, attempt) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())],
                                                  names=["kind", "canonical", "surrogate"])
-        return rows.mapInArrow(run, "kind string, canonical string, surrogate string")
+        return rows.transform(map_arrow, run, "kind string, canonical string, surrogate string")
 
     every = landed(found.select("kind", "canonical").distinct(), "entities")
     pending, taken = every, None
@@ -260,5 +260,5 @@ def replace_pii(docs: DataFrame, key: bytes, *, text_col: str = "text", make=sur
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     joined = some.join(own, F.xxhash64(some[f"`{text_col}`"]) == own["_row_key"], "left")
-    done = joined.select(*[some[f"`{f.name}`"] for f in fields], "_map").mapInArrow(run, out)
+    done = joined.select(*[some[f"`{f.name}`"] for f in fields], "_map").transform(map_arrow, run, out)
     return done.unionByName(docs.where(~may).withColumn("n_entities", F.lit(0).cast("long")))
