@@ -51,7 +51,7 @@ LEAF, FANOUT = 64, 16
 ROUNDS = 6
 #: Shingles that a task meets so often in ``COUNT_ROWS`` are reported, and so
 #: many of the most frequent ones overall come last in the order of cells.
-COUNT_ROWS, LOCAL_HOT, HOT_SHINGLES = 1 << 22, 8, 200_000
+COUNT_ROWS, LOCAL_HOT, HOT_SHINGLES = 1 << 20, 4, 200_000
 _U = np.uint64
 _SALT = [_U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0)]
 
@@ -224,7 +224,7 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
                 cid = class_ids(s)[0]
                 if cid in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(cid)
                 first = len(s) - -(-percent * len(s) // 100) + 1
