@@ -49,6 +49,8 @@ GROUPS = 256
 CELL_ROWS = 4096
 LEAF, FANOUT = 64, 16
 ROUNDS = 6
+#: Tables of at most so many ids (8 to 24 bytes each; counted first) are broadcast.
+BROADCAST_ROWS = 500_000
 #: Shingles that a task meets so often in ``COUNT_ROWS`` are reported, and so
 #: many of the most frequent ones overall come last in the order of cells.
 COUNT_ROWS, LOCAL_HOT, HOT_SHINGLES = 1 << 20, 4, 200_000
@@ -248,7 +250,7 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
     return named.select(F.xxhash64("members", "m").alias("cell"), "cid").distinct()
 
 
-def _member_sets(rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
+def _member_sets(rows: DataFrame, members: DataFrame, n_members: int, size: int) -> DataFrame:
     """cid, n, point, shingles of the classes that stand in cells."""
     def run(batches):
         for b in batches:
@@ -263,7 +265,7 @@ def _member_sets(rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()),
                  pa.array(sets, pa.binary())], names=["cid", "n", "point", "shingles"])
-    here = rows.join(members, rows["id"].eqNullSafe(members["rep"])).select("text", "cid")
+    here = rows.join(_few(members, n_members), rows["id"].eqNullSafe(members["rep"])).select("text", "cid")
     return here.transform(map_arrow, run, "cid long, n long, point binary, shingles binary")
 
 
@@ -328,7 +330,13 @@ def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: boo
     return dealt.transform(map_arrow, run, "a long, b long").where("a <> b").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of ids that were counted: sent to the texts or sets while they are
+    few, joined by shuffling both sides beyond that."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs that link."""
     def run(batches):
         for b in batches:
@@ -342,13 +350,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append(i)
             at = pa.array(out, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
-    def of(side: str) -> DataFrame:
-        """Only sets that pairs ask for travel: late rounds ask for few."""
-        asked = pairs.select(F.col(side).alias("cid")).distinct()
-        return sets.select("cid", "shingles").join(asked, "cid", "left_semi")
-    x = of("a").select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    y = of("b").select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").transform(map_arrow, run, "a long, b long")
+    # only sets that pairs ask for travel: late rounds ask for few
+    x = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    y = y.join(_few(pairs.select("b").distinct(), n_pairs), "b", "left_semi")
+    return x.join(_few(pairs, n_pairs), "a").join(y, "b").select("a", "b", "x", "y").transform(map_arrow, run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4,
@@ -371,8 +377,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hot = spark.sparkContext.broadcast((late[order], np.array([r["n"] for r in frequent], np.int64)[order]))
     cells = landed(_cells(rows, size, percent, hot), "cells")
     members = landed(cells.select("cid").distinct().join(classes, "cid"), "members")
-    sets = landed(_member_sets(rows, members, size), "member_sets")
-    if sets.count() > members.count():  # rows that share id and text come more than once
+    n_members = members.count()
+    sets = landed(_member_sets(rows, members, n_members, size), "member_sets")
+    if sets.count() > n_members:  # rows that share id and text come more than once
         sets = landed(sets.dropDuplicates(["cid"]), "member_sets_once")
     points = sets.select("cid", "n", "point")
     labels, links = None, None
@@ -385,7 +392,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         tried = pairs.count()
         if not tried:
             break
-        good = landed(_verified(pairs, sets, percent), f"good_{k}")
+        good = landed(_verified(pairs, tried, sets, percent), f"good_{k}")
         n_good = good.count()
         if n_good:
             links = good if links is None else links.unionByName(good)
@@ -396,7 +403,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             full = landed(_proposals(cells.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
                                      .withColumn("component", F.coalesce("component", "cid")) if labels is not None
                                      else at, points, percent, False, cell_rows), f"pairs_{k}_all")
-            good = landed(_verified(full, sets, percent), f"good_{k}_all")
+            good = landed(_verified(full, full.count(), sets, percent), f"good_{k}_all")
             if good.take(1):
                 labels = components(good if links is None else links.unionByName(good))
             break
