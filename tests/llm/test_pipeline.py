@@ -27,7 +27,7 @@ def sf(spark, tmp_path_factory):
         rows.append((i, " ".join(own), "en", "s1"))
     rows += [(300 + i, rows[5][1], "en", "s1") for i in range(5)]                     # exact copies
     rows += [(400 + i, say("en", 30) + " " + items[i][1].upper(), "en", "s2") for i in range(4)]  # leaks
-    rows += [(500, None, "en", "s0"), (501, "", None, None), (502, "щдж ыыы " * 60, "en", "s0"), (503, "99 !!", "de", "s3")]
+    rows += [(500, None, "en", "s0"), (501, "", None, None), (502, "щдж ыыы " * 60, None, "s0"), (503, "99 !!", "de", "s3")]
     docs = [(k, t, lang, s, len(t) if t is not None else None) for k, t, lang, s in rows]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(
         f"{folder}/documents.parquet")
