@@ -193,9 +193,10 @@ def transfer_features(df: DataFrame, keep: list[str] | None = None) -> tuple[Dat
     keep = keep if keep is not None else [c for c in METADATA_COLUMNS if c in df.columns]
     sort_col = infer_sort_column(df)
     targets = [t for t in ROLLING_TARGETS if t in base_cols]
-    order_col = sort_col if sort_col is not None else SUBJECT
+    if sort_col is None:
+        raise ValueError("past-only features need a date column to order by")
     cols = (missingness_columns(base_cols) + spread_columns(base) + calendar_columns(sort_col)
-            + rolling_columns(targets, order_col))
+            + rolling_columns(targets, sort_col))
     out = base.select(*keep, *cols)
     names = MISSINGNESS_COLUMNS + RATIO_COLUMNS + CALENDAR_COLUMNS + rolling_names(targets)
     return out, names
@@ -207,8 +208,9 @@ def combined_features(df: DataFrame, keep: list[str] | None = None) -> tuple[Dat
     base, base_cols = baseline_features(df, keep)
     sort_col = infer_sort_column(df)
     targets = [t for t in ROLLING_TARGETS if t in base_cols]
-    order_col = sort_col if sort_col is not None else SUBJECT
+    if sort_col is None:
+        raise ValueError("past-only features need a date column to order by")
     transfer = (missingness_columns(base_cols) + spread_columns(base) + calendar_columns(sort_col)
-                + rolling_columns(targets, order_col))
+                + rolling_columns(targets, sort_col))
     names = base_cols + MISSINGNESS_COLUMNS + RATIO_COLUMNS + CALENDAR_COLUMNS + rolling_names(targets)
     return base.select(*keep, *[F.col(c) for c in base_cols], *transfer), names

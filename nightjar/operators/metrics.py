@@ -13,6 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .quantiles import exact_quantiles
 
 METRIC_NAMES = ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1",
                 "macro_precision", "macro_recall", "macro_f1", "kappa"]
@@ -92,18 +95,32 @@ def cv_summary(fold_metrics: DataFrame, group_cols: list[str]) -> DataFrame:
 
 def teacher_confidence_summary(df: DataFrame, conf_col: str = "confidence",
                                group_cols: list[str] | None = None) -> DataFrame:
-    """Mean and median of the teacher's max probability."""
-    return df.groupBy(*(group_cols or [])).agg(F.avg(conf_col).alias("confidence_mean"),
-                                               F.median(conf_col).alias("confidence_median"))
+    """Mean and median of the teacher's max probability (the median by
+    distributed selection)."""
+    return _with_quantiles(df, conf_col, {"confidence_median": 0.5}, group_cols or [],
+                           [F.avg(conf_col).alias("confidence_mean")])
+
+
+def _with_quantiles(df: DataFrame, col: str, quantiles: dict[str, float], groups: list[str], aggs: list) -> DataFrame:
+    """Aggregates per group plus exact quantiles; groups are few labels."""
+    found = exact_quantiles(df, [col], list(quantiles.values()), groups)
+    keys = list(dict.fromkeys(k[:len(groups)] for k in found))
+    fields = [df.schema[g] for g in groups] + [StructField(n, DoubleType()) for n in quantiles]
+    rows = [(*g, *[found[(*g, col, q)] for q in quantiles.values()]) for g in keys]
+    table = df.sparkSession.createDataFrame(rows, StructType([StructField(f"_{f.name}" if i < len(groups) else f.name, f.dataType)
+                                                              for i, f in enumerate(fields)]))
+    out = df.groupBy(*groups).agg(*aggs)
+    if not groups:
+        return out.select("*", *[F.lit(found[col, q]).cast("double").alias(n) for n, q in quantiles.items()])
+    cond = [out[g].eqNullSafe(table[f"_{g}"]) for g in groups]
+    return out.join(table, cond).drop(*[f"_{g}" for g in groups])
 
 
 def latency_summary(measurements: DataFrame, model_col: str, ms_col: str) -> DataFrame:
-    """Mean, p50, p95 (linear interpolation) of measured times per model."""
-    return measurements.groupBy(model_col).agg(
-        F.avg(ms_col).alias("mean_ms"),
-        F.percentile(ms_col, 0.5).alias("p50_ms"),
-        F.percentile(ms_col, 0.95).alias("p95_ms"),
-        F.count(F.lit(1)).alias("n_measurements"))
+    """Mean, p50, p95 (linear interpolation) of measured times per model;
+    the percentiles by distributed selection."""
+    return _with_quantiles(measurements, ms_col, {"p50_ms": 0.5, "p95_ms": 0.95}, [model_col],
+                           [F.avg(ms_col).alias("mean_ms"), F.count(F.lit(1)).alias("n_measurements")])
 
 
 # Mobile budget and score weights.

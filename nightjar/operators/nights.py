@@ -68,17 +68,17 @@ def sleep_segments(records: DataFrame, start_col: str = "start_raw", end_col: st
     return sleep_stage_flags(out, value_col)
 
 
-def drop_nonpositive_intervals(segments: DataFrame) -> DataFrame:
-    """P4 (device flavour): skip segments of zero or negative length."""
-    return segments.filter(F.col("duration_min") > 0)
-
-
 def recent_lookback(df: DataFrame, as_of, days: int = 3, ts_col: str = "start_ts") -> DataFrame:
     """P20: rows at or after ``as_of - days``; ``as_of`` is a parameter."""
     as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     return df.filter(F.col(ts_col) >= as_of_col - F.make_dt_interval(F.lit(days)))
 
 
+def _minutes(flag: str, where: Column | None = None) -> Column:
+    hit = F.col(flag) if where is None else F.col(flag) & where
+    return F.sum(F.when(hit, F.col("duration_min")).otherwise(F.lit(0.0)))
+
+
 # ---------------------------------------------------------------- A2 + P24
 def night_sleep_summary(segments: DataFrame, zero_fill: bool = False) -> DataFrame:
     """A2 + P24: one row per (subject, night).
@@ -86,8 +86,7 @@ def night_sleep_summary(segments: DataFrame, zero_fill: bool = False) -> DataFra
     ``zero_fill`` gives the device flavour (ratios 0 instead of missing when the
     denominator is 0).
     """
-    sums = [F.sum(F.when(F.col(flag), F.col("duration_min")).otherwise(F.lit(0.0))).alias(name)
-            for flag, name in FLAG_TO_MINUTES.items()]
+    sums = [_minutes(flag).alias(name) for flag, name in FLAG_TO_MINUTES.items()]
     agg = (segments.groupBy(SUBJECT, "night_date")
            .agg(F.min("start_ts").alias("sleep_start"), F.max("end_ts").alias("sleep_end"), *sums))
     return sleep_percentages(agg.withColumn("total_sleep_minutes", F.col("asleep_minutes")), zero_fill)
@@ -155,26 +154,24 @@ def night_metric_range_join(nights: DataFrame, samples: DataFrame, metrics: list
     come back through the left join to the night table. (A single LEFT join
     from the spans would save that second join but forbids both.)
     """
+    hits = samples_in_nights(nights, samples, strict, bucket_seconds)
+    stats = [c for m in metrics
+             for c in metric_stat_columns(m, to_numeric_or_null("value"), F.col("metric"), median_accuracy)]
+    per_night = hits.groupBy(SUBJECT, "night_date").agg(*stats)
+    return nights.join(per_night, [SUBJECT, "night_date"], "left")
+
+
+def samples_in_nights(nights: DataFrame, samples: DataFrame, strict: bool = False,
+                      bucket_seconds: int = 21600) -> DataFrame:
+    """The bucketed range join of J1 / J2: every sample with the night it falls in."""
     keys = nights.select(SUBJECT, "night_date", "sleep_start", "sleep_end")
     lo, hi = _bucket(F.col("sleep_start"), bucket_seconds), _bucket(F.col("sleep_end"), bucket_seconds)
     spans = (keys.filter(F.col("sleep_end") >= F.col("sleep_start"))  # sequence() counts down otherwise
              .withColumn("bucket", F.explode(F.sequence(lo, hi))))
-    s = samples.select(
-        F.col(SUBJECT).alias("s_subject"), F.col("metric"), F.col("ts").alias("s_ts"),
-        *( [F.col("end_ts").alias("s_end")] if strict else [] ),
-        to_numeric_or_null("value").alias("s_value"),
-    ).withColumn("s_bucket", _bucket(F.col("s_ts"), bucket_seconds))
-    cond = [spans[SUBJECT] == s["s_subject"], spans["bucket"] == s["s_bucket"]]
-    if strict:
-        cond += [s["s_ts"] >= spans["sleep_start"], s["s_end"] <= spans["sleep_end"]]
-    else:
-        cond += [s["s_ts"] >= spans["sleep_start"], s["s_ts"] <= spans["sleep_end"]]
-    hits = spans.join(s, cond, "inner")
-    stats = [c for m in metrics
-             for c in metric_stat_columns(m, F.col("s_value"), F.col("metric"), median_accuracy)]
-    per_night = hits.groupBy(SUBJECT, "night_date").agg(*stats)
-    out = nights.join(per_night, [SUBJECT, "night_date"], "left")
-    return out
+    s = samples.withColumnRenamed(SUBJECT, "_subject").withColumn("_bucket", _bucket(F.col("ts"), bucket_seconds))
+    inside = (F.col("end_ts") <= F.col("sleep_end")) if strict else (F.col("ts") <= F.col("sleep_end"))
+    cond = [spans[SUBJECT] == s["_subject"], spans["bucket"] == s["_bucket"], F.col("ts") >= F.col("sleep_start"), inside]
+    return spans.join(s, cond, "inner").drop("_subject", "_bucket", "bucket")
 
 
 def night_features(segments: DataFrame, samples: DataFrame, bucket_seconds: int = 21600,
@@ -200,43 +197,63 @@ def prefer_with_fallback(df: DataFrame, scope: list[str], preferred: Column) ->
     """Keep preferred rows; a scope with no preferred row keeps all rows.
 
     The "any preferred" flag is a partial aggregate per scope joined back, not
-    a window over the scope: a hot subject is pre-aggregated map-side and the
-    join side stays splittable by AQE's skew join.
-    """
+    a window over the scope. The frame is read twice; chains of preferences
+    over aggregates use ``device_nights`` / ``preferred_sample_stats``, which
+    read it once."""
     flagged = df.withColumn("_pref", F.coalesce(preferred, F.lit(False)))
     any_pref = flagged.groupBy(*scope).agg(F.max(F.col("_pref").cast("int")).alias("_any_pref"))
     return (flagged.join(any_pref, scope, "inner")
             .filter(F.col("_pref") | (F.col("_any_pref") == 0)).drop("_pref", "_any_pref"))
 
 
-def prefer_two_levels(df: DataFrame, scope: list[str], first: Column, second: Column) -> DataFrame:
-    """P21 twice in sequence (first preference, then the second among the
-    rows kept by the first) with ONE partial aggregate and ONE join:
-    any(first), any(first & second), any(second) per scope decide both
-    fallbacks. Adds ``_usable`` (kept by the first rule) and ``_chosen``."""
-    f1, f2 = F.coalesce(first, F.lit(False)), F.coalesce(second, F.lit(False))
-    d = df.withColumns({"_p1": f1, "_p2": f2})
-    flags = d.groupBy(*scope).agg(F.max(F.col("_p1").cast("int")).alias("_a1"),
-                                  F.max((F.col("_p1") & F.col("_p2")).cast("int")).alias("_a12"),
-                                  F.max(F.col("_p2").cast("int")).alias("_a2"))
-    d = d.join(flags, scope, "inner")
-    usable = F.col("_p1") | (F.col("_a1") == 0)
-    pool_has_second = F.when(F.col("_a1") == 1, F.col("_a12")).otherwise(F.col("_a2")) == 1
-    chosen = usable & (F.col("_p2") | ~pool_has_second)
-    return d.withColumns({"_usable": usable, "_chosen": chosen}).drop("_p1", "_p2", "_a1", "_a12", "_a2")
-
-
-def metric_source_quality(samples: DataFrame, scope: list[str]) -> DataFrame:
-    """A4: sample count, sorted distinct sources and watch share per scope
-    (computed before the watch filter of P21)."""
-    return samples.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        F.array_sort(F.collect_set("source_name")).alias("sources"),
-        F.avg(F.col("is_watch").cast("double")).alias("watch_share"),
-    )
-
-
-def latest_night_per_subject(df: DataFrame, night_col: str = "night_date") -> DataFrame:
-    """Only the newest night's rows per subject (aggregate + semi join)."""
-    newest = df.groupBy(SUBJECT).agg(F.max(night_col).alias(night_col))
-    return df.join(newest, [SUBJECT, night_col], "left_semi")
+def device_nights(segments: DataFrame, days: int = 3) -> DataFrame:
+    """P4, P20, P21 (twice), W10 and A2 in the device flavour: per subject the
+    latest night within ``days`` of its newest segment.
+
+    Segments that were not entered by hand are preferred per subject, watch
+    segments within the night. Start and end span all chosen segments; minutes
+    count only segments of positive length (P4). One aggregate per (subject,
+    night) holds the numbers of all four preference cases (partial aggregates,
+    nothing is joined to itself); the latest night and its case are then picked
+    from that table with a maximum of structs per subject.
+    """
+    as_of = segments.groupBy(SUBJECT).agg(F.max("start_ts").alias("as_of"))
+    recent = recent_lookback(segments.join(as_of, SUBJECT), F.col("as_of"), days)
+    entered, watch = F.coalesce(F.col("is_user_entered"), F.lit(False)), F.coalesce(F.col("is_watch"), F.lit(False))
+    cases = {"ow": ~entered & watch, "o": ~entered, "w": watch, "a": F.lit(True)}
+    long_enough = F.col("duration_min") > 0
+
+    def numbers(where: Column) -> Column:
+        return F.struct(F.count_if(where).alias("n"), F.min(F.when(where, F.col("start_ts"))).alias("sleep_start"),
+                        F.max(F.when(where, F.col("end_ts"))).alias("sleep_end"),
+                        *[_minutes(flag, where & long_enough).alias(name) for flag, name in FLAG_TO_MINUTES.items()])
+    nights = recent.groupBy(SUBJECT, "night_date").agg(*[numbers(w).alias(c) for c, w in cases.items()])
+    own = F.when(F.col("ow.n") > 0, F.col("ow")).otherwise(F.col("o"))
+    all_ = F.when(F.col("w.n") > 0, F.col("w")).otherwise(F.col("a"))
+    latest = nights.groupBy(SUBJECT).agg(
+        F.max(F.when(F.col("o.n") > 0, F.struct("night_date", own.alias("x")))).alias("own"),
+        F.max(F.struct("night_date", all_.alias("x"))).alias("any"))
+    best = latest.select(SUBJECT, F.coalesce("own", "any").alias("best")).select(SUBJECT, "best.night_date", "best.x.*")
+    return sleep_percentages(best.drop("n").withColumn("total_sleep_minutes", F.col("asleep_minutes")), zero_fill=True)
+
+
+def preferred_sample_stats(hits: DataFrame, scope: list[str], value: Column) -> DataFrame:
+    """A3, A4 and P21 twice over samples of a scope, in one aggregate: samples
+    not entered by hand are preferred, then watch samples among those.
+    ``sample_count`` and ``sources`` are of the chosen samples, ``watch_share``
+    of those before the watch rule; a scope without a finite chosen value goes."""
+    entered, watch = F.coalesce(F.col("is_user_entered"), F.lit(False)), F.coalesce(F.col("is_watch"), F.lit(False))
+    cases = {"ow": ~entered & watch, "o": ~entered, "w": watch, "a": F.lit(True)}
+
+    def numbers(where: Column) -> Column:
+        v = F.when(where, value)
+        return F.struct(*metric_stat_columns("m", v), F.count(v).alias("finite"), F.count_if(where).alias("sample_count"),
+                        F.count_if(where & watch).alias("n_watch"),
+                        F.array_join(F.array_sort(F.collect_set(F.when(where, F.col("source_name")))), ", ").alias("sources"))
+    per = hits.groupBy(*scope).agg(*[numbers(w).alias(c) for c, w in cases.items()])
+    has = lambda c: F.col(f"{c}.sample_count") > 0
+    chosen = F.when(has("ow"), F.col("ow")).when(has("o"), F.col("o")).when(has("w"), F.col("w")).otherwise(F.col("a"))
+    usable = F.when(has("o"), F.col("o")).otherwise(F.col("a"))
+    share = F.try_divide(usable["n_watch"].cast("double"), usable["sample_count"])
+    return (per.select(*scope, chosen.alias("x"), share.alias("watch_share")).where("x.finite > 0")
+            .select(*scope, "x.*", "watch_share").drop("finite", "n_watch"))

@@ -1,122 +1,67 @@
-"""Exact row positions in a total order without a single-partition window.
-
-``position_blocks`` answers "which block between these cut positions does each
-row fall in" for a total order ``order_cols`` (first column = coarse key,
-e.g. a date). It never ranks the whole table in one task:
-
-1. count rows per coarse key (partial aggregation; the result has one row per
-   distinct key, e.g. ~days, not per data row);
-2. running totals over that small table give each key's first position;
-3. a key that lies entirely between two cuts is assigned without ranking;
-   only keys that straddle a cut are ranked, with a window partitioned by
-   the coarse key (a unique tie-break makes the rank exact).
-
-Cut positions are Columns, typically built from a scalar subquery on the
-row count (``DataFrame.scalar()``), so the plan stays lazy and nothing is
-collected to the driver.
+"""Exact cuts of a total order without a window over the whole table.
+
+``OrderedRows`` writes the rows once to the shared folder, range-partitioned
+by the full order. The order is made total by a hash of the row and, for rows
+that are equal in everything, by a number given while writing, so no key
+(a date that holds a third of the table, one value of a single order column)
+can weigh down one partition: Spark splits it by the tie-breaks. The count
+per partition (one row per partition) places every partition in the order;
+a partition between two cuts is labelled without ranking, and only the
+partitions that a cut falls into, at most one for each cut, rank their rows.
+
+Writing first also fixes the boundaries: they come from a sample and could
+move if the exchange were computed again.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner equi-join treating null keys as equal (nulls sort first, so a
-    null key is a real position range, not a dropped row)."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
-    return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
-
-
-def row_count(df: DataFrame) -> Column:
-    """Row count as a scalar-subquery Column."""
-    return df.select(F.count(F.lit(1))).scalar()
-
-
-def _tie_order(df: DataFrame, rest: list[str]) -> list:
-    """Order inside one key. With a single order column, rows tied on it are
-    ordered by a hash of the whole row: the same on every re-execution (a lost
-    executor recomputes identical positions); identical rows are
-    interchangeable."""
-    return list(rest) if rest else [F.xxhash64(*[F.col(c) for c in df.columns])]
-
-
-def position_blocks(df: DataFrame, order_cols: list[str], cuts: dict[str, list[Column]],
-                    part_cols: list[str] | None = None, sub_buckets: int = 1024,
-                    max_rank_rows: int = 2_000_000, total_rows: int | None = None) -> DataFrame:
-    """For each ``name -> cut list`` add column ``name`` = number of cuts at or
-    below the row's 0-based position (so with ``[k]`` positions 0..k-1 get 0).
-
-    ``part_cols`` restarts positions per partition key. All cut sets are
-    resolved in one pass; only coarse keys that straddle some cut are ranked.
-    When a straddling key is larger than ``max_rank_rows`` (say one date
-    holding a third of the table) and the second order column is numeric, the
-    straddling keys are cut again on ``sub_buckets`` range buckets of that
-    column, so only the straddling sub-buckets are ranked. Whether any key is
-    that large is read from the per-key count table (at most one row per
-    cut reaches the driver).
-    """
-    part_cols = part_cols or []
-    key, rest = order_cols[0], order_cols[1:]
-    counts = df.groupBy(*part_cols, key).agg(F.count(F.lit(1)).alias("_n"))
-    # Running total over the per-key table (one row per distinct key, bounded
-    # by the key's domain, not by the data size).
-    w = Window.partitionBy(*part_cols).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long"))
-    all_cuts = [c if isinstance(c, Column) else F.lit(c) for cs in cuts.values() for c in cs]
-    straddle = F.lit(False)
-    for c in all_cuts:
-        straddle = straddle | ((F.col("_first") < c) & (F.col("_first") + F.col("_n") > c))
-    counts = counts.withColumn("_straddle", straddle)
-    tagged = _null_safe_join(df, counts, [*part_cols, key])
-
-    def blocks(pos: Column) -> dict[str, Column]:
-        return {name: sum(((pos >= (c if isinstance(c, Column) else F.lit(c))).cast("int") for c in cs), F.lit(0))
-                for name, cs in cuts.items()}
-
-    easy = tagged.filter(~F.col("_straddle")).withColumns(blocks(F.col("_first")))
-    hard = tagged.filter(F.col("_straddle"))
-    second = dict((f.name, f.dataType) for f in df.schema.fields).get(rest[0]) if rest else None
-    # A caller that knows the table has at most max_rank_rows rows skips the check.
-    needs_level2 = bool(sub_buckets) and isinstance(second, NumericType) and \
-        (total_rows is None or total_rows > max_rank_rows) and \
-        counts.filter(F.col("_straddle") & (F.col("_n") > max_rank_rows)).limit(1).count() > 0
-    if needs_level2:
-        # Level 2 inside straddling keys: order-preserving range buckets of the
-        # next column, positions relative to the key's first position.
-        scope = [*part_cols, key]
-        rng = hard.groupBy(*scope).agg(F.min(rest[0]).cast("double").alias("_lo"),
-                                       F.max(rest[0]).cast("double").alias("_hi"))
-        width = (F.col("_hi") - F.col("_lo") + F.lit(1.0)) / F.lit(float(sub_buckets))
-        # least() skips nulls in Spark: null values (sorted first) get bucket -1.
-        sb = F.when(F.col(rest[0]).isNull(), F.lit(-1).cast("long")).otherwise(
-            F.least(F.floor((F.col(rest[0]).cast("double") - F.col("_lo")) / width).cast("long"),
-                    F.lit(sub_buckets - 1)))
-        inner = (_null_safe_join(hard, rng, scope).withColumn("_sb", sb)
-                 .withColumnRenamed("_first", "_first0").drop("_n", "_straddle", "_lo", "_hi"))
-        rel = {name: [(c if isinstance(c, Column) else F.lit(c)) - F.col("_first0") for c in cs]
-               for name, cs in cuts.items()}
-        hard = position_blocks(inner, ["_sb", *rest], rel, [*scope, "_first0"], sub_buckets=0,
-                               max_rank_rows=max_rank_rows)
-        hard = hard.drop("_sb", "_first0")
-        return easy.drop("_n", "_first", "_straddle").unionByName(hard)
-    rw = Window.partitionBy(*part_cols, key).orderBy(*_tie_order(df, rest))
-    hard = hard.withColumn("_pos", F.col("_first") + F.row_number().over(rw) - 1)
-    hard = hard.withColumns(blocks(F.col("_pos"))).drop("_pos")
-    return easy.unionByName(hard).drop("_n", "_first", "_straddle")
-
 
-def exact_positions(df: DataFrame, order_cols: list[str], part_cols: list[str] | None = None,
-                    out: str = "position") -> DataFrame:
-    """0-based position of every row (ranks every coarse-key group)."""
-    part_cols = part_cols or []
-    key, rest = order_cols[0], order_cols[1:]
-    counts = df.groupBy(*part_cols, key).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*part_cols).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long"))
-    rw = Window.partitionBy(*part_cols, key).orderBy(*_tie_order(df, rest))
-    return (_null_safe_join(df, counts, [*part_cols, key])
-            .withColumn(out, F.col("_first") + F.row_number().over(rw) - 1).drop("_n", "_first"))
+from ..session import checkpoint_dir
+
+_PART, _TIE, _NUMBER = "_order_part", "_order_tie", "_order_number"
+
+
+class OrderedRows:
+    """``rows`` in ascending order of ``order_cols`` (nulls first)."""
+
+    def __init__(self, df: DataFrame, order_cols: list[str], partitions: int | None = None):
+        spark = df.sparkSession
+        self.columns, self.order = df.columns, [*order_cols, _TIE, _NUMBER]
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keyed = (df.withColumn(_TIE, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+                 .withColumn(_NUMBER, F.monotonically_increasing_id()))
+        placed = keyed.repartitionByRange(n, *self.order).withColumn(_PART, F.spark_partition_id())
+        path = f"{checkpoint_dir(spark).rstrip('/')}/ordered-{uuid.uuid4().hex}"
+        placed.write.parquet(path)
+        self.rows = spark.read.schema(placed.schema).parquet(path)
+        counts = {r[_PART]: r["n"] for r in self.rows.groupBy(_PART).agg(F.count("*").alias("n")).collect()}
+        self.first, at = {}, 0
+        for part in sorted(counts):
+            self.first[part] = (at, at + counts[part])
+            at += counts[part]
+        self.n = at
+
+    def blocks(self, cuts: dict[str, list[int]]) -> DataFrame:
+        """For each ``name -> cuts`` a column with the number of cuts at or
+        below the row's 0-based position (with ``[k]``, positions 0..k-1 get 0)."""
+        inside = sorted({p for p, (a, b) in self.first.items() for own in cuts.values() for c in own if a < c < b})
+        if not self.first:
+            return self.rows.withColumns({name: F.lit(0) for name in cuts}).select(*[f"`{c}`" for c in self.columns], *cuts)
+        first = F.create_map(*[F.lit(x).cast("long") for p, (a, _) in self.first.items() for x in (p, a)])
+        start = first[F.col(_PART).cast("long")]
+        whole = self.rows.filter(~F.col(_PART).isin(inside)).withColumn("_position", start)
+        split = self.rows.filter(F.col(_PART).isin(inside)).withColumn(
+            "_position", start + F.row_number().over(Window.partitionBy(_PART).orderBy(*self.order)) - 1)
+        rows = whole.unionByName(split) if inside else whole
+        return rows.select(*[f"`{c}`" for c in self.columns],
+                           *[_count(own).alias(name) for name, own in cuts.items()])
+
+
+def _count(cuts: list[int]) -> Column:
+    out = F.lit(0)
+    for c in cuts:
+        out = out + (F.col("_position") >= F.lit(c)).cast("int")
+    return out

@@ -16,6 +16,9 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .quantiles import exact_quantiles
 
 
 def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -23,18 +26,19 @@ def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*cols).summary()
 
 
-def median_columns(df: DataFrame, cols: list[str]):
-    return [F.median(F.col(c).cast("double")).alias(c) for c in cols]
+def median_values(df: DataFrame, cols: list[str], all_missing_fill: float | None = None) -> dict[str, float | None]:
+    """Exact median per column, by distributed selection (no task holds a
+    column). Not ``ml.feature.Imputer``: its median of 1,2,4,9 is 2.0
+    (approximate, lower) and it fails on an all-missing column."""
+    found = exact_quantiles(df, cols, [0.5])
+    return {c: all_missing_fill if found[c, 0.5] is None else found[c, 0.5] for c in cols}
 
 
 def column_medians(df: DataFrame, cols: list[str], all_missing_fill: float | None = None) -> DataFrame:
-    """Exact median per column (one aggregate). Not ``ml.feature.Imputer``:
-    its median of 1,2,4,9 is 2.0 (approximate, lower) and it fails on an
-    all-missing column."""
-    row = df.agg(*median_columns(df, cols))
-    if all_missing_fill is not None:
-        row = row.select(*[F.coalesce(F.col(c), F.lit(all_missing_fill)).alias(c) for c in cols])
-    return row
+    """A11 as a table of one row."""
+    found = median_values(df, cols, all_missing_fill)
+    schema = StructType([StructField(c, DoubleType()) for c in cols])
+    return df.sparkSession.createDataFrame([tuple(found[c] for c in cols)], schema)
 
 
 def column_mean_scale(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -69,8 +73,8 @@ class Preprocess:
 def fit_preprocess(train: DataFrame, cols: list[str], all_missing_fill: float = 0.0) -> Preprocess:
     """M2: median impute then standardise, parameters from ``train`` only.
     The scaler sees the imputed column (as in an impute -> scale pipeline)."""
-    med_row = column_medians(train, cols, all_missing_fill).first()
-    meds = [float(med_row[c]) for c in cols]
+    found = median_values(train, cols, all_missing_fill)
+    meds = [float(found[c]) for c in cols]
     imputed = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(cols, meds)])
     stats = {r["feature"]: r for r in column_mean_scale(imputed, cols).collect()}
     means = [float(stats[c]["mean"]) if stats[c]["mean"] is not None else 0.0 for c in cols]
@@ -85,10 +89,10 @@ def impute_and_scale(df: DataFrame, p: Preprocess, keep: list[str]) -> DataFrame
 # ---------------------------------------------------------------- S7
 def flatten_nested_samples(df: DataFrame, array_col: str, width: int, keep: list[str],
                            prefix: str | None = None) -> DataFrame:
-    """A fixed-width array column -> indexed columns ``{prefix}_{i:02d}``
+    """A fixed-width array column -> indexed columns ``{prefix}_{i}``
     (``element_at``; the array is not exploded, so rows stay rows)."""
     p = prefix or array_col
-    return df.select(*keep, *[F.element_at(F.col(array_col), i + 1).cast("double").alias(f"{p}_{i:02d}")
+    return df.select(*keep, *[F.element_at(F.col(array_col), i + 1).cast("double").alias(f"{p}_{i}")
                               for i in range(width)])
 
 
@@ -111,10 +115,25 @@ def flatten_struct(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*cols)
 
 
+# Names of a payload's time array, in order of preference.
+TIME_KEYS = ["time", "times", "timestamp", "timestamps", "t", "sec", "seconds"]
+
+
 def parallel_arrays_to_rows(df: DataFrame, arrays: list[str], keep: list[str], time_col: str | None = None) -> DataFrame:
     """Parallel 1-D arrays -> one row per position (``arrays_zip`` +
-    ``posexplode``); time = the named array, else the position."""
-    z = F.arrays_zip(*[F.col(a) for a in arrays])
+    ``posexplode``); time = the named array, else the first of the usual time
+    names, else the position. A payload's rows are as many as its time array
+    has values, without one as most of its arrays have (of equally common
+    lengths the first); arrays of another length are dropped (null)."""
+    time_col = time_col or next((t for t in TIME_KEYS if t in arrays), None)
+    if time_col:
+        n = F.size(time_col)
+    else:
+        alike = lambda a: sum(((F.size(a) == F.size(b)).cast("int") for b in arrays), F.lit(0))
+        n = F.array_max(F.array(*[F.struct(alike(a).alias("often"), F.lit(-i).alias("place"), F.size(a).alias("n"))
+                                  for i, a in enumerate(arrays)]))["n"]
+    z = F.arrays_zip(*[F.when(F.size(a) == n, F.col(a)).otherwise(
+        F.array_repeat(F.lit(None), n).cast(df.schema[a].dataType)).alias(a) for a in arrays])
     out = df.select(*keep, F.posexplode(z).alias("_pos", "_z"))
     cols = [F.col(f"_z.{a}").alias(a) for a in arrays]
     t = F.col(f"_z.{time_col}") if time_col else F.col("_pos").cast("double")
@@ -176,7 +195,7 @@ def apply_encoder(df: DataFrame, enc: WindowEncoder, keep: list[str], prefix: st
     aligned = df.select(*keep, *[F.col(c).cast("double").alias(c) if c in present
                                  else F.lit(None).cast("double").alias(c) for c in cols])
     if fill_from_table:
-        med = column_medians(aligned, cols, all_missing_fill=0.0).first()
+        med = median_values(aligned, cols, all_missing_fill=0.0)
         aligned = aligned.select(*keep, *[F.coalesce(F.col(c), F.lit(float(med[c]))).alias(c) for c in cols])
     scaled = aligned.select(*keep, *enc.pre.columns())
     vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(scaled)

@@ -14,26 +14,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashrand import hash32, mix_uniform, poisson1_from_uniform
+from ..functions.hashrand import hash_words, mix_uniform, poisson1_from_uniform
 from .metrics import classification_metrics, confusion_matrix
 
 
 def row_key(cols: list[str]) -> Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    """The key as text; a null is written out, so that keys that differ only
+    in where a null stands stay apart."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in cols])
 
 
 def bootstrap_replicates(df: DataFrame, y: str, yhat: str, key_cols: list[str], n_boot: int = 1000,
                          seed: int = 42) -> DataFrame:
     """E2, per-replicate metrics: each row gets a Poisson(1) weight per
     replicate; rows with weight 0 drop out. One md5 per row (key|seed) gives a
-    32-bit seed, mixed with the replicate number by an integer hash, so the
+    64-bit seed, mixed with the replicate number by an integer hash, so the
     per-(row, replicate) cost is a few integer operations. The exploded rows
     are reduced map-side to (replicate, y, yhat) cells: the shuffle is
     B x classes^2 rows per task whatever the table size."""
-    base = df.select(y, yhat, hash32(F.concat_ws("|", row_key(key_cols), F.lit(str(seed)))).alias("_h"))
+    low, high = hash_words(F.concat_ws("|", row_key(key_cols), F.lit(str(seed))))
+    base = df.select(y, yhat, low.alias("_low"), high.alias("_high"))
     reps = base.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     # ``u`` gets its own projection: the inverse-CDF CASE reads it up to 16 times.
-    weighted = (reps.withColumn("_u", mix_uniform(F.col("_h"), F.col("replicate")))
+    weighted = (reps.withColumn("_u", mix_uniform((F.col("_low"), F.col("_high")), F.col("replicate")))
                 .withColumn("w", poisson1_from_uniform(F.col("_u"))).filter(F.col("w") > 0))
     cm = confusion_matrix(weighted, y, yhat, ["replicate"], weight="w")
     return classification_metrics(cm, ["replicate"])
@@ -53,7 +56,7 @@ def bootstrap_ci(df: DataFrame, y: str, yhat: str, key_cols: list[str], n_boot:
 # column's stream number (2i for the mask / first normal draw, 2i+1 for the
 # second draw) by the integer hash — a few integer operations per cell.
 def cell_uniforms(key: Column, seed: int, cols: list[str]) -> dict[str, tuple[Column, Column]]:
-    h = hash32(F.concat_ws("|", key, F.lit(str(seed))))
+    h = hash_words(F.concat_ws("|", key, F.lit(str(seed))))
     return {c: (mix_uniform(h, F.lit(2 * i)), mix_uniform(h, F.lit(2 * i + 1))) for i, c in enumerate(cols)}
 
 

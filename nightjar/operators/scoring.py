@@ -90,7 +90,7 @@ def score_linear_contract(df: DataFrame, c: LinearContract, threshold: float | N
 
 
 def score_contracts_long(features_long: DataFrame, contracts: DataFrame, intercepts: DataFrame,
-                         row_key: list[str], broadcast_limit: int = 1_000_000) -> DataFrame:
+                         row_key: list[str]) -> DataFrame:
     """R1 for many contracts at once, in long form.
 
     ``features_long``: ``(row_key..., feature, value)``; ``contracts``:
@@ -98,22 +98,25 @@ def score_contracts_long(features_long: DataFrame, contracts: DataFrame, interce
     ``(contract_id, intercept)``. One equi-join on ``feature`` and one
     aggregate per (row, contract). A feature a row lacks contributes
     ``coef * (median - mean) / scale``: that all-missing total is computed per
-    contract and each present feature replaces its share.
-
-    The contract table is broadcast only when its row count (features x
-    contracts, a model-parameter table) is within ``broadcast_limit``.
+    contract and each present feature replaces its share. Every row is scored
+    by every contract, also one without any known feature (on medians alone):
+    each row and each contract enter the join with one null feature.
+    Join sides are left to AQE's measured sizes.
     """
     scale = F.when(F.col("scale") == 0, F.lit(1.0)).otherwise(F.col("scale"))
     c = contracts.withColumn("_miss", F.col("coef") * (F.col("median") - F.col("mean")) / scale)
-    small = contracts.count() <= broadcast_limit
-    cj = F.broadcast(c) if small else c
-    joined = features_long.join(cj, "feature", "inner")
-    delta = (F.col("coef") * (F.coalesce(to_numeric_or_null("value"), F.col("median")) - F.col("mean")) / scale
-             - F.col("_miss"))
-    per = joined.groupBy(*row_key, "contract_id").agg(F.sum(delta).alias("_delta"))
     base = c.groupBy("contract_id").agg(F.sum("_miss").alias("_all_missing")).join(intercepts, "contract_id")
-    bj = F.broadcast(base) if small else base
-    out = per.join(bj, "contract_id", "inner").withColumn(
+    terms = c.select("contract_id", F.col("feature").alias("_feature"), "median", "mean", scale.alias("scale"), "coef", "_miss")
+    none = F.lit(None).cast("double")
+    terms = terms.unionByName(base.select("contract_id", F.lit(None).cast("string").alias("_feature"),
+                                          *[none.alias(x) for x in ("median", "mean", "scale", "coef", "_miss")]))
+    values = features_long.where(F.col("feature").isNotNull()).select(*row_key, "feature", to_numeric_or_null("value").alias("value"))
+    values = values.unionByName(features_long.select(*row_key).distinct().select(
+        *row_key, F.lit(None).cast("string").alias("feature"), none.alias("value")))
+    delta = (F.col("coef") * (F.coalesce("value", "median") - F.col("mean")) / F.col("scale") - F.col("_miss"))
+    per = (values.join(terms, F.col("feature").eqNullSafe(F.col("_feature")))
+           .groupBy(*row_key, "contract_id").agg(F.coalesce(F.sum(delta), F.lit(0.0)).alias("_delta")))
+    out = per.join(base, "contract_id", "inner").withColumn(
         "logit", F.col("intercept") + F.col("_all_missing") + F.col("_delta"))
     return out.withColumn("p1", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))).drop(
         "_delta", "_all_missing", "intercept")
@@ -175,19 +178,22 @@ MIN_GAIN, MAX_SHIFT, DEFAULT_THRESHOLD = 0.02, 0.1, 0.5
 
 def deployment_threshold_gate(sweep: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Keep the tuned threshold only when it gains >= 0.02 weighted F1 over
-    0.5 and lies within 0.1 of 0.5; otherwise 0.5, with the reason."""
+    0.5 and lies within 0.1 of 0.5; otherwise 0.5, with the reason. The upper
+    end of that range is open: the grid's value for 0.60 is a trace above it.
+    Without groups an empty sweep gives one row, ``fallback_no_tuning``; so
+    does a group without a best or a default threshold."""
     g = group_cols or []
-    best = sweep.filter("is_best").select(*g, F.col("threshold").alias("tuned_threshold"),
-                                           F.col("t_int").alias("_tuned_int"),
-                                           F.col("weighted_f1").alias("tuned_weighted_f1"))
-    default = sweep.filter(F.col("t_int") == 50).select(*g, F.col("weighted_f1").alias("default_weighted_f1"))
-    # Without groups both sides are one row: the default is a scalar subquery
-    # rather than a key-less join.
-    j = best.join(default, g, "inner") if g else best.withColumn("default_weighted_f1", default.scalar())
+    best, default = F.col("is_best"), F.col("t_int") == 50
+    pick = lambda where, c: F.max(F.when(where, F.col(c)))
+    j = (sweep.groupBy(*g) if g else sweep.groupBy()).agg(
+        pick(best, "threshold").alias("tuned_threshold"), pick(best, "t_int").alias("_tuned_int"),
+        pick(best, "weighted_f1").alias("tuned_weighted_f1"), pick(default, "weighted_f1").alias("default_weighted_f1"))
     gain = F.col("tuned_weighted_f1") - F.col("default_weighted_f1")
-    shift = F.abs(F.col("_tuned_int") - F.lit(50)) / F.lit(100.0)
-    reason = (F.when(gain < F.lit(MIN_GAIN), F.lit(f"fallback_gain_lt_{MIN_GAIN:.2f}"))
-              .when(shift > F.lit(MAX_SHIFT) + F.lit(1e-12), F.lit(f"fallback_shift_gt_{MAX_SHIFT:.2f}"))
+    lowest, above = round(100 * (DEFAULT_THRESHOLD - MAX_SHIFT)), round(100 * (DEFAULT_THRESHOLD + MAX_SHIFT))
+    near = (F.col("_tuned_int") >= lowest) & (F.col("_tuned_int") < above)
+    reason = (F.when(gain.isNull(), F.lit("fallback_no_tuning"))
+              .when(gain < F.lit(MIN_GAIN), F.lit(f"fallback_gain_lt_{MIN_GAIN:.2f}"))
+              .when(~near, F.lit(f"fallback_shift_gt_{MAX_SHIFT:.2f}"))
               .otherwise(F.lit("accepted_tuned_threshold")))
     return j.withColumn("delta_weighted_f1", gain).withColumn("reason", reason).withColumn(
         "deployment_threshold",

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.clean import to_numeric_or_null
-from .positions import exact_positions
 
 SUBJECT, DATASET, WINDOW, TIME = "subject_id", "dataset_name", "window_index", "time_s"
 GROUP = [SUBJECT, DATASET]
@@ -33,7 +32,7 @@ STEP_STATS = ["mean", "std", "min", "max", "sum", "count"]
 
 # ---------------------------------------------------------------- P10 / P12 / P14
 def clean_name(name: str) -> str:
-    return re.sub(r"\s+", "_", name.strip().lower())
+    return name.strip().lower().replace(" ", "_")
 
 
 def standardize_columns(df: DataFrame, keep_non_numeric: bool = False) -> tuple[DataFrame, str]:
@@ -247,43 +246,6 @@ def match_subject_files(files: DataFrame) -> DataFrame:
     return files.groupBy(SUBJECT, "kind").agg(F.min("path").alias("path"))
 
 
-# ---------------------------------------------------------------- W8 / W9
-def systematic_downsample(df: DataFrame, scope: list[str], order_col: str, tie: str,
-                          max_rows: int = 1_000_000, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """A scope with more than ``max_rows`` rows keeps every
-    ceil(n / max_rows)-th row in time order.
-
-    Positions come from per-(scope, time bucket) counts plus ranks inside a
-    bucket, never a whole scope: each big scope's time span is cut into
-    about n / ``rows_per_bucket`` equal-width buckets from its own count and
-    span (one aggregate), so a subject with a third of all rows is ranked
-    in many tasks."""
-    stats = df.groupBy(*scope).agg(F.count(F.lit(1)).alias("_scope_n"),
-                                   F.min(order_col).cast("double").alias("_t0"),
-                                   F.max(order_col).cast("double").alias("_t1"))
-    d = df.join(stats, scope, "inner")
-    small = d.filter(F.col("_scope_n") <= max_rows).drop("_scope_n", "_t0", "_t1")
-    n_buckets = F.greatest(F.lit(1.0), F.ceil(F.col("_scope_n") / F.lit(float(rows_per_bucket))).cast("double"))
-    width = F.greatest((F.col("_t1") - F.col("_t0")) / n_buckets, F.lit(1e-9))
-    big = d.filter(F.col("_scope_n") > max_rows).withColumn(
-        "_bucket", F.floor((F.col(order_col).cast("double") - F.col("_t0")) / width).cast("long"))
-    big = exact_positions(big, ["_bucket", order_col, tie], part_cols=scope, out="_pos")
-    stride = F.ceil(F.col("_scope_n") / F.lit(float(max_rows))).cast("long")
-    big = big.filter(F.pmod(F.col("_pos"), stride) == 0).drop("_scope_n", "_t0", "_t1", "_bucket", "_pos")
-    return small.unionByName(big)
-
-
-def cap_subjects(df: DataFrame, max_subjects: int | None, subject_col: str = SUBJECT) -> DataFrame:
-    """Only the first N subjects in sorted order (off when None). The rank
-    runs over the distinct subject list; the data side is a semi join."""
-    if not max_subjects:
-        return df
-    subjects = df.select(subject_col).distinct()
-    keep = subjects.withColumn("_r", F.dense_rank().over(Window.orderBy(subject_col))).filter(
-        F.col("_r") <= max_subjects).select(subject_col)
-    return df.join(keep, subject_col, "left_semi")
-
-
 # ---------------------------------------------------------------- U1 / A9 / K1
 def union_window_tables(tables: list[DataFrame]) -> DataFrame:
     """Stack window tables with differing columns (missing -> null)."""

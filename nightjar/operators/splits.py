@@ -1,27 +1,22 @@
 """W6 chronological_split and W7 walk_forward_folds.
 
-Both are cuts of one total order (time, then a unique tie-break), computed
-with ``positions.position_blocks``: no unpartitioned window over data rows.
+Both are cuts of one total order (time, then tie-breaks) of rows that are
+written once in that order (``positions.OrderedRows``): no window over data
+rows beyond the partitions that a cut falls into, and no hot key.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import position_blocks
+from .positions import OrderedRows
 
 
 def chronological_split(df: DataFrame, order_cols: list[str], train_fraction: float = 0.7,
-                        out: str = "split", n: int | None = None) -> DataFrame:
-    """First ``int(train_fraction * n)`` rows in order -> 'train', rest 'test'.
-
-    ``n`` (the row count) is one number; it is computed with one job when not
-    given, so the cut is a literal in the plan rather than a subquery that
-    every consumer re-runs.
-    """
-    n = df.count() if n is None else n
-    k = int(n * train_fraction)
-    blocks = position_blocks(df, order_cols, {"_blk": [F.lit(k)]}, total_rows=n)
+                        out: str = "split") -> DataFrame:
+    """First ``int(train_fraction * n)`` rows in order -> 'train', rest 'test'."""
+    rows = OrderedRows(df, order_cols)
+    blocks = rows.blocks({"_blk": [int(rows.n * train_fraction)]})
     return blocks.withColumn(out, F.when(F.col("_blk") == 0, F.lit("train")).otherwise(F.lit("test"))).drop("_blk")
 
 
@@ -41,14 +36,12 @@ def walk_forward_folds(df: DataFrame, order_cols: list[str], label_col: str,
     (>= 2 distinct labels) is used; rows carry ``test_fold`` and ``n_folds``
     (both null when no k is valid).
 
-    Blocks for every candidate k come out of one ``position_blocks`` pass.
     Class presence per (k, block) is ONE global aggregate row (min and max of
-    the label per block — partial aggregates, no distinct expansion); the
-    choice of k is made from that row on the driver.
+    the label per block — partial aggregates, no distinct expansion) over the
+    ordered rows, which the result then reads again; nothing is cut twice.
     """
-    n = df.count()
-    res = position_blocks(df, order_cols, {f"_b{k}": [F.lit(c) for c in fold_cuts(n, k)] for k in candidates},
-                          total_rows=n)
+    rows = OrderedRows(df, order_cols)
+    res = rows.blocks({f"_b{k}": fold_cuts(rows.n, k) for k in candidates})
     agg_exprs = []
     for k in candidates:
         blk = F.col(f"_b{k}") - 1
@@ -65,5 +58,8 @@ def walk_forward_folds(df: DataFrame, order_cols: list[str], label_col: str,
         if ok:
             chosen = k
             break
-    fold = (F.col(f"_b{chosen}") - 1).cast("int") if chosen else F.lit(None).cast("int")
-    return res.withColumns({out: fold, "n_folds": F.lit(chosen).cast("int")}).drop(*[f"_b{k}" for k in candidates])
+    if chosen:
+        res = rows.blocks({"_b": fold_cuts(rows.n, chosen)})
+        return res.withColumns({out: (F.col("_b") - 1).cast("int"), "n_folds": F.lit(chosen)}).drop("_b")
+    return res.withColumns({out: F.lit(None).cast("int"), "n_folds": F.lit(None).cast("int")}).drop(
+        *[f"_b{k}" for k in candidates])

@@ -116,45 +116,19 @@ def q_stage_codes(spark, sf):
 # The on-device rules, per subject: 3-day lookback before the subject's own
 # latest record (P20), non-user-entered preferred (P21), latest night (W10),
 # watch sources preferred within the night (P13, P21), segments <= 0 minutes
-# dropped (P4), numeric stage codes (P6), zero-filled ratios (P24); samples
+# left out of the minute sums (P4), numeric stage codes (P6), zero-filled ratios (P24); samples
 # strictly inside the night (J2), preferred the same way per night and metric,
 # finite only (P22), with count, sources and watch share (A4).
 def device_nights(spark, sf):
-    ev = B.table(spark, sf, "events")
-    rec = B.sleep_records(ev)
-    seg = N.sleep_segments(rec)
-    seg = N.source_flags(seg, "source_name", "metadata")
-    seg = N.sleep_stage_codes(seg, "value_code")
-    as_of = seg.groupBy("subject_id").agg(F.max("start_ts").alias("as_of"))
-    seg = seg.join(as_of, "subject_id").transform(lambda d: N.recent_lookback(d, F.col("as_of"), 3))
-    seg = N.prefer_with_fallback(seg, ["subject_id"], ~F.col("is_user_entered"))
-    seg = N.latest_night_per_subject(seg)
-    seg = N.prefer_with_fallback(seg, ["subject_id", "night_date"], F.col("is_watch"))
-    seg = N.drop_nonpositive_intervals(seg)
-    return N.night_sleep_summary(seg, zero_fill=True)
+    seg = N.sleep_segments(B.sleep_records(B.table(spark, sf, "events")))
+    return N.device_nights(N.sleep_stage_codes(N.source_flags(seg, "source_name", "metadata"), "value_code"))
 
 
 def device_metric_stats(spark, sf):
     nights = device_nights(spark, sf).select("subject_id", "night_date", "sleep_start", "sleep_end")
     s = N.source_flags(_samples(spark, sf), "source_name", "metadata")
-    # One row per subject on the night side (the latest night), so the
-    # subject key plus the range predicate cannot fan out.
-    hits = nights.join(s, [nights.subject_id == s.subject_id, s.ts >= nights.sleep_start,
-                           s.end_ts <= nights.sleep_end], "inner").drop(s.subject_id)
-    scope = ["subject_id", "night_date", "metric"]
-    h = N.prefer_two_levels(hits, scope, ~F.col("is_user_entered"), F.col("is_watch"))
-    v = F.when(F.col("_chosen"), finite_or_null("value"))
-    stats = h.groupBy(*scope).agg(
-        *N.metric_stat_columns("m", v),
-        F.count(v).alias("_finite"),
-        F.count_if(F.col("_chosen")).alias("sample_count"),
-        F.try_divide(F.count_if(F.col("_usable") & F.col("is_watch")).cast("double"),
-                     F.count_if(F.col("_usable")).cast("double")).alias("watch_share"),
-        # Sorted distinct source names joined as the device shows them.
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_chosen"), F.col("source_name")))), ", ")
-        .alias("sources"))
-    # A metric without finite selected values is absent (as on the device).
-    return stats.filter(F.col("_finite") > 0).drop("_finite")
+    return N.preferred_sample_stats(N.samples_in_nights(nights, s, strict=True), ["subject_id", "night_date", "metric"],
+                                    finite_or_null("value"))
 
 
 _DEV_SEG_SQL = f"""
@@ -171,14 +145,13 @@ s2 AS (SELECT * FROM s1 WHERE NOT is_user_entered
 s3 AS (SELECT * FROM s2 WHERE (subject_id, night_date) IN (SELECT subject_id, max(night_date) FROM s2 GROUP BY 1)),
 s4 AS (SELECT * FROM s3 WHERE is_watch
          OR (subject_id, night_date) IN (SELECT subject_id, night_date FROM s3 GROUP BY 1, 2 HAVING NOT bool_or(is_watch))),
-s5 AS (SELECT * FROM s4 WHERE duration_min > 0),
 n AS (SELECT subject_id, night_date, min(start_ts) AS sleep_start, max(end_ts) AS sleep_end,
-       sum(CASE WHEN c_in_bed THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS in_bed_minutes,
-       sum(CASE WHEN c_rem THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS rem_minutes,
-       sum(CASE WHEN c_deep THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS deep_minutes,
-       sum(CASE WHEN c_core THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS core_minutes,
-       sum(CASE WHEN c_asleep THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS asleep_minutes
-      FROM s5 GROUP BY 1, 2)
+       sum(CASE WHEN c_in_bed AND duration_min > 0 THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS in_bed_minutes,
+       sum(CASE WHEN c_rem AND duration_min > 0 THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS rem_minutes,
+       sum(CASE WHEN c_deep AND duration_min > 0 THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS deep_minutes,
+       sum(CASE WHEN c_core AND duration_min > 0 THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS core_minutes,
+       sum(CASE WHEN c_asleep AND duration_min > 0 THEN duration_min ELSE CAST(0 AS DOUBLE) END) AS asleep_minutes
+      FROM s4 GROUP BY 1, 2)
 SELECT subject_id, night_date, sleep_start, sleep_end, in_bed_minutes, rem_minutes, deep_minutes, core_minutes,
        asleep_minutes, {_pct_sql(zero_fill=True)} FROM n"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashrand import hash32_sql, mix_uniform_sql, poisson1_sql
+from ..functions.hashrand import draws_sql, hash_words_sql, poisson1_sql
 from ..operators import metrics as M
 from ..operators import nights as N
 from ..operators import robust as E
@@ -50,7 +50,7 @@ def hash_u_sql(key_sql: str) -> str:
 
 
 def key_sql(cols=KEYS) -> str:
-    return "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in cols) + ")"
 
 
 # ------------------------------------------------------------------ R1 / A13 / A14 / E1
@@ -315,12 +315,12 @@ N_BOOT = 500  # the phase runner's replicate count
 
 
 def _boot_sql(n_boot=N_BOOT, seed=42):
-    h = hash32_sql(f"concat_ws('|', {key_sql()}, '{seed}')")
+    low, high = hash_words_sql(f"concat_ws('|', {key_sql()}, '{seed}')")
     w = poisson1_sql("u")
+    rows = (f"SELECT * FROM (SELECT target AS y, predicted_label AS yhat, {low} AS low, {high} AS high "
+            f"FROM ({B.PREDICTIONS_SQL}) p) p2, range({n_boot}) t(r)")
     cm = (f"SELECT r AS replicate, y, yhat, sum(w) AS n FROM (SELECT r, y, yhat, CAST({w} AS DOUBLE) AS w FROM "
-          f"(SELECT r, y, yhat, {mix_uniform_sql('h', 'r')} AS u FROM "
-          f"(SELECT target AS y, predicted_label AS yhat, {h} AS h FROM ({B.PREDICTIONS_SQL}) p) p2, "
-          f"range({n_boot}) t(r)) x0) x WHERE w > 0 GROUP BY ALL")
+          f"({draws_sql(rows, 'low', 'high', 'r')}) x0) x WHERE w > 0 GROUP BY ALL")
     return f"""SELECT avg(weighted_f1) AS mean, stddev_pop(weighted_f1) AS std,
  quantile_cont(weighted_f1, 0.025) AS ci95_low, quantile_cont(weighted_f1, 0.975) AS ci95_high,
  count(*) AS replicates FROM ({metrics_sql(cm, ['replicate'])}) m"""
@@ -331,11 +331,6 @@ def q_boot(spark, sf):
     return presentable(E.bootstrap_ci(_preds(spark, sf), "target", "predicted_label", KEYS, N_BOOT))
 
 
-def _cell_u_sql(i: int) -> str:
-    h = hash32_sql(f"concat_ws('|', {key_sql()}, '42')")
-    return mix_uniform_sql(h, str(i))
-
-
 @register("bootstrap_ci_multinomial", op_ids="E2")
 def q_boot_multinomial(spark, sf):
     # Same law as the reference's resampling; numpy draws, so no SQL oracle
@@ -346,15 +341,19 @@ def q_boot_multinomial(spark, sf):
 def _corrupt_sql(kind: str, level: float) -> str:
     feats = B.MODEL_FEATURES
     parts = []
+    low, high = hash_words_sql(f"concat_ws('|', {key_sql()}, '42')")
+    source = f"SELECT *, {low} AS _low, {high} AS _high FROM ({B.MODEL_ROWS_SQL}) m"
+    for i in range(2 * len(feats)):
+        source = draws_sql(source, "_low", "_high", str(i), f"_u{i}")
     for i, c in enumerate(feats):
-        u1, u2 = _cell_u_sql(2 * i), _cell_u_sql(2 * i + 1)
+        u1, u2 = f"_u{2 * i}", f"_u{2 * i + 1}"
         if kind == "missingness":
             parts.append(f"CASE WHEN {u1} < {level!r} THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}")
         else:
             std = f"(SELECT CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END FROM lineitem)"
             z = f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos(2 * pi() * {u2}))"
             parts.append(f"CAST({c} AS DOUBLE) + {z} * {std} * {level!r} AS {c}")
-    return f"SELECT {', '.join(KEYS)}, target, {', '.join(parts)} FROM ({B.MODEL_ROWS_SQL}) m"
+    return f"SELECT {', '.join(KEYS)}, target, {', '.join(parts)} FROM ({source}) m"
 
 
 @register("corrupt_missing", op_ids="E3",

@@ -134,10 +134,8 @@ def q_notes(spark, sf):
 
 
 # ------------------------------------------------------------------ PPG-like archive (orders)
-def _ppg_windows(spark, sf, max_subjects=None):
+def _ppg_windows(spark, sf):
     s = B.order_samples(B.table(spark, sf, "orders"))
-    s = Z.cap_subjects(s, max_subjects)
-    s = Z.systematic_downsample(s, Z.GROUP, "time_s", "ingest_seq")
     chans = Z.numeric_channels(s)
     target = Z.target_column(s)
     extra = {"target_": ([target], Z.WINDOW_STATS)} if target else None
@@ -149,7 +147,7 @@ PPG_SQL = (f"SELECT *, window_index * {W!r} AS window_start_s, window_index * {W
 _PPG_DOUBLES = _dbl("sig_", ["price"], Z.WINDOW_STATS) + ["window_start_s", "window_end_s"]
 
 
-@register("ppg_window_table", op_ids="F9 W8", sql=oracle_wrap(PPG_SQL, _PPG_DOUBLES))
+@register("ppg_window_table", op_ids="F9", sql=oracle_wrap(PPG_SQL, _PPG_DOUBLES))
 def q_ppg(spark, sf):
     return presentable(_ppg_windows(spark, sf))
 
@@ -167,22 +165,6 @@ def q_target(spark, sf):
     return presentable(Z.tumbling_window_stats(s, ["hr", "y"], W, "sig_", extra={"target_": ([t], Z.WINDOW_STATS)}))
 
 
-@register("cap_subjects", op_ids="W9",
-          sql=f"""SELECT {GK}, time_s, price FROM ({B.ORDER_SAMPLES_SQL}) o
- WHERE subject_id IN (SELECT subject_id FROM (SELECT DISTINCT subject_id FROM ({B.ORDER_SAMPLES_SQL}) x)
-                      ORDER BY subject_id LIMIT 3)""")
-def q_cap(spark, sf):
-    s = B.order_samples(B.table(spark, sf, "orders"))
-    return Z.cap_subjects(s, 3).select(*Z.GROUP, "time_s", "price")
-
-
-@register("systematic_downsample", op_ids="W8",
-          sql=f"SELECT {GK}, time_s, ingest_seq FROM ({B.SENSOR_BASE_SQL}) b")
-def q_downsample(spark, sf):
-    return Z.systematic_downsample(_base(spark, sf), Z.GROUP, "time_s", "ingest_seq").select(
-        *Z.GROUP, "time_s", "ingest_seq")
-
-
 def _union(spark, sf):
     return Z.union_window_tables([_assembled(spark, sf)[0], _ppg_windows(spark, sf)])
 

@@ -65,13 +65,19 @@ def q_write(spark, sf):
 
 
 @register("read_sensor_text", op_ids="S4",
-          sql=f"SELECT time_s, x, y FROM ({B.SENSOR_BASE_SQL}) b")
+          sql=f"""SELECT time_s, CASE WHEN ingest_seq % 7 = 0 AND ingest_seq % 3 <> 1 THEN NULL ELSE x END AS x, y
+FROM ({B.SENSOR_BASE_SQL}) b""")
 def q_text(spark, sf):
     base = B.sensor_base(B.table(spark, sf, "events"))
     sep = F.when(F.col("ingest_seq") % 3 == 0, F.lit(",")).when(F.col("ingest_seq") % 3 == 1, F.lit(" ")) \
         .otherwise(F.lit(";"))
-    lines = base.select(F.concat_ws("", F.col("time_s").cast("string"), sep, F.col("x").cast("string"), sep,
-                                    F.coalesce(F.col("y").cast("string"), F.lit("nan"))).alias("value"))
+    # Blanks and short lines: a missing y ends the line after its separator or
+    # (every other such line) before it, and some delimited lines lack x.
+    blank_x = (F.col("ingest_seq") % 7 == 0) & (F.col("ingest_seq") % 3 != 1)
+    end = F.when(F.col("y").isNotNull(), F.concat(sep, F.col("y").cast("string"))).when(
+        F.col("ingest_seq") % 2 == 0, sep).otherwise("")
+    lines = base.select(F.concat(F.col("time_s").cast("string"), sep, F.when(blank_x, "").otherwise(F.col("x").cast("string")),
+                                 end).alias("value"))
     extra = base.select(F.col("subject_id")).distinct().select(
         F.explode(F.array(F.lit("# exported samples"), F.lit("time_s,x,y"))).alias("value"))
     path = S.scratch_path(spark, "sensor-text")

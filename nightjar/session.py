@@ -6,7 +6,7 @@ entry points, tests and the bench.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,17 +61,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     On a cluster this is ``spark.checkpoint.dir`` as set by the operator of the
-    cluster. Only when it is unset (tests, local runs) do we pick a scratch
-    folder ourselves.
+    cluster. Where it is unset, a folder under the home folder of Hadoop's
+    default file system is taken and deleted when the session ends; a cluster
+    whose default file system is local to each machine has no shared folder,
+    which is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
-    local = tempfile.mkdtemp(prefix="nightjar-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc = spark.sparkContext
+    fs = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file" and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    path = sc._jvm.org.apache.hadoop.fs.Path(fs.getHomeDirectory(), f".nightjar/{uuid.uuid4().hex}")
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    spark.conf.set("spark.checkpoint.dir", path.toString())
+    sc.setCheckpointDir(path.toString())
+    return path.toString()
 
 
 def cut_lineage(df):

@@ -124,12 +124,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_sensor_text(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
     """Delimited numeric samples (whitespace, comma, tab or semicolon),
     ``#`` comment lines and header lines dropped; columns declared per
-    stream (e.g. time,x,y,z) instead of sniffed per file. Each row keeps its
+    stream (e.g. time,x,y,z) instead of sniffed per file. One comma or
+    semicolon, with the space around it, ends one field, so an empty field is
+    a missing value; a short line lacks its last values; fields beyond the
+    declared ones are ignored. Each row keeps its
     file path (for S5/S6) and its line position is not relied upon."""
     lines = spark.read.text(glob).select(F.col("value"), F.col("_metadata.file_path").alias("path"))
     body = lines.filter(~F.trim("value").startswith("#") & (F.trim("value") != ""))
-    parts = F.split(F.trim("value"), r"[\s,;]+")
-    cols = [to_numeric_or_null(F.element_at(parts, i + 1)).alias(c) for i, c in enumerate(columns)]
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    parts = F.split(line, r"\s*[,;]\s*|\s+")
+    cols = [to_numeric_or_null(F.try_element_at(parts, F.lit(i + 1))).alias(c) for i, c in enumerate(columns)]
     out = body.select("path", *cols)
     # A header line has a non-numeric first field.
     return out.filter(F.col(columns[0]).isNotNull())

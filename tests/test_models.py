@@ -56,7 +56,7 @@ def test_forest_probabilities_in_unit_interval(spark, split):
 
 def test_pca_variance_ratios(spark):
     emb = P.flatten_nested_samples(B.table(spark, SF_SMALL, "embeddings"), "embedding", 64, ["vec_id"], "emb")
-    enc = P.fit_window_encoder(emb, [f"emb_{i:02d}" for i in range(64)], latent=8)
+    enc = P.fit_window_encoder(emb, [f"emb_{i}" for i in range(64)], latent=8)
     ev = [r["explained_variance_ratio"] for r in enc.explained_variance(spark).orderBy("component").collect()]
     assert len(ev) == 8 and all(0 <= v <= 1 for v in ev) and ev == sorted(ev, reverse=True)
     z = P.apply_encoder(emb, enc, ["vec_id"])
@@ -74,7 +74,7 @@ def test_multinomial_bootstrap_agrees_with_hash_bootstrap(spark):
 
 def test_pca_sign_convention(spark):
     emb = P.flatten_nested_samples(B.table(spark, SF_SMALL, "embeddings"), "embedding", 64, ["vec_id"], "emb")
-    enc = P.fit_window_encoder(emb, [f"emb_{i:02d}" for i in range(64)], latent=4)
+    enc = P.fit_window_encoder(emb, [f"emb_{i}" for i in range(64)], latent=4)
     pc = enc.pca_model.pc.toArray()
     for j, s in enumerate(enc.signs()):
         col = pc[:, j] * s

@@ -1,7 +1,9 @@
 """Scale properties: exact results on skewed fixtures (checked by brute
 force), independence from the shuffle partition count, and plan shape (no
 Cartesian product or nested-loop join in the data-sized plans)."""
+import datetime
 import datetime as dt
+import math
 import random
 import statistics
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from nightjar.operators import nights as N
 from nightjar.operators import positions as Pos
+from nightjar.operators import quantiles as Q
 from nightjar.operators import scoring as R
 from nightjar.operators import metrics as M
 from nightjar.operators import sensors as Z
@@ -25,8 +28,7 @@ def test_position_blocks_with_hot_key(spark):
         rows.append((d, rnd.randint(0, 10_000), i))
     df = spark.createDataFrame(rows, "d int, v int, id int")
     cuts = [700, 1500, 2999]
-    got = {r["id"]: r["b"] for r in Pos.position_blocks(df, ["d", "v", "id"], {"b": [F.lit(c) for c in cuts]},
-                                                        max_rank_rows=100).collect()}
+    got = {r["id"]: r["b"] for r in Pos.OrderedRows(df, ["d", "v", "id"], 16).blocks({"b": cuts}).collect()}
     order = sorted(rows)
     want = {row[2]: sum(pos >= c for c in cuts) for pos, row in enumerate(order)}
     assert got == want
@@ -75,14 +77,38 @@ def test_range_join_hot_subject_brute_force(spark):
         assert (r["hr_min"], r["hr_max"]) == (min(vals), max(vals))
 
 
-def test_systematic_downsample_brute_force(spark):
-    rows = [("s1", "d", float(t), t) for t in range(0, 2500)] + [("s2", "d", float(t), 10_000 + t) for t in range(40)]
-    df = spark.createDataFrame(rows, "subject_id string, dataset_name string, time_s double, ingest_seq long")
-    out = Z.systematic_downsample(df, ["subject_id", "dataset_name"], "time_s", "ingest_seq",
-                                  max_rows=1000, rows_per_bucket=300)
-    got = sorted(r["ingest_seq"] for r in out.collect())
-    want = sorted([t for t in range(0, 2500) if t % 3 == 0] + [10_000 + t for t in range(40)])
-    assert got == want
+def test_exact_quantiles_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(g, rnd.choice([None, float("nan"), rnd.gauss(0, 1) * 10 ** rnd.randint(-9, 9), 7.0]), rnd.random(), None)
+            for g in ("a", "b", None) for _ in range(1501 if g == "a" else 800)]
+    rows += [("c", 1.5e308, 1.0, None), ("c", -1.5e308, 1.0, None), ("c", 0.25, 1.0, None), ("d", None, 2.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double").repartition(5)
+    qs = [0.0, 0.025, 0.5, 0.95, 1.0]
+
+    def want(values, q):
+        v = sorted(x for x in values if x is not None and x == x)
+        if not v:
+            return None
+        at = q * (len(v) - 1)
+        lo, hi = v[math.floor(at)], v[math.ceil(at)]
+        return lo if lo == hi else lo + (at - math.floor(at)) * (hi - lo)
+    whole, by = Q.exact_quantiles(df, ["x", "y", "z"], qs), Q.exact_quantiles(df, ["x", "y"], qs, ["g"])
+    for q in qs:
+        for i, c in enumerate("xyz", 1):
+            assert whole[c, q] == want([r[i] for r in rows], q)
+        for g in ("a", "b", None, "c", "d"):
+            for i, c in enumerate("xy", 1):
+                assert by[g, c, q] == want([r[i] for r in rows if r[0] == g], q)
+    assert Q.exact_quantiles(df.limit(0), ["x"], [0.5]) == {("x", 0.5): None}
+    with pytest.raises(ValueError, match="groups"):
+        Q.exact_quantiles(spark.range(2000).selectExpr("id", "1.0 as v"), ["v"], [0.5], ["id"])
+
+
+def test_fits_hold_no_whole_column_median(spark):
+    import __spark_entry__ as E
+    for name in ("column_medians", "impute_and_scale", "teacher_targets", "latency_summary"):
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "median(" not in plan and "percentile(" not in plan
 
 
 def test_asof_labels_bucket_carry(spark):
@@ -138,20 +164,27 @@ def test_plan_has_no_cartesian_or_nested_loop(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-def test_position_blocks_second_level_on_hot_key(spark):
-    # One date holds 60% of the rows and every cut falls inside it; the second
-    # order column has heavy ties and nulls, the third breaks them.
+def test_ordered_rows_spread_a_hot_date_and_equal_rows(spark):
+    """90 % of the rows on one text date, a third of those equal in all columns:
+    every partition stays small, cuts are exact, and a rerun gives the same."""
     rnd = random.Random(13)
-    rows = [(7 if i % 5 < 3 else rnd.randint(0, 20), None if i % 17 == 0 else rnd.randint(0, 50), i)
-            for i in range(4000)]
-    df = spark.createDataFrame(rows, "d int, v int, id int")
-    cuts = [1100, 1101, 2345, 2500]
-    out = Pos.position_blocks(df, ["d", "v", "id"], {"b": [F.lit(c) for c in cuts]}, sub_buckets=8,
-                              max_rank_rows=1000)
-    got = {r["id"]: r["b"] for r in out.collect()}
-    order = sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))  # nulls first, as Spark
-    want = {row[2]: sum(pos >= c for c in cuts) for pos, row in enumerate(order)}
-    assert got == want
+    rows = [("2024-05-05" if i % 10 else f"2024-0{rnd.randint(1, 9)}-01", "same" if i % 3 == 0 else f"v{i}") for i in range(6000)]
+    rows += [(None, "null date")] * 30
+    df = spark.createDataFrame(rows, "d string, v string").repartition(5)
+    ordered = Pos.OrderedRows(df, ["d"], 20)
+    sizes = [b - a for a, b in ordered.first.values()]
+    assert sum(sizes) == ordered.n == 6030 and max(sizes) < 3 * 6030 / 20
+    out = ordered.blocks({"b": [30, 1000, 4000], "c": [0, 6030]})
+    got = out.collect()
+    assert [sum(r["b"] == k for r in got) for k in range(4)] == [30, 970, 3000, 2030] and {r["c"] for r in got} == {1}
+    assert {r["d"] for r in got if r["b"] == 0} == {None}
+    for k in (1, 2):
+        assert max(r["d"] for r in got if r["b"] == k) <= min(r["d"] for r in got if r["b"] == k + 1)
+    assert sorted(map(str, got)) == sorted(map(str, out.collect()))
+    stamp = spark.range(3000).selectExpr("timestamp_seconds(id * 7919 % 3001) as t", "id")  # unique timestamps
+    first = Pos.OrderedRows(stamp, ["t"], 8).blocks({"b": [1234]}).where("b = 0")
+    assert first.count() == 1234 and first.agg({"t": "max"}).first()[0] < stamp.join(first, "id", "left_anti").agg({"t": "min"}).first()[0]
+    assert Pos.OrderedRows(df.limit(0), ["d"]).blocks({"b": [0]}).count() == 0
 
 
 def test_asof_labels_random_brute_force(spark):
@@ -192,16 +225,45 @@ def test_assemble_notes_for_missing_streams(spark):
                                                                             ("c", "missing motion")]
 
 
-def test_prefer_two_levels_equals_sequential(spark):
+def test_preferred_sample_stats_equals_sequential_preferences(spark):
     rnd = random.Random(8)
-    rows = [(rnd.randint(0, 9), i, rnd.random() < 0.3, rnd.random() < 0.5) for i in range(3000)]
-    df = spark.createDataFrame(rows, "scope int, id int, ue boolean, watch boolean")
-    seq = N.prefer_with_fallback(N.prefer_with_fallback(df, ["scope"], ~F.col("ue")), ["scope"], F.col("watch"))
-    one = N.prefer_two_levels(df, ["scope"], ~F.col("ue"), F.col("watch")).filter("_chosen")
-    assert sorted(r["id"] for r in seq.collect()) == sorted(r["id"] for r in one.collect())
-    # scopes where no row is preferred fall back to all rows
-    allue = spark.createDataFrame([(1, 1, True, False), (1, 2, True, False)], "scope int, id int, ue boolean, watch boolean")
-    assert N.prefer_two_levels(allue, ["scope"], ~F.col("ue"), F.col("watch")).filter("_chosen").count() == 2
+    rows = [(rnd.randint(0, 40), float(i), rnd.random() < p, rnd.random() < 0.3, rnd.choice("xyz"))
+            for i in range(300) for p in [rnd.choice([0.3, 1.0])]]
+    rows += [(99, 1.0, True, False, "q"), (99, 3.0, True, False, "p"), (98, None, False, True, "x")]
+    df = spark.createDataFrame(rows, "scope int, value double, is_user_entered boolean, is_watch boolean, source_name string")
+    first = N.prefer_with_fallback(df, ["scope"], ~F.col("is_user_entered"))
+    want = {}
+    for r in N.prefer_with_fallback(first, ["scope"], F.col("is_watch")).collect():
+        want.setdefault(r["scope"], []).append(r)
+    share = {r["scope"]: r["s"] for r in first.groupBy("scope").agg(F.avg(F.col("is_watch").cast("double")).alias("s")).collect()}
+    got = {r["scope"]: r for r in N.preferred_sample_stats(df, ["scope"], F.col("value")).collect()}
+    assert set(got) == {k for k, own in want.items() if any(r["value"] is not None for r in own)} and 99 in got
+    for k, r in got.items():
+        own = [x["value"] for x in want[k] if x["value"] is not None]
+        assert r["m_mean"] == pytest.approx(statistics.fmean(own)) and r["m_median"] == statistics.median(own)
+        assert r["sample_count"] == len(want[k]) and r["watch_share"] == pytest.approx(share[k])
+        assert r["sources"] == ", ".join(sorted({x["source_name"] for x in want[k]}))
+
+
+def test_device_nights_keep_nonpositive_segments_in_the_span(spark):
+    t = lambda h, m=0: datetime.datetime(2024, 1, 2, h, m)
+    day = datetime.date(2024, 1, 1)
+    rows = [("a", t(1), t(2), 60.0, day, True, False), ("a", t(5), t(4), -60.0, day, False, True),  # negative: span only
+            ("a", t(3), t(3), 0.0, day, True, False), ("b", t(2), t(2), 0.0, day, True, False)]
+    df = spark.createDataFrame([(s, a, b, d, n, *[f] * 5, False, w) for s, a, b, d, n, f, w in rows],
+                               "subject_id string, start_ts timestamp, end_ts timestamp, duration_min double, night_date date, "
+                               + ", ".join(f"{f} boolean" for f in N.FLAG_TO_MINUTES) + ", is_user_entered boolean, is_watch boolean")
+    every = {r["subject_id"]: r for r in N.device_nights(df.withColumn("is_watch", F.lit(False))).collect()}
+    assert (every["a"]["sleep_start"], every["a"]["sleep_end"], every["a"]["asleep_minutes"]) == (t(1), t(4), 60.0)
+    assert every["b"]["asleep_minutes"] == 0.0 and every["b"]["sleep_efficiency"] == 0.0  # a night of such segments stays
+    watch = {r["subject_id"]: r for r in N.device_nights(df).collect()}
+    assert (watch["a"]["sleep_start"], watch["a"]["sleep_end"], watch["a"]["asleep_minutes"]) == (t(5), t(4), 0.0)
+
+
+def test_device_chain_reads_events_at_most_three_times(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["device_metric_stats"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3
 
 
 def test_position_blocks_single_order_column_with_ties(spark):
@@ -211,7 +273,7 @@ def test_position_blocks_single_order_column_with_ties(spark):
     keys = [5] * 400 + [rnd.randrange(10) for _ in range(200)]
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k int").repartition(4)
     cuts = [100, 250, 450]
-    out = Pos.position_blocks(df, ["k"], {"blk": cuts})
+    out = Pos.OrderedRows(df, ["k"], 6).blocks({"blk": cuts})
     rows = out.collect()
     sizes = [sum(1 for r in rows if r["blk"] == b) for b in range(4)]
     assert sizes == [100, 150, 200, 150]

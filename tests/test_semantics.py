@@ -101,6 +101,30 @@ def test_threshold_gate_reasons(spark):
     assert R.deployment_threshold_gate(far).first()["reason"] == "fallback_shift_gt_0.10"
     small = sweep.withColumn("weighted_f1", F.when(F.col("is_best"), 0.51).otherwise(0.50))
     assert R.deployment_threshold_gate(small).first()["deployment_threshold"] == 0.5
+    for t, kept in ((60, False), (59, True), (40, True), (39, False)):  # the grid's 0.60 lies a trace above 0.6
+        edge = sweep.withColumn("t_int", F.when(F.col("is_best"), t).otherwise(F.col("t_int"))).withColumn("threshold", F.col("t_int") / 100.0)
+        assert (R.deployment_threshold_gate(edge).first()["reason"] == "accepted_tuned_threshold") is kept
+    none = R.deployment_threshold_gate(sweep.limit(0)).first()
+    assert none["reason"] == "fallback_no_tuning" and none["deployment_threshold"] == 0.5
+
+
+def test_long_form_scores_rows_without_known_features(spark):
+    contracts = spark.createDataFrame([("c", "f", 2.0, 1.0, 4.0, 8.0), ("d", "g", 0.0, 0.0, 0.0, 1.0)],
+                                      "contract_id string, feature string, median double, mean double, scale double, coef double")
+    intercepts = spark.createDataFrame([("c", 0.5), ("d", -1.0)], "contract_id string, intercept double")
+    long = spark.createDataFrame([(1, "f", 3.0), (2, "other", 9.0), (3, None, 1.0)], "row int, feature string, value double")
+    got = {(r["row"], r["contract_id"]): r["logit"] for r in R.score_contracts_long(long, contracts, intercepts, ["row"]).collect()}
+    assert got == {(1, "c"): 4.5, (2, "c"): 2.5, (3, "c"): 2.5, (1, "d"): -1.0, (2, "d"): -1.0, (3, "d"): -1.0}
+
+
+def test_hashed_draws_use_64_bits_and_nulls_stand_apart(spark):
+    from nightjar.functions.hashrand import mix_uniform
+    from nightjar.operators import robust
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
+    assert len({r[0] for r in df.select(robust.row_key(["x", "y", "z"])).collect()}) == 2
+    words = spark.createDataFrame([(7, 1), (7, 2)], "low long, high long")
+    u = [r[0] for r in words.select(mix_uniform((F.col("low"), F.col("high")), F.lit(3))).collect()]
+    assert u[0] != u[1] and all(0 <= x < 1 for x in u)
 
 
 def test_stage_flags_text_and_codes(spark):

@@ -53,6 +53,19 @@ def test_nested_payloads(spark):
     arr = spark.createDataFrame([("a", [0.0, 0.5, 1.0], [10.0, 11.0, 12.0])], "subject string, t array<double>, hr array<double>")
     rows = P.parallel_arrays_to_rows(arr, ["t", "hr"], ["subject"], time_col="t").collect()
     assert [(r["time_s"], r["hr"]) for r in rows] == [(0.0, 10.0), (0.5, 11.0), (1.0, 12.0)]
+    odd = spark.createDataFrame([("a", [1.0, 2.0], [5.0, 6.0], [7.0]), ("b", [1.0], [5.0, 6.0], [7.0, 8.0])],
+                                "subject string, x array<double>, y array<double>, z array<double>")
+    rows = P.parallel_arrays_to_rows(odd, ["x", "y", "z"], ["subject"]).orderBy("subject", "time_s").collect()
+    assert [tuple(r) for r in rows] == [("a", 0.0, 1.0, 5.0, None), ("a", 1.0, 2.0, 6.0, None),
+                                        ("b", 0.0, None, 5.0, 7.0), ("b", 1.0, None, 6.0, 8.0)]
+    timed = P.parallel_arrays_to_rows(odd.withColumnRenamed("x", "t"), ["t", "y", "z"], ["subject"]).orderBy("subject", "time_s")
+    assert [tuple(r) for r in timed.collect()] == [("a", 1.0, 5.0, None), ("a", 2.0, 6.0, None), ("b", 1.0, None, None)]
+
+
+def test_sensor_text_blanks_and_short_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# c\ntime x y\n0.0,,2.0,3.0\n1.0 2.0\n 2.0 ; 3.0;\n3.0\t4.0\t5.0 6.0 7.0\n\n4.0\n")
+    got = sorted(tuple(r)[1:] for r in S.read_sensor_text(spark, str(tmp_path), ["time", "x", "y"]).collect())
+    assert got == [(0.0, None, 2.0), (1.0, 2.0, None), (2.0, 3.0, None), (3.0, 4.0, 5.0), (4.0, None, None)]
 
 
 def test_table_or_empty_and_json(spark):
