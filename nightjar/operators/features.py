@@ -11,12 +11,15 @@ one window spec, i.e. one shuffle and one sort.
 """
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.calendar import calendar_columns
 from ..functions.clean import to_numeric_or_null
+from .prep import apply_encoder, component_names, encoder_overlap
 
 SUBJECT = "subject_id"
 # Metadata columns that are never features, the rolling targets
@@ -186,9 +189,25 @@ def baseline_features(df: DataFrame, keep: list[str] | None = None) -> tuple[Dat
     return df.select(*keep, *[to_numeric_or_null(c).alias(c) for c in cols]), cols
 
 
-def transfer_features(df: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+def _with_components(base: DataFrame, keep: list[str], columns: list, names: list[str], encoder) -> tuple[DataFrame, list[str]]:
+    """``columns`` (with the given names), and the encoder's components of the
+    base columns behind them where there is an encoder."""
+    if encoder is None:
+        return base.select(*keep, *columns), names
+    aside = base.select(*keep, *[F.col(c).alias(f"_base_{c}") for c in base.columns if c not in keep], *columns)
+    inputs = aside.select(*keep, *names, *[F.col(f"_base_{c}").alias(c) for c in base.columns
+                                           if c not in keep and c not in names])
+    parts = component_names(encoder.k)
+    shared, total = encoder_overlap(inputs, encoder)
+    if not shared:
+        warnings.warn(f"the table has none of the encoder's {total} inputs: its components are constant", stacklevel=3)
+    return apply_encoder(inputs, encoder, [*keep, *names]), [*names, *parts]
+
+
+def transfer_features(df: DataFrame, keep: list[str] | None = None, encoder=None) -> tuple[DataFrame, list[str]]:
     """missingness 4 + ratios 12 + calendar 4 + rolling 7 per target, in
-    one projection plus one window spec."""
+    one projection plus one window spec; with an ``encoder``
+    (``prep.WindowEncoder``) its components follow."""
     base, base_cols = baseline_features(df, keep)
     keep = keep if keep is not None else [c for c in METADATA_COLUMNS if c in df.columns]
     sort_col = infer_sort_column(df)
@@ -197,13 +216,13 @@ def transfer_features(df: DataFrame, keep: list[str] | None = None) -> tuple[Dat
         raise ValueError("past-only features need a date column to order by")
     cols = (missingness_columns(base_cols) + spread_columns(base) + calendar_columns(sort_col)
             + rolling_columns(targets, sort_col))
-    out = base.select(*keep, *cols)
     names = MISSINGNESS_COLUMNS + RATIO_COLUMNS + CALENDAR_COLUMNS + rolling_names(targets)
-    return out, names
+    return _with_components(base, keep, cols, names, encoder)
 
 
-def combined_features(df: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Baseline and transfer side by side — one select, no join."""
+def combined_features(df: DataFrame, keep: list[str] | None = None, encoder=None) -> tuple[DataFrame, list[str]]:
+    """Baseline and transfer (with the encoder's components, where one
+    is given) side by side — one select, no join."""
     keep = keep if keep is not None else [c for c in METADATA_COLUMNS if c in df.columns]
     base, base_cols = baseline_features(df, keep)
     sort_col = infer_sort_column(df)
@@ -213,4 +232,4 @@ def combined_features(df: DataFrame, keep: list[str] | None = None) -> tuple[Dat
     transfer = (missingness_columns(base_cols) + spread_columns(base) + calendar_columns(sort_col)
                 + rolling_columns(targets, sort_col))
     names = base_cols + MISSINGNESS_COLUMNS + RATIO_COLUMNS + CALENDAR_COLUMNS + rolling_names(targets)
-    return base.select(*keep, *[F.col(c) for c in base_cols], *transfer), names
+    return _with_components(base, keep, [*[F.col(c) for c in base_cols], *transfer], names, encoder)

@@ -21,9 +21,29 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .quantiles import exact_quantiles
 
 
-def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A10: count, mean, stddev, min, quartiles, max per column (``summary``)."""
-    return df.select(*cols).summary()
+PROFILE = ("column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, "
+           "max double, unique long, top string, freq long")
+
+
+def column_profile(df: DataFrame, numeric: list[str], text: list[str] | None = None) -> DataFrame:
+    """A10: one row per column: count, mean, sample std, minimum, exact
+    quartiles and maximum of numbers; count, number of distinct values, the
+    most frequent one (the smallest of several) and its count of texts."""
+    spark = df.sparkSession
+    aggs = [f(F.col(c).cast("double")).alias(f"{c}__{n}") for c in numeric
+            for n, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp))]
+    one = df.agg(*aggs).first() if numeric else None
+    q = exact_quantiles(df, numeric, [0.0, 0.25, 0.5, 0.75, 1.0])
+    rows = [(c, one[f"{c}__count"], one[f"{c}__mean"], one[f"{c}__std"], *[q[c, x] for x in (0.0, 0.25, 0.5, 0.75, 1.0)],
+             None, None, None) for c in numeric]
+    for c in text or []:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
+        t = counts.agg(F.sum("n").alias("n"), F.count("*").alias("unique"),
+                       F.max(F.struct("n")).alias("most")).first()
+        freq = t["most"]["n"] if t["most"] else None
+        top = counts.where(F.col("n") == F.lit(freq)).agg(F.min("v")).first()[0] if freq else None
+        rows.append((c, t["n"] or 0, *[None] * 7, t["unique"], top, freq))
+    return spark.createDataFrame(rows, PROFILE)
 
 
 def median_values(df: DataFrame, cols: list[str], all_missing_fill: float | None = None) -> dict[str, float | None]:
@@ -185,20 +205,35 @@ def fit_window_encoder(df: DataFrame, cols: list[str], latent: int = 8) -> Windo
     return WindowEncoder(pre, model, k)
 
 
-def apply_encoder(df: DataFrame, enc: WindowEncoder, keep: list[str], prefix: str = "public_enc_",
+def encoder_overlap(df: DataFrame, enc: WindowEncoder) -> tuple[int, int]:
+    """How many of the encoder's inputs the table has, and how many there are."""
+    return sum(c in df.columns for c in enc.pre.cols), len(enc.pre.cols)
+
+
+def component_names(k: int) -> list[str]:
+    return [f"public_enc_{i:02d}" for i in range(k)]
+
+
+def latent_names(k: int) -> list[str]:
+    """names of the components in the latent table."""
+    return [f"latent_{i + 1}" for i in range(k)]
+
+
+def apply_encoder(df: DataFrame, enc: WindowEncoder, keep: list[str], names=component_names,
                   fill_from_table: bool = True) -> DataFrame:
     """align to the encoder's inputs (absent -> missing), fill with
     THIS table's medians (0.0 when a column has none), standardise with the
-    encoder's parameters and project; components named ``{prefix}{i:02d}``."""
+    encoder's parameters and project; components named by ``names``."""
     cols = enc.pre.cols
-    present = [c for c in cols if c in df.columns]
-    aligned = df.select(*keep, *[F.col(c).cast("double").alias(c) if c in present
-                                 else F.lit(None).cast("double").alias(c) for c in cols])
+    inside = [f"_in_{c}" for c in cols]  # apart from columns of the same name that are kept
+    aligned = df.select(*keep, *[(F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")).alias(i)
+                                 for c, i in zip(cols, inside)])
     if fill_from_table:
-        med = median_values(aligned, cols, all_missing_fill=0.0)
-        aligned = aligned.select(*keep, *[F.coalesce(F.col(c), F.lit(float(med[c]))).alias(c) for c in cols])
-    scaled = aligned.select(*keep, *enc.pre.columns())
-    vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(scaled)
+        med = median_values(aligned, inside, all_missing_fill=0.0)
+        aligned = aligned.select(*keep, *[F.coalesce(F.col(i), F.lit(float(med[i]))).alias(i) for i in inside])
+    pre = Preprocess(inside, enc.pre.median, enc.pre.mean, enc.pre.scale)
+    scaled = aligned.select(*keep, *pre.columns("_scaled"))
+    vec = VectorAssembler(inputCols=[f"_scaled{i}" for i in inside], outputCol="_x").transform(scaled)
     z = enc.pca_model.transform(vec).select(*keep, vector_to_array("_z").alias("_z"))
     sg = enc.signs()
-    return z.select(*keep, *[(F.col("_z")[i] * F.lit(sg[i])).alias(f"{prefix}{i:02d}") for i in range(enc.k)])
+    return z.select(*keep, *[(F.col("_z")[i] * F.lit(sg[i])).alias(n) for i, n in enumerate(names(enc.k))])

@@ -18,6 +18,9 @@ RECORD_TYPES = {
     "spo2": "HKQuantityTypeIdentifierOxygenSaturation",
 }
 
+# Units of the quantity records.
+UNITS = {"hr": "count/min", "hrv": "ms", "resp": "count/min", "spo2": "%"}
+
 # Binding of event types to sleep stage values (in bed, core,
 # deep, REM); 'error' events are not sleep records.
 STAGE_OF_EVENT = {
@@ -90,16 +93,20 @@ def sleep_records(events: DataFrame) -> DataFrame:
 
 
 def metric_records(events: DataFrame) -> DataFrame:
-    """Quantity records: heart rate = ``value`` for every event, HRV = ``props.k``.
+    """Quantity records: heart rate = ``value`` for every event, HRV =
+    ``props.k``, respiratory rate and oxygen saturation from the event number
+    (every third and every second event has one).
 
-    One scan of ``events``; the two streams come out of ``inline`` over a
-    two-element array, not a union of two scans.
+    One scan of ``events``; the four streams come out of ``inline`` over an
+    array, not a union of scans.
     """
     stamp = _stamp(F.col("ts"))
-    rows = F.array(
-        F.struct(F.lit("hr").alias("metric"), F.col("value").cast("string").alias("value_raw")),
-        F.struct(F.lit("hrv").alias("metric"), F.get_json_object("props", "$.k").alias("value_raw")),
-    )
+    number = F.col("event_id")
+    resp = F.when(number % 3 == 0, (12 + number % 9).cast("string"))
+    spo2 = F.when(number % 2 == 0, F.concat(F.lit("0.9"), (number % 10).cast("string")))
+    rows = F.filter(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value_raw")) for m, v in (
+        ("hr", F.col("value").cast("string")), ("hrv", F.get_json_object("props", "$.k")), ("resp", resp), ("spo2", spo2))]),
+        lambda r: r["metric"].isin("hr", "hrv") | r["value_raw"].isNotNull())
     end = _stamp(F.timestamp_add("SECOND", F.coalesce(_k(), F.lit(0)), F.col("ts")))
     return events.select(F.col("user_id").alias("subject_id"), F.col("event_id").alias("ingest_seq"),
                          F.col("event_type"), _source_name().alias("source_name"), _metadata().alias("metadata"),
@@ -151,6 +158,11 @@ SAMPLES_SQL = f"""
 SELECT 'hr' AS metric, {_SAMPLE_COMMON}, CAST(value AS DOUBLE) AS value FROM events
 UNION ALL
 SELECT 'hrv' AS metric, {_SAMPLE_COMMON}, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events
+UNION ALL
+SELECT 'resp' AS metric, {_SAMPLE_COMMON}, CAST(12 + event_id % 9 AS DOUBLE) AS value FROM events WHERE event_id % 3 = 0
+UNION ALL
+SELECT 'spo2' AS metric, {_SAMPLE_COMMON}, CAST('0.9' || CAST(event_id % 10 AS VARCHAR) AS DOUBLE) AS value
+FROM events WHERE event_id % 2 = 0
 """
 
 
@@ -323,7 +335,7 @@ SELECT 'orders' AS dataset_name, CAST(o_custkey AS VARCHAR) AS subject_id, epoch
 
 # ---------------------------------------------------------------- raw health records
 def health_records(events: DataFrame) -> DataFrame:
-    """All records of the export: sleep records plus heart-rate and HRV
+    """All records of the export: sleep records plus the four kinds of
     quantity records, in the raw text form of the XML attributes."""
     sleep = sleep_records(events).select(
         "subject_id", F.lit(RECORD_TYPES["sleep"]).alias("record_type"), "uuid", "source_name",
@@ -331,9 +343,9 @@ def health_records(events: DataFrame) -> DataFrame:
         "value_raw")
     q = metric_records(events).select(
         "subject_id",
-        F.when(F.col("metric") == "hr", F.lit(RECORD_TYPES["hr"])).otherwise(F.lit(RECORD_TYPES["hrv"])).alias("record_type"),
+        F.create_map(*[F.lit(x) for m, t in RECORD_TYPES.items() for x in (m, t)])[F.col("metric")].alias("record_type"),
         F.concat(F.col("ingest_seq").cast("string"), F.lit("-"), F.col("metric")).alias("uuid"), "source_name",
-        F.when(F.col("metric") == "hr", F.lit("count/min")).otherwise(F.lit("ms")).alias("unit"),
+        F.create_map(*[F.lit(x) for m, u in UNITS.items() for x in (m, u)])[F.col("metric")].alias("unit"),
         "start_raw", "end_raw", F.col("start_raw").alias("created_raw"), "value_raw")
     return sleep.unionByName(q)
 
@@ -349,4 +361,12 @@ UNION ALL
 SELECT user_id, '{RECORD_TYPES['hrv']}', CAST(event_id AS VARCHAR) || '-hrv', {SOURCE_SQL}, 'ms',
        {STAMP_SQL.format(ts='ts')}, {STAMP_SQL.format(ts=f"ts + to_seconds(coalesce({K_SQL}, 0))")},
        {STAMP_SQL.format(ts='ts')}, json_extract_string(props, '$.k') FROM events
+UNION ALL
+SELECT user_id, '{RECORD_TYPES['resp']}', CAST(event_id AS VARCHAR) || '-resp', {SOURCE_SQL}, 'count/min',
+       {STAMP_SQL.format(ts='ts')}, {STAMP_SQL.format(ts=f"ts + to_seconds(coalesce({K_SQL}, 0))")},
+       {STAMP_SQL.format(ts='ts')}, CAST(12 + event_id % 9 AS VARCHAR) FROM events WHERE event_id % 3 = 0
+UNION ALL
+SELECT user_id, '{RECORD_TYPES['spo2']}', CAST(event_id AS VARCHAR) || '-spo2', {SOURCE_SQL}, '%',
+       {STAMP_SQL.format(ts='ts')}, {STAMP_SQL.format(ts=f"ts + to_seconds(coalesce({K_SQL}, 0))")},
+       {STAMP_SQL.format(ts='ts')}, '0.9' || CAST(event_id % 10 AS VARCHAR) FROM events WHERE event_id % 2 = 0
 """

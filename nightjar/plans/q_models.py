@@ -14,10 +14,12 @@ from ..operators import models as ML
 from ..operators import nights as N
 from ..operators import prep as P
 from ..operators import scoring as R
+from ..operators import sensors as Z
 from ..operators import splits as S
 from ..sources.contract_data import NIGHT_CONTRACT
 from ..session import cut_lineage
 from . import bindings as B
+from .q_sensors import _union as sensor_windows
 from .q_nights import _night_features_sql, _samples, _segments
 from .registry import oracle_wrap, presentable, register
 
@@ -64,9 +66,19 @@ def q_m2(spark, sf):
     return presentable(P.impute_and_scale(sp, pre, KEYS))
 
 
-@register("column_profile", op_ids="A10")
+_PROFILE_TEXT = ["l_returnflag", "l_linestatus"]
+_PROFILE_SQL = " UNION ALL ".join(
+    [f"""SELECT '{c}' AS "column", count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, CAST(min({c}) AS DOUBLE) AS min,
+ quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75, CAST(max({c}) AS DOUBLE) AS max,
+ NULL::BIGINT AS unique, NULL::VARCHAR AS top, NULL::BIGINT AS freq FROM lineitem""" for c in FEATS]
+    + [f"""SELECT '{c}', sum(n)::BIGINT, NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*),
+ (list(v ORDER BY n DESC, v))[1], max(n) FROM (SELECT {c} AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1) t"""
+       for c in _PROFILE_TEXT])
+
+
+@register("column_profile", op_ids="A10", sql=oracle_wrap(_PROFILE_SQL, ["mean", "std", "min", "p25", "p50", "p75", "max"]))
 def q_profile(spark, sf):
-    return P.column_profile(B.table(spark, sf, "lineitem"), FEATS)
+    return presentable(P.column_profile(B.table(spark, sf, "lineitem"), FEATS, _PROFILE_TEXT))
 
 
 def _test_predictions(fitted, test):
@@ -247,7 +259,31 @@ def q_explained(spark, sf):
 def q_encode(spark, sf):
     flat = _flat(spark, sf)
     enc = P.fit_window_encoder(flat, EMB_COLS, latent=8)
-    return presentable(P.apply_encoder(flat, enc, ["vec_id", "label"], prefix="latent_"))
+    return presentable(P.apply_encoder(flat, enc, ["vec_id", "label"], P.latent_names))
+
+
+def window_encoder(spark, sf):
+    """F5 on the union of the sensor window tables (written once)."""
+    windows = cut_lineage(sensor_windows(spark, sf))
+    cols = [c for c in Z.numeric_channels(windows) if not c.startswith(("window_", "target_"))]
+    return windows, P.fit_window_encoder(windows, X.non_null_columns(windows, cols), latent=8)
+
+
+@register("latent_table", op_ids="F5 F7")
+def q_latent(spark, sf):
+    windows, enc = window_encoder(spark, sf)
+    return presentable(P.apply_encoder(windows, enc, [*Z.GROUP, Z.WINDOW], P.latent_names))
+
+
+@register("transfer_features_encoded", op_ids="F3 F6")
+def q_transfer_encoded(spark, sf):
+    """F3 with the encoder's components; the overlap of the night table with
+    the encoder's inputs stands beside them."""
+    nights = N.night_features(_segments(spark, sf), _samples(spark, sf))
+    enc = window_encoder(spark, sf)[1]
+    shared, total = P.encoder_overlap(nights, enc)
+    out, _ = X.transfer_features(nights, ["subject_id", "night_date"], encoder=enc)
+    return presentable(out.withColumns({"encoder_inputs_shared": F.lit(shared), "encoder_inputs": F.lit(total)}))
 
 
 # ------------------------------------------------------------------ R2 / R3 / P19

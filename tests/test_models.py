@@ -113,3 +113,61 @@ def test_fold_loop_grid_and_per_fold_missing_drop(spark):
     direct = M.evaluate(ML.fit_logistic(train, ["x1", "x_late"], "label", C=1.0).transform(test, ["label"]),
                         "label", "predicted_label").first()["accuracy"]
     assert got == pytest.approx(direct, abs=1e-12)
+
+
+def test_transfer_space_carries_encoder_components(spark):
+    import datetime
+    import random
+    import warnings
+
+    from nightjar.operators import features as X
+    rnd = random.Random(2)
+    rows = [("s", datetime.date(2024, 1, 1) + datetime.timedelta(days=i), rnd.random(), rnd.random() if i % 5 else None, 2.0) for i in range(40)]
+    nights = spark.createDataFrame(rows, "subject_id string, night_date date, hr_mean double, hrv_mean double, rem_minutes double")
+    enc = P.fit_window_encoder(nights, ["hr_mean", "hrv_mean"], latent=2)
+    assert P.encoder_overlap(nights, enc) == (2, 2)
+    plain, names = X.transfer_features(nights, ["subject_id", "night_date"])
+    out, more = X.transfer_features(nights, ["subject_id", "night_date"], encoder=enc)
+    assert more == [*names, "public_enc_00", "public_enc_01"] and out.columns == [*plain.columns, "public_enc_00", "public_enc_01"]
+    direct = {r["night_date"]: r for r in P.apply_encoder(nights, enc, ["night_date"]).collect()}
+    for r in out.collect():
+        assert r["public_enc_00"] == pytest.approx(direct[r["night_date"]]["public_enc_00"])
+    both, order = X.combined_features(nights, ["subject_id", "night_date"], encoder=enc)
+    assert order[:3] == ["hr_mean", "hrv_mean", "rem_minutes"] and both.columns[2:] == order and both.count() == 40
+    other = P.fit_window_encoder(nights.withColumnRenamed("hr_mean", "acc").withColumnRenamed("hrv_mean", "gyro"), ["acc", "gyro"], latent=1)
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        X.transfer_features(nights, ["subject_id", "night_date"], encoder=other)
+    assert P.encoder_overlap(nights, other) == (0, 2) and any("inputs" in str(w.message) for w in seen)
+    with pytest.raises(ValueError, match="date column"):
+        X.transfer_features(nights.drop("night_date"), ["subject_id"])
+
+
+def test_profile_of_numbers_and_texts(spark):
+    df = spark.createDataFrame([(1.0, "b", None), (2.0, "a", None), (4.0, "a", None), (None, "b", None), (9.0, None, None)],
+                               "x double, t string, none string")
+    got = {r["column"]: r for r in P.column_profile(df, ["x"], ["t", "none"]).collect()}
+    x, t, none = got["x"], got["t"], got["none"]
+    assert (x["count"], x["mean"], x["min"], x["p25"], x["p50"], x["p75"], x["max"]) == (4, 4.0, 1.0, 1.75, 3.0, 5.25, 9.0)
+    assert (t["count"], t["unique"], t["top"], t["freq"]) == (4, 2, "a", 2)
+    assert (none["count"], none["unique"], none["top"], none["freq"]) == (0, 0, None, None)
+
+
+def test_without_valid_folds_there_are_no_metrics_and_no_crash(spark):
+    from nightjar.plans import q_models as Q
+    one_class = spark.createDataFrame([(i, float(i), 1) for i in range(30)], "id int, x double, y int")
+    folds = S.walk_forward_folds(one_class, ["id"], "y", (5, 4, 3, 2))
+    assert Q.cross_validate_folds(folds, "y", Q._LOGREG, {"one": ["x"]}).count() == 0
+    oof = Q.out_of_fold(folds, ["x"], "y", ["id"]).collect()
+    assert len(oof) == 30 and all(r["p1"] is None for r in oof)
+
+
+def test_solver_limits_are_told(spark):
+    df = spark.createDataFrame([(float(i), float(i * i % 7), int(i % 3 == 0)) for i in range(60)], "a double, b double, y int")
+    with pytest.raises(RuntimeError, match="convergence"):
+        ML.fit_logistic(df, ["a", "b"], "y", max_iter=1)
+    with pytest.raises(ValueError, match="depth"):
+        ML.fit_forest(df, ["a", "b"], "y", depth=31)
+    teacher = spark.createDataFrame([(0.4, 1, 0), (0.6, 1, 0), (1.7, 1, 0), (None, 1, 0)], "confidence double, predicted_label int, truth int")
+    assert [r["blended_label"] for r in ML.teacher_targets(teacher, "truth").collect()] == [0, 1, 1, 0]
+    assert [r["student_label"] for r in ML.distill_labels(teacher, "truth", 0.6).collect()] == [0, 1, 1, 0]
