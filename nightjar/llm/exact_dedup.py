@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, ascii_lower, landed, map_arrow, scratch_dir
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Digests with several rows are sent to the texts up to this number (32 bytes
+#: each; counted first), beyond it texts and digests are joined by shuffling.
+BROADCAST_DIGESTS = 500_000
 #: Input of one micro-batch.
 BATCH_BYTES = 64 << 30
 _CONF = {
@@ -122,6 +125,8 @@ def exact_duplicates(spark: SparkSession, path: str, *, checkpoint: str | None =
         ((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest")
     # full bytes of every hit
     hits = state.where("n > 1").select("digest")
+    if hits.count() <= BROADCAST_DIGESTS:  # texts stay where they are, and equal ones are reduced there
+        hits = F.broadcast(hits)
     text = ascii_lower(F.coalesce("text", F.lit(""))).alias("text")
     full = _with_text(spark, path, digest, **names).join(hits, "digest").select("digest", "id", "file", "row", text)
     split = (full.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
