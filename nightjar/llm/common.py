@@ -51,7 +51,25 @@ def map_arrow(rows: DataFrame, function, schema) -> DataFrame:
     conf = rows.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return rows.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+    return rows.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after their task."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ascii_lower(column):

@@ -136,47 +136,58 @@ def page_pairs(t: RTree, u: RTree, percent: int):
         at, bt = na, nb
 
 
-def tree_join(t: RTree, u: RTree, label_t: np.ndarray, label_u: np.ndarray, percent: int, best_only: bool):
-    """(row of t, row of u) of pairs in different components whose bound
-    allows a link: all of them, or for each row the pair of the best bound."""
-    same = t is u
+def _page_bounds(t: RTree, u: RTree, label_t: np.ndarray, label_u: np.ndarray, percent: int):
+    """For pages that may hold linked points: their slices, the bounds on the
+    intersections, and which pairs (each once) a link is possible for, in
+    different components."""
     lt, lu = label_t[t.order], label_u[u.order]
-    out: list[np.ndarray] = []
-    best_t, with_t = np.full(len(lt), -1.0), np.zeros(len(lt), np.int64)
-    best_u, with_u = np.full(len(lu), -1.0), np.zeros(len(lu), np.int64)
     for i, j in page_pairs(t, u, percent):
         a, b = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
-        bound = _minima(t.points[a], u.points[b])
         na, nb = t.sizes[a][:, None], u.sizes[b][None, :]
-        bound = np.minimum(bound, np.minimum(na, nb))
+        bound = np.minimum(_minima(t.points[a], u.points[b]), np.minimum(na, nb))
         ok = (bound >= needed(na, nb, percent)) & (lt[a][:, None] != lu[b][None, :])
-        if same and i == j:
+        if t is u and i == j:
             ok &= np.tri(len(lt[a]), k=-1, dtype=bool).T
-        if not ok.any():
-            continue
-        if not best_only:
-            x, y = np.nonzero(ok)
-            out.append(np.stack((x + i * LEAF, y + j * LEAF), 1))
-            continue
-        score = np.where(ok, bound / (na + nb - bound), -1.0)
-        for s, best, with_, other, axis in ((a, best_t, with_t, j, 1), (b, best_u, with_u, i, 0)):
-            top = score.max(axis=axis)
-            better = top > best[s]
-            best[s] = np.where(better, top, best[s])
-            with_[s] = np.where(better, score.argmax(axis=axis) + other * LEAF, with_[s])
-    if best_only and same:
-        # one table of both roles
-        use_u = best_u > best_t
-        best_t, with_t = np.where(use_u, best_u, best_t), np.where(use_u, with_u, with_t)
-        best_u[:] = -1
-    if best_only:
-        x = np.flatnonzero(best_t > 0)
-        y = np.flatnonzero(best_u > 0)
-        out = [np.stack((x, with_t[x]), 1), np.stack((with_u[y], y), 1)]
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        if ok.any():
+            yield a, b, bound / (na + nb - bound), ok
+
+
+def tree_join(t: RTree, u: RTree, label_t: np.ndarray, label_u: np.ndarray, percent: int):
+    """(row of t, row of u) of all pairs in different components whose bound
+    allows a link."""
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b, _, ok in _page_bounds(t, u, label_t, label_u, percent):
+        x, y = np.nonzero(ok)
+        out.append(np.stack((x + a.start, y + b.start), 1))
+    pairs = np.concatenate(out)
     return t.order[pairs[:, 0]], u.order[pairs[:, 1]]
 
 
+def tree_best(t: RTree, u: RTree, label_t: np.ndarray, label_u: np.ndarray, percent: int):
+    """For the rows of t, then for those of u: the best-bounded partner in
+    another component (-1: none) and the bound on the similarity."""
+    best = [np.full(len(x.sizes), -1.0) for x in (t, u)]
+    partner = [np.full(len(x.sizes), -1, np.int64) for x in (t, u)]
+    for a, b, score, ok in _page_bounds(t, u, label_t, label_u, percent):
+        score = np.where(ok, score, -1.0)
+        for side, (own, other, axis) in enumerate(((a, b, 1), (b, a, 0))):
+            top = score.max(axis=axis)
+            better = top > best[side][own]
+            best[side][own] = np.where(better, top, best[side][own])
+            partner[side][own] = np.where(better, score.argmax(axis=axis) + other.start, partner[side][own])
+    if t is u:  # one table of both roles
+        use = best[1] > best[0]
+        best = [np.where(use, best[1], best[0])]
+        partner = [np.where(use, partner[1], partner[0])]
+    out = []
+    for side, (own, other) in enumerate(((t, u), (u, t))[:len(best)]):
+        score, with_ = np.full(len(own.sizes), -1.0), np.full(len(own.sizes), -1, np.int64)
+        score[own.order] = best[side]
+        with_[own.order] = np.where(partner[side] >= 0, other.order[partner[side]], -1)
+        out.append((with_, score))
+    return out
+
+
 # ---- passes over the texts ----
 
 def _profile(rows: DataFrame, size: int) -> DataFrame:
@@ -285,18 +296,24 @@ def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: boo
              .select("cell", "ci", "cj", "second", "cid", "component", "n", "point")
              .repartition("cell", "ci", "cj").sortWithinPartitions("cell", "ci", "cj", "second"))
 
-    def pairs_of(group) -> tuple[np.ndarray, np.ndarray]:
-        cid, comp, n, data, second, alone = group
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def pairs_of(cid, comp, n, data, second, alone):
+        """proposer, partner, bound on their similarity."""
         rows = np.stack([counts_of(d, k) for d, k in zip(data, n.tolist())])
-        if alone:
-            t = RTree(rows, n)
-            i, j = tree_join(t, t, comp, comp, percent, best_only)
-            return cid[i], cid[j]
-        x, y = np.flatnonzero(~second), np.flatnonzero(second)
+        x, y = (np.arange(len(n)),) * 2 if alone else (np.flatnonzero(~second), np.flatnonzero(second))
         if not len(x) or not len(y):
-            return cid[:0], cid[:0]
-        i, j = tree_join(RTree(rows[x], n[x]), RTree(rows[y], n[y]), comp[x], comp[y], percent, best_only)
-        return cid[x[i]], cid[y[j]]
+            return none
+        t = RTree(rows[x], n[x])
+        u = t if alone else RTree(rows[y], n[y])
+        if not best_only:
+            i, j = tree_join(t, u, comp[x], comp[y], percent)
+            return cid[x[i]], cid[y[j]], np.zeros(len(i))
+        out = []
+        for (partner, score), own, other in zip(tree_best(t, u, comp[x], comp[y], percent), (x, y), (y, x)):
+            at = np.flatnonzero(partner >= 0)
+            out.append((cid[own[at]], cid[other[partner[at]]], score[at]))
+        return tuple(np.concatenate(parts) for parts in zip(*out))
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -318,16 +335,17 @@ def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: boo
         comp, n = np.asarray(table.column(5)), np.asarray(table.column(6))
         data = table.column(7).to_pylist()
         bounds = [0, *edges.tolist(), table.num_rows]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found = [none]
         for s, e in zip(bounds[:-1], bounds[1:]):
             if e - s > 1:
-                found.append(pairs_of((cid[s:e], comp[s:e], n[s:e], data[s:e], second[s:e], key_i[s] == key_j[s])))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-        once = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
-
-    return dealt.transform(map_arrow, run, "a long, b long").where("a <> b").distinct()
+                found.append(pairs_of(cid[s:e], comp[s:e], n[s:e], data[s:e], second[s:e], key_i[s] == key_j[s]))
+        a, b, score = (np.concatenate(parts) for parts in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], names=["a", "b", "score"])
+
+    found = dealt.transform(map_arrow, run, "a long, b long, score double").where("a <> b")
+    if best_only:  # of all its cells, a point keeps its best partner
+        found = found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select("a", "best.b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _few(rows: DataFrame, n: int) -> DataFrame:

@@ -18,8 +18,8 @@ import numpy as np
 
 from .textblocks import blocks, column_bytes, mix64, poly_prefix, poly_slices
 
-#: Slots of the table (it is emptied at half of them): 32 MB and the ids.
-SLOTS = 1 << 21
+#: Slots of the table (it is emptied at half of them): 16 MB and the ids.
+SLOTS = 1 << 20
 #: Longer units are encoded each time.
 KEEP_BYTES = 64
 _U = np.uint64

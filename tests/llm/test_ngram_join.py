@@ -84,7 +84,7 @@ def test_trees_lose_no_pair():
     assert (points.sum(axis=1) == n).all()
     label = np.arange(len(sets))
     tree = J.RTree(points, n)
-    i, j = J.tree_join(tree, tree, label, label, 85, best_only=False)
+    i, j = J.tree_join(tree, tree, label, label, 85)
     found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     linked = set()
     for a in range(len(sets)):
@@ -94,12 +94,18 @@ def test_trees_lose_no_pair():
                 linked.add((b, a))
     assert linked <= found and len(linked) > 30
     assert len(found) < len(sets) ** 2 / 20  # the bound does prune
-    x, y = J.tree_join(tree, tree, label, label, 85, best_only=True)
-    partners = set(x.tolist()) | set(y.tolist())
-    assert {a for p in linked for a in p} <= partners and len(x) <= 2 * len(sets)
+    (partner, score), = J.tree_best(tree, tree, label, label, 85)
+    assert {a for p in found for a in p} == set(np.flatnonzero(partner >= 0).tolist())  # who has one, proposes
+    ub = lambda a, b: np.minimum(points[a], points[b]).sum()
+    for a in np.flatnonzero(partner >= 0):
+        b = partner[a]
+        assert score[a] == max(ub(a, c) / (n[a] + n[c] - ub(a, c)) for p in found if a in p for c in [sum(p) - a])
+        assert (min(a, b), max(a, b)) in found
     half = len(sets) // 2
     t, u = J.RTree(points[:half], n[:half]), J.RTree(points[half:], n[half:])
-    i, j = J.tree_join(t, u, label[:half], label[half:], 85, best_only=False)
+    i, j = J.tree_join(t, u, label[:half], label[half:], 85)
+    (p, _), (q, _) = J.tree_best(t, u, label[:half], label[half:], 85)
+    assert set(np.flatnonzero(p >= 0).tolist()) == set(i.tolist()) and set(np.flatnonzero(q >= 0).tolist()) == set(j.tolist())
     across = {(a, b + half) for a, b in zip(i.tolist(), j.tolist())}
     assert {p for p in linked if p[0] < half <= p[1]} <= across
 
