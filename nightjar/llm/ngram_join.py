@@ -230,7 +230,7 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
         late, rank = hot.value
         seen: set[int] = set()
         for b in batches:
-            keys, cids = [], []
+            keys, cids, sizes = [], [], []
             for s in shingle_sets(b.column(0), size):
                 if not len(s):
                     continue
@@ -240,7 +240,8 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
                 if len(seen) > 100_000:
                     seen.clear()
                 seen.add(cid)
-                first = len(s) - -(-percent * len(s) // 100) + 1
+                n = len(s)
+                first = n - -(-percent * len(s) // 100) + 1
                 if len(late):
                     at = np.minimum(np.searchsorted(late, s), len(late) - 1)
                     weight = np.where(late[at] == s, rank[at], 0)
@@ -248,13 +249,20 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
                         s = s[np.argsort(weight, kind="stable")]
                 keys.append(s[:first].view(np.int64))
                 cids.append(np.full(first, cid))
+                sizes.append(np.full(first, n, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(cids))],
-                                                 names=["key", "cid"])
-    first = rows.select("text").transform(map_arrow, run, "key long, cid long")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(sizes))],
+                    names=["key", "cid", "n"])
+    first = rows.select("text").transform(map_arrow, run, "key long, cid long, n int")
     by_key = Window.partitionBy("key")
-    shared = (first.withColumn("lo", F.min("cid").over(by_key)).withColumn("hi", F.max("cid").over(by_key))
-              .where("lo <> hi").select("key", "cid").distinct())
+    by_size = by_key.orderBy("n", "cid")
+    # a class that may link by size has such a class next to it in that order
+    near = ((100 * F.lag("n").over(by_size) >= percent * F.col("n"))
+            | (100 * F.col("n") >= percent * F.lead("n").over(by_size)))
+    shared = (first.withColumn("near", near).withColumn("lo", F.min("cid").over(by_key))
+              .withColumn("hi", F.max("cid").over(by_key))
+              .where("lo <> hi AND near").select("key", "cid").distinct())
     # cells with the same members are one
     named = (shared.withColumn("members", F.bit_xor(F.xxhash64("cid")).over(by_key))
              .withColumn("m", F.count("*").over(by_key)))
