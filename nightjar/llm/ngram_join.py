@@ -14,10 +14,10 @@ class. Two classes link when ``100 * intersection >= percent * union``.
 
 Where the trees stand: one tree over all classes would end in one task, and
 random texts look alike to it. So points are first dealt into cells. A set of
-n shingles that links with another shares with it one of its
-``n - ceil(percent * n / 100) + 1`` first shingles, in any order common to all
-sets; each of those shingles is a cell, and cells with the same members are
-one. The order puts shingles that many documents share last, so that common
+n shingles that links with another shares with it ``SHARED`` of its
+``n - ceil(percent * n / 100) + SHARED`` first shingles, in any order common to
+all sets; each of those shingles is a cell, cells with the same members are
+one, and what is in a cell by chance leaves it (``_cells``). The order puts shingles that many documents share last, so that common
 passages make no large cells; it only steers cost, not the result. Cells over
 ``CELL_ROWS`` are split into chunks, and each pair of chunks is a task of its
 own, so no group of copies, however large, meets in one task.
@@ -49,6 +49,8 @@ GROUPS = 256
 CELL_ROWS = 4096
 LEAF, FANOUT = 64, 16
 ROUNDS = 6
+#: First shingles that linked sets are sure to share (or their intersection, if smaller).
+SHARED = 3
 #: Tables of at most so many ids (8 to 24 bytes each; counted first) are broadcast.
 BROADCAST_ROWS = 500_000
 #: Shingles that a task meets so often in ``COUNT_ROWS`` are reported, and so
@@ -225,7 +227,12 @@ def _profile(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
-    """cell, cid: classes that share a first shingle with another class."""
+    """cell, cid: classes that share first shingles with another class.
+
+    Linked sets share SHARED of their first shingles, not only one. Where all of
+    these stand in cells of just the two, those cells are one with SHARED keys;
+    where one stands in a larger cell, that cell holds both. So cells of two with
+    fewer keys, most of what chance brings together, hold no link."""
     def run(batches):
         late, rank = hot.value
         seen: set[int] = set()
@@ -241,7 +248,7 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
                     seen.clear()
                 seen.add(cid)
                 n = len(s)
-                first = n - -(-percent * len(s) // 100) + 1
+                first = min(n, n - -(-percent * n // 100) + SHARED)
                 if len(late):
                     at = np.minimum(np.searchsorted(late, s), len(late) - 1)
                     weight = np.where(late[at] == s, rank[at], 0)
@@ -262,11 +269,14 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
             | (100 * F.col("n") >= percent * F.lead("n").over(by_size)))
     shared = (first.withColumn("near", near).withColumn("lo", F.min("cid").over(by_key))
               .withColumn("hi", F.max("cid").over(by_key))
-              .where("lo <> hi AND near").select("key", "cid").distinct())
-    # cells with the same members are one
+              .where("lo <> hi AND near").select("key", "cid", "n").distinct())
+    # cells with the same members are one; a cell of two needs SHARED keys (sets
+    # too small for that: their whole intersection), any larger cell stays
     named = (shared.withColumn("members", F.bit_xor(F.xxhash64("cid")).over(by_key))
              .withColumn("m", F.count("*").over(by_key)))
-    return named.select(F.xxhash64("members", "m").alias("cell"), "cid").distinct()
+    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
+    return (named.groupBy(F.xxhash64("members", "m").alias("cell"), "m", "cid", "n").agg(F.count("*").alias("keys"))
+            .where((F.col("m") > 2) | (F.col("keys") >= enough)).select("cell", "cid"))
 
 
 def _member_sets(rows: DataFrame, members: DataFrame, n_members: int, size: int) -> DataFrame:
