@@ -50,7 +50,7 @@ CELL_ROWS = 4096
 LEAF, FANOUT = 64, 16
 ROUNDS = 6
 #: First shingles that linked sets are sure to share (or their intersection, if smaller).
-SHARED = 3
+SHARED = 8
 #: Tables of at most so many ids (8 to 24 bytes each; counted first) are broadcast.
 BROADCAST_ROWS = 500_000
 #: Shingles that a task meets so often in ``COUNT_ROWS`` are reported, and so
@@ -264,17 +264,24 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
     first = rows.select("text").transform(map_arrow, run, "key long, cid long, n int")
     by_key = Window.partitionBy("key")
     by_size = by_key.orderBy("n", "cid")
-    # a class that may link by size has such a class next to it in that order
-    near = ((100 * F.lag("n").over(by_size) >= percent * F.col("n"))
-            | (100 * F.col("n") >= percent * F.lead("n").over(by_size)))
-    shared = (first.withColumn("near", near).withColumn("lo", F.min("cid").over(by_key))
-              .withColumn("hi", F.max("cid").over(by_key))
-              .where("lo <> hi AND near").select("key", "cid", "n").distinct())
+    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
+
+    def with_partners(entries: DataFrame) -> DataFrame:
+        """Entries of keys that another class of fitting size has, too: a class
+        that may link by size has such a class next to it in order of size."""
+        near = ((100 * F.lag("n").over(by_size) >= percent * F.col("n"))
+                | (100 * F.col("n") >= percent * F.lead("n").over(by_size)))
+        return (entries.withColumn("near", near).withColumn("lo", F.min("cid").over(by_key))
+                .withColumn("hi", F.max("cid").over(by_key))
+                .where("lo <> hi AND near").select("key", "cid", "n").distinct())
+    shared = landed(with_partners(first), "shared_keys")
+    # a class with a link has SHARED such keys
+    often = shared.groupBy("cid", "n").agg(F.count("*").alias("keys")).where(F.col("keys") >= enough).select("cid")
+    shared = with_partners(shared.join(often, "cid", "left_semi"))
     # cells with the same members are one; a cell of two needs SHARED keys (sets
     # too small for that: their whole intersection), any larger cell stays
     named = (shared.withColumn("members", F.bit_xor(F.xxhash64("cid")).over(by_key))
              .withColumn("m", F.count("*").over(by_key)))
-    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
     return (named.groupBy(F.xxhash64("members", "m").alias("cell"), "m", "cid", "n").agg(F.count("*").alias("keys"))
             .where((F.col("m") > 2) | (F.col("keys") >= enough)).select("cell", "cid"))
 
@@ -301,7 +308,7 @@ def _member_sets(rows: DataFrame, members: DataFrame, n_members: int, size: int)
 # ---- candidates and verification ----
 
 def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: bool, cell_rows: int) -> DataFrame:
-    """a, b: pairs of classes of one cell, in different components."""
+    """cell, a, b, score: pairs of classes of one cell, in different components."""
     by_cell = Window.partitionBy("cell")
     open_ = (cells.withColumn("lo", F.min("component").over(by_cell)).withColumn("hi", F.max("component").over(by_cell))
              .withColumn("m", F.count("*").over(by_cell)).where("lo <> hi"))
@@ -353,14 +360,20 @@ def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: boo
         comp, n = np.asarray(table.column(5)), np.asarray(table.column(6))
         data = table.column(7).to_pylist()
         bounds = [0, *edges.tolist(), table.num_rows]
-        found = [none]
+        cells_ = np.asarray(table.column(0))
+        found, where = [none], [np.zeros(0, np.int64)]
         for s, e in zip(bounds[:-1], bounds[1:]):
             if e - s > 1:
                 found.append(pairs_of(cid[s:e], comp[s:e], n[s:e], data[s:e], second[s:e], key_i[s] == key_j[s]))
+                where.append(np.full(len(found[-1][0]), cells_[s]))
         a, b, score = (np.concatenate(parts) for parts in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], names=["a", "b", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(where)), pa.array(a), pa.array(b), pa.array(score)],
+                                          names=["cell", "a", "b", "score"])
+
+    return dealt.transform(map_arrow, run, "cell long, a long, b long, score double").where("a <> b")
+
 
-    found = dealt.transform(map_arrow, run, "a long, b long, score double").where("a <> b")
+def _pairs(found: DataFrame, best_only: bool) -> DataFrame:
     if best_only:  # of all its cells, a point keeps its best partner
         found = found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select("a", "best.b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -424,8 +437,12 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         at = (cells.withColumn("component", F.col("cid")) if labels is None else
               cells.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
               .withColumn("component", F.coalesce("component", "cid")))
-        pairs = landed(_proposals(at, points, percent, not last, cell_rows), f"pairs_{k}")
+        found = landed(_proposals(at, points, percent, not last, cell_rows), f"proposals_{k}")
+        pairs = landed(_pairs(found, not last), f"pairs_{k}")
         tried = pairs.count()
+        if not k and not last:  # a point without any possible partner in a cell leaves it for good
+            cells = landed(cells.join(found.select("cell", F.col("a").alias("cid")).distinct(), ["cell", "cid"], "left_semi"),
+                           "cells_left")
         if not tried:
             break
         good = landed(_verified(pairs, tried, sets, percent), f"good_{k}")
@@ -436,9 +453,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if last:
             break
         if n_good * 10 < tried:  # merging has slowed down: decide all that is left
-            full = landed(_proposals(cells.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+            full = landed(_pairs(_proposals(cells.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
                                      .withColumn("component", F.coalesce("component", "cid")) if labels is not None
-                                     else at, points, percent, False, cell_rows), f"pairs_{k}_all")
+                                     else at, points, percent, False, cell_rows), False), f"pairs_{k}_all")
             good = landed(_verified(full, full.count(), sets, percent), f"good_{k}_all")
             if good.take(1):
                 labels = components(good if links is None else links.unionByName(good))
