@@ -200,7 +200,9 @@ def q_safe_divide(spark, sf):
  {', '.join(c for c in N.NIGHT_FEATURES if not c.startswith(('resp', 'spo2')))} FROM ({MODEL_NIGHTS_SQL}) m""",
                           [c for c in N.NIGHT_FEATURES if not c.startswith(("resp", "spo2"))]))
 def q_drop_null(spark, sf):
-    df = labelled_nights(spark, sf)
+    # a device without the two slow sensors: their columns are all missing
+    df = labelled_nights(spark, sf).withColumns({c: F.lit(None).cast("double") for c in N.NIGHT_FEATURES
+                                                 if c.startswith(("resp", "spo2"))})
     cols = X.select_numeric_columns(df)
     return presentable(X.drop_all_null_columns(df, cols, keep=["subject_id", "night_date"]))
 
