@@ -42,8 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classed = ngram_join.similar_documents(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     gone = (classed.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(landed(gone, "near_duplicates"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(
-        ["doc_id", "text"])
+    kept = docs.join(landed(gone, "near_duplicates"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    # rows that share id and text are seen by their hashes; only then do texts travel
+    repeated = docs.groupBy("doc_id", F.xxhash64("text")).agg(F.count("*").alias("n")).where("n > 1")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated.take(1) else kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

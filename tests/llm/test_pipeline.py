@@ -80,6 +80,14 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in rows} == set(before)
 
 
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "one text of five words more", "en", "s", 3), (1, "one text of five words more", "en", "s", 3), (1, "another", "en", "s", 1),
+            (2, "one text of five words more", "en", "s", 3), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, "another"), (1, "one text of five words more"), (3, "")]
+
+
 def test_run_is_its_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in C.STAGES:
