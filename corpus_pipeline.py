@@ -4,8 +4,11 @@ Every stage takes the documents that its predecessor kept, as written Parquet,
 and all but the last return the columns of ``documents``:
 
 1. language ID: documents without a recognisable language go;
-2. line dedup: boilerplate lines go from all documents but one (no document
-   goes; ``n_chars`` is counted anew);
+2. line dedup: boilerplate lines go from all documents but one (``n_chars`` is
+   counted anew); a document that this leaves without any word goes, as all of
+   its long lines stand in their homes. A document that came without a word
+   stays as it is, and a near copy keeps the lines that differ, as a document
+   of its own;
 3. near duplicates: of each group of documents linked by five-word shingles
    with a Jaccard similarity of 0.8 or more, the smallest id stays; of rows
    with one id and one text, one stays;
@@ -26,6 +29,8 @@ from nightjar.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: What the near-duplicate stage takes for a word holds one of these.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    docs = docs.select(*COLUMNS).withColumn("_had_words", F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    cleaned = line_dedup.drop_boilerplate(docs)
+    cleaned = cleaned.where(~(F.col("_had_words") & (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

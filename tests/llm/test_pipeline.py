@@ -102,3 +102,17 @@ def test_registry():
     assert [n for n in names if n.startswith("op")] == [n for n in QUERIES if n.startswith("op")] and "pipeline" in names
     assert set(ORACLES) <= set(E.oracle_sql()) and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES if n[:2] == "op"}
     assert [n for n, _ in C.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "packing"]
+
+
+def test_copies_on_many_sources_do_not_reach_packing_empty(spark):
+    body = "the first long line of the copied text\nand its second long line follows\nshort"
+    long = body.rsplit("\n", 1)[0]
+    rows = [(i, long, "en", f"s{i}") for i in range(8)]                                        # emptied copies
+    rows += [(10 + i, f"{long}\nown line number {i} of this near copy", "en", f"s{i}") for i in range(3)]
+    rows += [(20, body, "en", "s9"), (30, None, None, None), (31, "", None, "s1")]
+    rows += [(40 + i, "\t" * 25, None, f"s{i}") for i in range(6)]                             # came without a word
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = C.dedup_lines(spark, docs, "")
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    assert cleaned.columns == C.COLUMNS and set(got) == {0, 10, 11, 12, 20, 30, 31, *range(40, 46)}
+    assert got[0] == long and got[11] == "own line number 1 of this near copy" and got[20] == "short" and got[30] is None
