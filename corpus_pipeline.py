@@ -10,8 +10,9 @@ and all but the last return the columns of ``documents``:
    stays as it is, and a near copy keeps the lines that differ, as a document
    of its own;
 3. near duplicates: of each group of documents linked by five-word shingles
-   with a Jaccard similarity of 0.8 or more, the smallest id stays; of rows
-   with one id and one text, one stays;
+   with a Jaccard similarity of 0.8 or more, one row stays: that of the smallest
+   id (null last; of rows that share it, one by hash). Rows are judged each, also
+   where ids are null or repeated; of rows with one id and one text, one stays;
 4. benchmark decontamination: documents that hold a test window go;
 5. best-fit packing: the pieces of all that is left, with their sequences.
 
@@ -46,13 +47,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    classed = ngram_join.similar_documents(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = (classed.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(landed(gone, "near_duplicates"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    # rows that share id and text are seen by their hashes; only then do texts travel
-    repeated = docs.groupBy("doc_id", F.xxhash64("text")).agg(F.count("*").alias("n")).where("n > 1")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated.take(1) else kept
+    # rows are told apart by id and text: ids may be null or repeated
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.withColumn("_key", key)
+    classed = ngram_join.similar_documents(keyed, id_col="_key", size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    ids = landed(keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "row_keys")
+    placed = landed(classed.select("_key", "component_id").distinct().join(ids, "_key"), "row_components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("first")
+    stays = placed.groupBy("component_id").agg(first).select("first._key")
+    gone = placed.join(stays, "_key", "left_anti").select(F.col("_key").alias("_gone"))
+    kept = docs.join(landed(gone, "near_duplicates"), key == F.col("_gone"), "left_anti")
+    # only where rows share id and text do texts travel
+    return kept.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").take(1) else kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,17 @@ def test_copies_on_many_sources_do_not_reach_packing_empty(spark):
     got = {r.doc_id: r.text for r in cleaned.collect()}
     assert cleaned.columns == C.COLUMNS and set(got) == {0, 10, 11, 12, 20, 30, 31, *range(40, 46)}
     assert got[0] == long and got[11] == "own line number 1 of this near copy" and got[20] == "short" and got[30] is None
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    say = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    a, b, c = say("a"), say("b"), say("c")
+    rows = [(1, a), (None, a + " more"), (None, say("clean")),      # one null id copied, one clean
+            (2, b), (7, b + " more"), (7, say("own")),              # a repeated id, likewise
+            (None, c), (None, c + " more"), (None, c), (None, None),  # near copies without any id
+            (9, say("d")), (9, say("d") + " more")]                  # near copies of one id
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in C.drop_near_duplicates(spark, docs.repartition(3), "").collect()]
+    left = sorted((str(i), (t or "").split(" ")[0], t) for i, t in got)
+    assert [x[:2] for x in left] == [("1", "a0"), ("2", "b0"), ("7", "own0"), ("9", "d0"), ("None", ""), ("None", "c0"), ("None", "clean0")]
+    assert {(1, a), (2, b)} <= set(got)
