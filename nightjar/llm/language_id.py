@@ -14,8 +14,10 @@ For every language l the log posterior of a document is
   whole corpus; each document's own vote is left out of its host's counts.
 
 All counts are grouped aggregations over all documents; the trigram model is
-fitted on a bounded sample of labelled rows (``fit_rows`` expected, chosen by
-the hash of the row, the same at every layout). A further class, unknown, has
+fitted on a bounded sample of distinct labelled texts: ``fit_rows`` expected,
+an equal share for each language, chosen by the hash of the text and label, the
+same at every layout. Labels are counted over all rows: every label of
+``MIN_ROWS`` rows is a language, on small tables also one of ``MIN_SHARE``. A further class, unknown, has
 uniform trigrams and the prior ``UNKNOWN_PRIOR``; documents it wins, and
 documents without any letter, are rejected (language ``und``). The other
 evidence counts for the unknown class as for its best language, so it is the
@@ -40,8 +42,8 @@ from .common import landed, map_arrow, pick, schema_of
 from .textblocks import blocks, column_bytes
 
 FIT_ROWS = 20_000
-#: Labels of fewer sampled rows (share of the sample) are taken for noise.
-MIN_SHARE = 0.002
+#: Labels of fewer rows, in number and as a share, are taken for noise.
+MIN_ROWS, MIN_SHARE = 10, 0.002
 BUCKETS = 1 << 14
 SMOOTH, TEMPER = 0.5, 3.0
 UNKNOWN, UNKNOWN_PRIOR = "und", 1e-3
@@ -91,10 +93,29 @@ class TextModel:
 
 
 def fit_text_model(rows: DataFrame, *, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> TextModel:
-    own = pick(rows, text=text_col, label=label_col).where("label IS NOT NULL AND text IS NOT NULL")
-    n = rows.select(label_col).where(F.col(f"`{label_col}`").isNotNull()).count()
-    share = min(1.0, fit_rows / max(1, n))
-    sample = own.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    own = pick(rows, text=text_col, label=label_col).where("label IS NOT NULL AND octet_length(text) >= 3")
+    own = own.select("text", "label", F.xxhash64("text", "label").alias("key"))
+    labels = landed(own.groupBy("label", "key").agg(F.count("*").alias("n"))
+                    .groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "labels")
+    n = labels.agg(F.sum("n")).first()[0] or 0
+    known = labels.where(F.col("n") >= min(MIN_ROWS, MIN_SHARE * n))
+    quota = max(MIN_ROWS, fit_rows // max(1, known.count()))
+    limits = known.select("label", F.least(F.lit(1 << 30), F.lit(quota << 30) / F.col("texts")).cast("long").alias("limit"))
+
+    def once(batches):
+        """A text that many rows share goes on once from a task."""
+        seen: set[int] = set()
+        for b in batches:
+            new = []
+            for r, key in enumerate(b.column(2).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(r)
+            yield b.take(pa.array(new, pa.int64()))
+
+    sample = (own.join(F.broadcast(limits), "label").where(F.pmod("key", F.lit(1 << 30)) < F.col("limit"))
+              .select("text", "label", "key").transform(map_arrow, once, "text string, label string, key long")
+              .dropDuplicates(["key"]).select("text", "label"))
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -116,10 +137,10 @@ def fit_text_model(rows: DataFrame, *, text_col: str, label_col: str, fit_rows:
     counts = landed(sample.transform(map_arrow, count, "label string, bucket int, n long")
                     .groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     seen = {r["label"]: r["n"] for r in counts.where("bucket = -1").collect()}
-    languages = sorted(x for x, k in seen.items() if k >= MIN_SHARE * sum(seen.values()))
+    languages = sorted(seen)
     table = np.full((len(languages), BUCKETS), SMOOTH)
     index = {x: k for k, x in enumerate(languages)}
-    for r in counts.where("bucket >= 0").where(F.col("label").isin(languages)).collect():
+    for r in counts.where("bucket >= 0").collect():
         table[index[r["label"]], r["bucket"]] += r["n"]
     return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 

@@ -145,3 +145,18 @@ def test_grams_of_a_block_stay_inside_their_texts():
     model = G.TextModel(["a"], np.zeros((1, G.BUCKETS), np.float32))
     letters, grams, _ = model.score(pa.array(["abc", "ab", "", None, "a1bcd", "é"]))
     assert letters.tolist() == [3, 2, 0, 0, 4, 2] and grams.tolist() == [1, 0, 0, 0, 1, 0]
+
+
+def test_rare_language_in_a_large_skewed_corpus_has_a_model(spark):
+    r = random.Random(8)
+    rows = [(i, text("en", 8, r), "en", "a.com") for i in range(5000)]
+    rows += [(10_000 + i, "one text that very many rows share " * 4, "en", "b.com") for i in range(4000)]
+    greek = "και το νερό της θάλασσας είναι με τον άνθρωπο στο ποτάμι".split()
+    rows += [(20_000 + i, " ".join(r.choice(greek) for _ in range(40)), "el", "c.gr") for i in range(12)]
+    rows += [(30_000, "qzj xkq vvz qqj zzx kxq jjq zxk qkz jxz " * 9, "en", "a.com")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    for fit_rows in (G.FIT_ROWS, 400):  # whole, and sampled by label
+        model = G.fit_text_model(df, text_col="text", label_col="lang", fit_rows=fit_rows)
+        assert model.languages == ["el", "en"]
+    kept = {x.doc_id for x in G.keep_identified(df).select("doc_id").collect()}
+    assert kept == {x[0] for x in rows} - {30_000}
