@@ -3,11 +3,15 @@
 Entities (e-mail addresses, telephone numbers, IPv4 addresses, account and
 card numbers, secret tokens, names after a form of address) are replaced by
 keyed surrogates of the same kind: the same script, letter case, number and
-layout of digits, the same Luhn validity, the same gender of a name.
+layout of digits, the same Luhn validity, the same gender of a given name.
 
 Coreference: an entity is known by its canonical form (lower case, digits
 without layout, single parts of a name), and one canonical form has one
-surrogate in the whole corpus. Distinctness: candidates come from an HMAC of
+surrogate in the whole corpus, a name also where it is given name here and
+family name there. A given name has the gender that its forms of address tell
+over the corpus (x if none or both do). Names that a text introduces after a
+form of address are replaced wherever else that text has them, too, if with a
+capital letter. Distinctness, over all kinds: candidates come from an HMAC of
 the canonical form; a candidate that another entity already has, or that is
 itself an entity of the corpus, is refused and the next one tried, in rounds
 over the refused entities only, until no two entities share a surrogate.
@@ -54,6 +58,8 @@ _PATTERN = re.compile(
 #: Wider than the pattern, and cheap: a text without it has no entity.
 MAY_HOLD = "[0-9@]|[MDPHFSГ](?:rs?|s|iss|onsieur|adame|me|lle|rof|err|rau|eñora?|ra|осп)"
 
+_TOKEN, _LETTERS = re.compile(rf"(?<!\w){_WORD}(?!\w)"), re.compile(r"[^\W\d_]+")
+_ADDRESS_FORMS = {a.lower() for a in ADDRESSES}
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghklmnprstvz"
 _CYRILLIC_V, _CYRILLIC_C = "аеиоу", "бвгдзклмнпрст"
 _GREEK_V, _GREEK_C = "αεηιου", "βγδζκλμνπρστ"
@@ -90,8 +96,29 @@ def _parts(m: re.Match) -> list[tuple[str, str, int, int]]:
     return [("given_" + gender, first.lower(), *m.span("first")), ("family", last.lower(), *m.span("last"))]
 
 
+def _is_name(kind: str) -> bool:
+    return kind == "family" or kind.startswith("given_")
+
+
 def entities(text: str) -> list[tuple[str, str, int, int]]:
-    return [p for m in _PATTERN.finditer(text) for p in _parts(m)]
+    found = [p for m in _PATTERN.finditer(text) for p in _parts(m)]
+    names = {c: k for k, c, _, _ in found if _is_name(k) and c not in _ADDRESS_FORMS}
+    return sorted(found + _later_mentions(text, names, found), key=lambda p: p[2]) if names else found
+
+
+def _later_mentions(text: str, names: dict[str, str], found: list) -> list[tuple[str, str, int, int]]:
+    """Mentions of names outside the entities found."""
+    out, spans, at = [], [(i, j) for _, _, i, j in found], 0
+    for m in _TOKEN.finditer(text):
+        # the whole word, or else its parts between hyphens and apostrophes
+        words = [m] if m.group().lower() in names else _LETTERS.finditer(text, *m.span())
+        for word in words:
+            canonical, (i, j) = word.group().lower(), word.span()
+            while at < len(spans) and spans[at][1] <= i:
+                at += 1
+            if canonical in names and word.group()[0].isupper() and (at == len(spans) or j <= spans[at][0]):
+                out.append((names[canonical], canonical, i, j))
+    return out
 
 
 class _Stream:
@@ -199,26 +226,37 @@ def _mentions(rows: DataFrame) -> DataFrame:
     return rows.transform(map_arrow, run, "kind string, canonical string, row_key long")
 
 
+def _space(kind):
+    """Parts of names are of one kind, whatever their part and gender."""
+    return F.when((kind == "family") | kind.startswith("given_"), "name").otherwise(kind)
+
+
 def assign_surrogates(found: DataFrame, key: bytes, make=surrogate) -> DataFrame:
-    """kind, canonical, surrogate for every distinct entity: one to one within
-    a kind, and no surrogate that is itself an entity of the corpus."""
+    """kind, canonical, surrogate for every distinct entity: one to one, and no
+    surrogate that is itself an entity of the corpus. Parts of names come back
+    as of kind name."""
     def candidates(rows: DataFrame, attempt: int) -> DataFrame:
         def run(batches):
             for b in batches:
-                made = [make(key, k, c, attempt) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                made = [make(key, k, c, attempt) for c, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())],
                                                  names=["kind", "canonical", "surrogate"])
         return rows.transform(map_arrow, run, "kind string, canonical string, surrogate string")
 
-    every = landed(found.select("kind", "canonical").distinct(), "entities")
+    has = {g: F.max((F.col("kind") == f"given_{g}").cast("int")) for g in "fmx"}
+    form = (F.when((has["f"] == 1) & (has["m"] == 0), "given_f").when((has["m"] == 1) & (has["f"] == 0), "given_m")
+            .when(F.greatest(*has.values()) == 1, "given_x").otherwise(F.max("kind")))
+    space = _space(F.col("kind"))
+    every = landed(found.select("kind", "canonical").distinct().groupBy(space.alias("space"), "canonical")
+                   .agg(form.alias("form")).withColumnRenamed("space", "kind"), "entities")
     pending, taken = every, None
-    real = every.select("kind", F.col("canonical").alias("surrogate"))
+    real = every.select(F.col("canonical").alias("surrogate"))
     for attempt in range(MAX_ROUNDS):
-        new = candidates(pending, attempt).join(real, ["kind", "surrogate"], "left_anti")
+        new = candidates(pending, attempt).join(real, "surrogate", "left_anti")
         if taken is not None:
-            new = new.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = new.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
-        won = landed(won.select("kind", "canonical", "surrogate"), f"surrogates_{attempt}")
+            new = new.join(taken.select("surrogate"), "surrogate", "left_anti")
+        won = new.groupBy("surrogate").agg(F.min(F.struct("kind", "canonical")).alias("won"))
+        won = landed(won.select("won.kind", "won.canonical", "surrogate"), f"surrogates_{attempt}")
         pending = pending.join(won, ["kind", "canonical"], "left_anti")
         taken = won if taken is None else taken.unionByName(won)
         if attempt:  # later rounds hold few rows
@@ -237,7 +275,7 @@ def replace_pii(docs: DataFrame, key: bytes, *, text_col: str = "text", make=sur
     some = docs.where(may)
     mentions = landed(_mentions(some.select(text, F.xxhash64(text))), "mentions")
     mapping = assign_surrogates(mentions, key, make)
-    own = (mentions.distinct().join(mapping, ["kind", "canonical"])
+    own = (mentions.withColumn("kind", _space(F.col("kind"))).distinct().join(mapping, ["kind", "canonical"])
            .groupBy("row_key").agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias("_map"))
            .withColumnRenamed("row_key", "_row_key"))
     fields = docs.schema.fields
@@ -251,7 +289,7 @@ def replace_pii(docs: DataFrame, key: bytes, *, text_col: str = "text", make=sur
                 table = {(f["kind"], f["canonical"]): f["surrogate"] for f in found or []}
                 parts, end, n = [], 0, 0
                 for kind, canonical, i, j in entities(t):
-                    parts += [t[end:i], lay_out(kind, t[i:j], table[kind, canonical])]
+                    parts += [t[end:i], lay_out(kind, t[i:j], table["name" if _is_name(kind) else kind, canonical])]
                     end, n = j, n + 1
                 texts.append("".join([*parts, t[end:]]))
                 counts.append(n)

@@ -93,3 +93,22 @@ def test_prefilter_is_wider_than_the_pattern():
 def test_empty_table(spark):
     df = P.replace_pii(frame(spark, []), KEY)
     assert df.count() == 0 and df.columns == ["doc_id", "text", "kind", "row_key", "n_entities"]
+
+
+def test_one_name_has_one_surrogate_with_and_without_title(spark):
+    rows = [(1, "Mrs. Maria Schmidt came. Later Maria said that SCHMIDT-Weber and Schmidt's dog left; schmidt stays, Mariax too."),
+            (2, "Dr. Maria Schmidt"), (3, "Maria alone, and Schmidt, in a text without a form of address"),
+            (4, "Dr. Kim Lee, Mr Maria, maria@mail.example.com")]
+    got = {r.doc_id: r for r in P.replace_pii(frame(spark, rows), KEY).collect()}
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. Later (\w+) said that (\w+)-Weber and (\w+)'s dog left; schmidt stays, Mariax too\.", got[1].text)
+    maria, schmidt, maria2, upper, schmidt2 = m.groups()
+    assert maria == maria2 != "Maria" and maria.endswith("a") and schmidt == schmidt2 != "Schmidt" and upper == schmidt.upper()
+    assert got[2].text == f"Dr. {maria} {schmidt}" and got[3].text == rows[2][1] and got[1].n_entities == 5
+    assert re.fullmatch(rf"Dr\. (\w+) (\w+), Mr {maria}, (\S+)@\S+\.com", got[4].text) and "maria@" not in got[4].text
+
+
+def test_surrogates_are_distinct_over_kinds(spark):
+    found = spark.createDataFrame([("given_f", "anna"), ("given_x", "anna"), ("family", "lee"), ("email", "a@b.com")], "kind string, canonical string")
+    same = lambda key, kind, canonical, attempt: ["lee", "same", "other", "third"][min(attempt, 3)] + "x" * max(0, attempt - 3)
+    table = P.assign_surrogates(found, KEY, same).collect()
+    assert len(table) == 3 and len({r.surrogate for r in table}) == 3 and "lee" not in {r.surrogate for r in table}
