@@ -55,8 +55,10 @@ _PATTERN = re.compile(
     r"|(?P<account>(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<secret>(?<!\w)(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w))"
     r"|(?P<name>(?<!\w)(?P<address>" + "|".join(ADDRESSES) + r")\.? (?P<first>" + _WORD + r")(?: (?P<last>" + _WORD + r"))?)")
-#: Wider than the pattern, and cheap: a text without it has no entity.
-MAY_HOLD = "[0-9@]|[MDPHFSГ](?:rs?|s|iss|onsieur|adame|me|lle|rof|err|rau|eñora?|ra|осп)"
+#: Wider than the pattern, and cheap: a text without it has no entity. Python's
+#: \d is any decimal digit, Spark's only ASCII, so Spark also asks for ANY_DIGIT.
+ANY_DIGIT = r"\p{Nd}"
+MAY_HOLD = r"[\d@]|[MDPHFSГ](?:rs?|s|iss|onsieur|adame|me|lle|rof|err|rau|eñora?|ra|осп)"
 
 _TOKEN, _LETTERS = re.compile(rf"(?<!\w){_WORD}(?!\w)"), re.compile(r"[^\W\d_]+")
 _ADDRESS_FORMS = {a.lower() for a in ADDRESSES}
@@ -271,7 +273,7 @@ def replace_pii(docs: DataFrame, key: bytes, *, text_col: str = "text", make=sur
     """The rows of docs with surrogates in the text column, and ``n_entities``."""
     docs = docs.drop("n_entities")
     text = docs[f"`{text_col}`"]
-    may = F.coalesce(text.rlike(MAY_HOLD), F.lit(False))
+    may = F.coalesce(text.rlike(f"{MAY_HOLD}|{ANY_DIGIT}"), F.lit(False))
     some = docs.where(may)
     mentions = landed(_mentions(some.select(text, F.xxhash64(text))), "mentions")
     mapping = assign_surrogates(mentions, key, make)

@@ -112,3 +112,11 @@ def test_surrogates_are_distinct_over_kinds(spark):
     same = lambda key, kind, canonical, attempt: ["lee", "same", "other", "third"][min(attempt, 3)] + "x" * max(0, attempt - 3)
     table = P.assign_surrogates(found, KEY, same).collect()
     assert len(table) == 3 and len({r.surrogate for r in table}) == 3 and "lee" not in {r.surrogate for r in table}
+
+
+def test_digits_of_any_script_are_found(spark):
+    rows = [(1, "٤١١١ ١١١١ ١١١١ ١١١١"), (2, "（４１１１１１１１１１１１１１１１）"), (3, "𝟕𝟒𝟑-𝟓𝟓𝟓-𝟑𝟖𝟐𝟒"), (4, "٣ شمس")]
+    got = {r.doc_id: r for r in P.replace_pii(frame(spark, rows), KEY).collect()}
+    for i, t in rows[:3]:
+        assert re.search(P.MAY_HOLD, t) and got[i].text != t and got[i].n_entities == len(P.entities(t)) == 1
+    assert got[4].text == rows[3][1] and got[4].n_entities == 0
