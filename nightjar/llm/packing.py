@@ -190,6 +190,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_
             best, least = taken + rest, n_rest
             if least <= floor:
                 return
+        del rest  # a whole solution: not one for every level of the search
         lengths = sorted((n for n, c in left.items() if c), reverse=True)
         top = lengths[0]
         left[top] -= 1

@@ -63,6 +63,20 @@ def test_search_beats_best_fit_and_large_counts_stay_cheap():
     assert sum(n for _, n in plan) <= 1.001 * P.lower_bound(huge, 4096)
 
 
+def test_the_search_holds_one_solution_not_one_a_level():
+    import tracemalloc
+    r = random.Random(1)
+    counts = Counter(min(4096, int(r.lognormvariate(7.5, .9)) + 1) for _ in range(20_000))
+
+    def peak(nodes):
+        tracemalloc.start()
+        assert used(P.plan(counts, 4096, max_nodes=nodes)) == counts
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+    assert peak(24) - peak(6) < 4e6  # with a solution a level: 0.8 MB for each node
+
+
 def test_fillings_are_undominated_and_fit():
     counts = {7: 1, 5: 2, 3: 2, 2: 1}
     got = P.fillings(counts, [7, 5, 3, 2], 10, 10)
