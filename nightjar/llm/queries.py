@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontamination, exact_dedup, language_id, line_dedup, ngram_join, packed_ids, packing, pii,
-               url_filter, warc)
+               ranked_search, simhash, url_filter, warc)
 from .common import scratch_dir, table
 
 #: Where the public vocabularies lie; None: where their package says.
@@ -87,9 +87,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    "payload_digest", "record_type", "refers_to")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_surrogates, op2_exact_dedup, op3_ngram_join, op4_decontamination, op5_packing, op6_line_dedup,
-    op7_language_id, op8_url_filter, op9_token_ids, op10_warc, page_language)}
+    op7_language_id, op8_url_filter, op9_token_ids, op10_warc, op11_simhash, op12_ranked_search, page_language)}
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
@@ -107,4 +115,5 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND page_id <> winner THEN winner END AS refers_to
 FROM w""",
+    "op12_ranked_search": ranked_search.ORACLE_SQL,
 }
