@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontamination, exact_dedup, language_id, line_dedup, ngram_join, packed_ids, packing, pii,
-               ranked_search, simhash, url_filter, warc)
+               ranked_search, simhash, spelling, url_filter, warc)
 from .common import scratch_dir, table
 
 #: Where the public vocabularies lie; None: where their package says.
@@ -95,9 +95,14 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_surrogates, op2_exact_dedup, op3_ngram_join, op4_decontamination, op5_packing, op6_line_dedup,
-    op7_language_id, op8_url_filter, op9_token_ids, op10_warc, op11_simhash, op12_ranked_search, page_language)}
+    op7_language_id, op8_url_filter, op9_token_ids, op10_warc, op11_simhash, op12_ranked_search,
+    op13_spelling_variants, page_language)}
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
