@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, landed, map_arrow, pick
-from .textblocks import ALNUM, blocks, column_bytes, mix64, poly_prefix, poly_slices, word_hashes, word_spans
+from .textblocks import ALNUM, blocks, column_bytes, mix64, word_hashes, word_spans
 
 WINDOW = 10
 #: Windows of one searcher: at most about 150 MB in a task.
@@ -50,7 +50,7 @@ class WuManber:
         raw = np.frombuffer(b" ".join(texts), np.uint8)
         edges = np.array([0, len(raw)])
         s, e, _ = word_spans(raw, edges, ALNUM)
-        self.words = poly_slices(poly_prefix(raw, lower=True), s, e).reshape(n, length)
+        self.words = word_hashes(raw, s, e).reshape(n, length)
         size = 1 << max(10, (8 * n * (length - self.b + 1)).bit_length())
         self.mask = _U(size - 1)
         self.shift = np.full(size, length - self.b + 1, np.int32)

@@ -57,21 +57,21 @@ BROADCAST_ROWS = 500_000
 #: many of the most frequent ones overall come last in the order of cells.
 COUNT_ROWS, LOCAL_HOT, HOT_SHINGLES = 1 << 20, 4, 200_000
 _U = np.uint64
-_SALT = [_U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0)]
+_SALT = [_U(0x243F6A8885A308D3), _U(0xA4093822299F31D0)]
 
 
 # ---- sets, points and trees (numpy) ----
 
-def class_ids(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set of hashes."""
+def class_id(s: np.ndarray) -> int:
+    """64-bit hash of a set of hashes."""
     with np.errstate(over="ignore"):
-        return tuple(int(mix64(np.atleast_1d(mix64(s ^ k).sum() + _U(len(s)))).view(np.int64)[0]) for k in _SALT[:2])
+        return int(mix64(np.atleast_1d(mix64(s ^ _SALT[0]).sum() + _U(len(s)))).view(np.int64)[0])
 
 
 def point(s: np.ndarray) -> bytes:
     """The count vector, as group numbers of the shingles (short sets) or as
     counts."""
-    groups = (mix64(s ^ _SALT[2]) >> _U(56)).astype(np.uint8)
+    groups = (mix64(s ^ _SALT[1]) >> _U(56)).astype(np.uint8)
     if len(s) <= 2 * GROUPS:
         return groups.tobytes()
     counts = np.bincount(groups, minlength=GROUPS)
@@ -193,8 +193,9 @@ def tree_best(t: RTree, u: RTree, label_t: np.ndarray, label_u: np.ndarray, perc
 # ---- passes over the texts ----
 
 def _profile(rows: DataFrame, size: int) -> DataFrame:
-    """kind 0: id, class, check hash and size of each row's set; kind 1:
-    shingles (in ``cid``) that are frequent in this task, with their counts."""
+    """kind 0: id, class, check hash (from word hashes of another seed) and size
+    of each row's set; kind 1: shingles (in ``cid``) that are frequent in this
+    task, with their counts."""
     def run(batches):
         held, n = [], 0
 
@@ -208,10 +209,9 @@ def _profile(rows: DataFrame, size: int) -> DataFrame:
 
         for b in batches:
             cid, check, sizes = [], [], []
-            for s in shingle_sets(b.column(1), size):
-                x, y = class_ids(s)
-                cid.append(x)
-                check.append(y)
+            for s, other in shingle_sets(b.column(1), size, seeds=(0, 1)):
+                cid.append(class_id(s))
+                check.append(class_id(other))
                 sizes.append(len(s))
                 held.append(s)
                 n += len(s)
@@ -241,7 +241,7 @@ def _cells(rows: DataFrame, size: int, percent: int, hot) -> DataFrame:
             for s in shingle_sets(b.column(0), size):
                 if not len(s):
                     continue
-                cid = class_ids(s)[0]
+                cid = class_id(s)
                 if cid in seen:
                     continue
                 if len(seen) > 100_000:
@@ -293,7 +293,7 @@ def _member_sets(rows: DataFrame, members: DataFrame, n_members: int, size: int)
             want = b.column(1).to_pylist()
             cid, n, points, sets = [], [], [], []
             for w, s in zip(want, shingle_sets(b.column(0), size)):
-                if class_ids(s)[0] == w:
+                if class_id(s) == w:
                     cid.append(w)
                     n.append(len(s))
                     points.append(point(s))

@@ -38,31 +38,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-with np.errstate(over="ignore"):
-    _EXACT = mix64((np.arange(256, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
-    _BYTE = _EXACT[_LOWER]
-_MUL = 0x5851F42D4C957F2D
-_INV = pow(_MUL, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _pow(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        out = np.empty(size, dtype=_U)
-        out[0] = 1
-        step = 1
-        while step < size:  # doubling: base^(i+step) = base^i * base^step
-            take = min(step, size - step)
-            np.multiply(out[:take], _U(pow(base, step, 1 << 64)), out=out[step:step + take])
-            step += take
-        if size > 4 * BLOCK_BYTES:  # a very long text: not kept
-            return out[:n]
-        _powers[base] = have = out
-    return have[:n]
-
-
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -111,28 +86,54 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     return starts + lo, ends + lo, rows
 
 
-def poly_prefix(raw: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Running sums from which any slice's hash follows."""
-    with np.errstate(over="ignore"):
-        acc = np.empty(len(raw) + 1, dtype=_U)
-        acc[0] = 0
-        np.cumsum((_BYTE if lower else _EXACT)[raw] * _pow(_MUL, len(raw)), out=acc[1:])
-        return acc
+#: Longer slices are hashed one by one.
+LANES_BYTES = 256
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=_U)  # masks of the first n bytes
 
 
-def poly_slices(acc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each slice [start, end) of the bytes behind ``acc``."""
-    with np.errstate(over="ignore"):
-        h = (acc[ends] - acc[starts]) * _pow(_INV, len(acc))[starts]
-        return mix64(h + (ends - starts).astype(_U))
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one number."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word (A-Z lower-cased)."""
+def lane(at: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first eight of ``left`` bytes from each start; zeros behind the end."""
+    return at[starts] & _KEEP[np.minimum(left, 8)]
+
+
+def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each slice [start, end), taken in eight bytes at a time.
+    Each step is a mixed bijection of the bytes and of what came before, so no
+    pattern of bytes makes hashes meet. Hashes of two seeds are independent."""
     if not len(starts):
         return np.zeros(0, _U)
-    lo, hi = int(starts[0]), int(ends[-1])
-    return poly_slices(poly_prefix(raw[lo:hi], lower=True), starts - lo, ends - lo)
+    lo, hi = int(starts.min()), int(ends.max())
+    raw = raw[lo:hi]
+    if lower:
+        raw = _LOWER[raw]
+    at, starts, left = lanes(raw), starts - lo, ends - starts
+    with np.errstate(over="ignore"):
+        mul = _U(0x9E3779B97F4A7C15 + 2 * seed)
+        h = mix64((left.astype(_U) + _U(1)) * mul)
+        live = np.arange(len(starts))
+        if (left > LANES_BYTES).any():
+            import xxhash
+            for i in np.flatnonzero(left > LANES_BYTES).tolist():
+                h[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:starts[i] + left[i]].tobytes(), seed=seed)
+            live = np.flatnonzero(left <= LANES_BYTES)
+        pos, left = starts[live], left[live]
+        while len(live):
+            h[live] = mix64(h[live] * mul + lane(at, pos, left))
+            more = left > 8
+            live, pos, left = live[more], pos[more] + 8, left[more] - 8
+    return h
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word (A-Z lower-cased)."""
+    return slice_hashes(raw, starts, ends, lower=True, seed=seed)
 
 
 _SHINGLE = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -153,12 +154,14 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return acc
 
 
-def shingle_sets(col, size: int, table: np.ndarray = SPACED):
-    """Sorted distinct shingle hashes of every row of a text column."""
+def shingle_sets(col, size: int, table: np.ndarray = SPACED, seeds: tuple[int, ...] = (0,)):
+    """Sorted distinct shingle hashes of every row of a text column; with more
+    than one seed, a tuple of such sets."""
     raw, off = column_bytes(col)
     for i, j in blocks(off):
         s, e, rows = word_spans(raw, off[i:j + 1], table)
-        h = word_hashes(raw, s, e)
+        h = [word_hashes(raw, s, e, seed) for seed in seeds]
         cut = np.searchsorted(rows, np.arange(j - i + 1))
         for r in range(j - i):
-            yield np.unique(shingle_hashes(h[cut[r]:cut[r + 1]], size))
+            sets = tuple(np.unique(shingle_hashes(x[cut[r]:cut[r + 1]], size)) for x in h)
+            yield sets if len(seeds) > 1 else sets[0]

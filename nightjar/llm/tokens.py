@@ -5,10 +5,12 @@ other signs | white space) and merge nothing across a cut. A text's ids are
 therefore the ids of its units in a row, where units end only at cuts that
 hold in any context: between an ASCII letter and ASCII punctuation, around a
 single line feed, and before a single space. Units repeat, texts hardly do:
-the library encodes a unit once, the ids are kept in a table of bounded size
-(emptied when full) and looked up by the unit's 64-bit hash in whole blocks.
-Texts that hold the opening of a special token, or white space outside ASCII,
-are one unit and are encoded whole.
+the library encodes a unit once, and the ids are kept in a table of bounded
+size: when the young generation is full, it becomes the old one, whose units
+are young again when they are met. Look-ups go by the unit's 64-bit hash in
+whole blocks, and every hit is compared byte by byte; a unit that only shares
+its hash with another is encoded by itself. Texts that hold the opening of a
+special token, or white space outside ASCII, are one unit and are encoded whole.
 """
 from __future__ import annotations
 
@@ -16,11 +18,11 @@ import os
 
 import numpy as np
 
-from .textblocks import blocks, column_bytes, mix64, poly_prefix, poly_slices
+from .textblocks import blocks, column_bytes, lane, lanes, slice_hashes
 
-#: Slots of the table (it is emptied at half of them): 16 MB and the ids.
+#: Slots of a generation (it is full at half of them): 20 MB, the bytes and the ids.
 SLOTS = 1 << 20
-#: Longer units are encoded each time.
+#: Longer units are encoded once in a block.
 KEEP_BYTES = 64
 _U = np.uint64
 
@@ -72,49 +74,81 @@ def cuts(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Pool:
+    """A growing array."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1 << 12, dtype), 0
+
+    def add(self, values: np.ndarray) -> int:
+        at, self.n = self.n, self.n + len(values)
+        if self.n > len(self.data):
+            grown = np.zeros(max(2 * len(self.data), self.n), self.data.dtype)
+            grown[:at] = self.data[:at]
+            self.data = grown
+        self.data[at:self.n] = values
+        return at
+
+
+def _runs(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for lens[0] places, then start[1], ..."""
+    before = np.cumsum(lens) - lens
+    return np.repeat(start - before, lens) + np.arange(int(lens.sum()))
+
+
 class UnitTable:
-    """hash -> ids, open addressing in numpy."""
+    """hash -> ids, open addressing in numpy. A unit's bytes are kept in lanes
+    of eight."""
 
     def __init__(self, slots: int):
-        self.mask = _U(slots - 1)
-        self.slots = slots
-        self.clear()
+        self.slots, self.mask = slots, _U(slots - 1)
+        self.keys = np.zeros(slots, _U)
+        self.entry = np.zeros(slots, np.int32)
+        self.ids, self.lanes = _Pool(np.uint32), _Pool(_U)
+        # by entry: where its ids and lanes begin, how many ids and bytes
+        self.id_at, self.lane_at, self.n_ids, self.n_bytes = (_Pool(t) for t in (np.int64, np.int64, np.int32, np.uint8))
 
-    def clear(self) -> None:
-        self.keys = np.zeros(self.slots, _U)
-        self.where = np.zeros(self.slots, np.int64)  # offset of the ids << 16 | their number
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = self.n = 0
+    def room(self) -> int:
+        return self.slots // 2 - self.id_at.n
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Slot of each hash, -1 where it is absent."""
+        """Entry of each hash, -1 where it is absent."""
         out = np.full(len(h), -1, np.int64)
         slot = h & self.mask
         left = np.arange(len(h))
         while len(left):
             key = self.keys[slot[left]]
             hit = key == h[left]
-            out[left[hit]] = slot[left[hit]]
+            out[left[hit]] = self.entry[slot[left[hit]]]
             left = left[~hit & (key != 0)]
             slot[left] = (slot[left] + _U(1)) & self.mask
         return out
 
-    def add(self, h: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
-        """Distinct absent hashes with their ids in a row."""
-        at = self.used + np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.n += len(h)
-        value = at << 16 | lens
+    def is_unit(self, entry: np.ndarray, at: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Whether each entry holds the bytes of the slice beside it."""
+        same = self.n_bytes.data[entry] == lens
+        for i in range(0, int(lens.max(initial=0)), 8):
+            live = np.flatnonzero(same & (lens > i))
+            kept = self.lanes.data[self.lane_at.data[entry[live]] + i // 8]
+            same[live] = kept == lane(at, starts[live] + i, lens[live] - i)
+        return same
+
+    def add(self, h: np.ndarray, at: np.ndarray, starts: np.ndarray, lens: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
+        """Distinct absent hashes with their units and ids (in a row)."""
+        entry = self.n_bytes.add(lens) + np.arange(len(h))
+        self.id_at.add(self.ids.add(ids) + np.cumsum(n_ids) - n_ids)
+        self.n_ids.add(n_ids)
+        n_lanes = (lens + 7) // 8
+        nth = _runs(np.zeros(len(h), np.int64), n_lanes)
+        of = np.repeat(np.arange(len(h)), n_lanes)
+        self.lane_at.add(self.lanes.add(lane(at, starts[of] + 8 * nth, lens[of] - 8 * nth)) + np.cumsum(n_lanes) - n_lanes)
         slot = h & self.mask
         left = np.arange(len(h))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
             self.keys[slot[free]] = h[free]
             won = free[self.keys[slot[free]] == h[free]]
-            self.where[slot[won]] = value[won]
+            self.entry[slot[won]] = entry[won]
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + _U(1)) & self.mask
 
@@ -124,7 +158,8 @@ class UnitEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = UnitTable(slots)
+        self.slots = slots
+        self.young, self.old = UnitTable(slots), UnitTable(2)
 
     def column(self, col):
         """(first row, ids of the rows in a row, ids per row) for each block
@@ -138,39 +173,66 @@ class UnitEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(edges) - 1, np.int64)
         # an empty text at the end has no unit; its edge is the block's end
         starts = cuts(raw, edges)
-        ends = np.append(starts[1:], len(raw))
-        h = poly_slices(poly_prefix(raw), starts, ends)
+        lens = np.append(starts[1:], len(raw)) - starts
+        kind, first = self._kinds(raw, starts, lens)
+        buffer, at, n = self._ids(raw, starts[first], lens[first])
+        n_unit = n[kind]
+        ids = buffer[_runs(at[kind], n_unit)]
+        total = np.concatenate(([0], np.cumsum(n_unit)))
+        return ids, np.diff(total[np.searchsorted(starts, edges)])
+
+    @staticmethod
+    def _kinds(raw, starts, lens) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each unit's kind (equal bytes, equal kind, but for a few
+        that have more than one), and one unit of each kind."""
+        _, first, kind = np.unique(slice_hashes(raw, starts, starts + lens), return_index=True, return_inverse=True)
+        at, like = lanes(raw), first[kind]
+        same = lens == lens[like]
+        for i in range(0, min(int(lens.max()), KEEP_BYTES), 8):
+            live = np.flatnonzero(same & (lens > i))
+            same[live] = lane(at, starts[live] + i, lens[live] - i) == lane(at, starts[like[live]] + i, lens[live] - i)
+        for u in np.flatnonzero(same & (lens > KEEP_BYTES) & (like != np.arange(len(lens)))).tolist():
+            a, b, n = starts[u], starts[like[u]], lens[u]
+            same[u] = raw[a:a + n].tobytes() == raw[b:b + n].tobytes()
+        odd = np.flatnonzero(~same)  # each a kind of its own
+        kind[odd] = len(first) + np.arange(len(odd))
+        return kind, np.concatenate((first, odd))
+
+    def _ids(self, raw, starts, lens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(buffer, where the ids of each kind begin, how many)."""
+        at = lanes(raw)
+        h = slice_hashes(raw, starts, starts + lens)
         h[h == 0] = 1
-        kinds, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        slot = self.table.find(kinds)
-        miss = np.flatnonzero(slot < 0)
-        lens = np.empty(len(kinds), np.int64)
-        at = np.empty(len(kinds), np.int64)
-        hit = slot >= 0
-        lens[hit] = self.table.where[slot[hit]] & 0xFFFF
-        at[hit] = self.table.where[slot[hit]] >> 16
-        buffer = self.table.ids
+        where, n = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
+        found, buffers, base = np.flatnonzero(lens <= KEEP_BYTES), [], 0
+        for table in (self.young, self.old):
+            entry = table.find(h[found])
+            hit = np.flatnonzero(entry >= 0)
+            hit = hit[table.is_unit(entry[hit], at, starts[found[hit]], lens[found[hit]])]
+            again = found[hit]
+            n[again] = n_ids = table.n_ids.data[entry[hit]].astype(np.int64)
+            where[again] = base + np.cumsum(n_ids) - n_ids
+            buffers.append(table.ids.data[_runs(table.id_at.data[entry[hit]], n_ids)])
+            base += len(buffers[-1])
+            found = np.flatnonzero((n < 0) & (lens <= KEEP_BYTES))
+        miss = np.flatnonzero(n < 0)
         if len(miss):
             data = raw.tobytes()
-            s, e = starts[first[miss]], ends[first[miss]]
-            texts = [data[a:b].decode() for a, b in zip(s.tolist(), e.tolist())]
+            texts = [data[a:a + k].decode() for a, k in zip(starts[miss].tolist(), lens[miss].tolist())]
             got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            new_lens = np.fromiter(map(len, got), np.int64, len(got))
-            new = np.fromiter((i for ids in got for i in ids), np.uint32, int(new_lens.sum()))
-            new_at = np.concatenate(([0], np.cumsum(new_lens)[:-1])).astype(np.int64)
-            # this block reads old and new ids from one buffer of its own
-            lens[miss], at[miss] = new_lens, self.table.used + new_at
-            buffer = np.concatenate((buffer[:self.table.used], new))
-            short = (e - s <= KEEP_BYTES) & (new_lens < 1 << 16)
-            if self.table.n + int(short.sum()) > self.table.slots // 2:
-                self.table.clear()
-            if self.table.n + int(short.sum()) <= self.table.slots // 2:
-                self.table.add(kinds[miss][short], new_lens[short], new[np.repeat(short, new_lens)])
-        unit_lens = lens[inverse]
-        total = np.concatenate(([0], np.cumsum(unit_lens)))
-        ids = buffer[np.repeat(at[inverse] - total[:-1], unit_lens) + np.arange(total[-1])]
-        bounds = total[np.searchsorted(starts, edges)]
-        return ids, np.diff(bounds)
+            n[miss] = np.fromiter(map(len, got), np.int64, len(got))
+            where[miss] = base + np.cumsum(n[miss]) - n[miss]
+            buffers.append(np.fromiter((i for ids in got for i in ids), np.uint32, int(n[miss].sum())))
+        buffer = np.concatenate(buffers)
+        keep = np.concatenate((again, miss[lens[miss] <= KEEP_BYTES]))
+        _, one = np.unique(h[keep], return_index=True)
+        keep = keep[one]
+        keep = keep[self.young.find(h[keep]) < 0]  # the hash may belong to another unit
+        if len(keep) > self.young.room():
+            self.young, self.old = UnitTable(self.slots), self.young
+        if 0 < len(keep) <= self.young.room():
+            self.young.add(h[keep], at, starts[keep], lens[keep], buffer[_runs(where[keep], n[keep])], n[keep])
+        return buffer, where, n
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

@@ -64,7 +64,53 @@ def test_units_give_the_librarys_ids(name):
 def test_unit_table_keeps_what_it_was_given():
     t = UnitTable(64)
     h = np.arange(1, 31, dtype=np.uint64) * np.uint64(64)  # all want one slot
-    t.add(h, np.ones(30, np.int64), np.arange(30, dtype=np.uint32))
-    slot = t.find(h)
-    assert (t.ids[t.where[slot] >> 16] == np.arange(30)).all()
-    assert (t.find(np.array([7], np.uint64)) == -1).all()
+    raw = np.frombuffer("".join(f"unit number {i:02d}" for i in range(30)).encode(), np.uint8)
+    starts, lens = np.arange(30) * 14, np.full(30, 14)
+    t.add(h, tb.lanes(raw), starts, lens, np.arange(60, dtype=np.uint32), np.full(30, 2))
+    entry = t.find(h)
+    assert (t.ids.data[t.id_at.data[entry]] == np.arange(30) * 2).all() and (t.n_ids.data[entry] == 2).all()
+    assert t.is_unit(entry, tb.lanes(raw), starts, lens).all()
+    assert not t.is_unit(entry, tb.lanes(raw), starts, lens - 1).any()
+    assert not t.is_unit(entry, tb.lanes(raw), np.roll(starts, 1), lens).any()
+    assert (t.find(np.array([7], np.uint64)) == -1).all() and t.room() == 2
+
+
+def thue_morse(n):
+    """Two texts that meet under every polynomial hash modulo 2^64."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=2, max_size=12))
+def test_hashes_tell_slices_apart_wherever_they_stand(slices):
+    raw = np.frombuffer(b"".join(slices) + b"".join(reversed(slices)), np.uint8)
+    n = np.array([len(x) for x in slices] + [len(x) for x in reversed(slices)])
+    ends = np.cumsum(n)
+    for seed in (0, 1):
+        h = tb.slice_hashes(raw, ends - n, ends, seed=seed).tolist()
+        assert len(set(h)) == len(set(slices)) and h[:len(slices)] == h[len(slices):][::-1]
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 4096])
+def test_thue_morse_words_are_two_words(n):
+    a, b = thue_morse(n)
+    sets = list(tb.shingle_sets(pa.array([a, b]), 4, seeds=(0, 1)))
+    assert sets[0][0][0] != sets[1][0][0] and sets[0][1][0] != sets[1][1][0] and sets[0][0][0] != sets[0][1][0]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = UnitEncoder(tokenizer_path(name))
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in (a, b)]
+        (_, ids, lens), = encoder.column(pa.array([a, b]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_units_that_share_a_hash_keep_their_own_ids(monkeypatch, bits):
+    from nightjar.llm import tokens
+    monkeypatch.setattr(tokens, "slice_hashes", lambda r, s, e, f=tokens.slice_hashes: f(r, s, e) >> np.uint64(64 - bits) if bits else np.zeros(len(s), np.uint64))
+    encoder = UnitEncoder(tokenizer_path("byte_bpe_50k.json"), slots=64)
+    texts = ["alpha beta gamma alpha", "beta delta", "x" * 100 + " " + "y" * 100, "y" * 100, None, "gamma alpha"]
+    for _ in range(3):
+        (_, ids, lens), = encoder.column(pa.array(texts))
+        want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
