@@ -3,8 +3,8 @@
 P10 standardize_columns, P11 to_relative_seconds, P12 resolve_label_column,
 P17 vector_magnitude, P25 window_bounds, A5/A6 tumbling window stats,
 J5 as-of window labels, J6 assemble windows, J7 target window, J8 match
-subject files, S5 subject_from_path, S6 classify_stream_files, W8 systematic
-downsample, W9 cap subjects, U1 union, A9 dataset summary, K1 order, F8/F9.
+subject files, S5 subject_from_path, S6 classify_stream_files, U1 union, A9 dataset
+summary, K1 order, F8/F9.
 
 Samples are ``(dataset_name, subject_id, time_s, channels...)``; all
 operators run over every subject at once (no per-subject driver loop).
@@ -143,6 +143,53 @@ def next_time(df: DataFrame, part: list[str], time_col: str, order_tie: str, buc
     return d.withColumn(out, F.coalesce(F.col(out), F.col("_next_first"))).drop("_bucket", "_next_first")
 
 
+def _labels_and_range(labels: DataFrame, w: float) -> tuple[DataFrame, DataFrame]:
+    """One label per (subject, time), and each subject's window range."""
+    lab = labels.select(*GROUP, TIME, F.col("label").cast("string").alias("label"),
+                        F.coalesce(F.col("ingest_seq"), F.lit(0)).cast("long").alias("ingest_seq")
+                        if "ingest_seq" in labels.columns else F.lit(0).cast("long").alias("ingest_seq"))
+    lab = lab.filter(F.col(TIME).isNotNull() & F.col("label").isNotNull())
+    # Of labels with one time the last in ingest order (partial aggregate).
+    lab = lab.groupBy(*GROUP, TIME).agg(F.max_by("label", "ingest_seq").alias("label"),
+                                        F.max("ingest_seq").alias("ingest_seq"))
+    rng = lab.groupBy(*GROUP).agg(F.floor(F.min(TIME) / w).cast("long").alias("_lo_all"),
+                                  F.ceil(F.max(TIME) / w).cast("long").alias("_hi_all"))
+    return lab, rng
+
+
+def asof_labels_of_windows(windows: DataFrame, labels: DataFrame, window_sec: float,
+                           bucket_sec: float = 86400.0) -> DataFrame:
+    """J5 for windows that exist: the label that ``asof_window_labels`` gives
+    each distinct (subject, window) of ``windows``; those without one (before
+    the first label, beyond the labels' range) are not returned.
+
+    Work follows the samples and labels, not the time between them: midpoints
+    and label times stand in one table, in which the last label is carried
+    forward within (subject, time bucket); a bucket without an earlier label of
+    its own takes the last one of the buckets before it, from a table with one
+    row per subject and bucket. No window is generated, and no task sorts a
+    whole subject.
+    """
+    w = float(window_sec)
+    lab, rng = _labels_and_range(labels, w)
+    asked = (windows.select(*GROUP, WINDOW).distinct().join(rng, GROUP, "inner")
+             .filter(F.col(WINDOW).between(F.col("_lo_all"), F.col("_hi_all"))))
+    points = asked.select(*GROUP, (F.col(WINDOW) * F.lit(w) + F.lit(w / 2)).alias(TIME), WINDOW,
+                          F.lit(None).cast("string").alias("label"))
+    points = points.unionByName(lab.select(*GROUP, TIME, F.lit(None).cast("long").alias(WINDOW), "label"))
+    points = points.withColumn("_bucket", F.floor(F.col(TIME) / F.lit(float(bucket_sec))).cast("long"))
+    # a label at the midpoint itself counts: labels (no window) come first
+    here = Window.partitionBy(*GROUP, "_bucket").orderBy(TIME, F.col(WINDOW).asc_nulls_first())
+    before = Window.partitionBy(*GROUP).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (points.groupBy(*GROUP, "_bucket")
+               .agg(F.max_by("label", F.when(F.col("label").isNotNull(), F.col(TIME))).alias("_last"))
+               .withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last"))
+    found = (points.withColumn("_label", F.last("label", ignorenulls=True).over(here))
+             .filter(F.col(WINDOW).isNotNull()).join(carried, [*GROUP, "_bucket"], "inner"))
+    label = F.coalesce("_label", "_carried")
+    return found.select(*GROUP, WINDOW, label.alias("label")).filter(F.col("label").isNotNull())
+
+
 def asof_window_labels(labels: DataFrame, window_sec: float, bucket_sec: float = 86400.0) -> DataFrame:
     """For every window ``floor(min/w) .. ceil(max/w)`` of a subject, the
     latest label at or before the window's midpoint (exact match allowed, no
@@ -154,15 +201,7 @@ def asof_window_labels(labels: DataFrame, window_sec: float, bucket_sec: float =
     the subject's own window range) and filtered with exact comparisons.
     """
     w = float(window_sec)
-    lab = labels.select(*GROUP, TIME, F.col("label").cast("string").alias("label"),
-                        F.coalesce(F.col("ingest_seq"), F.lit(0)).cast("long").alias("ingest_seq")
-                        if "ingest_seq" in labels.columns else F.lit(0).cast("long").alias("ingest_seq"))
-    lab = lab.filter(F.col(TIME).isNotNull() & F.col("label").isNotNull())
-    # One label per (subject, time) — the last in ingest order (partial aggregate).
-    lab = lab.groupBy(*GROUP, TIME).agg(F.max_by("label", "ingest_seq").alias("label"),
-                                        F.max("ingest_seq").alias("ingest_seq"))
-    rng = lab.groupBy(*GROUP).agg(F.floor(F.min(TIME) / w).cast("long").alias("_lo_all"),
-                                  F.ceil(F.max(TIME) / w).cast("long").alias("_hi_all"))
+    lab, rng = _labels_and_range(labels, w)
     spans = next_time(lab, GROUP, TIME, "ingest_seq", bucket_sec).join(rng, GROUP, "inner")
     lo = F.greatest(F.col("_lo_all"), F.ceil((F.col(TIME) - w / 2) / w).cast("long") - 1)
     hi = F.least(F.col("_hi_all"),
@@ -176,10 +215,13 @@ def asof_window_labels(labels: DataFrame, window_sec: float, bucket_sec: float =
 
 # ---------------------------------------------------------------- J6
 def assemble_sensor_windows(motion_w: DataFrame, hr_w: DataFrame | None, steps_w: DataFrame | None,
-                            label_w: DataFrame, window_sec: float) -> tuple[DataFrame, DataFrame]:
+                            label_w: DataFrame, window_sec: float,
+                            label_subjects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Motion LEFT hr LEFT steps INNER labels on (subject, dataset,
     window) for all subjects at once; returns (windows, notes). Subjects
-    lacking motion or labels are reported in ``notes`` (left anti joins)."""
+    lacking motion or labels are reported in ``notes`` (left anti joins).
+    ``label_subjects``: rows of all subjects with labels, where ``label_w``
+    covers existing windows only."""
     key = [*GROUP, WINDOW]
     merged = motion_w
     if hr_w is not None:
@@ -188,7 +230,7 @@ def assemble_sensor_windows(motion_w: DataFrame, hr_w: DataFrame | None, steps_w
         merged = merged.join(steps_w, key, "left")
     merged = window_bounds(merged.join(label_w, key, "inner"), window_sec)
     m_subj = motion_w.select(*GROUP).distinct()
-    l_subj = label_w.select(*GROUP).distinct()
+    l_subj = (label_w if label_subjects is None else label_subjects).select(*GROUP).distinct()
     notes = (m_subj.join(l_subj, GROUP, "left_anti").withColumn("note", F.lit("missing labels"))
              .unionByName(l_subj.join(m_subj, GROUP, "left_anti").withColumn("note", F.lit("missing motion"))))
     return merged, notes
@@ -256,13 +298,29 @@ def union_window_tables(tables: list[DataFrame]) -> DataFrame:
 
 
 def dataset_summary(windows: DataFrame, label_col: str | None = "label") -> DataFrame:
-    """Rows and distinct subjects per dataset plus an overall row
-    (rollup), and label cardinality."""
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count_distinct(SUBJECT).alias("subjects")]
-    if label_col and label_col in windows.columns:
-        aggs.append(F.count_distinct(label_col).alias("label_cardinality"))
-    return windows.rollup(DATASET).agg(*aggs).withColumn(
-        DATASET, F.coalesce(F.col(DATASET), F.lit("__all__")))
+    """Rows and distinct subjects per dataset plus an overall row, and
+    label cardinality.
+
+    The window rows are reduced once, to counts by (dataset, subject, label);
+    the distinct counts are folded from that table, level by level: its subjects
+    by dataset and overall, its labels likewise."""
+    by = [DATASET, SUBJECT] + ([label_col] if label_col and label_col in windows.columns else [])
+    present = windows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+
+    def folded(col: str, out: str) -> DataFrame:
+        """Rows and distinct values by dataset, and overall."""
+        own = present.groupBy(DATASET, col).agg(F.sum("rows").alias("rows"))
+        total = [F.sum("rows").alias("rows"), F.count(col).alias(out)]
+        per = own.groupBy(DATASET).agg(*total)
+        whole = own.groupBy(col).agg(F.sum("rows").alias("rows")).agg(*total)
+        return per.unionByName(whole.select(F.lit("__all__").alias(DATASET), "rows", out))
+    out = folded(SUBJECT, "subjects")
+    if len(by) == 3:
+        labels = folded(label_col, "label_cardinality").drop("rows")
+        out = (out.join(labels, out[DATASET].eqNullSafe(labels[DATASET]), "left")
+               .select(out[DATASET], "rows", "subjects", "label_cardinality"))
+    return out.withColumn(DATASET, F.coalesce(F.col(DATASET), F.lit("__all__"))).withColumn(
+        "rows", F.coalesce("rows", F.lit(0).cast("long")))
 
 
 def order_windows(windows: DataFrame) -> DataFrame:

@@ -301,9 +301,8 @@ def model_table_sql() -> str:
 # ---------------------------------------------------------------- sensor streams
 # events as a sensor archive: motion x = value, y = props.k (no z axis);
 # heart rate from view/click events; steps (= props.k) from purchase events;
-# labels = event type at the event time. Events are sparse (minutes apart),
-# so the windows are 6 h (21,600 s) long.
-SENSOR_WINDOW_S = 21600.0
+# labels = event type at the event time. Fixed value: 30-second windows.
+SENSOR_WINDOW_S = 30.0
 
 
 def sensor_base(events: DataFrame) -> DataFrame:
@@ -333,6 +332,13 @@ SELECT 'orders' AS dataset_name, CAST(o_custkey AS VARCHAR) AS subject_id, epoch
        o_totalprice AS price, o_orderkey AS ingest_seq FROM orders"""
 
 
+def order_labels(orders: DataFrame) -> DataFrame:
+    """Label files of an archive whose subjects are customers: some have no
+    motion under their id, and some subjects with motion have no labels."""
+    return order_samples(orders).select(F.lit("events").alias("dataset_name"), "subject_id", "time_s", "ingest_seq").join(
+        orders.select(F.col("o_orderkey").alias("ingest_seq"), F.col("o_orderstatus").alias("label")), "ingest_seq")
+
+
 # ---------------------------------------------------------------- raw health records
 def health_records(events: DataFrame) -> DataFrame:
     """All records of the export: sleep records plus the four kinds of

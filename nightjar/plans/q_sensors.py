@@ -92,14 +92,19 @@ LABEL_W_SQL = f"""
 WITH l AS (SELECT {GK}, time_s, arg_max(event_type, ingest_seq) AS label FROM ({B.SENSOR_BASE_SQL}) b GROUP BY ALL),
 r AS (SELECT {GK}, CAST(floor(min(time_s) / {W!r}) AS BIGINT) AS lo, CAST(ceil(max(time_s) / {W!r}) AS BIGINT) AS hi
       FROM l GROUP BY ALL),
-w AS (SELECT {GK}, i AS window_index, i * {W!r} + {W / 2!r} AS mid FROM r, range(lo, hi + 1) t(i))
+w AS (SELECT DISTINCT {GK}, window_index, window_index * {W!r} + {W / 2!r} AS mid FROM ({MOTION_W_SQL}) m JOIN r USING ({GK})
+      WHERE window_index BETWEEN lo AND hi)
 SELECT w.dataset_name, w.subject_id, w.window_index, l.label
 FROM w ASOF JOIN l ON w.dataset_name = l.dataset_name AND w.subject_id = l.subject_id AND w.mid >= l.time_s"""
 
 
 @register("asof_window_labels", op_ids="J5 P12", bench=True, sql=LABEL_W_SQL)
 def q_asof(spark, sf):
-    return Z.asof_window_labels(Z.resolve_label_column(_labels(spark, sf)), W)
+    return _window_labels(spark, sf, _motion_windows(spark, sf))
+
+
+def _window_labels(spark, sf, windows):
+    return Z.asof_labels_of_windows(windows, Z.resolve_label_column(_labels(spark, sf)), W)
 
 
 _J6_DOUBLES = (_dbl("acc_", ACC, Z.WINDOW_STATS) + _dbl("hr_", ["hr"], Z.WINDOW_STATS)
@@ -115,9 +120,9 @@ JOIN ({LABEL_W_SQL}) l USING (dataset_name, subject_id, window_index)"""
 
 
 def _assembled(spark, sf):
-    labels = Z.asof_window_labels(Z.resolve_label_column(_labels(spark, sf)), W)
-    return Z.assemble_sensor_windows(_motion_windows(spark, sf), _hr_windows(spark, sf), _steps_windows(spark, sf),
-                                     labels, W)
+    motion = _motion_windows(spark, sf)
+    return Z.assemble_sensor_windows(motion, _hr_windows(spark, sf), _steps_windows(spark, sf),
+                                     _window_labels(spark, sf, motion), W)
 
 
 @register("assemble_sensor_windows", op_ids="J6 P25", sql=oracle_wrap(J6_SQL, _J6_DOUBLES))
@@ -126,11 +131,15 @@ def q_assemble(spark, sf):
 
 
 @register("assemble_sensor_notes", op_ids="J6",
-          sql=f"""WITH m AS (SELECT DISTINCT {GK} FROM ({MOTION_W_SQL}) a), l AS (SELECT DISTINCT {GK} FROM ({LABEL_W_SQL}) b)
+          sql=f"""WITH m AS (SELECT DISTINCT {GK} FROM ({MOTION_W_SQL}) a),
+l AS (SELECT DISTINCT 'events' AS dataset_name, CAST(o_custkey AS VARCHAR) AS subject_id FROM orders WHERE o_orderstatus IS NOT NULL)
 SELECT {GK}, 'missing labels' AS note FROM m ANTI JOIN l USING (dataset_name, subject_id)
 UNION ALL SELECT {GK}, 'missing motion' AS note FROM l ANTI JOIN m USING (dataset_name, subject_id)""")
 def q_notes(spark, sf):
-    return _assembled(spark, sf)[1]
+    """Motion of the events with label files of the customers."""
+    motion, labels = _motion_windows(spark, sf), B.order_labels(B.table(spark, sf, "orders"))
+    return Z.assemble_sensor_windows(motion, None, None, Z.asof_labels_of_windows(motion, labels, W), W,
+                                     label_subjects=labels)[1]
 
 
 # ------------------------------------------------------------------ PPG-like archive (orders)

@@ -284,3 +284,49 @@ def test_position_blocks_single_order_column_with_ties(spark):
         assert max(by_block[b]) <= min(by_block[b + 1])
     again = {r["id"]: r["blk"] for r in out.collect()}
     assert again == {r["id"]: r["blk"] for r in rows}
+
+
+def test_asof_labels_of_existing_windows_brute_force(spark):
+    """30-second windows with gaps of weeks: looked up, never generated."""
+    import math
+    rnd = random.Random(22)
+    labels, windows, seq = [], set(), 0
+    for subj, n in (("a", 300), ("b", 5), ("c", 0), ("d", 1)):
+        for _ in range(n):
+            t = float(rnd.randint(0, 90 * 86400)) + rnd.choice([0.0, 0.25, 15.0])
+            labels.append((subj, "x", t, rnd.choice(["wake", "deep", None]), seq))
+            seq += 1
+        if n:
+            labels.append((subj, "x", labels[-1][2], "dup", seq))
+            mid = math.floor(labels[-1][2] / 30.0) * 30.0 + 15.0
+            labels.append((subj, "x", mid, "at the midpoint", seq + 1))
+            windows.add((subj, "x", int(mid // 30)))
+            seq += 2
+        windows |= {(subj, "x", rnd.randint(-10, 91 * 2880)) for _ in range(200)}
+    lab = spark.createDataFrame(labels, "subject_id string, dataset_name string, time_s double, label string, ingest_seq long")
+    win = spark.createDataFrame(sorted(windows) * 2, "subject_id string, dataset_name string, window_index long")
+    got = Z.asof_labels_of_windows(win, lab, 30.0, bucket_sec=7200.0)
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r["subject_id"], r["window_index"]): r["label"] for r in got.collect()}
+    want = {}
+    for subj, _, k in windows:
+        mine = sorted((t, s, x) for sj, _, t, x, s in labels if sj == subj and x)
+        if mine and math.floor(mine[0][0] / 30) <= k <= math.ceil(mine[-1][0] / 30):
+            before = [x for x in mine if x[0] <= k * 30.0 + 15.0]
+            if before:
+                want[subj, k] = before[-1][2]
+    assert rows == want and len(rows) == got.count()
+    assert "at the midpoint" in want.values()
+    # the same as all windows of the range, where those are generated
+    every = {(r["subject_id"], r["window_index"]): r["label"] for r in Z.asof_window_labels(lab, 30.0).join(
+        win.select("subject_id", "window_index").distinct(), ["subject_id", "window_index"]).collect()}
+    assert every == rows
+
+
+def test_dataset_summary_folds_one_table_of_presence(spark):
+    rows = [("d1", str(i % 7), ["a", "b", None][i % 3]) for i in range(60)] + [("d2", str(i % 3), "a") for i in range(9)]
+    df = spark.createDataFrame(rows, "dataset_name string, subject_id string, label string")
+    got = {r["dataset_name"]: tuple(r)[1:] for r in Z.dataset_summary(df).collect()}
+    assert got == {"d1": (60, 7, 2), "d2": (9, 3, 1), "__all__": (69, 7, 2)}
+    assert "Expand" not in Z.dataset_summary(df)._jdf.queryExecution().executedPlan().toString()
+    assert Z.dataset_summary(df.drop("label")).columns == ["dataset_name", "rows", "subjects"]
