@@ -128,3 +128,16 @@ def label_index(df: DataFrame, label_col: str, out: str = "label_index") -> Data
     distinct class table only (a handful of rows)."""
     classes = df.select(label_col).distinct()
     return classes.withColumn(out, (F.dense_rank().over(Window.orderBy(label_col)) - 1).cast("int"))
+
+
+def filter_by_date(df: DataFrame, day: str, found_or_raise: bool = True) -> DataFrame:
+    """The rows of one date: of the label's date where the table has such a
+    column, else of the night's. A date without rows is an error (one row is
+    looked for), unless ``found_or_raise`` is off."""
+    col = next((c for c in ("label_date", "night_date") if c in df.columns), None)
+    if col is None:
+        raise LabelError("no date column: label_date or night_date")
+    rows = df.filter(F.col(col).cast("date") == F.lit(day).cast("date"))
+    if found_or_raise and rows.isEmpty():
+        raise LabelError(f"No features found for date {day}")
+    return rows

@@ -183,10 +183,14 @@ def night_features(segments: DataFrame, samples: DataFrame, bucket_seconds: int
 
 
 # ---------------------------------------------------------------- P13 / P21 / A4 / W10
-def source_flags(df: DataFrame, source_col: str = "source_name", metadata_col: str | None = None) -> DataFrame:
-    """Watch source (name contains 'watch', any case) and user-entered
-    flag from the record's metadata array (absent -> false)."""
-    out = df.withColumn("is_watch", F.coalesce(F.contains(F.lower(F.col(source_col)), F.lit("watch")), F.lit(False)))
+def source_flags(df: DataFrame, source_col: str = "source_name", metadata_col: str | None = None,
+                 bundle_col: str | None = None) -> DataFrame:
+    """Watch source (its name or its bundle identifier contains 'watch',
+    any case) and user-entered flag from the record's metadata array (absent ->
+    false)."""
+    names = [F.coalesce(F.contains(F.lower(F.col(c)), F.lit("watch")), F.lit(False))
+             for c in (source_col, bundle_col) if c is not None]
+    out = df.withColumn("is_watch", names[0] if len(names) == 1 else names[0] | names[1])
     if metadata_col is None:
         return out.withColumn("is_user_entered", F.lit(False))
     entered = F.exists(F.col(metadata_col), lambda m: (m["key"] == F.lit("HKWasUserEntered")) & (m["value"] == F.lit("1")))

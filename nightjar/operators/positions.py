@@ -50,8 +50,9 @@ class OrderedRows:
         inside = sorted({p for p, (a, b) in self.first.items() for own in cuts.values() for c in own if a < c < b})
         if not self.first:
             return self.rows.withColumns({name: F.lit(0) for name in cuts}).select(*[f"`{c}`" for c in self.columns], *cuts)
-        first = F.create_map(*[F.lit(x).cast("long") for p, (a, _) in self.first.items() for x in (p, a)])
-        start = first[F.col(_PART).cast("long")]
+        # by partition number: one array, indexed, whatever the number of partitions
+        first = F.lit([self.first.get(p, (0, 0))[0] for p in range(max(self.first) + 1)]).cast("array<long>")
+        start = F.get(first, F.col(_PART))
         whole = self.rows.filter(~F.col(_PART).isin(inside)).withColumn("_position", start)
         split = self.rows.filter(F.col(_PART).isin(inside)).withColumn(
             "_position", start + F.row_number().over(Window.partitionBy(_PART).orderBy(*self.order)) - 1)

@@ -81,6 +81,11 @@ class Preprocess:
     mean: list[float]
     scale: list[float]
 
+    def only(self, cols: list[str]) -> "Preprocess":
+        """The parameters of some of the columns."""
+        at = [self.cols.index(c) for c in cols]
+        return Preprocess(list(cols), *([v[i] for i in at] for v in (self.median, self.mean, self.scale)))
+
     def columns(self, prefix: str = ""):
         """Impute -> standardise as column expressions (no UDF)."""
         out = []

@@ -15,6 +15,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clean import finite_or_null
+
 BUCKETS = 1024
 #: Groups are labels (models, kinds), not keys: more are refused.
 MAX_GROUPS = 1000
@@ -23,9 +25,9 @@ MAX_GROUPS = 1000
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
                     group_cols: list[str] | None = None) -> dict[tuple, float | None]:
     """(group..., column, q) -> quantile with linear interpolation (None
-    without values). Null and NaN are missing."""
+    without values). Null, NaN and infinite values are missing."""
     groups = group_cols or []
-    x = df.select(*groups, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    x = df.select(*groups, *[finite_or_null(F.col(c).cast("double")).alias(c) for c in cols])
     start = x.groupBy(*groups).agg(*[f(c).alias(f"{t}_{i}") for i, c in enumerate(cols)
                                      for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
     rows = start.limit(MAX_GROUPS + 1).collect()
@@ -59,6 +61,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
         for r in found.collect():
             counts.setdefault(r["target"], []).append((r["bucket"], r["n"], r["lo"], r["hi"]))
         for k, (key, t) in enumerate(open_):
+            if len(counts.get(k, ())) == 1 and counts[k][0][2:] == (t[0], t[1]):
+                raise ArithmeticError(f"a pass over {key[1]} left the range from {t[0]} to {t[1]} as it was")
             for _, n, low, high in sorted(counts[k]):
                 if key[2] < t[2] + n:
                     t[0], t[1] = low, high

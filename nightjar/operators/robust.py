@@ -4,17 +4,17 @@ corruption, E5 robustness curve.
 Randomness is hash-keyed (md5 of row key, column, replicate and seed), so the
 result does not depend on partitioning or executor loss and a DuckDB oracle
 reproduces it exactly. The reference draws with numpy's generator; the law is
-the same (Poisson(1) bootstrap weights instead of multinomial counts), the
-draws are not.
+the same (Poisson bootstrap counts instead of multinomial ones), the draws are
+not.
 """
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashrand import hash_words, mix_uniform, poisson1_from_uniform
+from ..functions.hashrand import hash_words, mix_uniform
 from .metrics import classification_metrics, confusion_matrix
 
 
@@ -24,29 +24,55 @@ def row_key(cols: list[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in cols])
 
 
-def bootstrap_replicates(df: DataFrame, y: str, yhat: str, key_cols: list[str], n_boot: int = 1000,
-                         seed: int = 42) -> DataFrame:
-    """E2, per-replicate metrics: each row gets a Poisson(1) weight per
-    replicate; rows with weight 0 drop out. One md5 per row (key|seed) gives a
-    64-bit seed, mixed with the replicate number by an integer hash, so the
-    per-(row, replicate) cost is a few integer operations. The exploded rows
-    are reduced map-side to (replicate, y, yhat) cells: the shuffle is
-    B x classes^2 rows per task whatever the table size."""
-    low, high = hash_words(F.concat_ws("|", row_key(key_cols), F.lit(str(seed))))
-    base = df.select(y, yhat, low.alias("_low"), high.alias("_high"))
-    reps = base.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    # ``u`` gets its own projection: the inverse-CDF CASE reads it up to 16 times.
-    weighted = (reps.withColumn("_u", mix_uniform((F.col("_low"), F.col("_high")), F.col("replicate")))
-                .withColumn("w", poisson1_from_uniform(F.col("_u"))).filter(F.col("w") > 0))
-    cm = confusion_matrix(weighted, y, yhat, ["replicate"], weight="w")
-    return classification_metrics(cm, ["replicate"])
-
-
-def bootstrap_ci(df: DataFrame, y: str, yhat: str, key_cols: list[str], n_boot: int = 1000, seed: int = 42,
+def poisson_span(n: Column) -> Column:
+    """How far from its mean a Poisson draw is looked for: 12 standard
+    deviations (a chance of 1e-31 beyond) and a few for small means."""
+    return F.ceil(12 * F.sqrt(n)) + 16
+
+
+def poisson_draws(cells: DataFrame, key_cols: list[str], n_col: str, n_boot: int, seed: int) -> DataFrame:
+    """key_cols, replicate, draw: for every cell and replicate one
+    Poisson(``n_col``) number, by inversion of a hash-keyed uniform.
+
+    The distribution function of a cell is summed up from ratios of neighbouring
+    chances (lambda / k), relative to the largest, over ``poisson_span``: about
+    24 sqrt(n) rows for a cell of n. Uniforms are placed among its values by one
+    sort within the cell."""
+    k, n = F.col("_k"), F.col(n_col).cast("double")
+    span = poisson_span(n)
+    low = F.greatest(F.lit(0), (n - span).cast("long"))
+    ks = cells.select(*key_cols, n_col, F.explode(F.sequence(low, (n + span).cast("long"))).alias("_k"))
+    upto = Window.partitionBy(*key_cols).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cell = Window.partitionBy(*key_cols)
+    ks = ks.withColumn("_log", F.sum(F.when(k > F.min("_k").over(cell), F.log(n) - F.log(k)).otherwise(0.0)).over(upto))
+    ks = ks.withColumn("_w", F.exp(F.col("_log") - F.max("_log").over(cell)))
+    ks = ks.withColumn("_v", F.sum("_w").over(upto) / F.sum("_w").over(cell))
+    words = hash_words(F.concat_ws("|", row_key(key_cols), F.lit(str(seed))))
+    reps = cells.select(*key_cols, low.alias("_k"), words[0].alias("_low"), words[1].alias("_high"),
+                        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    reps = reps.select(*key_cols, "_k", "replicate", mix_uniform((F.col("_low"), F.col("_high")), F.col("replicate")).alias("_v"))
+    both = ks.select(*key_cols, F.lit(None).cast("long").alias("_k"), F.lit(None).cast("int").alias("replicate"), "_v")
+    placed = Window.partitionBy(*key_cols).orderBy("_v", F.col("replicate").asc_nulls_first())
+    below = F.sum(F.col("replicate").isNull().cast("long")).over(
+        placed.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (both.unionByName(reps).withColumn("draw", F.col("_k") + below).where("replicate IS NOT NULL")
+            .select(*key_cols, "replicate", "draw"))
+
+
+def bootstrap_replicates(df: DataFrame, y: str, yhat: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """E2, per-replicate metrics. Poisson(1) weights of the rows add up, within
+    a confusion cell of n rows, to one Poisson(n) number: so the data are read
+    once, for the confusion counts, and each (cell, replicate) takes one draw."""
+    cm = confusion_matrix(df, y, yhat)
+    drawn = poisson_draws(cm, ["y", "yhat"], "n", n_boot, seed).where("draw > 0")
+    return classification_metrics(drawn.select("replicate", "y", "yhat", F.col("draw").cast("double").alias("n")), ["replicate"])
+
+
+def bootstrap_ci(df: DataFrame, y: str, yhat: str, n_boot: int = 1000, seed: int = 42,
                  metric: str = "weighted_f1") -> DataFrame:
     """Mean, population std and 2.5 / 97.5 percentiles (linear
     interpolation) of the metric over replicates — one row."""
-    reps = bootstrap_replicates(df, y, yhat, key_cols, n_boot, seed)
+    reps = bootstrap_replicates(df, y, yhat, n_boot, seed)
     return reps.agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"),
                     F.percentile(metric, 0.025).alias("ci95_low"), F.percentile(metric, 0.975).alias("ci95_high"),
                     F.count(F.lit(1)).alias("replicates"))

@@ -320,15 +320,17 @@ FROM events"""
 
 
 def order_samples(orders: DataFrame) -> DataFrame:
-    """orders as a second archive: subject = customer, time = order date."""
+    """orders as a second archive: subject = customer, a file for each order
+    priority, time = order date."""
     return orders.select(
         F.lit("orders").alias("dataset_name"), F.col("o_custkey").cast("string").alias("subject_id"),
+        F.concat(F.col("o_orderpriority"), F.lit(".csv")).alias("source_file"),
         (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(1e6)).alias("time_s"),
         F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("ingest_seq"))
 
 
 ORDER_SAMPLES_SQL = """
-SELECT 'orders' AS dataset_name, CAST(o_custkey AS VARCHAR) AS subject_id, epoch_us(o_orderdate) / 1e6 AS time_s,
+SELECT 'orders' AS dataset_name, CAST(o_custkey AS VARCHAR) AS subject_id, o_orderpriority || '.csv' AS source_file, epoch_us(o_orderdate) / 1e6 AS time_s,
        o_totalprice AS price, o_orderkey AS ingest_seq FROM orders"""
 
 
@@ -346,13 +348,13 @@ def health_records(events: DataFrame) -> DataFrame:
     sleep = sleep_records(events).select(
         "subject_id", F.lit(RECORD_TYPES["sleep"]).alias("record_type"), "uuid", "source_name",
         F.lit(None).cast("string").alias("unit"), "start_raw", "end_raw", F.col("start_raw").alias("created_raw"),
-        "value_raw")
+        "value_raw", "metadata")
     q = metric_records(events).select(
         "subject_id",
         F.create_map(*[F.lit(x) for m, t in RECORD_TYPES.items() for x in (m, t)])[F.col("metric")].alias("record_type"),
         F.concat(F.col("ingest_seq").cast("string"), F.lit("-"), F.col("metric")).alias("uuid"), "source_name",
         F.create_map(*[F.lit(x) for m, u in UNITS.items() for x in (m, u)])[F.col("metric")].alias("unit"),
-        "start_raw", "end_raw", F.col("start_raw").alias("created_raw"), "value_raw")
+        "start_raw", "end_raw", F.col("start_raw").alias("created_raw"), "value_raw", "metadata")
     return sleep.unionByName(q)
 
 

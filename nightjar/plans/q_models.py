@@ -6,9 +6,13 @@ tested in ``tests/test_models.py``.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import features as X
+from ..operators import grid as G
+from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import nights as N
@@ -16,9 +20,11 @@ from ..operators import prep as P
 from ..operators import scoring as R
 from ..operators import sensors as Z
 from ..operators import splits as S
+from ..operators.store import batch_predict, choose_model, save_model
+from ..session import checkpoint_dir, cut_lineage, delete_folder
 from ..sources.contract_data import NIGHT_CONTRACT
-from ..session import cut_lineage
 from . import bindings as B
+from .q_features import labelled_nights
 from .q_sensors import _union as sensor_windows
 from .q_nights import _night_features_sql, _samples, _segments
 from .registry import oracle_wrap, presentable, register
@@ -99,8 +105,16 @@ def _fit_candidates(spark, sf, fits):
     return presentable(out)
 
 
-# The candidates of the mobile model step.
+# The candidates of the mobile model step, and the baseline forest
+# (trees of unlimited depth with leaves of one row).
 LOGREG_C, SGD_ALPHA, SMALL_FORESTS = [0.1, 0.5, 1.0, 2.0], [1e-4, 5e-4, 1e-3], [(64, 6), (96, 8)]
+BASELINE_TREES = 300
+#: Trees that one job of a forest grows.
+PART_TREES = 50
+
+
+def _baseline_forest(train, pre=None):
+    return ML.fit_forest(train, FEATS, "target", trees=BASELINE_TREES, depth=None, min_leaf=1, pre=pre, part_trees=PART_TREES)
 
 
 @register("fit_logistic", op_ids="M3 M1")
@@ -117,24 +131,18 @@ def q_fit_sgd(spark, sf):
 @register("fit_forest", op_ids="M5")
 def q_fit_rf(spark, sf):
     return _fit_candidates(spark, sf, [lambda tr, pre, n=n, d=d: ML.fit_forest(tr, FEATS, "target", trees=n, depth=d, pre=pre)
-                                       for n, d in SMALL_FORESTS])
+                                       for n, d in SMALL_FORESTS] + [_baseline_forest])
 
 
 @register("feature_importance_rank", op_ids="K5")
 def q_importance(spark, sf):
     train = cut_lineage(_split(spark, sf)).filter("split = 'train'")
-    return ML.feature_importance(spark, ML.fit_forest(train, FEATS, "target", trees=IMPORTANCE_TREES, depth=IMPORTANCE_DEPTH))
-
-
-# The larger of the small forests; the 300-tree forest of unlimited depth that
-# the reference ranks is a parameter away (README, open points).
-IMPORTANCE_TREES, IMPORTANCE_DEPTH = SMALL_FORESTS[-1]
-GBT_ROUNDS = 500
+    return ML.feature_importance(spark, _baseline_forest(train))
 
 
 @register("fit_boosted_trees", op_ids="M6")
 def q_fit_gbt(spark, sf):
-    return _fit_candidates(spark, sf, [lambda tr, pre: ML.fit_boosted_trees(tr, FEATS, "target", rounds=GBT_ROUNDS)])
+    return _fit_candidates(spark, sf, [lambda tr, pre: ML.fit_boosted_trees(tr, FEATS, "target")])
 
 
 def _folds(spark, sf, candidates=(5, 4, 3)):
@@ -182,10 +190,33 @@ def q_cv(spark, sf):
     return presentable(cross_validate(spark, sf, _LOGREG, {"baseline": FEATS}))
 
 
-@register("ablation_grid", op_ids="M7 A15")
+# The models of the ablation.
+GRID_FITS = {
+    "logreg": lambda tr, cols, y, pre: ML.fit_logistic(tr, cols, y, C=0.1, pre=pre, max_iter=3000),
+    "rf_small": lambda tr, cols, y, pre: ML.fit_forest(tr, cols, y, trees=96, depth=8, pre=pre),
+    "hist_gb": G.BoostedSettings(),
+}
+
+
+def grid_inputs(spark, sf):
+    """Labelled nights in time order with the columns of all three spaces, cut
+    into folds, and the spaces' columns."""
+    keep = ["subject_id", "night_date", "label_date", "label"]
+    nights = labelled_nights(spark, sf)
+    combined, columns = X.combined_features(nights, keep)
+    baseline = X.baseline_features(nights, keep)[1]
+    spaces = {"baseline": baseline, "transfer": [c for c in columns if c not in set(baseline)], "combined": columns}
+    return cut_lineage(S.walk_forward_folds(combined, ["night_date", "subject_id"], "label")), spaces
+
+
+@register("ablation_grid", op_ids="M7 A15 K2 K3")
 def q_ablation(spark, sf):
-    runs = cross_validate(spark, sf, _LOGREG, {"baseline": FEATS, "price_only": ["l_extendedprice", "l_discount"]})
-    return presentable(M.cv_summary(runs, ["space", "model_name"]))
+    """Three spaces, three models, all folds and the fits on all rows; ranked
+    as the transfer step does. Runs of the same rows are not fitted again."""
+    folds, spaces = grid_inputs(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/grid-{G.grid_id(folds, spaces, sorted(GRID_FITS))}"
+    runs, _ = G.run_grid(folds, "label", spaces, GRID_FITS, G.RunTable(spark, path))
+    return presentable(G.rank_grid(runs))
 
 
 @register("out_of_fold_probabilities", op_ids="R4")
@@ -249,6 +280,33 @@ def q_flatten(spark, sf):
     return presentable(_flat(spark, sf))
 
 
+@register("flatten_parallel_arrays", op_ids="S7",
+          sql="""SELECT user_id, day, CAST(epoch_us(ts) / 1e6 AS DOUBLE) AS time_s, value, event_id
+ FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) e""")
+def q_parallel(spark, sf):
+    """Payloads of parallel 1-D arrays, one for each user and day, to rows; the
+    array of another length is dropped."""
+    e = B.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    by_time = F.sort_array(F.collect_list(F.struct(
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "event_id", "value")))
+    p = e.groupBy("user_id", "day").agg(by_time.alias("s")).select(
+        "user_id", "day", F.col("s.t").alias("time"), F.col("s.value").alias("value"), F.col("s.event_id").alias("event_id"),
+        F.array(F.lit("header")).alias("names"))
+    rows = P.parallel_arrays_to_rows(p, ["value", "event_id", "time"], ["user_id", "day"])
+    return rows.select("user_id", "day", "time_s", "value", "event_id")
+
+
+@register("flatten_struct", op_ids="S7",
+          sql="""SELECT event_id AS id, user_id AS sample_user, event_type AS sample_reading_kind, value AS sample_reading_x,
+ TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS sample_reading_more_k FROM events""")
+def q_struct(spark, sf):
+    e = B.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    reading = F.struct(F.col("event_type").alias("kind"), F.col("value").alias("x"), F.struct(k.alias("k")).alias("more"))
+    return P.flatten_struct(e.select(F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("user"),
+                                                                           reading.alias("reading")).alias("sample")))
+
+
 @register("explained_variance", op_ids="F5 A18")
 def q_explained(spark, sf):
     enc = P.fit_window_encoder(_flat(spark, sf), EMB_COLS, latent=8)
@@ -286,7 +344,34 @@ def q_transfer_encoded(spark, sf):
     return presentable(out.withColumns({"encoder_inputs_shared": F.lit(shared), "encoder_inputs": F.lit(total)}))
 
 
-# ------------------------------------------------------------------ R2 / R3 / P19
+@register("combined_features_encoded", op_ids="F4 F6")
+def q_combined_encoded(spark, sf):
+    """F4 with the encoder's components behind baseline and transfer."""
+    nights = N.night_features(_segments(spark, sf), _samples(spark, sf))
+    out, _ = X.combined_features(nights, ["subject_id", "night_date"], encoder=window_encoder(spark, sf)[1])
+    return presentable(out)
+
+
+# ------------------------------------------------------------------ R2 / R3 / P16 / P19
+@register("predict_with_saved_model", op_ids="R2 P16")
+def q_saved(spark, sf):
+    """Models written to the store and read back; the first that exists and
+    knows a column of the table scores every test row. The table lacks one of
+    the model's features."""
+    split = cut_lineage(_split(spark, sf))
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'").drop("l_tax")
+    store = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    other = train.select("target", *[F.col(c).alias(f"other_{c}") for c in FEATS])
+    save_model(spark, ML.fit_logistic(other, [f"other_{c}" for c in FEATS], "target"), f"{store}/other")
+    save_model(spark, ML.fit_forest(train, FEATS, "target"), f"{store}/forest")
+    model = choose_model(spark, [f"{store}/absent", f"{store}/other", f"{store}/forest"], test)
+    out = cut_lineage(batch_predict(test, model, KEYS).withColumn("model_name", F.lit(model.name)))
+    delete_folder(spark, store)
+    probabilities = F.map_from_entries(F.transform(F.map_entries("probabilities"),
+                                                   lambda e: F.struct(e["key"], F.round(e["value"], 6))))
+    return presentable(out.withColumn("probabilities", probabilities.cast("string")))
+
+
 def _night_scores(spark, sf):
     nights = N.night_features(_segments(spark, sf), _samples(spark, sf))
     c = R.LinearContract.from_mapping(NIGHT_CONTRACT)
@@ -318,5 +403,5 @@ QUERY_DATE = "2024-01-15"
 @register("filter_by_date", op_ids="P19",
           sql=oracle_wrap(f"SELECT * FROM ({_R2_SQL}) r WHERE night_date = DATE '{QUERY_DATE}'", ["confidence"]))
 def q_by_date(spark, sf):
-    s = _night_scores(spark, sf).filter(F.col("night_date") == F.lit(QUERY_DATE).cast("date"))
+    s = L.filter_by_date(_night_scores(spark, sf), QUERY_DATE)
     return presentable(s.select("subject_id", "night_date", "predicted_label", "confidence"))

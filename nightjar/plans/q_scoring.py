@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashrand import draws_sql, hash_words_sql, poisson1_sql
+from ..functions.hashrand import draws_sql, hash_words_sql
 from ..operators import metrics as M
+from ..operators import models as ML
 from ..operators import nights as N
 from ..operators import robust as E
 from ..operators import scoring as R
@@ -120,12 +121,12 @@ def q_wf1(spark, sf):
 # ------------------------------------------------------------------ R5-R7
 @register("apply_threshold", op_ids="R5",
           sql=f"""SELECT {', '.join(KEYS)}, m.model_name, CAST(p.p1 >= m.threshold AS INTEGER) AS decision
- FROM ({B.PREDICTIONS_SQL}) p JOIN ({B.model_table_sql()}) m ON m.model_name IN ('logreg_c0_1', 'sgd_a1e-4')""")
+ FROM ({B.PREDICTIONS_SQL}) p, ({B.model_table_sql()}) m""")
 def q_apply_threshold(spark, sf):
-    # Each row is decided under two models' thresholds: a fixed fan-out of
-    # two by ``explode`` over the model parameters, not a join.
-    chosen = [(n, t) for n, t, _ in B.MODEL_OF_EVENT.values() if n in ("logreg_c0_1", "sgd_a1e-4")]
-    arr = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(float(t)).alias("threshold")) for n, t in chosen])
+    # Each row is decided under every model's threshold: a fixed fan-out of
+    # five by ``explode`` over the model parameters, not a join.
+    arr = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(float(t)).alias("threshold"))
+                    for n, t, _ in B.MODEL_OF_EVENT.values()])
     j = _preds(spark, sf).withColumn("_m", F.explode(arr)).select(
         *KEYS, "p1", F.col("_m.model_name").alias("model_name"), F.col("_m.threshold").alias("threshold"))
     return R.apply_threshold(j, "p1", F.col("threshold")).select(*KEYS, "model_name", "decision")
@@ -310,25 +311,51 @@ def q_teacher(spark, sf):
     return presentable(M.teacher_confidence_summary(p))
 
 
+_TEACHER_MIN, _STUDENT_MIN = 0.55, 0.6
+
+
+@register("teacher_blended_labels", op_ids="M9 M10",
+          sql=oracle_wrap(f"""SELECT {', '.join(KEYS)}, confidence, blended_label,
+ CASE WHEN confidence >= {_STUDENT_MIN} THEN predicted_label ELSE target END AS student_label,
+ CASE WHEN confidence >= {_STUDENT_MIN} THEN predicted_label ELSE blended_label END AS student_label_reference
+ FROM (SELECT *, CASE WHEN confidence >= {_TEACHER_MIN} THEN predicted_label ELSE target END AS blended_label
+ FROM (SELECT *, greatest(p1, 1 - p1) AS confidence FROM ({B.PREDICTIONS_SQL}) p) a) b""", ["confidence"]))
+def q_blended(spark, sf):
+    """Per row: the teacher's blended label, and the student's target in both
+    modes: with the true label as truth, and with the blended one (as the
+    reference does)."""
+    p = _preds(spark, sf).withColumn("confidence", F.greatest(F.col("p1"), F.lit(1.0) - F.col("p1")))
+    p = ML.teacher_targets(p, "target", _TEACHER_MIN)
+    true = ML.distill_labels(p, "target", _STUDENT_MIN)
+    both = ML.distill_labels(true.withColumnRenamed("student_label", "_true"), "blended_label", _STUDENT_MIN)
+    return presentable(both.select(*KEYS, "confidence", "blended_label", F.col("_true").alias("student_label"),
+                                   F.col("student_label").alias("student_label_reference")))
+
+
 # ------------------------------------------------------------------ E2-E5
 N_BOOT = 500  # the phase runner's replicate count
 
 
 def _boot_sql(n_boot=N_BOOT, seed=42):
-    low, high = hash_words_sql(f"concat_ws('|', {key_sql()}, '{seed}')")
-    w = poisson1_sql("u")
-    rows = (f"SELECT * FROM (SELECT target AS y, predicted_label AS yhat, {low} AS low, {high} AS high "
-            f"FROM ({B.PREDICTIONS_SQL}) p) p2, range({n_boot}) t(r)")
-    cm = (f"SELECT r AS replicate, y, yhat, sum(w) AS n FROM (SELECT r, y, yhat, CAST({w} AS DOUBLE) AS w FROM "
-          f"({draws_sql(rows, 'low', 'high', 'r')}) x0) x WHERE w > 0 GROUP BY ALL")
+    low, high = hash_words_sql(f"concat_ws('|', y, yhat, '{seed}')")
+    cells = f"""SELECT *, CAST(ceil(12 * sqrt(n)) + 16 AS BIGINT) AS span FROM (
+ SELECT target AS y, predicted_label AS yhat, count(*) AS n FROM ({B.PREDICTIONS_SQL}) p GROUP BY ALL) c"""
+    ks = f"SELECT y, yhat, n, greatest(0, n - span) AS lo, unnest(range(greatest(0, n - span), n + span + 1)) AS k FROM ({cells}) c"
+    logs = f"""SELECT *, sum(CASE WHEN k > lo THEN ln(n) - ln(k) ELSE 0 END) OVER (PARTITION BY y, yhat ORDER BY k) AS lw FROM ({ks}) s"""
+    w = f"SELECT *, exp(lw - max(lw) OVER (PARTITION BY y, yhat)) AS w FROM ({logs}) s"
+    cdf = f"""SELECT y, yhat, k, sum(w) OVER (PARTITION BY y, yhat ORDER BY k) / sum(w) OVER (PARTITION BY y, yhat) AS v FROM ({w}) s"""
+    reps = f"SELECT y, yhat, greatest(0, n - span) AS lo, {low} AS low, {high} AS high, r FROM ({cells}) c, range({n_boot}) t(r)"
+    u = draws_sql(reps, "low", "high", "r")
+    cm = f"""SELECT u.r AS replicate, u.y, u.yhat, CAST(coalesce(d.k + 1, u.lo) AS DOUBLE) AS n
+ FROM ({u}) u ASOF LEFT JOIN ({cdf}) d ON u.y = d.y AND u.yhat = d.yhat AND u.u >= d.v"""
     return f"""SELECT avg(weighted_f1) AS mean, stddev_pop(weighted_f1) AS std,
  quantile_cont(weighted_f1, 0.025) AS ci95_low, quantile_cont(weighted_f1, 0.975) AS ci95_high,
- count(*) AS replicates FROM ({metrics_sql(cm, ['replicate'])}) m"""
+ count(*) AS replicates FROM ({metrics_sql(f"SELECT * FROM ({cm}) c WHERE n > 0", ['replicate'])}) m"""
 
 
 @register("bootstrap_ci", op_ids="E2", sql=oracle_wrap(_boot_sql(), ["mean", "std", "ci95_low", "ci95_high"]))
 def q_boot(spark, sf):
-    return presentable(E.bootstrap_ci(_preds(spark, sf), "target", "predicted_label", KEYS, N_BOOT))
+    return presentable(E.bootstrap_ci(_preds(spark, sf), "target", "predicted_label", N_BOOT))
 
 
 @register("bootstrap_ci_multinomial", op_ids="E2")

@@ -43,8 +43,8 @@ def _dbl(prefix, cols, stats):
 MOTION_SQL = f"SELECT *, sqrt(coalesce(x, 0.0) * coalesce(x, 0.0) + coalesce(y, 0.0) * coalesce(y, 0.0) + 0.0) AS acc_mag FROM ({B.SENSOR_BASE_SQL}) b"
 
 
-def _win_sql(src_sql, prefix, cols, stats, where=""):
-    return (f"SELECT {GK}, CAST(floor(time_s / {W!r}) AS BIGINT) AS window_index, {_stats_sql(prefix, cols, stats)} "
+def _win_sql(src_sql, prefix, cols, stats, where="", by=GK):
+    return (f"SELECT {by}, CAST(floor(time_s / {W!r}) AS BIGINT) AS window_index, {_stats_sql(prefix, cols, stats)} "
             f"FROM ({src_sql}) d WHERE time_s IS NOT NULL {where} GROUP BY ALL")
 
 
@@ -148,11 +148,12 @@ def _ppg_windows(spark, sf):
     chans = Z.numeric_channels(s)
     target = Z.target_column(s)
     extra = {"target_": ([target], Z.WINDOW_STATS)} if target else None
-    return Z.window_bounds(Z.tumbling_window_stats(s, chans, W, "sig_", extra=extra), W)
+    # windows of a file are its own: two files of a subject never share one
+    return Z.window_bounds(Z.tumbling_window_stats(s, chans, W, "sig_", extra=extra, group=[*Z.GROUP, "source_file"]), W)
 
 
 PPG_SQL = (f"SELECT *, window_index * {W!r} AS window_start_s, window_index * {W!r} + {W!r} AS window_end_s FROM ("
-           + _win_sql(B.ORDER_SAMPLES_SQL, "sig_", ["price"], Z.WINDOW_STATS) + ") p")
+           + _win_sql(B.ORDER_SAMPLES_SQL, "sig_", ["price"], Z.WINDOW_STATS, by=GK + ", source_file") + ") p")
 _PPG_DOUBLES = _dbl("sig_", ["price"], Z.WINDOW_STATS) + ["window_start_s", "window_end_s"]
 
 

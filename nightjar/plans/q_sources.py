@@ -47,21 +47,49 @@ def q_preview(spark, sf):
     return S.preview(S.split_record_streams(_records(spark, sf))).select("metric", "uuid", "start_raw", "value_raw")
 
 
+_META_SQL = f"'HKWasUserEntered=' || CASE WHEN {B.USER_ENTERED_SQL} THEN '1' ELSE '0' END"
+
+
 @register("read_health_records", op_ids="S1",
-          sql=f"SELECT {', '.join(REC_COLS)} FROM ({B.HEALTH_RECORDS_SQL}) r")
+          sql=f"""SELECT CAST(r.subject_id AS VARCHAR) AS subject_id, {', '.join('r.' + c for c in REC_COLS)}, m.metadata
+ FROM ({B.HEALTH_RECORDS_SQL}) r JOIN (SELECT CAST(event_id AS VARCHAR) AS id, {_META_SQL} AS metadata FROM events) m
+ ON regexp_extract(r.uuid, '([0-9]+)', 1) = m.id""")
 def q_xml(spark, sf):
     path = S.scratch_path(spark, "export-xml")
     S.write_health_records(_records(spark, sf), path)
-    return S.read_health_records(spark, path, subject_id="export").select(*REC_COLS)
+    pairs = F.transform("metadata", lambda m: F.concat(m["key"], F.lit("="), m["value"]))
+    return S.read_health_records(spark, path).select("subject_id", *REC_COLS, F.array_join(pairs, ";").alias("metadata"))
+
+
+_BUNDLE_SQL = "CASE WHEN event_id % 3 = 0 THEN 'com.example.WatchKit.sleep' WHEN event_id % 3 = 1 THEN 'com.example.phone' END"
+
+
+@register("source_flags", op_ids="P13",
+          sql=f"""SELECT event_id, coalesce(contains(lower({B.SOURCE_SQL}), 'watch'), false)
+ OR coalesce(contains(lower({_BUNDLE_SQL}), 'watch'), false) AS is_watch, {B.USER_ENTERED_SQL} AS is_user_entered FROM events""")
+def q_flags(spark, sf):
+    rows = _records(spark, sf).where(F.col("record_type") == S.RECORD_TYPES["hr"])
+    rows = rows.withColumn("event_id", F.regexp_extract("uuid", r"([0-9]+)", 1).cast("long"))
+    rows = rows.withColumn("bundle", F.expr(_BUNDLE_SQL))
+    return N.source_flags(rows, metadata_col="metadata", bundle_col="bundle").select("event_id", "is_watch", "is_user_entered")
+
+
+_FORMATS = ("parquet", "csv", "json")
 
 
 @register("write_outputs", op_ids="S10 S2",
-          sql=f"SELECT metric, count(*) AS n FROM ({STREAMS_SQL}) s GROUP BY 1")
+          sql=f"""SELECT fmt, metric, subject_id, uuid, start_raw, value_raw FROM ({STREAMS_SQL}) s,
+ (VALUES {', '.join(f"('{f}')" for f in _FORMATS)}) f(fmt)""")
 def q_write(spark, sf):
-    path = S.scratch_path(spark, "streams")
-    S.write_streams(S.split_record_streams(_records(spark, sf)), path)
-    back = spark.read.parquet(path)
-    return back.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+    """The streams written in every format, by stream, and read back whole."""
+    rows = S.split_record_streams(_records(spark, sf)).select("metric", "subject_id", "uuid", "start_raw", "value_raw")
+    out = None
+    for fmt in _FORMATS:
+        path = S.write_outputs(rows, S.scratch_path(spark, f"streams-{fmt}"), fmt, partition_by=["metric"])
+        back = spark.read.format(fmt).option("header", True).schema(rows.schema).load(path)
+        back = back.select(F.lit(fmt).alias("fmt"), *rows.columns)
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @register("read_sensor_text", op_ids="S4",

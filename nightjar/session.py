@@ -33,6 +33,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("NIGHTJAR_DRIVER_MEMORY", "8g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # independent fits run side by side (operators/models.py)
+        "spark.scheduler.mode": "FAIR",
         # Plans here are built from hundreds of Column calls; capturing the
         # Python call site for every one of them (error context only) costs
         # seconds of driver time per query.
@@ -82,6 +84,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path.toString()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a run's folder once what was made from it is consumed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)

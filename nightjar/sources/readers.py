@@ -38,14 +38,32 @@ RECORD_XML_SCHEMA = StructType([
 ])
 
 
+_CORRUPT = "_corrupt_record"
+
+
+def _raw_records(spark: SparkSession, path: str) -> DataFrame:
+    schema = StructType([*RECORD_XML_SCHEMA.fields, StructField(_CORRUPT, StringType())])
+    return (spark.read.format("xml").option("rowTag", "Record").option("attributePrefix", "_")
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+            .option("recursiveFileLookup", True).schema(schema).load(path))
+
+
+def _subject(subject_id: str | None):
+    """Given, or from the path: a ``subject_id=`` folder, else the file's name."""
+    if subject_id:
+        return F.lit(subject_id)
+    file = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file, r"/subject_id=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(file, r"([^/]+)\.xml$", 1))
+
+
 def read_health_records(spark: SparkSession, path: str, subject_id: str | None = None) -> DataFrame:
     """Every ``Record`` element's attributes (all text) plus its metadata
-    entries; the subject comes from the file path unless given."""
-    raw = (spark.read.format("xml").option("rowTag", "Record").option("attributePrefix", "_")
-           .schema(RECORD_XML_SCHEMA).load(path))
-    subj = F.lit(subject_id) if subject_id else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.xml$", 1)
+    entries; the subject comes from the path unless given. Records that do not
+    parse are not among them (``read_quarantine``)."""
+    raw = _raw_records(spark, path).where(F.col(_CORRUPT).isNull())
     return raw.select(
-        subj.alias("subject_id"), F.col("_type").alias("record_type"), F.col("_uuid").alias("uuid"),
+        _subject(subject_id).alias("subject_id"), F.col("_type").alias("record_type"), F.col("_uuid").alias("uuid"),
         F.col("_sourceName").alias("source_name"), F.col("_unit").alias("unit"),
         F.col("_startDate").alias("start_raw"), F.col("_endDate").alias("end_raw"),
         F.col("_creationDate").alias("created_raw"), F.col("_value").alias("value_raw"),
@@ -53,15 +71,27 @@ def read_health_records(spark: SparkSession, path: str, subject_id: str | None =
                     lambda m: F.named_struct(F.lit("key"), m["_key"], F.lit("value"), m["_value"])).alias("metadata"))
 
 
+def read_quarantine(spark: SparkSession, path: str, subject_id: str | None = None) -> DataFrame:
+    """The text of every ``Record`` element that does not parse, with its
+    subject and file, so that a broken record neither stops an import nor
+    vanishes from it."""
+    return _raw_records(spark, path).where(F.col(_CORRUPT).isNotNull()).select(
+        _subject(subject_id).alias("subject_id"), F.col("_metadata.file_path").alias("path"), F.col(_CORRUPT).alias("record"))
+
+
 def write_health_records(records: DataFrame, path: str) -> None:
-    """Writes records as export-style XML (attributes), for round trips."""
+    """Writes records as export-style XML, for round trips: attributes, metadata
+    entries as nested elements, one folder for each subject."""
+    entries = (F.transform("metadata", lambda m: F.struct(m["key"].alias("_key"), m["value"].alias("_value")))
+               if "metadata" in records.columns else F.lit(None).cast(RECORD_XML_SCHEMA["MetadataEntry"].dataType))
     out = records.select(
-        F.col("record_type").alias("_type"), F.col("uuid").alias("_uuid"), F.col("source_name").alias("_sourceName"),
+        "subject_id", F.col("record_type").alias("_type"), F.col("uuid").alias("_uuid"),
+        F.col("source_name").alias("_sourceName"),
         F.col("unit").alias("_unit"), F.col("created_raw").alias("_creationDate"),
         F.col("start_raw").alias("_startDate"), F.col("end_raw").alias("_endDate"),
-        F.col("value_raw").alias("_value"))
-    (out.write.mode("overwrite").format("xml").option("rootTag", "HealthData").option("rowTag", "Record")
-     .option("attributePrefix", "_").save(path))
+        F.col("value_raw").alias("_value"), entries.alias("MetadataEntry"))
+    (out.write.mode("overwrite").partitionBy("subject_id").format("xml").option("rootTag", "HealthData")
+     .option("rowTag", "Record").option("attributePrefix", "_").save(path))
 
 
 def stream_of_type() -> F.Column:

@@ -65,7 +65,7 @@ def test_pca_variance_ratios(spark):
 
 def test_multinomial_bootstrap_agrees_with_hash_bootstrap(spark):
     preds = B.predictions(B.table(spark, SF_SMALL, "lineitem"))
-    a = E.bootstrap_ci(preds, "target", "predicted_label", B.MODEL_KEYS, n_boot=300).first()
+    a = E.bootstrap_ci(preds, "target", "predicted_label", n_boot=300).first()
     b = E.bootstrap_ci_multinomial(preds, "target", "predicted_label", n_boot=300).first()
     assert b["replicates"] == 300
     assert abs(a["mean"] - b["mean"]) < 0.01

@@ -142,3 +142,40 @@ def test_missing_quality_bands(spark):
     df = spark.createDataFrame([(1, 1.0, None, None), (2, None, None, None)], "k int, a double, b double, c double")
     out = {r["k"]: r["data_quality"] for r in X.contract_missing_quality(df, cols + [f"x{i}" for i in range(6)], ["k"]).collect()}
     assert out == {1: "Fair", 2: "Poor"}
+
+
+def test_quantiles_end_on_any_value(spark):
+    from nightjar.operators import prep as P
+    from nightjar.operators.quantiles import exact_quantiles
+    inf, tiny = float("inf"), 5e-324
+    rows = [(1.0, inf, tiny, 7.0, 1e308), (2.0, -inf, 2 * tiny, 7.0, -1e308), (3.0, None, 0.0, None, 1e-308), (inf, inf, -tiny, 7.0, float("nan"))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = exact_quantiles(df, list("abcde"), [0.0, 0.5, 1.0])
+    assert [got["a", q] for q in (0.0, 0.5, 1.0)] == [1.0, 2.0, 3.0]  # infinite: missing
+    assert got["b", 0.5] is None and got["d", 0.5] == 7.0
+    assert [got["c", q] for q in (0.0, 1.0)] == [-tiny, 2 * tiny]
+    assert [got["e", q] for q in (0.0, 0.5, 1.0)] == [-1e308, 1e-308, 1e308]
+    assert tuple(P.column_medians(df, ["a", "b"], 0.0).first()) == (2.0, 0.0)
+
+
+def test_poisson_draws_have_their_law(spark):
+    import math
+    from collections import Counter
+
+    from nightjar.operators import robust as E
+    cells = spark.createDataFrame([("a", 1.0), ("b", 7.0), ("c", 2500.0)], "k string, n double")
+    draws = E.poisson_draws(cells, ["k"], "n", 4000, 42)
+    got = {}
+    for r in draws.collect():
+        got.setdefault(r["k"], []).append(r["draw"])
+    for k, n in (("a", 1), ("b", 7), ("c", 2500)):
+        d = got[k]
+        assert len(d) == 4000
+        mean, var = sum(d) / 4000, sum(x * x for x in d) / 4000 - (sum(d) / 4000) ** 2
+        assert abs(mean - n) < 4 * math.sqrt(n / 4000) and abs(var / n - 1) < 0.1
+    seen = Counter(got["a"])
+    for x in range(4):
+        assert abs(seen[x] / 4000 - math.exp(-1) / math.factorial(x)) < 0.03
+    # the plan reads the data once, for the confusion counts: no row meets a replicate
+    df = spark.range(1000).selectExpr("cast(id % 2 as int) as y", "cast(id % 3 = 0 as int) as yhat")
+    assert E.bootstrap_ci(df, "y", "yhat", 50).first()["replicates"] == 50
