@@ -59,6 +59,9 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SET: set[tuple[str, str]] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
@@ -69,10 +72,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     which is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if (sc.applicationId, configured) not in _SET:  # each setting makes a folder
+            sc.setCheckpointDir(configured)
+            _SET.add((sc.applicationId, configured))
         return configured
-    sc = spark.sparkContext
     fs = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
     if fs.getScheme() == "file" and not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
@@ -81,6 +86,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fs.deleteOnExit(path)
     spark.conf.set("spark.checkpoint.dir", path.toString())
     sc.setCheckpointDir(path.toString())
+    _SET.add((sc.applicationId, path.toString()))
     return path.toString()
 
 
