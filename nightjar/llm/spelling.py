@@ -209,7 +209,9 @@ def near_pairs(words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     ready = done[0]
     for more in done[1:]:
         ready = ready.unionByName(more)
-    ready = ready.select("key", "class", "s", "e", "word").repartition("key").sortWithinPartitions("key")
+    # by number: small rows that cost much, so that they are not gathered by their size
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = ready.select("key", "class", "s", "e", "word").repartition(tasks, "key").sortWithinPartitions("key")
 
     def compose(batches):
         key, own, gap, first, second = None, [], None, [], []
