@@ -2,20 +2,39 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, delete_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+_ROOT: ContextVar[str | None] = ContextVar("scratch_root", default=None)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run under the shared folder of the cluster."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    root = _ROOT.get() or checkpoint_dir(spark).rstrip("/")
+    return f"{root}/llm-{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Everything that operators write inside goes when the block ends: use
+    their results (write them elsewhere, count, collect) before."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    token = _ROOT.set(root)
+    try:
+        yield root
+    finally:
+        _ROOT.reset(token)
+        delete_folder(spark, root)
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +56,18 @@ def pick(df: DataFrame, **columns: str | None) -> DataFrame:
     return df.select(*out)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many more underscores as keep it apart from the
+    columns (Spark compares names without case)."""
+    have = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, landed, map_arrow, pick
+from .common import LOWER, UPPER, fresh, landed, map_arrow, pick
 from .textblocks import ALNUM, blocks, column_bytes, mix64, word_hashes, word_spans
 
 WINDOW = 10
@@ -163,27 +163,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str]
     the item ids, sorted as strings, comma-joined), item_ids, contaminated."""
     spark = docs.sparkSession
     keep = [c for c in keep if c != out_col]
+    inside = fresh([*keep, out_col], "_text", "_spans", "_items")
     windows = landed(benchmark_windows(benchmark, window, item_col=item_col, text_col=item_text_col), "windows")
     parts = max(1, -(-windows.count() // max_windows))
     part = F.pmod(F.xxhash64("window"), F.lit(parts))
-    rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].cast("string").alias("_text"))
+    rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].cast("string").alias(inside[0]))
     kept_fields = rows.select(*[rows[f"`{c}`"] for c in keep]).schema.fields
-    state = [T.StructField("_text", T.StringType()), T.StructField("_spans", T.ArrayType(T.LongType())),
-             T.StructField("_items", T.ArrayType(T.StringType()))]
+    state = [T.StructField(n, t) for n, t in zip(inside, (
+        T.StringType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())))]
     result = T.StructField(out_col, T.StructType.fromDDL(
         "n_words long, n_hit long, n_items long, items_sha256 string, item_ids array<string>, contaminated boolean"))
     for k in range(parts):
         block = [(r["window"], r["items"]) for r in windows.where(part == k).collect()]
         share = spark.sparkContext.broadcast(Searcher(block))
         last = k == parts - 1
-        rows = rows.transform(map_arrow, _pass(share, len(kept_fields), k == 0, last, out_col),
+        rows = rows.transform(map_arrow, _pass(share, len(kept_fields), k == 0, last, out_col, inside),
                                T.StructType(kept_fields + ([result] if last else state)))
         if not last:
             rows = landed(rows, f"pass_{k}")
     return rows
 
 
-def _pass(share, n_keep: int, first: bool, last: bool, out_col: str):
+def _pass(share, n_keep: int, first: bool, last: bool, out_col: str, inside: list[str]):
     def run(batches):
         searcher = share.value
         for b in batches:
@@ -202,7 +203,7 @@ def _pass(share, n_keep: int, first: bool, last: bool, out_col: str):
                 columns += [b.column(n_keep),
                             pa.array([[x for s in spans for x in s] for _, spans, _ in found], pa.list_(pa.int64())),
                             pa.array([sorted(items) for _, _, items in found], pa.list_(pa.string()))]
-                names = [*b.schema.names[:n_keep], "_text", "_spans", "_items"]
+                names = [*b.schema.names[:n_keep], *inside]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 

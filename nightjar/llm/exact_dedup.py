@@ -1,7 +1,7 @@
 """Operator 2, exact dedup as a stateful stream.
 
 Documents stream in by files; each task lower-cases A-Z and takes the SHA-256
-of the text's bytes, and a streaming aggregation keeps, in disk-backed keyed
+of the text's bytes (no text leaves the JVM), and a streaming aggregation keeps, in disk-backed keyed
 state (RocksDB) that never expires, one entry per digest: the stable
 identifier that stays (largest id), the locator of its content (file and row
 number) and the number of rows. Map-side combining makes a digest's rows of
@@ -22,13 +22,10 @@ ignored. Texts of any length are taken whole.
 """
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, landed, map_arrow, scratch_dir
+from .common import LOWER, UPPER, ascii_lower, landed, scratch_dir
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Digests with several rows are sent to the texts up to this number (32 bytes
@@ -46,24 +43,23 @@ _CONF = {
 }
 
 
-def sha256(text: bytes) -> bytes:
-    return hashlib.sha256(text).digest()
+def sha256(text):
+    """Digest of a text column, worked out in the JVM."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def _plain(text: str = "text"):
+    return ascii_lower(F.coalesce(F.col(text), F.lit("")))
 
 
 def _digests(rows: DataFrame, digest) -> DataFrame:
-    """id, file, row, digest of each row."""
-    def run(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3),
-                 pa.array([digest((t or "").encode().lower()) for t in texts], pa.binary())],
-                names=["id", "file", "row", "digest"])
-    return rows.transform(map_arrow, run, "id long, file string, row long, digest binary")
+    """id, file, row, digest of each row. ``digest``: from a column of normalised
+    texts to a binary column."""
+    return rows.select("id", "file", "row", digest(_plain()).alias("digest"))
 
 
 def _located(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
+    return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
@@ -119,7 +115,7 @@ def exact_duplicates(spark: SparkSession, path: str, *, checkpoint: str | None =
             F.lit(True).alias("kept"), "digest")
     update_state(spark, path, checkpoint, batch_bytes=batch_bytes, digest=digest, **names)
     state = landed(read_state(spark, checkpoint), "dedup_entries")
-    rows = _digests(_located(spark.read.parquet(path), **names), digest)
+    rows = landed(_digests(_located(spark.read.parquet(path), **names), digest), "dedup_digests")
     assigned = rows.join(state, "digest").select(
         "id", "keep_id", F.col("n").alias("group_size"),
         ((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest")
@@ -127,8 +123,8 @@ def exact_duplicates(spark: SparkSession, path: str, *, checkpoint: str | None =
     hits = state.where("n > 1").select("digest")
     if hits.count() <= BROADCAST_DIGESTS:  # texts stay where they are, and equal ones are reduced there
         hits = F.broadcast(hits)
-    text = ascii_lower(F.coalesce("text", F.lit(""))).alias("text")
-    full = _with_text(spark, path, digest, **names).join(hits, "digest").select("digest", "id", "file", "row", text)
+    texts = _located(spark.read.parquet(path), **names).withColumn("text", _plain()).withColumn("digest", digest(F.col("text")))
+    full = texts.join(hits, "digest").select("digest", "id", "file", "row", "text")
     split = (full.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
              .where("a <> b").select("digest"))
     split = landed(split, "dedup_split")
@@ -144,17 +140,6 @@ def exact_duplicates(spark: SparkSession, path: str, *, checkpoint: str | None =
     return assigned.join(split, "digest", "left_anti").select(anew.columns).unionByName(anew).withColumnRenamed("id", id_col)
 
 
-def _with_text(spark: SparkSession, path: str, digest, id_col: str, text_col: str) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([digest((t or "").encode().lower()) for t in texts], pa.binary())],
-                names=["id", "text", "file", "row", "digest"])
-    return _located(spark.read.parquet(path), id_col, text_col).transform(map_arrow,
-        run, "id long, text string, file string, row long, digest binary")
-
-
 ORACLE_SQL = f"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

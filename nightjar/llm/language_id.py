@@ -42,8 +42,8 @@ from .common import landed, map_arrow, pick, schema_of
 from .textblocks import blocks, column_bytes
 
 FIT_ROWS = 20_000
-#: Labels of fewer rows, in number and as a share, are taken for noise.
-MIN_ROWS, MIN_SHARE = 10, 0.002
+#: Labels of fewer rows are taken for noise.
+MIN_ROWS = 10
 BUCKETS = 1 << 14
 SMOOTH, TEMPER = 0.5, 3.0
 UNKNOWN, UNKNOWN_PRIOR = "und", 1e-3
@@ -97,8 +97,7 @@ def fit_text_model(rows: DataFrame, *, text_col: str, label_col: str, fit_rows:
     own = own.select("text", "label", F.xxhash64("text", "label").alias("key"))
     labels = landed(own.groupBy("label", "key").agg(F.count("*").alias("n"))
                     .groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "labels")
-    n = labels.agg(F.sum("n")).first()[0] or 0
-    known = labels.where(F.col("n") >= min(MIN_ROWS, MIN_SHARE * n))
+    known = labels.where(F.col("n") >= MIN_ROWS)
     quota = max(MIN_ROWS, fit_rows // max(1, known.count()))
     limits = known.select("label", F.least(F.lit(1 << 30), F.lit(quota << 30) / F.col("texts")).cast("long").alias("limit"))
 

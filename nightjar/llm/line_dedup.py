@@ -13,14 +13,16 @@ functions only.
 Every document comes back, also one whose text becomes empty. Defined
 results: null text stays null and has no lines; a null site counts as no site;
 rows that share an id are cleaned alike, and a null id is an id of its own;
-an empty table gives an empty result; shorter lines are never touched.
+an empty table gives an empty result; shorter lines are never touched. Other
+columns stay as they are, but for ``n_lines`` and ``n_removed``, which are
+replaced.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import landed, pick
+from .common import fresh, landed, pick
 
 MIN_SITES, MIN_CHARS = 5, 20
 LG_K, MARGIN = 12, 0.1
@@ -62,19 +64,20 @@ def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bad = landed(boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites,
                              min_chars=min_chars, lg_k=lg_k, margin=margin), "boilerplate")
     lines = _lines(pick(docs, id=id_col, site=site_col, text=text_col), min_chars)
+    bad_, hit_id, kept_ = fresh(docs.columns, "_bad", "_hit_id", "_kept")
     hits = (lines.join(bad, "line_hash").where(~F.col("id").eqNullSafe(F.col("home")))
-            .groupBy("id").agg(F.collect_set("line_hash").alias("_bad")).withColumnRenamed("id", "_hit_id"))
+            .groupBy("id").agg(F.collect_set("line_hash").alias(bad_)).withColumnRenamed("id", hit_id))
     text = F.col(f"`{text_col}`")
     parts = F.split(text, "\n")
-    kept = F.filter(parts, lambda x: ~((F.length(F.trim(x)) >= min_chars) & F.array_contains(F.col("_bad"), _key(x))))
-    return (docs.join(hits, docs[id_col].eqNullSafe(hits["_hit_id"]), "left")
-            .withColumn("_kept", F.when(F.col("_bad").isNull(), parts).otherwise(kept))
+    kept = F.filter(parts, lambda x: ~((F.length(F.trim(x)) >= min_chars) & F.array_contains(F.col(bad_), _key(x))))
+    return (docs.join(hits, docs[f"`{id_col}`"].eqNullSafe(hits[hit_id]), "left")
+            .withColumn(kept_, F.when(F.col(bad_).isNull(), parts).otherwise(kept))
             .withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
             .withColumn("n_lines", F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
             .withColumn("n_removed", F.when(text.isNull(), F.lit(0).cast("long"))
-                        .otherwise(F.col("n_lines") - F.size("_kept").cast("long")))
-            .withColumn(text_col, F.when(F.col("_bad").isNull(), text).otherwise(F.array_join("_kept", "\n")))
-            .drop("_kept", "_bad", "_hit_id"))
+                        .otherwise(F.col("n_lines") - F.size(kept_).cast("long")))
+            .withColumn(text_col, F.when(F.col(bad_).isNull(), text).otherwise(F.array_join(kept_, "\n")))
+            .drop(kept_, bad_, hit_id))
 
 
 def oracle_sql(relation: str = "documents", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> str:

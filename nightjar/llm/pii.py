@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import landed, map_arrow
+from .common import fresh, landed, map_arrow
 
 MAX_ROUNDS = 60
 #: From this attempt on a surrogate may be longer than the entity, for formats
@@ -272,14 +272,15 @@ def assign_surrogates(found: DataFrame, key: bytes, make=surrogate) -> DataFrame
 def replace_pii(docs: DataFrame, key: bytes, *, text_col: str = "text", make=surrogate) -> DataFrame:
     """The rows of docs with surrogates in the text column, and ``n_entities``."""
     docs = docs.drop("n_entities")
+    map_, row_key = fresh(docs.columns, "_map", "_row_key")
     text = docs[f"`{text_col}`"]
     may = F.coalesce(text.rlike(f"{MAY_HOLD}|{ANY_DIGIT}"), F.lit(False))
     some = docs.where(may)
     mentions = landed(_mentions(some.select(text, F.xxhash64(text))), "mentions")
     mapping = assign_surrogates(mentions, key, make)
     own = (mentions.withColumn("kind", _space(F.col("kind"))).distinct().join(mapping, ["kind", "canonical"])
-           .groupBy("row_key").agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias("_map"))
-           .withColumnRenamed("row_key", "_row_key"))
+           .groupBy("row_key").agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias(map_))
+           .withColumnRenamed("row_key", row_key))
     fields = docs.schema.fields
     at = [f.name for f in fields].index(text_col)
     out = T.StructType(fields + [T.StructField("n_entities", T.LongType())])
@@ -299,6 +300,6 @@ def replace_pii(docs: DataFrame, key: bytes, *, text_col: str = "text", make=sur
                        pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    joined = some.join(own, F.xxhash64(some[f"`{text_col}`"]) == own["_row_key"], "left")
-    done = joined.select(*[some[f"`{f.name}`"] for f in fields], "_map").transform(map_arrow, run, out)
+    joined = some.join(own, F.xxhash64(some[f"`{text_col}`"]) == own[row_key], "left")
+    done = joined.select(*[some[f"`{f.name}`"] for f in fields], own[map_]).transform(map_arrow, run, out)
     return done.unionByName(docs.where(~may).withColumn("n_entities", F.lit(0).cast("long")))

@@ -3,6 +3,8 @@ import hashlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from nightjar.llm import exact_dedup as X
 
 SCHEMA = "doc_id long, text string, id string, digest int, file int, n long"
@@ -52,7 +54,7 @@ def test_brute_force(spark, tmp_path):
 
 def test_colliding_digests_are_told_apart_by_full_bytes(spark, tmp_path):
     write(spark, ROWS, f"{tmp_path}/t.parquet")
-    check(X.exact_duplicates(spark, f"{tmp_path}/t.parquet", digest=lambda t: t[:1]), ROWS)
+    check(X.exact_duplicates(spark, f"{tmp_path}/t.parquet", digest=lambda t: F.substring(t.cast("binary"), 1, 1)), ROWS)
 
 
 def test_small_batches_and_later_files_continue_the_state(spark, tmp_path):
@@ -77,3 +79,10 @@ def test_session_settings_are_put_back(spark, conf, tmp_path):
     if conf == list(X._CONF)[0]:
         X.exact_duplicates(spark, f"{tmp_path}/t.parquet").count()
     assert spark.conf.get(conf, None) == before
+
+
+def test_digests_stay_in_the_jvm(spark, tmp_path):
+    write(spark, ROWS, f"{tmp_path}/t.parquet")
+    df = X.exact_duplicates(spark, f"{tmp_path}/t.parquet")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
