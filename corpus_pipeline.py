@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightjar.llm import decontamination, language_id, line_dedup, ngram_join, packing
-from nightjar.llm.common import landed, table
+from nightjar.llm.common import landed, scratch, scratch_dir, table
 from nightjar.llm.queries import tokenizer_path
+from nightjar.session import delete_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -79,9 +80,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = landed(docs, f"stage_{name}")
-    return docs
+    """All stages; what a stage wrote besides its result, and the result that it
+    read, go when its own result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch_dir(spark, f"stage_{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete_folder(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
