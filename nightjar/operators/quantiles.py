@@ -51,8 +51,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
             here = v.between(low, high)
             for name, value in zip(groups, g):
                 here = here & F.col(name).eqNullSafe(F.lit(value))
-            # halves: the width itself may be beyond the largest double
-            share = (v * 0.5 - F.lit(low * 0.5)) / F.lit(high * 0.5 - low * 0.5)
+            if math.isfinite(high - low):
+                share = (v - F.lit(low)) / F.lit(high - low)
+            else:  # the width itself is beyond the largest double: halves
+                share = (v * 0.5 - F.lit(low * 0.5)) / F.lit(high * 0.5 - low * 0.5)
             bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
             marks.append(F.when(here, F.struct(F.lit(k).alias("target"), bucket.alias("bucket"), v.alias("v"))))
         counts: dict[int, list] = {}

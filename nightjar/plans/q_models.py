@@ -1,8 +1,9 @@
 """Registered queries for preprocessing, fitting, distillation, encoder and
 batch scoring (A10-A12, A18, F5-F7, K5, M2-M10, P19, R2-R4, R8, S7).
 
-Fits have no SQL oracle (the driver's rows-only check); their invariants are
-tested in ``tests/test_models.py``.
+Linear fits and components have SQL oracles (``fits_sql``); forests, boosted
+trees and what is made from them have none, their invariants are in
+``tests/test_models.py``, ``tests/test_grid.py`` and ``tests/test_boosting.py``.
 """
 from __future__ import annotations
 
@@ -24,9 +25,12 @@ from ..operators.store import batch_predict, choose_model, save_model
 from ..session import checkpoint_dir, cut_lineage, delete_folder
 from ..sources.contract_data import NIGHT_CONTRACT
 from . import bindings as B
+from . import fits_sql as Q
 from .q_features import labelled_nights
+from .q_labels import _SPLIT_SQL, _folds_sql
 from .q_sensors import _union as sensor_windows
 from .q_nights import _night_features_sql, _samples, _segments
+from .q_scoring import METRIC_COLS, metrics_sql
 from .registry import oracle_wrap, presentable, register
 
 FEATS = B.MODEL_FEATURES
@@ -93,13 +97,13 @@ def _test_predictions(fitted, test):
 
 def _fit_candidates(spark, sf, fits):
     """Test predictions of every candidate, one row per model and test row.
-    The split is written once and one preprocessing serves all candidates."""
+    The split is written once, one preprocessing serves all candidates, and
+    their fits run side by side."""
     split = cut_lineage(_split(spark, sf))
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     pre = P.fit_preprocess(train, FEATS)
     out = None
-    for fit in fits:
-        fitted = fit(train, pre)
+    for fitted in ML.side_by_side(spark, [lambda fit=fit: fit(train, pre) for fit in fits]):
         p = fitted.transform(test, [*KEYS, "target"]).withColumn("model_name", F.lit(fitted.name))
         out = p if out is None else out.unionByName(p)
     return presentable(out)
@@ -117,12 +121,23 @@ def _baseline_forest(train, pre=None):
     return ML.fit_forest(train, FEATS, "target", trees=BASELINE_TREES, depth=None, min_leaf=1, pre=pre, part_trees=PART_TREES)
 
 
-@register("fit_logistic", op_ids="M3 M1")
+def _linear_fits_sql(fits: list[tuple[str, str]]) -> str:
+    """Test predictions of logistic fits (name, regularisation) on the split's train part."""
+    ctes = Q.logistic_ctes(_SPLIT_SQL, FEATS, "target", [(name, "split = 'train'", reg) for name, reg in fits])
+    p1 = Q.logistic_p1(FEATS)
+    return oracle_wrap(f"""WITH RECURSIVE {ctes}, scored AS (SELECT {', '.join(KEYS)}, target, {p1} AS p1, fit AS model_name
+ FROM lr_rows, model WHERE split = 'test')
+SELECT {', '.join(KEYS)}, target, p1, CAST(p1 > 0.5 AS INTEGER) AS predicted_label, greatest(p1, 1 - p1) AS confidence, model_name
+FROM scored""", ["p1", "confidence"])
+
+
+# Fits are unique minima, worked out to the last digits on both sides.
+@register("fit_logistic", op_ids="M3 M1", sql=_linear_fits_sql([(f"logreg_c{c}", f"1.0 / ({c!r} * lr_n)") for c in LOGREG_C]))
 def q_fit_lr(spark, sf):
     return _fit_candidates(spark, sf, [lambda tr, pre, c=c: ML.fit_logistic(tr, FEATS, "target", C=c, pre=pre) for c in LOGREG_C])
 
 
-@register("fit_sgd_logistic", op_ids="M4")
+@register("fit_sgd_logistic", op_ids="M4", sql=_linear_fits_sql([(f"sgd_a{a}", repr(a)) for a in SGD_ALPHA]))
 def q_fit_sgd(spark, sf):
     return _fit_candidates(spark, sf, [lambda tr, pre, a=a: ML.fit_sgd_logistic(tr, FEATS, "target", alpha=a, pre=pre)
                                        for a in SGD_ALPHA])
@@ -185,7 +200,21 @@ def cross_validate(spark, sf, fits: dict, spaces: dict[str, list[str]]):
     return cross_validate_folds(cut_lineage(_folds(spark, sf)), "target", fits, spaces)
 
 
-@register("cross_validate", op_ids="M8 W7")
+def _fold_fits_sql(candidates: tuple[int, ...]) -> str:
+    """Common table expressions of one logistic fit (C = 1) for each fold, and
+    ``scored``: every row of a test block under its fold's fit."""
+    rows = _folds_sql(candidates, [*KEYS, *FEATS, "target"])
+    fits = [(str(f), f"test_fold < {f} AND {f} < n_folds", "1.0 / lr_n") for f in range(max(candidates))]
+    return f"""{Q.logistic_ctes(rows, FEATS, "target", fits)},
+scored AS (SELECT r.*, {Q.logistic_p1(FEATS)} AS p1 FROM lr_rows r JOIN model ON CAST(test_fold AS VARCHAR) = fit)"""
+
+
+_CV_CM_SQL = "SELECT test_fold AS fold, target AS y, CAST(p1 > 0.5 AS INTEGER) AS yhat, CAST(count(*) AS DOUBLE) AS n FROM scored GROUP BY ALL"
+
+
+@register("cross_validate", op_ids="M8 W7",
+          sql=oracle_wrap(f"""WITH RECURSIVE {_fold_fits_sql((5, 4, 3))}
+SELECT 'baseline' AS space, 'logreg_c1.0' AS model_name, * FROM ({metrics_sql(_CV_CM_SQL, ['fold'])}) m""", METRIC_COLS))
 def q_cv(spark, sf):
     return presentable(cross_validate(spark, sf, _LOGREG, {"baseline": FEATS}))
 
@@ -219,7 +248,10 @@ def q_ablation(spark, sf):
     return presentable(G.rank_grid(runs))
 
 
-@register("out_of_fold_probabilities", op_ids="R4")
+@register("out_of_fold_probabilities", op_ids="R4",
+          sql=oracle_wrap(f"""WITH RECURSIVE {_fold_fits_sql((5, 4, 3, 2))}
+SELECT {', '.join(KEYS)}, target, test_fold, p1, CAST(p1 > 0.5 AS INTEGER) AS predicted_label, greatest(p1, 1 - p1) AS confidence
+FROM lr_rows LEFT JOIN scored USING ({', '.join(KEYS)}, target, test_fold)""", ["p1", "confidence"]))
 def q_oof(spark, sf):
     return presentable(out_of_fold(cut_lineage(_folds(spark, sf, (5, 4, 3, 2))), FEATS, "target", KEYS))
 
@@ -250,7 +282,15 @@ def q_distill(spark, sf):
     return _test_predictions(student, test)
 
 
-@register("export_linear_contract", op_ids="R8 R1")
+_EXPORTED = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {c}_med AS median, {c}_mean AS mean, {c}_scale AS scale, b{i} AS coef FROM model"
+    for i, c in enumerate(FEATS, 1))
+
+
+@register("export_linear_contract", op_ids="R8 R1",
+          sql=oracle_wrap(f"""WITH RECURSIVE {Q.logistic_ctes(_SPLIT_SQL, FEATS, "target", [("logreg_c0_1", "split = 'train'", "1.0 / (0.1 * lr_n)")])}
+SELECT 'logreg_c0_1' AS contract_id, *, 0.0 AS max_abs_diff FROM ({_EXPORTED}) e""",
+                          ["median", "mean", "scale", "coef", "max_abs_diff"]))
 def q_export(spark, sf):
     train, test = _train_test(spark, sf)
     fitted = ML.fit_logistic(train, FEATS, "target", C=0.1)
@@ -261,17 +301,18 @@ def q_export(spark, sf):
                                                   .alias("max_abs_diff"))
     rows = contract.to_rows(spark, "logreg_c0_1")
     # Parity of the exported contract with the model: one scalar per feature row.
-    return rows.withColumn("max_abs_diff", parity.scalar())
+    return presentable(rows.withColumn("max_abs_diff", parity.scalar()))
 
 
 # ------------------------------------------------------------------ encoder (embeddings)
+EMB_COLS = [f"emb_{i}" for i in range(64)]
+
+
 def _flat(spark, sf):
     emb = B.table(spark, sf, "embeddings")
     return P.flatten_nested_samples(emb, "embedding", 64, ["vec_id", "label"], prefix="emb")
 
 
-EMB_COLS = [f"emb_{i}" for i in range(64)]
-
 
 @register("flatten_nested_samples", op_ids="S7",
           sql=oracle_wrap("SELECT vec_id, label, " + ", ".join(
@@ -307,13 +348,26 @@ def q_struct(spark, sf):
                                                                            reading.alias("reading")).alias("sample")))
 
 
-@register("explained_variance", op_ids="F5 A18")
+_FLAT_SQL = "SELECT vec_id AS id, " + ", ".join(f"embedding[{i + 1}] AS emb_{i}" for i in range(64)) + " FROM embeddings"
+
+
+@register("explained_variance", op_ids="F5 A18",
+          sql=oracle_wrap(f"""WITH RECURSIVE {Q.components_ctes(_FLAT_SQL, EMB_COLS, 8)}
+SELECT component, share AS explained_variance_ratio, sum(share) OVER (ORDER BY component) AS cumulative FROM pc_share""",
+                          ["explained_variance_ratio", "cumulative"]))
 def q_explained(spark, sf):
     enc = P.fit_window_encoder(_flat(spark, sf), EMB_COLS, latent=8)
-    return enc.explained_variance(spark)
+    return presentable(enc.explained_variance(spark))
+
+
+_LATENT = P.latent_names(8)
 
 
-@register("apply_encoder", op_ids="F6 F7")
+@register("apply_encoder", op_ids="F6 F7",
+          sql=oracle_wrap(f"""WITH RECURSIVE {Q.components_ctes(_FLAT_SQL, EMB_COLS, 8)}, z AS (
+ SELECT id, component, sum(x * v) AS z FROM pc_scaled JOIN pc_load USING (c) GROUP BY ALL)
+SELECT e.vec_id, e.label, {', '.join(f"max(CASE WHEN component = {j} THEN z END) AS {n}" for j, n in enumerate(_LATENT, 1))}
+FROM embeddings e JOIN z ON z.id = e.vec_id GROUP BY ALL""", _LATENT))
 def q_encode(spark, sf):
     flat = _flat(spark, sf)
     enc = P.fit_window_encoder(flat, EMB_COLS, latent=8)
