@@ -22,6 +22,46 @@ BUCKETS = 1024
 MAX_GROUPS = 1000
 
 
+def _bucket(v, low, high, wide):
+    """Bucket of a value in its range. ``wide``: the range's width is beyond the
+    largest double; halves then."""
+    share = F.when(wide, (v * 0.5 - low * 0.5) / (high * 0.5 - low * 0.5)).otherwise((v - low) / (high - low))
+    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+
+
+def _counted(x: DataFrame, cols: list[str], groups: list[str], open_: list) -> DataFrame:
+    """target, bucket, n, lo, hi: the values inside each open target's range by
+    bucket, in one pass. Without groups, cells come as (column, value) rows and
+    meet the targets of their column by array look-ups, so the expression does
+    not grow with the columns; with groups, each target is a condition."""
+    if groups:
+        marks = []
+        for k, ((g, c, _), (low, high, _)) in enumerate(open_):
+            v = F.col(c)
+            here = v.between(low, high)
+            for name, value in zip(groups, g):
+                here = here & F.col(name).eqNullSafe(F.lit(value))
+            bucket = _bucket(v, F.lit(low), F.lit(high), F.lit(not math.isfinite(high - low)))
+            marks.append(F.when(here, F.struct(F.lit(k).alias("target"), bucket.alias("bucket"), v.alias("v"))))
+        rows = x
+    else:
+        number = {c: i for i, c in enumerate(cols)}
+        rows = x.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).alias("_v")) for i, c in enumerate(cols)])))
+        rows = rows.where("_v IS NOT NULL")
+        held: list[list] = [[] for _ in cols]
+        for k, ((_, c, _), (low, high, _)) in enumerate(open_):
+            held[number[c]].append((float(low), float(high), k))
+        marks, v = [], F.col("_v")
+        for slot in range(max(map(len, held))):  # of one column: as many as ranks are wanted
+            lows, highs, keys = zip(*[h[slot] if slot < len(h) else (1.0, 0.0, -1) for h in held])
+            low, high = (F.get(F.lit(list(b)).cast("array<double>"), F.col("_c")) for b in (lows, highs))
+            wide = F.get(F.lit([not math.isfinite(b - a) for a, b in zip(lows, highs)]), F.col("_c"))
+            marks.append(F.when(v.between(low, high), F.struct(
+                F.get(F.lit(list(keys)), F.col("_c")).alias("target"), _bucket(v, low, high, wide).alias("bucket"), v.alias("v"))))
+    return (rows.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.target", "m.bucket")
+            .agg(F.count("*").alias("n"), F.min("m.v").alias("lo"), F.max("m.v").alias("hi")))
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
                     group_cols: list[str] | None = None) -> dict[tuple, float | None]:
     """(group..., column, q) -> quantile with linear interpolation (None
@@ -45,21 +85,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
         open_ = [(k, t) for k, t in targets.items() if t[0] < t[1]]
         if not open_:
             break
-        marks = []
-        for k, ((g, c, _), (low, high, _)) in enumerate(open_):
-            v = F.col(c)
-            here = v.between(low, high)
-            for name, value in zip(groups, g):
-                here = here & F.col(name).eqNullSafe(F.lit(value))
-            if math.isfinite(high - low):
-                share = (v - F.lit(low)) / F.lit(high - low)
-            else:  # the width itself is beyond the largest double: halves
-                share = (v * 0.5 - F.lit(low * 0.5)) / F.lit(high * 0.5 - low * 0.5)
-            bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-            marks.append(F.when(here, F.struct(F.lit(k).alias("target"), bucket.alias("bucket"), v.alias("v"))))
+        found = _counted(x, cols, groups, open_)
         counts: dict[int, list] = {}
-        found = (x.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.target", "m.bucket")
-                 .agg(F.count("*").alias("n"), F.min("m.v").alias("lo"), F.max("m.v").alias("hi")))
         for r in found.collect():
             counts.setdefault(r["target"], []).append((r["bucket"], r["n"], r["lo"], r["hi"]))
         for k, (key, t) in enumerate(open_):

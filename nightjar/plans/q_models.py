@@ -21,6 +21,7 @@ from ..operators import prep as P
 from ..operators import scoring as R
 from ..operators import sensors as Z
 from ..operators import splits as S
+from ..operators.parallel import side_by_side
 from ..operators.store import batch_predict, choose_model, save_model
 from ..session import checkpoint_dir, cut_lineage, delete_folder
 from ..sources.contract_data import NIGHT_CONTRACT
@@ -103,7 +104,7 @@ def _fit_candidates(spark, sf, fits):
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     pre = P.fit_preprocess(train, FEATS)
     out = None
-    for fitted in ML.side_by_side(spark, [lambda fit=fit: fit(train, pre) for fit in fits]):
+    for fitted in side_by_side(spark, [lambda fit=fit: fit(train, pre) for fit in fits]):
         p = fitted.transform(test, [*KEYS, "target"]).withColumn("model_name", F.lit(fitted.name))
         out = p if out is None else out.unionByName(p)
     return presentable(out)

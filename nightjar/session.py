@@ -33,7 +33,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("NIGHTJAR_DRIVER_MEMORY", "8g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # independent fits run side by side (operators/models.py)
+        # independent fits run side by side (operators/parallel.py)
         "spark.scheduler.mode": "FAIR",
         # Plans here are built from hundreds of Column calls; capturing the
         # Python call site for every one of them (error context only) costs
