@@ -308,7 +308,7 @@ def _member_sets(rows: DataFrame, members: DataFrame, n_members: int, size: int)
 # ---- candidates and verification ----
 
 def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: bool, cell_rows: int) -> DataFrame:
-    """cell, a, b, score: pairs of classes of one cell, in different components."""
+    """cell, a, b, score, mutual: pairs of classes of one cell, in different components."""
     by_cell = Window.partitionBy("cell")
     open_ = (cells.withColumn("lo", F.min("component").over(by_cell)).withColumn("hi", F.max("component").over(by_cell))
              .withColumn("m", F.count("*").over(by_cell)).where("lo <> hi"))
@@ -321,10 +321,11 @@ def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: boo
              .select("cell", "ci", "cj", "second", "cid", "component", "n", "point")
              .repartition("cell", "ci", "cj").sortWithinPartitions("cell", "ci", "cj", "second"))
 
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
 
     def pairs_of(cid, comp, n, data, second, alone):
-        """proposer, partner, bound on their similarity."""
+        """proposer, partner, bound on their similarity, whether the partner
+        proposes the same (such a pair comes once)."""
         rows = np.stack([counts_of(d, k) for d, k in zip(data, n.tolist())])
         x, y = (np.arange(len(n)),) * 2 if alone else (np.flatnonzero(~second), np.flatnonzero(second))
         if not len(x) or not len(y):
@@ -333,11 +334,16 @@ def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: boo
         u = t if alone else RTree(rows[y], n[y])
         if not best_only:
             i, j = tree_join(t, u, comp[x], comp[y], percent)
-            return cid[x[i]], cid[y[j]], np.zeros(len(i))
+            return cid[x[i]], cid[y[j]], np.zeros(len(i)), np.zeros(len(i), bool)
         out = []
-        for (partner, score), own, other in zip(tree_best(t, u, comp[x], comp[y], percent), (x, y), (y, x)):
+        best = tree_best(t, u, comp[x], comp[y], percent)
+        for side, ((partner, score), own, other) in enumerate(zip(best, (x, y), (y, x))):
             at = np.flatnonzero(partner >= 0)
-            out.append((cid[own[at]], cid[other[partner[at]]], score[at]))
+            back = best[-1 - side][0][partner[at]]  # a single table: its own partners
+            mutual = back == at
+            once = ~mutual | ((at < partner[at]) if alone else (side == 0))
+            at, mutual = at[once], mutual[once]
+            out.append((cid[own[at]], cid[other[partner[at]]], score[at], mutual))
         return tuple(np.concatenate(parts) for parts in zip(*out))
 
     def run(batches):
@@ -366,16 +372,23 @@ def _proposals(cells: DataFrame, points: DataFrame, percent: int, best_only: boo
             if e - s > 1:
                 found.append(pairs_of(cid[s:e], comp[s:e], n[s:e], data[s:e], second[s:e], key_i[s] == key_j[s]))
                 where.append(np.full(len(found[-1][0]), cells_[s]))
-        a, b, score = (np.concatenate(parts) for parts in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(where)), pa.array(a), pa.array(b), pa.array(score)],
-                                          names=["cell", "a", "b", "score"])
+        a, b, score, mutual = (np.concatenate(parts) for parts in zip(*found))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(where)), pa.array(a), pa.array(b), pa.array(score), pa.array(mutual)],
+            names=["cell", "a", "b", "score", "mutual"])
 
-    return dealt.transform(map_arrow, run, "cell long, a long, b long, score double").where("a <> b")
+    return dealt.transform(map_arrow, run, "cell long, a long, b long, score double, mutual boolean").where("a <> b")
+
+
+def _both_ways(found: DataFrame) -> DataFrame:
+    """Proposals with the mutual ones from either side."""
+    back = found.where("mutual").select("cell", F.col("b").alias("a"), F.col("a").alias("b"), "score", "mutual")
+    return found.unionByName(back)
 
 
 def _pairs(found: DataFrame, best_only: bool) -> DataFrame:
     if best_only:  # of all its cells, a point keeps its best partner
-        found = found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select("a", "best.b")
+        found = _both_ways(found).groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select("a", "best.b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -441,7 +454,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         pairs = landed(_pairs(found, not last), f"pairs_{k}")
         tried = pairs.count()
         if not k and not last:  # a point without any possible partner in a cell leaves it for good
-            cells = landed(cells.join(found.select("cell", F.col("a").alias("cid")).distinct(), ["cell", "cid"], "left_semi"),
+            here = _both_ways(found).select("cell", F.col("a").alias("cid")).distinct()
+            cells = landed(cells.join(here, ["cell", "cid"], "left_semi"),
                            "cells_left")
         if not tried:
             break
