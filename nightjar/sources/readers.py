@@ -73,10 +73,12 @@ def read_health_records(spark: SparkSession, path: str, subject_id: str | None =
 
 def read_quarantine(spark: SparkSession, path: str, subject_id: str | None = None) -> DataFrame:
     """The text of every ``Record`` element that does not parse, with its
-    subject and file, so that a broken record neither stops an import nor
-    vanishes from it."""
+    subject and file, so that a broken record does not stop an import. Spark's
+    XML reader does not go on behind it: later records of that file are in
+    neither table, so a file that is named here has to be mended and read again."""
     return _raw_records(spark, path).where(F.col(_CORRUPT).isNotNull()).select(
-        _subject(subject_id).alias("subject_id"), F.col("_metadata.file_path").alias("path"), F.col(_CORRUPT).alias("record"))
+        _subject(subject_id).alias("subject_id"), F.col("_metadata.file_path").alias("path"), F.col(_CORRUPT).alias("record"),
+        F.col("_type").alias("record_type"))  # Spark refuses to read the broken text alone
 
 
 def write_health_records(records: DataFrame, path: str) -> None:
