@@ -129,12 +129,20 @@ _SPLIT_SQL = f"""SELECT *, CASE WHEN pos < floor(n * 0.7) THEN 'train' ELSE 'tes
  FROM ({B.MODEL_POS_SQL}) p"""
 
 
+@register("unseen_labels", op_ids="U2",
+          sql=f"""SELECT DISTINCT l_returnflag FROM ({_SPLIT_SQL}) s WHERE split = 'test'
+ EXCEPT SELECT DISTINCT l_returnflag FROM ({_SPLIT_SQL}) s WHERE split = 'train'""")
+def q_unseen(spark, sf):
+    sp = S.chronological_split(_model(spark, sf), B.MODEL_ORDER)
+    return L.unseen_labels(sp.filter("split = 'train'"), sp.filter("split = 'test'"), "l_returnflag")
+
+
 _UNSEEN_SQL = """SELECT DISTINCT o_orderstatus || '-' || strftime(o_orderdate, '%Y') AS status_year FROM orders
  WHERE CAST(o_orderdate AS DATE) {} DATE '1996-07-01'"""
 
 
-@register("unseen_labels", op_ids="U2", sql=f"{_UNSEEN_SQL.format('>=')} EXCEPT {_UNSEEN_SQL.format('<')}")
-def q_unseen(spark, sf):
+@register("unseen_order_labels", op_ids="U2", sql=f"{_UNSEEN_SQL.format('>=')} EXCEPT {_UNSEEN_SQL.format('<')}")
+def q_unseen_orders(spark, sf):
     """Orders labelled by status and year, cut at a date: the years behind the
     cut bring labels that the part before it does not have."""
     o = B.table(spark, sf, "orders").withColumn(
