@@ -7,6 +7,8 @@ same on every layout and in DuckDB:
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,31 @@ def hash_uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
 
 
+def poisson1_cdf(max_k: int = 16) -> list[float]:
+    """CDF of Poisson(1) at 0..max_k, from the formula e^-1 * sum 1/j!."""
+    out, acc = [], 0.0
+    for k in range(max_k + 1):
+        acc += math.exp(-1.0) / math.factorial(k)
+        out.append(acc)
+    return out
+
+
+def poisson1_from_uniform(u: Column, max_k: int = 16) -> Column:
+    """Inverse CDF of Poisson(1): smallest k with CDF(k) > u."""
+    cdf = poisson1_cdf(max_k)
+    expr = F.lit(max_k)
+    for k in range(max_k - 1, -1, -1):
+        expr = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(expr)
+    return expr.cast("int")
+
+
+def poisson1_sql(u_sql: str, max_k: int = 16) -> str:
+    """Same inverse CDF as a SQL CASE (used by the DuckDB oracle)."""
+    cdf = poisson1_cdf(max_k)
+    arms = " ".join(f"WHEN {u_sql} < {cdf[k]!r} THEN {k}" for k in range(max_k))
+    return f"(CASE {arms} ELSE {max_k} END)"
+
+
 # Integer mixer for many draws per row: one md5 per row gives a 64-bit seed as
 # two 32-bit words. Each replicate r is mixed into the low word with a 32-bit
 # integer hash, the high word into that result (multiply / xor-shift, all

@@ -10,11 +10,14 @@ not.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashrand import hash_words, mix_uniform
+from ..functions.hashrand import GOLDEN_32, MASK_32, MIX_MUL, TWO_POW_32, hash_words, mix_uniform, poisson1_cdf
 from .metrics import classification_metrics, confusion_matrix
 
 
@@ -59,20 +62,85 @@ def poisson_draws(cells: DataFrame, key_cols: list[str], n_col: str, n_boot: int
             .select(*key_cols, "replicate", "draw"))
 
 
-def bootstrap_replicates(df: DataFrame, y: str, yhat: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """E2, per-replicate metrics. Poisson(1) weights of the rows add up, within
-    a confusion cell of n rows, to one Poisson(n) number: so the data are read
-    once, for the confusion counts, and each (cell, replicate) takes one draw."""
-    cm = confusion_matrix(df, y, yhat)
-    drawn = poisson_draws(cm, ["y", "yhat"], "n", n_boot, seed).where("draw > 0")
-    return classification_metrics(drawn.select("replicate", "y", "yhat", F.col("draw").cast("double").alias("n")), ["replicate"])
+def bootstrap_replicates(df: DataFrame, y: str, yhat: str, n_boot: int = 1000, seed: int = 42,
+                         key_cols: list[str] | None = None) -> DataFrame:
+    """E2, per-replicate metrics. With ``key_cols`` each row gets a Poisson(1)
+    weight per replicate; rows with weight 0 drop out. One md5 per row (key|seed)
+    gives a 64-bit seed, mixed with the replicate number by an integer hash, so
+    the per-(row, replicate) cost is a few integer operations. Tasks sum up the
+    weights to (replicate, y, yhat) cells: the shuffle is B x classes^2 rows per
+    task whatever the table size.
+
+    Without ``key_cols`` rows have no weights of their own: within a confusion
+    cell of n rows they would add up to one Poisson(n) number, which each
+    (cell, replicate) draws."""
+    if key_cols is None:
+        cm = confusion_matrix(df, y, yhat)
+        drawn = poisson_draws(cm, ["y", "yhat"], "n", n_boot, seed).where("draw > 0")
+        return classification_metrics(drawn.select("replicate", "y", "yhat", F.col("draw").cast("double").alias("n")), ["replicate"])
+    low, high = hash_words(F.concat_ws("|", row_key(key_cols), F.lit(str(seed))))
+    base = df.select(y, yhat, low.alias("_low"), high.alias("_high"))
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < tasks:
+        base = base.repartition(tasks)
+    kinds = ", ".join(f"`{n}` {df.schema[c].dataType.simpleString()}" for n, c in (("y", y), ("yhat", yhat)))
+    weighted = base.mapInArrow(_weight_sums(n_boot), f"replicate int, {kinds}, w long").filter(F.col("w") > 0)
+    return classification_metrics(confusion_matrix(weighted, "y", "yhat", ["replicate"], weight="w"), ["replicate"])
+
+
+def _weight_sums(n_boot: int, rows: int = 1 << 15):
+    """Of a task's rows (y, yhat, low, high), by replicate and (y, yhat): the sum
+    of the rows' Poisson(1) weights, the draws of ``mix_uniform`` and
+    ``poisson1_from_uniform``."""
+    bounds = [math.ceil(c * TWO_POW_32) for c in poisson1_cdf()[:-1]]
+    bounds = [np.uint32(b) for b in bounds if b <= MASK_32]
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x >> np.uint32(16)) ^ x) * np.uint32(MIX_MUL)
+        return (x >> np.uint32(16)) ^ x
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            codes = [b.column(i).dictionary_encode(null_encoding="encode") for i in (0, 1)]
+            wide = max(1, len(codes[1].dictionary))
+            cell = codes[0].indices.to_numpy().astype(np.int64) * wide + codes[1].indices.to_numpy()
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            low, high = (b.column(i).to_numpy()[order].astype(np.uint32) for i in (2, 3))
+            for at in range(0, len(cell), rows):
+                here, lo, hi = cell[at:at + rows], low[at:at + rows], high[at:at + rows]
+                starts = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+                drawn = np.empty((n_boot, len(starts)), np.int64)
+                for r in range(n_boot):
+                    x = mixed(mixed(lo ^ np.uint32((r * GOLDEN_32) & MASK_32)) ^ hi)
+                    w = np.zeros(len(x), np.uint8)
+                    for bound in bounds:
+                        w += x >= bound
+                    drawn[r] = np.add.reduceat(w, starts, dtype=np.int64)
+                for i, c in enumerate(here[starts].tolist()):
+                    key = tuple(d.dictionary[k].as_py() for d, k in zip(codes, divmod(c, wide)))
+                    sums[key] = sums[key] + drawn[:, i] if key in sums else drawn[:, i]
+        for (a, c), w in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot, dtype=np.int32)), pa.array([a] * n_boot, kinds[0]),
+                                              pa.array([c] * n_boot, kinds[1]), pa.array(w)], names=["replicate", "y", "yhat", "w"])
+
+    def tasks(batches):
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is not None:
+            kinds[:] = [first.column(i).type for i in (0, 1)]
+            yield from run(chain([first], batches))
+    kinds: list = [None, None]
+    return tasks
 
 
 def bootstrap_ci(df: DataFrame, y: str, yhat: str, n_boot: int = 1000, seed: int = 42,
-                 metric: str = "weighted_f1") -> DataFrame:
+                 metric: str = "weighted_f1", key_cols: list[str] | None = None) -> DataFrame:
     """Mean, population std and 2.5 / 97.5 percentiles (linear
     interpolation) of the metric over replicates — one row."""
-    reps = bootstrap_replicates(df, y, yhat, n_boot, seed)
+    reps = bootstrap_replicates(df, y, yhat, n_boot, seed, key_cols)
     return reps.agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"),
                     F.percentile(metric, 0.025).alias("ci95_low"), F.percentile(metric, 0.975).alias("ci95_high"),
                     F.count(F.lit(1)).alias("replicates"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashrand import draws_sql, hash_words_sql
+from ..functions.hashrand import draws_sql, hash_words_sql, poisson1_sql
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import nights as N
@@ -337,6 +337,23 @@ N_BOOT = 500  # the phase runner's replicate count
 
 
 def _boot_sql(n_boot=N_BOOT, seed=42):
+    low, high = hash_words_sql(f"concat_ws('|', {key_sql()}, '{seed}')")
+    w = poisson1_sql("u")
+    rows = (f"SELECT * FROM (SELECT target AS y, predicted_label AS yhat, {low} AS low, {high} AS high "
+            f"FROM ({B.PREDICTIONS_SQL}) p) p2, range({n_boot}) t(r)")
+    cm = (f"SELECT r AS replicate, y, yhat, sum(w) AS n FROM (SELECT r, y, yhat, CAST({w} AS DOUBLE) AS w FROM "
+          f"({draws_sql(rows, 'low', 'high', 'r')}) x0) x WHERE w > 0 GROUP BY ALL")
+    return f"""SELECT avg(weighted_f1) AS mean, stddev_pop(weighted_f1) AS std,
+ quantile_cont(weighted_f1, 0.025) AS ci95_low, quantile_cont(weighted_f1, 0.975) AS ci95_high,
+ count(*) AS replicates FROM ({metrics_sql(cm, ['replicate'])}) m"""
+
+
+@register("bootstrap_ci", op_ids="E2", sql=oracle_wrap(_boot_sql(), ["mean", "std", "ci95_low", "ci95_high"]))
+def q_boot(spark, sf):
+    return presentable(E.bootstrap_ci(_preds(spark, sf), "target", "predicted_label", N_BOOT, key_cols=KEYS))
+
+
+def _boot_cells_sql(n_boot=N_BOOT, seed=42):
     low, high = hash_words_sql(f"concat_ws('|', y, yhat, '{seed}')")
     cells = f"""SELECT *, CAST(ceil(12 * sqrt(n)) + 16 AS BIGINT) AS span FROM (
  SELECT target AS y, predicted_label AS yhat, count(*) AS n FROM ({B.PREDICTIONS_SQL}) p GROUP BY ALL) c"""
@@ -353,8 +370,8 @@ def _boot_sql(n_boot=N_BOOT, seed=42):
  count(*) AS replicates FROM ({metrics_sql(f"SELECT * FROM ({cm}) c WHERE n > 0", ['replicate'])}) m"""
 
 
-@register("bootstrap_ci", op_ids="E2", sql=oracle_wrap(_boot_sql(), ["mean", "std", "ci95_low", "ci95_high"]))
-def q_boot(spark, sf):
+@register("bootstrap_ci_cells", op_ids="E2", sql=oracle_wrap(_boot_cells_sql(), ["mean", "std", "ci95_low", "ci95_high"]))
+def q_boot_cells(spark, sf):
     return presentable(E.bootstrap_ci(_preds(spark, sf), "target", "predicted_label", N_BOOT))
 
 
