@@ -81,9 +81,16 @@ def read_quarantine(spark: SparkSession, path: str, subject_id: str | None = Non
         F.col("_type").alias("record_type"))  # Spark refuses to read the broken text alone
 
 
+#: Records of a subject that one task writes.
+SUBJECT_RECORDS = 100_000
+
+
 def write_health_records(records: DataFrame, path: str) -> None:
     """Writes records as export-style XML, for round trips: attributes, metadata
-    entries as nested elements, one folder for each subject."""
+    entries as nested elements, one folder for each subject. A subject's records
+    meet in one task, a large one's in several: files are about as many as
+    subjects, not subjects times tasks. Tasks put their files in place themselves
+    (the folder is read after the whole write), not the driver one by one."""
     entries = (F.transform("metadata", lambda m: F.struct(m["key"].alias("_key"), m["value"].alias("_value")))
                if "metadata" in records.columns else F.lit(None).cast(RECORD_XML_SCHEMA["MetadataEntry"].dataType))
     out = records.select(
@@ -92,7 +99,13 @@ def write_health_records(records: DataFrame, path: str) -> None:
         F.col("unit").alias("_unit"), F.col("created_raw").alias("_creationDate"),
         F.col("start_raw").alias("_startDate"), F.col("end_raw").alias("_endDate"),
         F.col("value_raw").alias("_value"), entries.alias("MetadataEntry"))
-    (out.write.mode("overwrite").partitionBy("subject_id").format("xml").option("rootTag", "HealthData")
+    large = records.groupBy(F.col("subject_id").alias("_large")).agg(F.count("*").alias("_n")).where(F.col("_n") > SUBJECT_RECORDS)
+    out = out.join(F.broadcast(large), F.col("subject_id").eqNullSafe(F.col("_large")), "left")
+    share = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("_uuid", "_type", "_value"), F.ceil(F.col("_n") / SUBJECT_RECORDS)))
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartition(tasks, "subject_id", share).drop("_large", "_n")
+    (out.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy("subject_id").format("xml").option("rootTag", "HealthData")
      .option("rowTag", "Record").option("attributePrefix", "_").save(path))
 
 
