@@ -100,7 +100,7 @@ def test_registry():
     import __spark_entry__ as E
     names = list(E.queries())
     assert [n for n in names if n.startswith("op")] == [n for n in QUERIES if n.startswith("op")] and "pipeline" in names
-    assert set(ORACLES) <= set(E.oracle_sql()) and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES if n[:2] == "op"}
+    assert set(ORACLES) <= set(E.oracle_sql()) and {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES if n[:2] == "op"}
     assert [n for n, _ in C.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "packing"]
 
 
