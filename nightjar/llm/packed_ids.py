@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import landed, map_arrow, pick, schema_of
-from .tokens import encoder
+from .tokens import encoder, forget_encoders
 
 MAGIC = b"NJIDPACK"
 BLOCK_IDS = 1 << 16
@@ -212,6 +212,7 @@ def read_ids(spark: SparkSession, manifest: DataFrame, id_col: str = "doc_id") -
         base += f["n_ids"]
 
     def read(batches):
+        forget_encoders()  # the worker may have written the files
         for batch in batches:
             for path, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 store, place = _store(path)

@@ -18,12 +18,15 @@ import os
 
 import numpy as np
 
+from .common import give_back
 from .textblocks import blocks, column_bytes, lane, lanes, slice_hashes
 
 #: Slots of a generation (it is full at half of them): 20 MB, the bytes and the ids.
 SLOTS = 1 << 20
 #: Longer units are encoded once in a block.
 KEEP_BYTES = 64
+#: Units that the library encodes at a time: its results are many times their ids.
+AT_A_TIME = 2048
 _U = np.uint64
 
 _LETTER = np.zeros(256, bool)
@@ -83,12 +86,16 @@ class _Pool:
     def add(self, values: np.ndarray) -> int:
         at, self.n = self.n, self.n + len(values)
         if self.n > len(self.data):
-            grown = np.zeros(max(2 * len(self.data), self.n), self.data.dtype)
+            grown = np.zeros(max(len(self.data) * 3 // 2, self.n), self.data.dtype)
             grown[:at] = self.data[:at]
             self.data = grown
         self.data[at:self.n] = values
         return at
 
+    def shrink(self) -> None:
+        """Nothing more is added."""
+        self.data = self.data[:self.n].copy()
+
 
 def _runs(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for lens[0] places, then start[1], ..."""
@@ -106,11 +113,15 @@ class UnitTable:
         self.entry = np.zeros(slots, np.int32)
         self.ids, self.lanes = _Pool(np.uint32), _Pool(_U)
         # by entry: where its ids and lanes begin, how many ids and bytes
-        self.id_at, self.lane_at, self.n_ids, self.n_bytes = (_Pool(t) for t in (np.int64, np.int64, np.int32, np.uint8))
+        self.id_at, self.lane_at, self.n_ids, self.n_bytes = (_Pool(t) for t in (np.int32, np.int32, np.uint8, np.uint8))
 
     def room(self) -> int:
         return self.slots // 2 - self.id_at.n
 
+    def shrink(self) -> None:
+        for pool in (self.ids, self.lanes, self.id_at, self.lane_at, self.n_ids, self.n_bytes):
+            pool.shrink()
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 where it is absent."""
         out = np.full(len(h), -1, np.int64)
@@ -217,18 +228,20 @@ class UnitEncoder:
             found = np.flatnonzero((n < 0) & (lens <= KEEP_BYTES))
         miss = np.flatnonzero(n < 0)
         if len(miss):
-            data = raw.tobytes()
-            texts = [data[a:a + k].decode() for a, k in zip(starts[miss].tolist(), lens[miss].tolist())]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            n[miss] = np.fromiter(map(len, got), np.int64, len(got))
+            for i in range(0, len(miss), AT_A_TIME):
+                some = miss[i:i + AT_A_TIME]
+                texts = [raw[a:a + k].tobytes().decode() for a, k in zip(starts[some].tolist(), lens[some].tolist())]
+                got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                n[some] = np.fromiter(map(len, got), np.int64, len(got))
+                buffers.append(np.fromiter((i for ids in got for i in ids), np.uint32, int(n[some].sum())))
             where[miss] = base + np.cumsum(n[miss]) - n[miss]
-            buffers.append(np.fromiter((i for ids in got for i in ids), np.uint32, int(n[miss].sum())))
         buffer = np.concatenate(buffers)
         keep = np.concatenate((again, miss[lens[miss] <= KEEP_BYTES]))
         _, one = np.unique(h[keep], return_index=True)
         keep = keep[one]
         keep = keep[self.young.find(h[keep]) < 0]  # the hash may belong to another unit
         if len(keep) > self.young.room():
+            self.young.shrink()
             self.young, self.old = UnitTable(self.slots), self.young
         if 0 < len(keep) <= self.young.room():
             self.young.add(h[keep], at, starts[keep], lens[keep], buffer[_runs(where[keep], n[keep])], n[keep])
@@ -242,4 +255,10 @@ def encoder(path: str) -> UnitEncoder:
     """One encoder for each vocabulary and worker process."""
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
+        give_back()  # what reading the vocabulary took
     return _ENCODERS[path]
+
+
+def forget_encoders() -> None:
+    """A worker lives on after its task; other work needs no encoder."""
+    _ENCODERS.clear()

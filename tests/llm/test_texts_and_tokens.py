@@ -114,3 +114,33 @@ def test_units_that_share_a_hash_keep_their_own_ids(monkeypatch, bits):
         (_, ids, lens), = encoder.column(pa.array(texts))
         want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+
+
+def test_memory_of_an_encoder_stays_small(monkeypatch):
+    encoder = UnitEncoder(tokenizer_path("byte_bpe_50k.json"), slots=1 << 14)
+    sizes = []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+    library, encoder.tokenizer = encoder.tokenizer, Spy()
+    words = [f"unit{i}q" for i in range(12_000)]
+    texts = [" ".join(words[i:i + 6000]) for i in (0, 6000, 0)]
+    for _, ids, lens in encoder.column(pa.array(texts, pa.string())):
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert max(sizes) <= 2048 < sum(sizes)
+    for t in texts:  # one generation is full, its table keeps no spare room
+        list(encoder.column(pa.array([t], pa.string())))
+    encoder.column(pa.array(["x"]))
+    old = encoder.old
+    pools = [old.ids, old.lanes, old.id_at, old.lane_at, old.n_ids, old.n_bytes]
+    assert old.id_at.n and all(len(p.data) == p.n for p in pools)
+    assert sum(p.data.nbytes for p in pools[2:]) <= 10 * old.id_at.n
+
+
+def test_a_worker_that_reads_holds_no_encoder():
+    from nightjar.llm import tokens
+    assert tokens.encoder(tokenizer_path("byte_bpe_50k.json")) is tokens.encoder(tokenizer_path("byte_bpe_50k.json"))
+    tokens.forget_encoders()
+    assert not tokens._ENCODERS
