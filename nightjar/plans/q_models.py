@@ -96,15 +96,16 @@ def _test_predictions(fitted, test):
     return presentable(fitted.transform(test, [*KEYS, "target"]))
 
 
-def _fit_candidates(spark, sf, fits):
+def _fit_candidates(spark, sf, fits, shared=None):
     """Test predictions of every candidate, one row per model and test row.
-    The split is written once, one preprocessing serves all candidates, and
-    their fits run side by side."""
+    The split is written once, one preprocessing serves all candidates (and
+    what ``shared`` makes from both), and their fits run side by side."""
     split = cut_lineage(_split(spark, sf))
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     pre = P.fit_preprocess(train, FEATS)
+    given = [shared(train, pre)] if shared else []
     out = None
-    for fitted in side_by_side(spark, [lambda fit=fit: fit(train, pre) for fit in fits]):
+    for fitted in side_by_side(spark, [lambda fit=fit: fit(train, pre, *given) for fit in fits]):
         p = fitted.transform(test, [*KEYS, "target"]).withColumn("model_name", F.lit(fitted.name))
         out = p if out is None else out.unionByName(p)
     return presentable(out)
@@ -121,8 +122,9 @@ BASELINE_DEPTH = 8
 PART_TREES = 50
 
 
-def _baseline_forest(train, pre=None):
-    return ML.fit_forest(train, FEATS, "target", trees=BASELINE_TREES, depth=BASELINE_DEPTH, min_leaf=1, pre=pre, part_trees=PART_TREES)
+def _baseline_forest(train, pre=None, cells=None):
+    return ML.fit_forest(train, FEATS, "target", trees=BASELINE_TREES, depth=BASELINE_DEPTH, min_leaf=1, pre=pre,
+                         part_trees=PART_TREES, cells=cells)
 
 
 def _linear_fits_sql(fits: list[tuple[str, str]]) -> str:
@@ -149,8 +151,9 @@ def q_fit_sgd(spark, sf):
 
 @register("fit_forest", op_ids="M5")
 def q_fit_rf(spark, sf):
-    return _fit_candidates(spark, sf, [lambda tr, pre, n=n, d=d: ML.fit_forest(tr, FEATS, "target", trees=n, depth=d, pre=pre)
-                                       for n, d in SMALL_FORESTS] + [_baseline_forest])
+    small = [lambda tr, pre, cells, n=n, d=d: ML.fit_forest(tr, FEATS, "target", trees=n, depth=d, pre=pre, cells=cells)
+             for n, d in SMALL_FORESTS]
+    return _fit_candidates(spark, sf, small + [_baseline_forest], lambda tr, pre: ML.forest_cells(tr, pre, "target"))
 
 
 @register("feature_importance_rank", op_ids="K5")
