@@ -11,13 +11,19 @@ Spark's XML source on row tags).
 """
 from __future__ import annotations
 
+import itertools
 import os
+import re
+import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.clean import to_numeric_or_null
+from ..session import delete_folder
 
 # Record type of each stream.
 RECORD_TYPES = {
@@ -41,11 +47,21 @@ RECORD_XML_SCHEMA = StructType([
 _CORRUPT = "_corrupt_record"
 
 
+#: Tasks that list the folders of an export; Spark takes one for each folder, up to 10,000.
+LISTING = 200
+
+
 def _raw_records(spark: SparkSession, path: str) -> DataFrame:
     schema = StructType([*RECORD_XML_SCHEMA.fields, StructField(_CORRUPT, StringType())])
-    return (spark.read.format("xml").option("rowTag", "Record").option("attributePrefix", "_")
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-            .option("recursiveFileLookup", True).schema(schema).load(path))
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(tasks)
+    spark.conf.set(tasks, str(min(LISTING, int(before))))
+    try:  # files are listed here, not when the rows are read
+        return (spark.read.format("xml").option("rowTag", "Record").option("attributePrefix", "_")
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+                .option("recursiveFileLookup", True).schema(schema).load(path))
+    finally:
+        spark.conf.set(tasks, before)
 
 
 def _subject(subject_id: str | None):
@@ -89,8 +105,10 @@ def write_health_records(records: DataFrame, path: str) -> None:
     """Writes records as export-style XML, for round trips: attributes, metadata
     entries as nested elements, one folder for each subject. A subject's records
     meet in one task, a large one's in several: files are about as many as
-    subjects, not subjects times tasks. Tasks put their files in place themselves
-    (the folder is read after the whole write), not the driver one by one."""
+    subjects, not subjects times tasks. Tasks write each file under a hidden name
+    and put it in place themselves, by Arrow where it knows the store: Spark's
+    committer takes far longer over many small folders than the records do."""
+    spark = records.sparkSession
     entries = (F.transform("metadata", lambda m: F.struct(m["key"].alias("_key"), m["value"].alias("_value")))
                if "metadata" in records.columns else F.lit(None).cast(RECORD_XML_SCHEMA["MetadataEntry"].dataType))
     out = records.select(
@@ -102,11 +120,65 @@ def write_health_records(records: DataFrame, path: str) -> None:
     large = records.groupBy(F.col("subject_id").alias("_large")).agg(F.count("*").alias("_n")).where(F.col("_n") > SUBJECT_RECORDS)
     out = out.join(F.broadcast(large), F.col("subject_id").eqNullSafe(F.col("_large")), "left")
     share = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("_uuid", "_type", "_value"), F.ceil(F.col("_n") / SUBJECT_RECORDS)))
-    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartition(tasks, "subject_id", share).drop("_large", "_n")
-    (out.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-     .partitionBy("subject_id").format("xml").option("rootTag", "HealthData")
-     .option("rowTag", "Record").option("attributePrefix", "_").save(path))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = _arrow_uri(spark, path)
+    if target is None:
+        out = out.repartition(tasks, "subject_id", share).drop("_large", "_n")
+        (out.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy("subject_id").format("xml").option("rootTag", "HealthData")
+         .option("rowTag", "Record").option("attributePrefix", "_").save(path))
+        return
+    delete_folder(spark, path)
+    record = F.to_xml(F.struct(*[c for c in out.columns if c not in ("subject_id", "_large", "_n")]),
+                      {"rowTag": "Record", "attributePrefix": "_"})
+    rows = out.select(F.col("subject_id").cast("string").alias("subject"), F.coalesce(share, F.lit(0)).cast("long").alias("share"),
+                      record.alias("record"))
+    rows = rows.repartition(tasks, "subject", "share").sortWithinPartitions("subject", "share")
+
+    def write(batches):
+        store, folder = fs.FileSystem.from_uri(target)
+        files, key, to = 0, None, None
+        hidden = f".{uuid.uuid4().hex}.xml"
+
+        def finish():
+            to.write(b"\n</HealthData>\n")
+            to.close()
+            store.move(f"{key[0]}/{hidden}", f"{key[0]}/part-{key[1]:05d}.xml")
+        for b in batches:
+            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            for (subject, part), lines in itertools.groupby(zip(keys, b.column(2).to_pylist()), lambda x: x[0]):
+                here = (f"{folder}/subject_id={_folder_name(subject)}", part)
+                if here != key:
+                    if key:
+                        finish()
+                    key, files = here, files + 1
+                    store.create_dir(key[0])
+                    to = store.open_output_stream(f"{key[0]}/{hidden}", compression=None)
+                    to.write(b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<HealthData>')
+                to.write("".join(f"\n{x}" for _, x in lines).encode())
+        if key:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
+def _arrow_uri(spark: SparkSession, path: str) -> str | None:
+    """The address of a Hadoop path for Arrow; None where Arrow does not know its store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    uri = re.sub(r"^file:/+", "file:///", uri)
+    try:
+        fs.FileSystem.from_uri(uri)
+    except Exception:  # no such store, or its library is not there
+        return None
+    return uri
+
+
+def _folder_name(value: str | None) -> str:
+    """As Spark names the folder of a partition's value."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
 def stream_of_type() -> F.Column:
@@ -217,8 +289,6 @@ def write_outputs(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
     on a cluster; tests set the folder when it is unset)."""
-    import uuid
-
     from ..session import checkpoint_dir
     base = checkpoint_dir(spark)
     return os.path.join(base, "nightjar-io", f"{name}-{uuid.uuid4().hex[:12]}")
